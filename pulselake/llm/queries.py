@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, languages, token_files, tokens, toxicity, urls
+from . import fingerprints, jaccard, languages, token_files, tokens, toxicity, urls
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -43,11 +43,15 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_toxicity, op5_token_files, op6_language_id, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_toxicity, op5_token_files, op6_language_id, op9_jaccard_join, op10_url_filters)}
 
 _URL = """
 WITH cut AS (
