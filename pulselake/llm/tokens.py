@@ -16,14 +16,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, hash_strings, joined, offsets_array, partitions, ranges, split_words, starts, texts
+from .common import blocks, hash_strings, joined, offsets_array, partitions, ranges, split_words, starts
 
 #: Words encoded by one call of the library.
 WORDS_AT_ONCE = 200
+#: Text bytes of a block here: its ids and pieces are held too.
+ENCODED_BLOCK = 8 << 20
 
 
 @functools.lru_cache(maxsize=4)
@@ -96,41 +99,61 @@ def block_key(doc_ids: pa.Array, counts: np.ndarray, codes: np.ndarray, words: p
     return h.digest()
 
 
-def _split(docs: DataFrame) -> DataFrame:
-    """Block rows: key, the documents' ids and word counts, a code for each word."""
+def _pressed(values: np.ndarray) -> bytes:
+    """Integers as compressed byte planes."""
+    data = np.ascontiguousarray(values)
+    return zstandard.compress(np.ascontiguousarray(data.view(np.uint8).reshape(-1, data.itemsize).T).tobytes(), 3)
+
+
+def _unpressed(blob: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _dictionary(batch: pa.RecordBatch, buckets: int, lower: bool = False) -> tuple[bytes, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """A block's key, word counts, codes (frequent words first), distinct words and the words' buckets."""
+    counts, codes, words = split_words(batch.column("text"), lower)
+    order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    codes, words = rank[codes], words.take(pa.array(order))
+    bucket = (hash_strings(words) % np.uint64(buckets)).astype(np.int64)
+    return block_key(batch.column("doc_id"), counts, codes, words), counts, codes, words, bucket
+
+
+def _split(docs: DataFrame, buckets: int) -> DataFrame:
+    """Block rows: key, the documents' ids and word counts, a code for each word, and a bucket for each code."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
-            counts, codes, words = split_words(b.column("text"))
+        for b in blocks(batches, most=ENCODED_BLOCK):
+            key, counts, codes, _, bucket = _dictionary(b, buckets)
             yield pa.RecordBatch.from_pydict({
-                "block": [block_key(b.column("doc_id"), counts, codes, words)],
+                "block": [key],
                 "doc_ids": pa.array([b.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                "counts": [counts.astype("<u4").tobytes()],
-                "codes": [np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()],  # byte planes pack better
-                "distinct": pa.array([len(words)], pa.int64()),
+                "counts": [_pressed(counts.astype("<u4"))],
+                "codes": [_pressed(codes.astype("<u4"))],
+                "buckets": [_pressed(bucket.astype("<u4"))],
             })
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(split, "block binary, doc_ids array<long>, counts binary, codes binary, distinct long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(split, "block binary, doc_ids array<long>, counts binary, codes binary, buckets binary")
 
 
 def _word_packs(docs: DataFrame, buckets: int) -> DataFrame:
-    """For each block and hash bucket, the block's distinct words of that bucket and their places in its dictionary."""
+    """For each block and hash bucket, the block's distinct words of that bucket, in the order of their codes."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
-            counts, codes, words = split_words(b.column("text"))
-            key = block_key(b.column("doc_id"), counts, codes, words)
-            bucket = (hash_strings(words) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+        for b in blocks(batches, most=ENCODED_BLOCK):
+            key, _, _, words, bucket = _dictionary(b, buckets)
             sizes = np.bincount(bucket, minlength=buckets)
             full = np.flatnonzero(sizes)
-            if not len(full):
-                continue
-            place = offsets_array(order.astype("<u4"), sizes[full])
-            lists = pa.ListArray.from_arrays(pa.array(starts(sizes[full]), pa.int32()), words.take(pa.array(order)).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([key] * len(full), pa.binary()), place, lists], ["bucket", "block", "place", "words"])
+            sorted_words = words.take(pa.array(np.argsort(bucket, kind="stable"))).to_pylist()
+            at = starts(sizes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(full, pa.int64()), pa.array([key] * len(full), pa.binary()), pa.array([zstandard.compress("\n".join(sorted_words[at[i] : at[i + 1]]).encode(), 3) for i in full], pa.binary())],
+                ["bucket", "block", "words"],
+            )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pack, "bucket long, block binary, place binary, words array<string>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pack, "bucket long, block binary, words binary")
 
 
 def encode(docs: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
@@ -142,36 +165,40 @@ def encode(docs: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
     buckets = buckets or partitions(docs.sparkSession)
 
     def encode_bucket(table: pa.Table) -> pa.Table:
-        lists = table["words"].combine_chunks()
-        coded = lists.flatten().dictionary_encode()
+        lists = [zstandard.decompress(w).decode().split("\n") for w in table["words"].to_pylist()]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        coded = pa.array([w for ws in lists for w in ws], pa.string()).dictionary_encode()
         ids, n = encode_words(coded.dictionary.to_pylist(), path)
-        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         flat, each = spread(coded.indices.to_numpy(zero_copy_only=False), ids, n)
-        return pa.table({"block": table["block"], "place": table["place"], "n": offsets_array(each.astype("<u2" if not len(each) or each.max() < 65536 else "<u4"), sizes),
-                         "wide": pa.array([bool(len(each) and each.max() >= 65536)] * len(sizes)), "ids": offsets_array(flat.astype("<u4"), totals(each, sizes))})
+        by_word, by_id = starts(sizes), starts(totals(each, sizes))
+        return pa.table({
+            "block": table["block"], "bucket": table["bucket"],
+            "n": pa.array([_pressed(each[i:j].astype("<u4")) for i, j in zip(by_word, by_word[1:], strict=False)], pa.binary()),
+            "ids": pa.array([_pressed(flat[i:j].astype("<u4")) for i, j in zip(by_id, by_id[1:], strict=False)], pa.binary()),
+        })
 
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
+        packs = {r["bucket"]: r for r in right.to_pylist()}  # equal blocks send equal packs
+        packs = [packs[k] for k in sorted(packs)]
+        n = np.concatenate([_unpressed(r["n"], "<u4").astype(np.int64) for r in packs] or [np.zeros(0, np.int64)])
+        ids = np.concatenate([_unpressed(r["ids"], "<u4") for r in packs] or [np.zeros(0, "<u4")])
         outs = []
-        if right.num_rows:
-            place = joined(right["place"].to_pylist(), "<u4")
-            n = np.concatenate([np.frombuffer(x, "<u4" if w else "<u2") for x, w in zip(right["n"].to_pylist(), right["wide"].to_pylist(), strict=True)]).astype(np.int64)
-            ids = joined(right["ids"].to_pylist(), "<u4")
-            _, keep = np.unique(place, return_index=True)  # equal blocks send equal words
-            flat, lengths = ids[ranges(starts(n)[:-1][keep], n[keep])], n[keep]
-        else:
-            flat, lengths = np.zeros(0, "<u4"), np.zeros(0, np.int64)
         for row in left.to_pylist():
-            if row["distinct"] != len(lengths):
+            bucket = _unpressed(row["buckets"], "<u4")
+            if len(bucket) != len(n):
                 raise ValueError("a block changed while it was encoded: the input must give the same rows when it is read again")
-            counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
-            codes = np.ascontiguousarray(np.frombuffer(row["codes"], np.uint8).reshape(4, -1).T).view("<u4").ravel()
-            out, each = spread(codes, flat, lengths)
-            n_tokens = totals(each, counts)
+            place = np.argsort(bucket, kind="stable")
+            lengths, first = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+            lengths[place], first[place] = n, starts(n)[:-1]
+            counts, codes = _unpressed(row["counts"], "<u4").astype(np.int64), _unpressed(row["codes"], "<u4")
+            n_tokens = totals(lengths[codes], counts)
+            out = np.concatenate([ids[ranges(first[part], lengths[part])] for part in np.array_split(codes, 1 + len(codes) // 500_000)])
             outs.append(pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": offsets_array(out, n_tokens)}))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(outs) if outs else pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
 
-    coded = _word_packs(docs, buckets).groupBy("bucket").applyInArrow(encode_bucket, "block binary, place binary, n binary, wide boolean, ids binary")
-    return _split(docs).groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_back, "doc_id long, n_tokens long, ids binary")
+    coded = _word_packs(docs, buckets).groupBy("bucket").applyInArrow(encode_bucket, "block binary, bucket long, n binary, ids binary")
+    return _split(docs, buckets).groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_back, "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
