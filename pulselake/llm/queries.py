@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, languages, token_files, tokens, toxicity, urls
+from . import fingerprints, jaccard, languages, lm, token_files, tokens, toxicity, urls
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -43,6 +43,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 7
+    out = lm.score(docs, fold != 2)
+    return out.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +58,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_toxicity, op5_token_files, op6_language_id, op9_jaccard_join, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_toxicity, op5_token_files, op6_language_id, op7_lm_scoring, op9_jaccard_join, op10_url_filters)}
 
 _URL = """
 WITH cut AS (
