@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, languages, lm, token_files, tokens, toxicity, urls
+from . import fingerprints, jaccard, languages, lines, lm, token_files, tokens, toxicity, urls
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -31,6 +31,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels"))).drop("text")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), end_id=2)
     return token_files.read(spark, files)
@@ -58,7 +62,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_toxicity, op5_token_files, op6_language_id, op7_lm_scoring, op9_jaccard_join, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_toxicity, op4_line_dedup, op5_token_files, op6_language_id, op7_lm_scoring, op9_jaccard_join, op10_url_filters)}
 
 _URL = """
 WITH cut AS (
