@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, languages, lines, lm, token_files, tokens, toxicity, urls
+from . import fingerprints, jaccard, languages, leaks, lines, lm, token_files, tokens, toxicity, urls
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -54,6 +54,11 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "first_word")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_toxicity, op4_line_dedup, op5_token_files, op6_language_id, op7_lm_scoring, op9_jaccard_join, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_toxicity, op4_line_dedup, op5_token_files, op6_language_id, op7_lm_scoring, op8_benchmark_leaks, op9_jaccard_join, op10_url_filters)}
 
 _URL = """
 WITH cut AS (

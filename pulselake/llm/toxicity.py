@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, split_words, starts
+from .common import blocks, split_words, starts, written
 
 #: Labelled documents that the model is fitted on, at most about.
 MOST = 8_000
 GRADES = 4
 #: Hashed features; kept ones; documents that a kept feature must be in; least |z| of its log odds.
-SPACE, KEPT, LEAST_DOCS, LEAST_Z = 1 << 22, 2_000, 8, 4.0
+SPACE, KEPT, LEAST_DOCS, LEAST_Z = 1 << 22, 500, 8, 4.0
 #: Lengths of word beginnings, in letters; a whole word has length 0.
 BEGINNINGS = (4, 5, 6, 7)
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -94,54 +94,55 @@ def ordinal(x: np.ndarray, y: np.ndarray, grades: int, rounds: int = 400, rate:
     return theta[: x.shape[1]], theta[x.shape[1]] + np.concatenate(([0.0], np.cumsum(np.exp(theta[x.shape[1] + 1 :]))))
 
 
-def fit_rows(doc: np.ndarray, feature: np.ndarray, times: np.ndarray, counts: np.ndarray, toxic: np.ndarray, grades: int = GRADES) -> Model:
-    """The model of a sample: (document, feature, count) triples, word counts and labels by document."""
-    bad, good = int(toxic.sum()), int((~toxic).sum())
-    if not bad or not good:
-        return Model(np.zeros(0, np.int64), np.zeros(0), np.full(grades - 1, 1e9 if not bad else -1e9))
-    in_bad, in_good = (np.bincount(feature[toxic[doc] == side], minlength=SPACE) for side in (True, False))
-    p, q = (in_bad + 0.5) / (bad + 1), (in_good + 0.5) / (good + 1)
-    z = np.abs(np.log(p / (1 - p)) - np.log(q / (1 - q))) / np.sqrt(1 / (in_bad + 0.5) + 1 / (in_good + 0.5))
-    z[in_bad + in_good < LEAST_DOCS] = 0
-    best = np.argsort(-z, kind="stable")[:KEPT]
-    kept = np.sort(best[z[best] >= LEAST_Z])
-    at = np.searchsorted(kept, feature)
-    own = (at < len(kept)) & (kept[np.minimum(at, max(len(kept) - 1, 0))] == feature) if len(kept) else np.zeros(len(feature), bool)
-    x = design(doc[own], at[own], times[own], counts, len(kept))
-    marks = (p > q)[kept]
-    dense = np.bincount(doc[own], times[own] * marks[at[own]], len(counts)) / np.maximum(counts, 1)
-    y = toxic.astype(int)
-    y[toxic] += np.searchsorted(np.quantile(dense[toxic], np.arange(1, grades - 1) / (grades - 1)), dense[toxic], side="right")
-    w, cuts = ordinal(x, y, grades)
-    return Model(kept, w, cuts)
-
-
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, grades: int = GRADES) -> Model:
     """Fits on about `most` documents that have a label (labels: doc_id, toxic 0/1), whole texts.
 
     Null labels and null ids are left out; of a doc_id with more labels the largest counts. Without both classes in the
-    sample the model gives the one class to all.
+    sample the model gives the one class (or grade 0, without any label) to all. The driver gets the kept features and,
+    for each document of the sample, their counts.
     """
-    rows = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    rows = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max(F.col("toxic").cast("int")) > 0).alias("toxic"))
     share = min(1.0, most / max(1, rows.count()))
     rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * most)  # so the sample can't pass this
-    sample = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(rows), "doc_id")
+    sample = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(rows), "doc_id"), "sample")
+    size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    bad, good = size.get(True, 0), size.get(False, 0)
+    if not bad or not good:
+        return Model(np.zeros(0, np.int64), np.zeros(0), np.full(grades - 1, -1e9 if bad else 1e9))
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches):
+            doc, feature, _, _ = counted(b.column("text"))
+            toxic = b.column("toxic").to_numpy(zero_copy_only=False).astype(bool)[doc]
+            used, place = np.unique(feature, return_inverse=True)
+            yield pa.RecordBatch.from_pydict({"feature": used, "bad": np.bincount(place[toxic], minlength=len(used)), "good": np.bincount(place[~toxic], minlength=len(used))})
+
+    found = sample.select("text", "toxic").mapInArrow(frequency, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    odds = lambda x, n: F.log((F.col(x) + 0.5) / (n + 0.5 - F.col(x)))
+    z = (odds("bad", bad) - odds("good", good)) / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    best = found.where(F.col("bad") + F.col("good") >= LEAST_DOCS).select("feature", z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "feature").limit(KEPT).collect()
+    best = sorted((r["feature"], r["z"]) for r in best)
+    kept, marks = np.array([f for f, _ in best], np.int64), np.array([v > 0 for _, v in best], bool)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
-            doc, feature, times, counts = counted(b.column("text"))
-            per = np.bincount(doc, minlength=len(counts))
+            doc, feature, times, counts = counted(b.column("text"), kept)
+            cut = starts(np.bincount(doc, minlength=len(counts)))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "n": pa.array(counts, pa.int64()),
-                "f": [x.astype("<u4").tobytes() for x in np.split(feature, starts(per)[1:-1])], "c": [x.astype("<u4").tobytes() for x in np.split(times, starts(per)[1:-1])],
+                "f": [feature[i:j].astype("<u4").tobytes() for i, j in zip(cut, cut[1:], strict=False)], "c": [times[i:j].astype("<u4").tobytes() for i, j in zip(cut, cut[1:], strict=False)],
             })
 
-    got = sorted(sample.mapInArrow(features, "doc_id long, toxic int, n long, f binary, c binary").collect(), key=lambda r: (r["doc_id"], bytes(r["f"])))
-    if not got:
-        return fit_rows(*(np.zeros(0, np.int64),) * 4, np.zeros(0, bool), grades)
-    f = [np.frombuffer(r["f"], "<u4").astype(np.int64) for r in got]
-    return fit_rows(np.repeat(np.arange(len(got)), [len(x) for x in f]), np.concatenate(f), np.concatenate([np.frombuffer(r["c"], "<u4").astype(np.int64) for r in got]),
-                    np.array([r["n"] for r in got]), np.array([r["toxic"] > 0 for r in got]), grades)
+    got = sample.select("doc_id", "text", "toxic").mapInArrow(count, "doc_id long, toxic boolean, n long, f binary, c binary").collect()  # kept features of the sample
+    got.sort(key=lambda r: (r["doc_id"], r["n"], bytes(r["f"])))
+    counts, toxic = np.array([r["n"] for r in got]), np.array([r["toxic"] for r in got])
+    feature = np.frombuffer(b"".join(r["f"] for r in got), "<u4").astype(np.int64)
+    times = np.frombuffer(b"".join(r["c"] for r in got), "<u4").astype(np.int64)
+    doc = np.repeat(np.arange(len(got)), [len(r["f"]) // 4 for r in got])
+    dense = np.bincount(doc, times * marks[feature], len(counts)) / np.maximum(counts, 1)
+    y = toxic.astype(int)
+    y[toxic] += np.searchsorted(np.quantile(dense[toxic], np.arange(1, grades - 1) / (grades - 1)), dense[toxic], side="right")
+    return Model(kept, *ordinal(design(doc, feature, times, counts, len(kept)), y, grades))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
