@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes of one block; the unit that a task holds in memory at once.
 BLOCK_BYTES = 16 << 20
@@ -37,6 +38,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def sent(df: DataFrame, most: int) -> DataFrame:
+    """df marked to be sent to all tasks if it has at most `most` (short) rows; else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

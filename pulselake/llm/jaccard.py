@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, hash_strings, mix, partitions, ranges, shingle_hashes, split_words, starts, written
+from .common import blocks, hash_strings, mix, partitions, ranges, sent, shingle_hashes, split_words, starts, written
 from .graphs import components
 
 WIDTH, PERCENT = 5, 80
@@ -220,8 +220,7 @@ def _sets_of(docs: DataFrame, active: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"node": pa.array(node[ok]), "n": pa.array(n[ok]), "flips": pa.array([bits[i].tobytes() for i in ok], pa.binary()), "hashes": pa.array([raw[at[i] : at[i + 1]] for i in ok], pa.binary())})
 
     ids = active.groupBy("doc_id").agg(F.first("node").alias("node"))
-    ids = F.broadcast(ids) if ids.count() <= MOST_SENT else ids
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id").select("text", "node")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sent(ids, MOST_SENT), "doc_id").select("text", "node")
     return found.mapInArrow(load, "node long, n long, flips binary, hashes binary").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "flips", "hashes")))
 
 
@@ -312,3 +311,13 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, buckets: i
     classes = classes.join(ids, "component").select("node", "component_id")
     full = owned.where("n_shingles > 0").join(classes, "node").select("doc_id", "n_shingles", "component_id")
     return full.union(owned.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """docs without the rows whose component has a smaller doc_id; all columns stay, and rows without doc_id.
+
+    Of a doc_id that occurs with several texts all rows stay if one of them does; rows that repeat doc_id and text stay alike.
+    """
+    found = written(join(docs, width, percent), "components")
+    gone = found.groupBy("doc_id").agg(F.min(F.col("component_id") != F.col("doc_id")).alias("gone")).where("gone").select(F.col("doc_id").alias("__id"))
+    return docs.join(sent(gone, MOST_SENT), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sent, written
 
 WIDTH, SIMILAR = 5, 0.8
 BITS, RADIUS = 64, 16
@@ -26,10 +26,6 @@ MOST_SENT = 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _sent(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= MOST_SENT else df
-
-
 def with_shingles(df: DataFrame, name: str) -> DataFrame:
     """df (text, ...) with column `name`: the hash of each five-word run of the text in order, of fewer words none.
 
@@ -64,19 +60,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Of docs (doc_id, text, ...) and benchmark (item_id, text, ...). version is the hash of the document's text, so that rows
     of one doc_id with other texts are told apart; rows that repeat both give one result. Items and documents with fewer
     than five words (or null) match nothing, nor do rows without id. A document shorter than an item is one window.
-    Of windows that are equally similar the first is given.
+    Of windows that are equally similar the first of those that begin with a shingle of an item is given.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("version"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     items = with_shingles(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), "item").drop("text")
     items = items.where("item_id IS NOT NULL AND size(item) > 0").dropDuplicates().withColumn("length", F.size("item"))
     items = written(items, "items")
-    known = _sent(items.select("length", F.explode("item").alias("h")).distinct())
+    known = sent(items.select("length", F.explode("item").alias("h")).distinct(), MOST_SENT)
 
     every = with_shingles(docs, "runs").select("doc_id", "version", F.posexplode_outer("runs").alias("at", "h")).where("h IS NOT NULL")
     hits = every.join(known, "h").groupBy("doc_id", "version", "length").agg(F.array_sort(F.collect_set("at")).alias("hits"))  # places of one document
     hits = written(hits.where("size(hits) >= 1"), "hits")
     some = hits.select("doc_id", "version").distinct()
-    found = with_shingles(docs.join(_sent(some), ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"]), "runs").drop("text")
+    found = with_shingles(docs.join(sent(some, MOST_SENT), ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"]), "runs").drop("text")
 
     windows = found.join(hits, ["doc_id", "version"]).withColumn("at", F.explode("hits")).withColumn("at", F.greatest(F.lit(0), F.least("at", F.size("runs") - F.col("length"))))
     inside = F.expr("size(filter(hits, p -> p >= at AND p < at + length))")
@@ -85,7 +81,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     prints = _cut(_fingerprints(windows, ["doc_id", "version", "length", "at"], "runs"))
     of_items = _cut(_fingerprints(items, ["item_id", "item", "length"], "item").withColumnRenamed("print", "item_print").withColumn("print", F.col("item_print"))).drop("print")
-    met = prints.join(_sent(of_items), ["length", "block", "bits"]).where(F.bit_count(F.expr("print ^ item_print")) <= RADIUS)
+    met = prints.join(sent(of_items, MOST_SENT), ["length", "block", "bits"]).where(F.bit_count(F.expr("print ^ item_print")) <= RADIUS)
     met = met.select("doc_id", "version", "length", "at", "item_id", "item").distinct().join(windows, ["doc_id", "version", "length", "at"])
     both = F.expr("aggregate(array_distinct(item), 0, (n, h) -> n + least(size(filter(item, x -> x = h)), size(filter(runs, x -> x = h))))")
     scored = met.withColumn("both", both).withColumn("similarity", F.col("both") / (F.size("item") + F.size("runs") - F.col("both")))
@@ -95,6 +91,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text leaks an item; all other rows, those without doc_id too, and all columns stay."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).distinct()
+    bad = written(leaks(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).distinct(), "leaks")
     same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__version"))
-    return docs.join(bad, same, "left_anti")
+    return docs.join(sent(bad, MOST_SENT), same, "left_anti")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, mix, partitions, ranges, starts, written
+from .common import blocks, mix, partitions, ranges, sent, starts, written
 from .graphs import components
 
 #: Edits (insertions, deletions, replacements of code points) between near lines.
@@ -274,7 +274,7 @@ def _texts_of(rows: DataFrame, active: DataFrame) -> DataFrame:
                                               "counts": pa.array([np.minimum(letter_counts(t), 65535).astype("<u2").tobytes() for t in found.values()], pa.binary())})
 
     asked = active.groupBy("id", "version").agg(F.collect_list("line").alias("asked"), F.collect_list("place").alias("places"))
-    asked = F.broadcast(asked) if active.count() <= MOST_SENT else asked
+    asked = sent(asked, MOST_SENT)
     return rows.join(asked, ["id", "version"]).select("text", "asked", "places").mapInArrow(load, "line long, text string, counts binary").dropDuplicates(["line"])
 
 

@@ -145,6 +145,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, grades: int = GRAD
     return Model(kept, *ordinal(design(doc, feature, times, counts, len(kept)), y, grades))
 
 
+def linear(column: pa.Array, model: Model) -> np.ndarray:
+    """w x of each text."""
+    k = len(model.features)
+    doc, feature, times, counts = counted(column, model.features)
+    z = np.zeros(len(counts))
+    if k:
+        np.add.at(z, doc, np.log1p(times) * model.weights[feature] + np.log1p(100 * times / np.maximum(counts[doc], 1)) * model.weights[k + feature])
+    return z
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs (text, ...) with severity double (expected grade), grade int, p_toxic double, toxic boolean.
 
@@ -153,12 +163,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(model.features)
         for b in blocks(batches):
-            doc, feature, times, counts = counted(b.column("text"), model.features)
-            z = np.zeros(len(counts))
-            if k:
-                np.add.at(z, doc, np.log1p(times) * model.weights[feature] + np.log1p(100 * times / np.maximum(counts[doc], 1)) * model.weights[k + feature])
+            z = linear(b.column("text"), model)
             above = 1 / (1 + np.exp(-np.clip(z[:, None] - model.cuts, -700, 700)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(above.sum(1)), pa.array((above >= 0.5).sum(1), pa.int32()), pa.array(above[:, 0]), pa.array(above[:, 0] >= 0.5)],
                                              [*b.schema.names, "severity", "grade", "p_toxic", "toxic"])
@@ -166,3 +172,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("severity", "grade", "p_toxic", "toxic")
     more = [T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("toxic", T.BooleanType())]
     return docs.mapInArrow(grade, T.StructType([*docs.schema.fields, *more]))
+
+
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs (text, ...) that the model doesn't call toxic, with all their columns."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches):
+            yield b.filter(pa.array(linear(b.column("text"), model) < model.cuts[0]))
+
+    return docs.mapInArrow(keep, docs.schema)
