@@ -27,6 +27,8 @@ EDITS = 2
 LEAST = 24
 #: Groups of equal hashes that would give more pairs than this are closed in chunks of about CHUNK lines on each side.
 FEW, CHUNK = 64, 500
+#: Text bytes of a block whose lines are hashed at once: each code point has several 64-bit numbers then.
+PACKED_BLOCK = 3 << 20
 #: Ids up to so many are sent to all tasks to fetch lines; more are joined.
 MOST_SENT = 1_000_000
 #: Base of the substring hashes (any odd number) and its inverse modulo 2**64.
@@ -179,7 +181,7 @@ def _packs(rows: DataFrame, buckets: int, edits: int, least: int) -> DataFrame:
     names = ("held_keys", "held_lines", "ask_keys", "ask_lines", "lines", "ids", "versions", "places")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, most=8 << 20):
+        for b in blocks(batches, most=PACKED_BLOCK):
             seen: dict[str, int] = {}
             which, doc, place = [], [], []
             for d, text in enumerate(b.column("text").to_pylist()):
@@ -209,6 +211,7 @@ def _packs(rows: DataFrame, buckets: int, edits: int, least: int) -> DataFrame:
                 own = order[at[i] : at[i + 1]]
                 parts.setdefault(int(i), {}).update({"lines": node[which[own]].tobytes(), "ids": ids[doc[own]].astype("<i8").tobytes(), "versions": versions[doc[own]].astype("<i8").tobytes(), "places": place[own].tobytes()})
             if parts:
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), *(pa.array([p.get(c, b"") for p in parts.values()], pa.binary()) for c in names)], ["bucket", *names])
 
     return rows.mapInArrow(pack, "bucket long, " + ", ".join(f"{c} binary" for c in names))
