@@ -47,11 +47,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
-    """A text column as one Arrow array in which null is the empty text."""
+#: A-Z to a-z, other bytes as they are.
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def texts(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> pa.Array:
+    """A text column as one Arrow array in which null is the empty text; A-Z lower-cased if asked.
+
+    The array is laid out anew from offset 0: Arrow's ASCII functions read slices wrongly.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return pa.array([""] * len(column), pa.large_string())
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = memoryview(data)[offsets[0] : offsets[-1]].tobytes()
+    return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(data.translate(LOWER) if lower else data))
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -70,8 +83,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
 
 def split_words(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words between ASCII white space: word counts by text, a code for each word in order, and the distinct words."""
-    column = texts(column)
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
+    lists = pc.ascii_split_whitespace(texts(column, lower))
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = lists.flatten()
     empty = pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
