@@ -30,7 +30,7 @@ WIDTH, PERCENT = 5, 80
 #: Groups of up to so many nodes give all their pairs at once; larger ones are closed in chunks of about so many.
 FEW, CHUNK = 8, 500
 #: Bits of the second sketch.
-BITS = 512
+BITS = 4096
 #: Ids up to so many are sent to all tasks to fetch their texts; more are joined.
 MOST_SENT = 1_000_000
 
@@ -111,8 +111,12 @@ def block_keys(hashes: np.ndarray, n: np.ndarray, percent: int = PERCENT) -> tup
 def flips(hashes: np.ndarray, n: np.ndarray, bits: int = BITS) -> np.ndarray:
     """(sets, bits / 8) bytes: for each set the parity of its shingles by bit."""
     bit = (mix(hashes + np.uint64(0x5DEECE66D)) % np.uint64(bits)).astype(np.int64)
-    odd = np.bincount(np.repeat(np.arange(len(n)), n) * bits + bit, minlength=len(n) * bits) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(len(n), bits), axis=1)
+    at, out = starts(n), [np.zeros((0, bits // 8), np.uint8)]
+    for i in range(0, len(n), 500):
+        part = n[i : i + 500]
+        odd = np.bincount(np.repeat(np.arange(len(part)), part) * bits + bit[at[i] : at[i + len(part)]], minlength=len(part) * bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8).reshape(len(part), bits), axis=1))
+    return np.concatenate(out)
 
 
 def _packs(docs: DataFrame, buckets: int, width: int) -> DataFrame:
@@ -221,7 +225,7 @@ def _sets_of(docs: DataFrame, active: DataFrame, width: int) -> DataFrame:
 
     ids = active.groupBy("doc_id").agg(F.first("node").alias("node"))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sent(ids, MOST_SENT), "doc_id").select("text", "node")
-    return found.mapInArrow(load, "node long, n long, flips binary, hashes binary").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "flips", "hashes")))
+    return found.mapInArrow(load, "node long, n long, flips binary, hashes binary")  # a row more for a row of docs that repeats changes nothing
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -240,7 +244,8 @@ def _verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
             ok = possible(na, nb, _distances(fa, fb), percent)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
 
-    kept = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(prune, "a long, b long")
+    kept = written(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(prune, "a long, b long"), "kept")
+    need = kept.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -251,8 +256,8 @@ def _verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
 
-    full = found.select("node", "hashes")
-    return kept.join(full.toDF("a", "ha"), "a").join(full.toDF("b", "hb"), "b").select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long")
+    full = found.select("node", "hashes").join(sent(need, MOST_SENT), "node", "left_semi")
+    return kept.join(full.toDF("a", "ha"), "a").join(full.toDF("b", "hb"), "b").select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long").distinct()
 
 
 def possible(na: np.ndarray, nb: np.ndarray, differ: np.ndarray, percent: int = PERCENT) -> np.ndarray:
