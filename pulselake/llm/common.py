@@ -6,6 +6,7 @@ and one code per word position (Arrow does both), so later shuffles carry a bloc
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes of one block; the unit that a task holds in memory at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -67,6 +68,16 @@ def texts(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(data.translate(LOWER) if lower else data))
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def freed() -> None:
+    """Gives memory that Arrow and malloc hold but don't use back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut where their texts pass `most` bytes (one longer text is a block of its own)."""
     for batch in batches:
@@ -75,10 +86,12 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
         for i, n in enumerate(size):
             if i > start and total + n > most:
                 yield batch.slice(start, i - start)
+                freed()
                 start, total = i, 0
             total += n
         if len(size) > start:
             yield batch.slice(start)
+            freed()
 
 
 def split_words(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:

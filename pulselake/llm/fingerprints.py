@@ -92,7 +92,8 @@ def compare_with_edited(docs: DataFrame, scale: int = SCALE, width: int = WIDTH,
     lowest = -(2**63)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("at", F.coalesce("doc_id", F.lit(lowest)).cast("double"))
     cuts = sorted(set(rows.approxQuantile("at", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
-    rows = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="at", outputCol="range").transform(rows)
+    bounds = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="at", outputCol="range") if cuts else None
+    rows = bounds.transform(rows) if bounds else rows.withColumn("range", F.lit(0.0))
     top = {r["range"]: r["top"] for r in rows.groupBy("range").agg(F.max(F.coalesce("doc_id", F.lit(lowest))).alias("top")).collect()}  # a row for each range
     order = sorted(top, reverse=True)
     ghosts = [(top[b], a) for a, b in zip(order, order[1:] + order[:1], strict=True)]

@@ -211,7 +211,6 @@ def _packs(rows: DataFrame, buckets: int, edits: int, least: int) -> DataFrame:
                 own = order[at[i] : at[i + 1]]
                 parts.setdefault(int(i), {}).update({"lines": node[which[own]].tobytes(), "ids": ids[doc[own]].astype("<i8").tobytes(), "versions": versions[doc[own]].astype("<i8").tobytes(), "places": place[own].tobytes()})
             if parts:
-                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), *(pa.array([p.get(c, b"") for p in parts.values()], pa.binary()) for c in names)], ["bucket", *names])
 
     return rows.mapInArrow(pack, "bucket long, " + ", ".join(f"{c} binary" for c in names))

@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, hash_strings, joined, offsets_array, partitions, ranges, split_words, starts
+from .common import blocks, freed, hash_strings, joined, offsets_array, partitions, ranges, split_words, starts
 
 #: Words encoded by one call of the library.
 WORDS_AT_ONCE = 200
 #: Text bytes of a block here: its ids and pieces are held too.
-ENCODED_BLOCK = 8 << 20
+ENCODED_BLOCK = 4 << 20
 
 
 @functools.lru_cache(maxsize=4)
@@ -171,6 +171,8 @@ def encode(docs: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
         ids, n = encode_words(coded.dictionary.to_pylist(), path)
         flat, each = spread(coded.indices.to_numpy(zero_copy_only=False), ids, n)
         by_word, by_id = starts(sizes), starts(totals(each, sizes))
+        del lists, coded
+        freed()
         return pa.table({
             "block": table["block"], "bucket": table["bucket"],
             "n": pa.array([_pressed(each[i:j].astype("<u4")) for i, j in zip(by_word, by_word[1:], strict=False)], pa.binary()),
@@ -194,7 +196,7 @@ def encode(docs: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
             n_tokens = totals(lengths[codes], counts)
             out = np.concatenate([ids[ranges(first[part], lengths[part])] for part in np.array_split(codes, 1 + len(codes) // 500_000)])
             outs.append(pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": offsets_array(out, n_tokens)}))
-        pa.default_memory_pool().release_unused()
+        freed()
         return pa.concat_tables(outs) if outs else pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
 
     coded = _word_packs(docs, buckets).groupBy("bucket").applyInArrow(encode_bucket, "block binary, bucket long, n binary, ids binary")

@@ -6,7 +6,7 @@ P(grade > k) = sigmoid(w x - b_k) with b_0 < b_1 < ...; the expected severity is
 
 The model is fitted on a bounded sample of labelled documents (`most`, by the hash of doc_id); scoring reads every
 document whole. Features are words and word beginnings (letters only, lower case), hashed; the few thousand that tell
-the labels apart are kept, as log(1 + count) and log(1 + count per 100 words).
+the labels apart are kept, as presence, log(1 + count) and log(1 + count per 100 words).
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from .common import blocks, split_words, starts, written
 MOST = 8_000
 GRADES = 4
 #: Hashed features; kept ones; documents that a kept feature must be in; least |z| of its log odds.
-SPACE, KEPT, LEAST_DOCS, LEAST_Z = 1 << 22, 500, 8, 4.0
+VIEWS = 3
+SPACE, KEPT, LEAST_DOCS, LEAST_Z = 1 << 22, 4_000, 8, 3.0
 #: Lengths of word beginnings, in letters; a whole word has length 0.
 BEGINNINGS = (4, 5, 6, 7)
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -37,17 +38,16 @@ LETTERS = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class Model:
     features: np.ndarray  #: kept hashed features, ascending
-    weights: np.ndarray  #: two for each: of log(1 + count) and of log(1 + count per 100 words)
+    weights: np.ndarray  #: VIEWS for each
     cuts: np.ndarray  #: b_0 < b_1 < ...
 
 
-def word_features(word: str) -> set[int]:
-    found = set()
-    for run in LETTERS.findall(word):
-        low = run.lower()
-        found.add(xxhash.xxh3_64_intdigest(low, 0) % SPACE)
-        found.update(xxhash.xxh3_64_intdigest(low[:n], n) % SPACE for n in BEGINNINGS if len(low) >= n)
-    return found
+def word_features(word: str) -> list[int]:
+    """Hashes of the word and its beginnings; of a word that is several runs of letters those of each, once."""
+    runs = LETTERS.findall(word.lower())
+    found = [xxhash.xxh3_64_intdigest(run, 0) % SPACE for run in runs]
+    found += [xxhash.xxh3_64_intdigest(run[:n], n) % SPACE for run in runs for n in BEGINNINGS if len(run) >= n]
+    return found if len(runs) < 2 else list(set(found))
 
 
 def counted(column: pa.Array, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -70,28 +70,27 @@ def counted(column: pa.Array, kept: np.ndarray | None = None) -> tuple[np.ndarra
     return pairs // width, pairs % width, times, counts
 
 
-def design(doc: np.ndarray, feature: np.ndarray, times: np.ndarray, counts: np.ndarray, n_features: int) -> np.ndarray:
-    x = np.zeros((len(counts), 2 * n_features))
-    x[doc, feature] = np.log1p(times)
-    x[doc, n_features + feature] = np.log1p(100 * times / np.maximum(counts[doc], 1))
-    return x
+def views(times: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a feature that occurs so many times in so many words counts: its presence, log(1 + count), log(1 + count per 100 words)."""
+    return np.ones(len(times)), np.log1p(times), np.log1p(100 * times / np.maximum(words, 1))
 
 
-def ordinal(x: np.ndarray, y: np.ndarray, grades: int, rounds: int = 400, rate: float = 0.05, l2: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ascending cuts of the cumulative-link model, by Adam on the mean loss over thresholds."""
-    w, first, gaps = np.zeros(x.shape[1]), 1.0, np.full(grades - 2, 0.0)
-    theta = np.concatenate((w, [first], gaps))
+def ordinal(row: np.ndarray, column: np.ndarray, value: np.ndarray, columns: int, y: np.ndarray, grades: int, rounds: int = 500, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ascending cuts of the cumulative-link model of a sparse design, by Adam on the mean loss over thresholds."""
+    theta = np.concatenate((np.zeros(columns), [1.0], np.zeros(grades - 2)))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     above = (y[:, None] > np.arange(grades - 1)).astype(float)
+    split = lambda t: (t[:columns], t[columns] + np.concatenate(([0.0], np.cumsum(np.exp(t[columns + 1 :])))))
     for t in range(1, rounds + 1):
-        w, cuts = theta[: x.shape[1]], theta[x.shape[1]] + np.concatenate(([0.0], np.cumsum(np.exp(theta[x.shape[1] + 1 :]))))
-        error = (1 / (1 + np.exp(-np.clip((x @ w)[:, None] - cuts, -30, 30))) - above) / len(y)
+        w, cuts = split(theta)
+        z = np.bincount(row, value * w[column], len(y))
+        error = (1 / (1 + np.exp(-np.clip(z[:, None] - cuts, -30, 30))) - above) / len(y)
         by_cut = -error.sum(0)
-        steps = np.exp(theta[x.shape[1] + 1 :]) * np.cumsum(by_cut[::-1])[::-1][1:]
-        g = np.concatenate((x.T @ error.sum(1) + l2 * w, [by_cut.sum()], steps))
+        steps = np.exp(theta[columns + 1 :]) * np.cumsum(by_cut[::-1])[::-1][1:]
+        g = np.concatenate((np.bincount(column, value * error.sum(1)[row], columns) + l2 * w, [by_cut.sum()], steps))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return theta[: x.shape[1]], theta[x.shape[1]] + np.concatenate(([0.0], np.cumsum(np.exp(theta[x.shape[1] + 1 :]))))
+        theta = theta - rate * (1 - t / (rounds + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return split(theta)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, grades: int = GRADES) -> Model:
@@ -142,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, grades: int = GRAD
     dense = np.bincount(doc, times * marks[feature], len(counts)) / np.maximum(counts, 1)
     y = toxic.astype(int)
     y[toxic] += np.searchsorted(np.quantile(dense[toxic], np.arange(1, grades - 1) / (grades - 1)), dense[toxic], side="right")
-    return Model(kept, *ordinal(design(doc, feature, times, counts, len(kept)), y, grades))
+    return Model(kept, *ordinal(np.tile(doc, VIEWS), np.concatenate([feature + i * len(kept) for i in range(VIEWS)]), np.concatenate(views(times, counts[doc])), VIEWS * len(kept), y, grades))
 
 
 def linear(column: pa.Array, model: Model) -> np.ndarray:
@@ -151,7 +150,7 @@ def linear(column: pa.Array, model: Model) -> np.ndarray:
     doc, feature, times, counts = counted(column, model.features)
     z = np.zeros(len(counts))
     if k:
-        np.add.at(z, doc, np.log1p(times) * model.weights[feature] + np.log1p(100 * times / np.maximum(counts[doc], 1)) * model.weights[k + feature])
+        z = np.bincount(doc, sum(view * model.weights[i * k + feature] for i, view in enumerate(views(times, counts[doc]))), len(counts))
     return z
 
 
