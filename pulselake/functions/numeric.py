@@ -46,3 +46,9 @@ def std_of(values: Column) -> Column:
 def epoch(ts: Column) -> Column:
     """Seconds since 1970 of a timestamp with or without zone."""
     return F.unix_micros(ts.cast("timestamp")) / 1e6
+
+
+def corr(a: Column, b: Column) -> Column:
+    """Pearson correlation as an aggregate; null (not an error) where a side doesn't vary."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

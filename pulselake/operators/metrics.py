@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clip, ratio, rounded
+from ..functions.numeric import clip, corr, ratio, rounded
 
 
 def at_least(n: int, x: Column) -> Column:
@@ -23,7 +23,7 @@ def errors(df: DataFrame, keys: list[str], measured: str = "measured", reference
     df = df.where(m.isNotNull() & r.isNotNull())
     return df.groupBy(*keys).agg(
         F.count("*").alias("n"), at_least(least, F.avg(F.abs(d))).alias("mae"), at_least(least, F.sqrt(F.avg(d * d))).alias("rmse"), at_least(least, F.avg(d)).alias("bias"),
-        at_least(least, F.corr(m, r)).alias("pearson"), at_least(least, F.avg(d) - 1.96 * F.stddev_samp(d)).alias("loa_low"), at_least(least, F.avg(d) + 1.96 * F.stddev_samp(d)).alias("loa_high"),
+        at_least(least, corr(m, r)).alias("pearson"), at_least(least, F.avg(d) - 1.96 * F.stddev_samp(d)).alias("loa_low"), at_least(least, F.avg(d) + 1.96 * F.stddev_samp(d)).alias("loa_high"),
     )
 
 
@@ -32,7 +32,7 @@ def bland_altman(df: DataFrame, keys: list[str], sample: bool = True, least: int
     d, mid = F.col("measured") - F.col("reference"), (F.col("measured") + F.col("reference")) / 2
     std = F.stddev_samp(d) if sample else F.stddev_pop(d)
     return df.groupBy(*keys).agg(at_least(least, F.avg(d)).alias("bias"), at_least(least, std).alias("sigma"), at_least(least, F.avg(d) - 1.96 * std).alias("loa_low"),
-                                 at_least(least, F.avg(d) + 1.96 * std).alias("loa_high"), at_least(least, F.corr(d, mid)).alias("proportional"))
+                                 at_least(least, F.avg(d) + 1.96 * std).alias("loa_high"), at_least(least, corr(d, mid)).alias("proportional"))
 
 
 def ranked(metrics: DataFrame, name: str) -> DataFrame:
@@ -52,7 +52,7 @@ def calibration(df: DataFrame, keys: list[str]) -> DataFrame:
     inside = F.when(F.col("reference").between(F.col("measured") - F.col("sigma"), F.col("measured") + F.col("sigma")), 1.0).otherwise(0.0)
     return df.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count_if(ok).alias("accepted"), F.avg(on(e)).alias("mae"), F.sqrt(F.avg(on(e * e))).alias("rmse"), F.avg(on(F.col("measured") - F.col("reference"))).alias("bias"),
-        F.percentile(on(e), 0.5).alias("median_error"), F.corr(on(F.col("measured")), on(F.col("reference"))).alias("pearson"), F.avg(F.when(ok, e).otherwise(F.abs(200 - F.col("reference")))).alias("expected_risk"),
+        F.percentile(on(e), 0.5).alias("median_error"), corr(on(F.col("measured")), on(F.col("reference"))).alias("pearson"), F.avg(F.when(ok, e).otherwise(F.abs(200 - F.col("reference")))).alias("expected_risk"),
         F.avg(on(inside)).alias("coverage"),
     )
 

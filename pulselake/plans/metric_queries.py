@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import rounded
+from ..functions.numeric import corr, rounded
 from ..operators import metrics as M
 from .bindings import DOMAINS, PAIRS, SIGNAL, domains, pairs, signal, table
 from .registry import query, r4
@@ -47,7 +47,7 @@ def f3_bland_altman_population(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAIRS} SELECT domain, method, {r4('corr(measured, reference)')} AS pearson FROM pairs GROUP BY ALL HAVING count(*) >= 3")
 def f4_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = pairs(spark, sf_dir).groupBy("domain", "method").agg(F.count("*").alias("n"), F.corr("measured", "reference").alias("pearson"))
+    g = pairs(spark, sf_dir).groupBy("domain", "method").agg(F.count("*").alias("n"), corr(F.col("measured"), F.col("reference")).alias("pearson"))
     return g.where("n >= 3").select("domain", "method", rounded(F.col("pearson")).alias("pearson"))
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, rounded
-from ..operators import folds
-from .bindings import SIGNAL, WINDOWS, signal, windows
+from ..operators import filters, folds
+from .bindings import SIGNAL, WINDOWS, rgb, signal, windows
 from .registry import query, r4
 
 
@@ -190,3 +190,20 @@ def g7_session_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.avg("x").over(w)
     s = _seq(signal(spark, sf_dir)).withColumn("score", 0.4 * m / 100 + 0.3 * F.exp(-F.abs(F.col("x") - m) / 50) + 0.2 * F.exp(-F.stddev_pop("x").over(w) / 10) + 0.1)
     return s.select("session", "seq", rounded(F.col("score")).alias("score"), F.when(F.col("score") >= 0.75, "HIGH").when(F.col("score") >= 0.45, "MEDIUM").otherwise("LOW").alias("label"))
+
+
+@query()
+def c2_bandpass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of a session taken as 30 a second."""
+    return filters.bandpass(_seq(signal(spark, sf_dir)), 30.0)
+
+
+@query()
+def d1_filtered_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.rates(_seq(signal(spark, sf_dir)), 30.0)
+
+
+@query()
+def b6_independent_pulse(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+    return filters.independent_pulse(_seq(rgb(spark, sf_dir)), 30.0)
