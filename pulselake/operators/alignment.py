@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Chains of a session that one call reads.
+CHAINS = 256
+
+
 def candidates(pred: DataFrame, ref: DataFrame, tolerance: float, strict: bool = False) -> DataFrame:
     """Pairs of pred (session, id, t, x) and ref (session, id, t, x) at most `tolerance` seconds apart (strict: less)."""
     width = max(tolerance, 1e-6)
@@ -47,18 +51,21 @@ def greedy(pred: DataFrame, ref: DataFrame, tolerance: float, order: str = "t",
     chains = times.withColumn("chain", F.sum(F.when(F.col("at") - F.lag("at").over(w) > reach, 1).otherwise(0)).over(w))
     pairs = pairs.join(chains.withColumnRenamed("at", "pred_t"), ["session", "pred_t"])
 
+    out = ("session", "pred_id", "ref_id", "pred_t", "ref_t", "pred_x", "ref_x", "apart")
+
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, kept = set(), []
-        for _, own in rows.sort_values(["o", "pred_id", "apart", "ref_t", "ref_id"]).groupby(["o", "pred_id"], sort=False):
-            free = own[~own["ref_id"].isin(taken)]
-            if len(free):
-                kept.append(free.iloc[0])
-                taken.add(free.iloc[0]["ref_id"])
-        return pd.DataFrame(kept, columns=rows.columns)[["session", "pred_id", "ref_id", "pred_t", "ref_t", "pred_x", "ref_x", "apart"]]
+        rows = rows.sort_values(["o", "pred_id", "apart", "ref_t", "ref_id"])
+        taken, served, kept = set(), set(), []
+        for i, (p, r) in enumerate(zip(rows["pred_id"], rows["ref_id"], strict=True)):
+            if p not in served and r not in taken:
+                served.add(p)
+                taken.add(r)
+                kept.append(i)
+        return rows.iloc[kept][list(out)]
 
     types = dict(pairs.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in ("session", "pred_id", "ref_id", "pred_t", "ref_t", "pred_x", "ref_x", "apart"))
-    return pairs.groupBy("session", "chain").applyInPandas(choose, schema)
+    several = F.floor(F.col("chain") / CHAINS)  # chains don't compete, so some share a call
+    return pairs.groupBy("session", several).applyInPandas(choose, ", ".join(f"{c} {types[c]}" for c in out))
 
 
 def by_index(pred: DataFrame, ref: DataFrame) -> DataFrame:
