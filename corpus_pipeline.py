@@ -37,8 +37,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256): the ids of each text, little-endian unsigned 32-bit, and what they decode to."""
-    path = public_tokenizers.path(VOCABULARY)
-    out = tokens.decode(tokens.encode(docs, path), path)
+    out = tokens.encode(docs, public_tokenizers.path(VOCABULARY), decoded=True)
     return out.select("doc_id", "n_tokens", "ids", F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 

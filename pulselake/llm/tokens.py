@@ -156,9 +156,28 @@ def _word_packs(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pack, "bucket long, block binary, words binary")
 
 
-def encode(docs: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
+def pieces_of(ids: np.ndarray, counts: np.ndarray, path: str) -> pa.ChunkedArray:
+    """The text of each run of ids: ids joined to their pieces, pieces joined by a space; ids without a piece are left out."""
+    table = pieces(path)
+    at, out, first = starts(counts), [], 0
+    while first < len(counts):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + 1_000_000, side="right")) - 1)
+        flat, n = ids[at[first] : at[last]].astype(np.int64), counts[first:last]
+        known = flat < len(table)
+        found = table.take(pa.array(np.where(known, flat, 0)))
+        if not known.all() or found.null_count:
+            keep = known & found.is_valid().to_numpy(zero_copy_only=False)
+            n, found = totals(keep.astype(np.int64), n), found.filter(pa.array(keep))
+        out.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(starts(n), pa.int32()), found), " "))
+        first = last
+    return pa.chunked_array(out, pa.string())
+
+
+def encode(docs: DataFrame, path: str, buckets: int | None = None, decoded: bool = False) -> DataFrame:
     """(doc_id, n_tokens long, ids binary) for each row of docs (doc_id, text, ...): ids are little-endian unsigned 32-bit.
 
+    With decoded=True also a column `decoded`, as decode() gives, made while the ids are at hand.
+
     A null text is the empty text, which has no ids. Repeated rows give repeated results; a null doc_id stays null; an
     empty table gives an empty result. Texts are encoded whole, with no special tokens added.
     """
@@ -195,12 +214,15 @@ def encode(docs: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
             counts, codes = _unpressed(row["counts"], "<u4").astype(np.int64), _unpressed(row["codes"], "<u4")
             n_tokens = totals(lengths[codes], counts)
             out = np.concatenate([ids[ranges(first[part], lengths[part])] for part in np.array_split(codes, 1 + len(codes) // 500_000)])
-            outs.append(pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": offsets_array(out, n_tokens)}))
+            columns = {"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": offsets_array(out, n_tokens)}
+            outs.append(pa.table(columns | ({"decoded": pieces_of(out, n_tokens, path)} if decoded else {})))
+            del out, codes
         freed()
-        return pa.concat_tables(outs) if outs else pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
+        none = {"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())} | ({"decoded": pa.array([], pa.string())} if decoded else {})
+        return pa.concat_tables(outs) if outs else pa.table(none)
 
     coded = _word_packs(docs, buckets).groupBy("bucket").applyInArrow(encode_bucket, "block binary, bucket long, n binary, ids binary")
-    return _split(docs, buckets).groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_back, "doc_id long, n_tokens long, ids binary")
+    return _split(docs, buckets).groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_back, "doc_id long, n_tokens long, ids binary" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -210,20 +232,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """
 
     def decode_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces(path)
         for b in batches:
             ids = pc.fill_null(b.column("ids"), b"")
-            size = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-            step = max(1, int(len(size) * (2 << 20) / max(1, size.sum())))
-            for i in range(0, len(size), step):
-                part, n = ids.slice(i, step), size[i : i + step]
-                flat = joined(part.to_pylist(), "<u4").astype(np.int64)
-                known = flat < len(table)
-                found = table.take(pa.array(np.where(known, flat, 0)))
-                if not known.all() or found.null_count:
-                    keep = known & found.is_valid().to_numpy(zero_copy_only=False)
-                    n, found = totals(keep.astype(np.int64), n), found.filter(pa.array(keep))
-                text = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts(n), pa.int32()), found), " ")
-                yield pa.RecordBatch.from_arrays([c.slice(i, step) for c in b.columns] + [text], [*b.schema.names, "decoded"])
+            counts = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+            text = pieces_of(joined(ids.to_pylist(), "<u4"), counts, path).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*b.columns, text], [*b.schema.names, "decoded"])
+            freed()
 
     return encoded.mapInArrow(decode_ids, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))

@@ -70,6 +70,7 @@ def test_bpe_round_trip(spark, docs, by_id):
         want = library.encode(by_id[r.doc_id] or "", add_special_tokens=False).ids
         assert np.frombuffer(bytes(r.ids), "<u4").tolist() == want and r.n_tokens == len(want)
         assert r.decoded == library.decode(want, skip_special_tokens=False)
+    assert sorted(map(repr, tokens.encode(docs, PATH, decoded=True).collect())) == sorted(map(repr, got))
     assert tokens.encode(empty(spark), PATH).count() == 0
     odd = spark.createDataFrame([(None, np.array([0, 4_000_000, 5], "<u4").tobytes()), (1, None)], "doc_id long, ids binary")
     assert {r.doc_id: r.decoded for r in tokens.decode(odd, PATH).collect()} == {None: library.decode([0, 5], skip_special_tokens=False), 1: ""}
