@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,27 +40,31 @@ def aware_quality(quality_db: Column, confidence: Column, stable: Column, mode:
     return clip(q * by.get(mode, F.lit(1.0)), 0, 1)
 
 
-def regions(mask: DataFrame, side: int, rounds: int | None = None) -> DataFrame:
+def regions(mask: DataFrame, side: int) -> DataFrame:
     """I4: (frame, cell, region) of the 4-connected cells of mask (frame, y, x): the region is its smallest cell y * side + x.
 
-    Labels of all frames spread together by joins, halving paths, until nothing changes; a frame has at most side x side cells.
+    A frame's cells, at most side x side, are one row for the flood fill, so frames spread over all tasks.
     """
-    cell = mask.select("frame", (F.col("y") * side + F.col("x")).cast("long").alias("cell"), "y", "x").distinct()
-    moves = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, 0), (0, -1), (-1, 0))))
-    near = cell.withColumn("m", F.explode(moves)).select("frame", "cell", (F.col("y") + F.col("m.dy")).alias("y"), (F.col("x") + F.col("m.dx")).alias("x"))
-    edges = near.join(cell.withColumnRenamed("cell", "other"), ["frame", "y", "x"]).select("frame", "cell", "other").checkpoint()
-    labels = cell.select("frame", "cell", F.col("cell").alias("region"))
-    before = None
-    for _ in range(rounds or side * side):
-        least = edges.join(labels.withColumnRenamed("cell", "other"), ["frame", "other"]).groupBy("frame", "cell").agg(F.min("region").alias("near"))
-        hooked = labels.join(least, ["frame", "cell"], "left").select("frame", "cell", F.least("region", F.coalesce("near", "region")).alias("region"))
-        jump = hooked.select("frame", F.col("cell").alias("region"), F.col("region").alias("root"))
-        labels = hooked.join(jump, ["frame", "region"], "left").select("frame", "cell", F.least("region", F.coalesce("root", "region")).alias("region")).checkpoint()
-        now = labels.agg(F.sum("region")).first()[0]
-        if now == before:
-            break
-        before = now
-    return labels
+    frames = mask.groupBy("frame").agg(F.array_sort(F.collect_set((F.col("y") * side + F.col("x")).cast("long"))).alias("cells"))
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for frame, cells in zip(b["frame"], b["cells"], strict=True):
+                left = {int(c) for c in cells}
+                for start in cells:
+                    todo = [int(start)] if start in left else []
+                    left.discard(int(start))
+                    while todo:
+                        cell = todo.pop()
+                        out.append((frame, cell, int(start)))
+                        for near in (cell - side, cell + side, *([cell - 1] if cell % side else []), *([cell + 1] if cell % side < side - 1 else [])):
+                            if near in left:
+                                left.remove(near)
+                                todo.append(near)
+            yield pd.DataFrame(out, columns=["frame", "cell", "region"])
+
+    return frames.mapInPandas(fill, f"frame {dict(mask.dtypes)['frame']}, cell long, region long")
 
 
 def failures(df: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
 """Queries over the tables: importing this package registers them."""
 
-from . import metric_queries, model_queries, stream_queries, stress, temporal_queries  # noqa: F401
+from . import jobs, metric_queries, model_queries, stream_queries, stress, temporal_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -136,9 +136,6 @@ reach AS (SELECT frame, cell, cell AS root FROM mask UNION SELECT r.frame, e.oth
 SELECT frame, region, size FROM s WHERE size >= 2""")
 def i4_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of two or more cells above 0."""
-    from ..sources.shared import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
     return G.regions(pixels(spark, sf_dir).where("v > 0"), 8).groupBy("frame", "region").agg(F.count("*").alias("size")).where("size >= 2")
 
 

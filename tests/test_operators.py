@@ -151,9 +151,6 @@ def test_fusion_and_regions(spark):
     df = spark.createDataFrame([(1, "a", 70.0, 1.0, False), (1, "b", 72.0, 1.0, False), (1, "c", 140.0, 0.1, False), (2, "a", 60.0, 1.0, True)], "frame int, roi string, bpm double, weight double, suspect boolean")
     got = {r.frame: r.fused for r in fusion.hierarchical(df).collect()}
     assert got[1] == pytest.approx(71.0, abs=1e-6) and got[2] == pytest.approx(60.0, abs=1e-6)
-    from pulselake.sources.shared import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
     snake = [(0, 0), (0, 1), (0, 2), (1, 2), (2, 2), (2, 1), (2, 0), (3, 3)]
     mask = spark.createDataFrame([(1, y, x) for y, x in snake], "frame int, y int, x int")
     assert {r.region: r["count"] for r in grids.regions(mask, 4).groupBy("region").count().collect()} == {0: 7, 15: 1}
@@ -163,3 +160,23 @@ def test_pooling_skips_padding(spark):
     df = spark.createDataFrame([([1.0, 3.0, 99.0], [False, False, True])], "x array<double>, p array<boolean>")
     got = df.select(*(L.pooled(F.col("x"), F.col("p"), k).alias(k) for k in ("mean", "max", "last"))).first()
     assert tuple(got) == (2.0, 3.0, 3.0)
+
+
+def test_jobs(spark, tmp_path):
+    from pulselake.plans import jobs
+
+    t = synthetic.pulse(spark, 2, 600)
+    assert all(abs(r.bpm - 72) <= 15 for r in jobs.classical_rates(t, 30.0, ("GREEN", "CHROM")).collect())
+    jobs.assert_reproducible(lambda: synthetic.pulse(spark, 1, 50))
+    same = spark.createDataFrame([(1, 70.0, 100.0), (1, 74.0, 100.0), (1, -1.0, 100.0)], "frame int, bpm double, sqi double")
+    assert jobs.probabilistic(same).first().bpm == pytest.approx(72.0, abs=0.01)
+    jobs.capped_log(t.select("session", "seq", "t", "g"), str(tmp_path / "log"), most=10)
+    assert spark.read.option("header", True).csv(str(tmp_path / "log")).count() == 20
+    series_ = spark.createDataFrame([(1, float(i), 70.0) for i in range(5)], "session int, ts double, bpm double")
+    jobs.manifest(spark.createDataFrame([(1, 0.5, 3.0)], "session int, start double, duration double"), series_, str(tmp_path / "m"))
+    m = spark.read.json(str(tmp_path / "m")).first()
+    assert (m.offset, m.overlaps, m.n) == (-0.5, True, 5)
+    summary = spark.createDataFrame([("overall", "all", 4, 1, 1.0, 1.0, 0.0)], "breakdown string, name string, windows long, valid long, mae double, rmse double, bias double")
+    assert "only 4 windows; fewer than half" in jobs.report(summary)
+    skin = jobs.skin(spark.createDataFrame([(1, 200.0, 140.0, 120.0), (1, 20.0, 200.0, 20.0)], "frame int, r double, g double, b double"))
+    assert skin.count() == 1
