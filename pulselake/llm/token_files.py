@@ -23,6 +23,10 @@ from .common import blocks, offsets_array, partitions, shared_folder, split_word
 from .tokens import encode_words, spread, tokenizer, totals
 
 
+#: Text bytes of a block: its distinct words are encoded once, so larger blocks encode less.
+ENCODED_BLOCK = 16 << 20
+
+
 @dataclass(frozen=True)
 class TokenFiles:
     """What the driver keeps of written files: a few numbers for each shard."""
@@ -75,7 +79,7 @@ def write(docs: DataFrame, path: str, end_id: int, shards: int | None = None) ->
         n_docs = n_ids = n_null = 0
         with system.open_output_stream(own["bin"]) as ids, system.open_output_stream(own["idx"]) as idx, system.open_output_stream(own["doc"]) as doc:
             idx.write(np.zeros(1, "<u8").tobytes())
-            for b in blocks(batches):
+            for b in blocks(batches, most=ENCODED_BLOCK):
                 out, n = encoded(b)
                 ids.write(out.tobytes())
                 idx.write((n_ids + np.cumsum(n)).astype("<u8").tobytes())
