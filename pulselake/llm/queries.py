@@ -90,4 +90,34 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN entry IS NOT NULL
 FROM parts LEFT JOIN best USING (page_id) LEFT JOIN found USING (page_id)
 """
 
-ORACLE_SQL = {"op10_url_filters": _URL}
+_RUNS = r"""
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
+
+_LEAKS = f"""
+WITH i AS (SELECT item_id, {_RUNS} AS w FROM benchmark), d AS (SELECT doc_id, {_RUNS} AS w FROM documents),
+items AS (SELECT item_id, list_transform(range(len(w) - 4), lambda k: list_aggregate(w[k + 1 : k + 5], 'string_agg', ' ')) AS item, len(w) - 4 AS length FROM i WHERE len(w) >= 5),
+docs AS (SELECT doc_id, list_transform(range(len(w) - 4), lambda k: list_aggregate(w[k + 1 : k + 5], 'string_agg', ' ')) AS runs FROM d WHERE len(w) >= 5),
+known AS (SELECT DISTINCT length, unnest(item) AS run FROM items), all_runs AS (SELECT doc_id, unnest(runs) AS run, unnest(range(len(runs))) AS place FROM docs),
+hits AS (SELECT doc_id, length, list(DISTINCT place) AS hits FROM all_runs JOIN known USING (run) GROUP BY ALL),
+begun AS (SELECT DISTINCT doc_id, length, hits, greatest(0, least(place, len(runs) - length)) AS place, runs FROM (SELECT *, unnest(hits) AS place FROM hits JOIN docs USING (doc_id))),
+windows AS (SELECT doc_id, length, place, runs[place + 1 : place + length] AS runs FROM begun
+  WHERE len(list_filter(hits, lambda p: p >= place AND p < place + length)) >= 0.8 * len(runs[place + 1 : place + length]) AND len(runs[place + 1 : place + length]) >= 0.8 * length),
+scored AS (SELECT doc_id, item_id, place, len(item) + len(runs) AS both_sizes, list_sum(list_transform(list_distinct(item), lambda h: least(len(list_filter(item, lambda x: x = h)), len(list_filter(runs, lambda x: x = h)))))::BIGINT AS n
+  FROM windows JOIN items USING (length))
+SELECT doc_id, item_id, round(max(n / (both_sizes - n)::DOUBLE), 6) AS similarity, arg_max(place, (n / (both_sizes - n)::DOUBLE, -place))::BIGINT AS first_word FROM scored WHERE n / (both_sizes - n)::DOUBLE >= 0.8 GROUP BY ALL
+"""
+
+_JACCARD = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_RUNS} AS w FROM documents WHERE doc_id IS NOT NULL),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE list_transform(range(len(w) - 4), lambda k: list_aggregate(w[k + 1 : k + 5], 'string_agg', ' ')) END) AS s FROM d),
+size AS (SELECT doc_id, len(s)::BIGINT AS n FROM sets), runs AS (SELECT doc_id, unnest(s) AS run FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM runs a JOIN runs b ON a.run = b.run AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM edges UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, n AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM size LEFT JOIN least USING (doc_id)
+"""
+
+#: op8: the fingerprints' radius is not in the SQL, so it also gives pairs that the radius would miss.
+ORACLE_SQL = {"op8_benchmark_leaks": _LEAKS, "op9_jaccard_join": _JACCARD, "op10_url_filters": _URL}
