@@ -34,6 +34,27 @@ def kalman(state: dict, row: dict, q: tuple[float, float] = (1.0, 0.01), r: floa
     return {"x": x, "v": v + lead * miss, "a": (1 - gain) * a, "b": (1 - gain) * b, "c": c - lead * b}, {"y": x}
 
 
+def uncertain_rate(state: dict, row: dict, q: tuple[float, float] = (1.0, 0.01), r: float = 25.0, floor: float = 4.0, warm_up: int = 15) -> tuple[dict, dict]:
+    """The filter with a variance that disagreement raises; measurement and model deviation, interval, confidence.
+
+    Frames without a measurement (x <= 0) leave the state. Confidence is quality times agreement squared, less with a
+    wider interval, and grows over the first frames.
+    """
+    sqi, agree = row.get("sqi") or 0.0, 1.0 if row.get("agreement") is None else row["agreement"]
+    s = dict(state) or {"x": 75.0, "v": 0.0, "a": 100.0, "b": 0.0, "c": 1.0, "n": 0}
+    noise = (floor + (r - floor) * (1 - min(1.0, max(0.0, sqi / 100)))) * max(1.0, 1 / (agree + 0.1))
+    if row["x"] > 0:
+        x = (row["x"] if not s["n"] else s["x"]) + s["v"]
+        a, b, c = s["a"] + 2 * s["b"] + s["c"] + q[0], s["b"] + s["c"], s["c"] + q[1]
+        gain, lead = a / (a + noise), b / (a + noise)
+        miss = row["x"] - x
+        s = {"x": min(200.0, max(42.0, x + gain * miss)), "v": s["v"] + lead * miss, "a": (1 - gain) * a, "b": (1 - gain) * b, "c": c - lead * b, "n": s["n"] + 1}
+    epistemic, aleatoric = math.sqrt(max(s["a"], 0.01)), math.sqrt(noise)
+    low, high = max(42.0, s["x"] - 1.96 * epistemic), min(200.0, s["x"] + 1.96 * epistemic)
+    confidence = sqi / 100 * agree**2 * math.exp(-(high - low) / 15) * min(1.0, s["n"] / warm_up)
+    return s, {"y": s["x"], "aleatoric": aleatoric, "epistemic": epistemic, "low": low, "high": high, "confidence": confidence}
+
+
 def smoother(state: dict, row: dict) -> tuple[dict, dict]:
     """Inertia, a slower one for jumps over 10, three frames to believe a large jump, median of 17, slow mean, lock flag."""
     x, last = row["x"], state.get("last")
@@ -158,6 +179,7 @@ def candidate_life(state: dict, row: dict, lost_after: int = 4) -> tuple[dict, d
 #: Step, output columns.
 FOLDS: dict[str, tuple[Step, str]] = {
     "kalman": (kalman, "y double"),
+    "uncertain_rate": (uncertain_rate, "y double, aleatoric double, epistemic double, low double, high double, confidence double"),
     "smoother": (smoother, "y double, locked boolean"),
     "bayes": (bayes, "y double, sd double, top double"),
     "motion": (motion, "score double, moving boolean"),
@@ -173,7 +195,7 @@ def run(df: DataFrame, name: str) -> DataFrame:
     """df (session, seq, t, x[, sqi]) with the fold's outputs for each row, in order of (t, seq); null x are left out."""
     step, outputs = FOLDS[name]
     names = [c.split()[0] for c in outputs.split(", ")]
-    columns = [c for c in ("session", "seq", "t", "x", "sqi") if c in df.columns]
+    columns = [c for c in ("session", "seq", "t", "x", "sqi", "agreement") if c in df.columns]
     types = dict(df.dtypes)
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:

@@ -75,3 +75,17 @@ def sliding(df: DataFrame, values: str, length: int, stride: int) -> DataFrame:
     """K9: windows of an array column, by their start; arrays shorter than the length give none."""
     n = F.size(values)
     return df.where(n >= length).withColumn("start", F.explode(F.sequence(F.lit(0), n - length, F.lit(stride)))).withColumn("window", F.slice(values, F.col("start") + 1, length))
+
+
+#: K8: splits by name.
+METHODS = {
+    "random": random_split,
+    "subject_held_out": lambda df, **more: group_split(df, "subject", **more),
+    "domain_held_out": lambda df, **more: group_split(df, "domain", **more),
+    "leave_one_domain_out": leave_one_out,
+}
+
+
+def split(df: DataFrame, method: str = "random", **more) -> DataFrame:
+    """K8: df with a column `split`, by the method's name; unknown names raise KeyError."""
+    return METHODS[method.lower()](df, **more)

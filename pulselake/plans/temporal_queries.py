@@ -59,6 +59,12 @@ def g4_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fold("bayes")(spark, sf_dir)
 
 
+@query()
+def g6_uncertain_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _seq(signal(spark, sf_dir)).withColumn("sqi", F.pmod("event_id", F.lit(101)).cast("double")).withColumn("agreement", F.pmod("event_id", F.lit(11)) / 10.0)
+    return folds.run(s, "uncertain_rate")
+
+
 @query()
 def g9_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fold("motion")(spark, sf_dir)

@@ -97,7 +97,7 @@ def test_kalman_covariance_stays_positive(rows):
     assert 30 <= out["y"] <= 220
 
 
-@pytest.mark.parametrize("name", ["kalman", "baseline", "reliability", "motion"])
+@pytest.mark.parametrize("name", ["kalman", "uncertain_rate", "baseline", "reliability", "motion"])
 def test_stream_equals_batch(spark, tmp_path, name):
     from pulselake.streaming import stateful
 
@@ -143,7 +143,7 @@ def test_splits_are_disjoint_complete_and_repeatable(spark):
     one = splits.random_split(df)
     assert sorted(r["count"] for r in one.groupBy("split").count().collect()) == [15, 15, 70]
     assert one.exceptAll(splits.random_split(df)).count() == 0 and one.select("sample").exceptAll(df.select("sample")).count() == 0
-    assert splits.leakage(splits.group_split(df, "subject")).count() == 0
+    assert splits.leakage(splits.split(df, "SUBJECT_HELD_OUT")).count() == 0
     assert splits.leave_one_out(df).where("split = 'test' AND domain <> fold").count() == 0
 
 
