@@ -90,6 +90,25 @@ def bandpass(df: DataFrame, fps: float, low: float = 0.833, high: float = 3.0, o
     return df.select("session", "seq", "x").groupBy("session").applyInPandas(run, f"session {types['session']}, seq {types['seq']}, y double")
 
 
+def without_respiration(df: DataFrame, fps: float, hz: float | None = None, low: float = 0.1, high: float = 0.5) -> DataFrame:
+    """(session, seq, y) of df (session, seq, x) without the respiration rate and its double, phases kept.
+
+    Without hz the session's own strongest rate in low..high is taken. The notches have Q 12 and 9.6.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq")
+        x = rows["x"].to_numpy(float)
+        rate = hz or peak_rate(x, fps, low, high) / 60
+        for f, q in ((rate, 12.0), (2 * rate, 9.6)):
+            if 0 < f < fps / 2:
+                x = notch(x, f, fps, q)
+        return pd.DataFrame({"session": rows["session"], "seq": rows["seq"], "y": x})
+
+    types = dict(df.dtypes)
+    return df.select("session", "seq", "x").groupBy("session").applyInPandas(run, f"session {types['session']}, seq {types['seq']}, y double")
+
+
 def rates(df: DataFrame, fps: float, filtered: bool = True) -> DataFrame:
     """(session, bpm) of df (session, seq, x), with or without the band-pass."""
     sections = butterworth(4, 0.833, 3.0, fps)

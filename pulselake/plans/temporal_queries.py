@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import quality
 from ..functions.numeric import clip, rounded
 from ..operators import filters, folds
 from .bindings import SIGNAL, WINDOWS, rgb, signal, windows
@@ -213,3 +214,25 @@ def d1_filtered_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b6_independent_pulse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return filters.independent_pulse(_seq(rgb(spark, sf_dir)), 30.0)
+
+
+@query(f"""WITH {SIGNAL}, p AS (SELECT session, seq, x AS bpm, (event_id % 101) / 100.0 AS snr, (event_id % 7) / 6.0 AS regularity, 0.8 AS temporal, (event_id % 5) / 4.0 AS consistency, (event_id % 41) / 10.0 AS motion, 30 + (event_id % 200) AS brightness,
+  (event_id % 50)::DOUBLE AS drift, (event_id % 11) / 10.0 AS agreement, lag(x) OVER (PARTITION BY session ORDER BY seq) AS before FROM signal),
+a AS (SELECT *, CASE WHEN motion > 2.5 THEN least(0.5, least(motion / 15, 0.6) + 0.2) WHEN motion > 1.5 THEN greatest(least(motion / 15, 0.6), 0.1) ELSE 0.0 END AS m,
+  CASE WHEN drift > 40 THEN 0.9 WHEN drift > 30 THEN 0.7 WHEN drift > 20 THEN 0.5 WHEN drift > 10 THEN 0.3 WHEN brightness < 50 THEN least((50 - brightness) / 50.0, 0.3) WHEN brightness > 210 THEN least((brightness - 210) / 40.0, 0.3) ELSE 0.0 END AS l,
+  CASE WHEN 2 * bpm > 160 THEN 0.1 WHEN 2 * bpm > 145 THEN 0.3 WHEN 2 * bpm > 130 THEN 0.5 WHEN 2 * bpm > 115 AND motion < 1.8 THEN 0.55 ELSE 1.0 END AS bio FROM p),
+b AS (SELECT *, (0.25 * snr + 0.30 * regularity + 0.30 * temporal + 0.15 * consistency + 0.10 * (1 - m) - 0.4 * (m + l + 0.05) / 3) * (1 - 0.3 * m) * (1 - 0.3 * l) AS r0 FROM a),
+c AS (SELECT *, CASE WHEN snr > 0.35 AND regularity > 0.2 THEN greatest(r0, 0.22) ELSE r0 END * CASE WHEN agreement < 0.7 THEN 1 - (0.7 - agreement) / 0.7 * 0.3 ELSE 1.0 END * 100 * bio AS whole FROM b)
+SELECT session, seq, (floor(greatest(0, least(100, CASE WHEN before > 0 AND bio > 0.5 THEN 0.4 * before + 0.6 * whole ELSE whole END)) * 10 + 0.500001) / 10 + 0.0)::DOUBLE AS sqi FROM c""")
+def g21_quality_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of the index taken from the event's number."""
+    of = lambda n, by: F.pmod("event_id", F.lit(n)) / by
+    s = _seq(signal(spark, sf_dir)).withColumn("before", F.lag("x").over(_ordered()))
+    sqi = quality.index(of(101, 100.0), of(7, 6.0), F.lit(0.8), of(5, 4.0), of(41, 10.0), 30 + F.pmod("event_id", F.lit(200)), of(50, 1.0), 2 * F.col("x"), of(11, 10.0), F.col("before"), F.lit(0.05))
+    return s.select("session", "seq", sqi.alias("sqi"))
+
+
+@query()
+def c7_respiratory_notch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The band around a rate of 0.3 Hz and its double taken out of each session, at 4 samples a second."""
+    return filters.without_respiration(_seq(signal(spark, sf_dir)), 4.0, 0.3)

@@ -180,3 +180,11 @@ def test_jobs(spark, tmp_path):
     assert "only 4 windows; fewer than half" in jobs.report(summary)
     skin = jobs.skin(spark.createDataFrame([(1, 200.0, 140.0, 120.0), (1, 20.0, 200.0, 20.0)], "frame int, r double, g double, b double"))
     assert skin.count() == 1
+
+
+def test_notch_takes_out_respiration(spark):
+    rows = [(1, i, math.sin(2 * math.pi * 0.25 * i / 10) + math.sin(2 * math.pi * 1.2 * i / 10)) for i in range(600)]
+    y = np.array([r.y for r in filters.without_respiration(spark.createDataFrame(rows, "session int, seq int, x double"), 10.0).orderBy("seq").collect()])
+    power = np.abs(np.fft.rfft(y[100:500])) ** 2
+    hz = np.fft.rfftfreq(400, 0.1)
+    assert power[np.argmin(abs(hz - 0.25))] < 0.05 * power[np.argmin(abs(hz - 1.2))]
