@@ -324,5 +324,5 @@ def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     Of a doc_id that occurs with several texts all rows stay if one of them does; rows that repeat doc_id and text stay alike.
     """
     found = written(join(docs, width, percent), "components")
-    gone = found.groupBy("doc_id").agg(F.min(F.col("component_id") != F.col("doc_id")).alias("gone")).where("gone").select(F.col("doc_id").alias("__id"))
-    return docs.join(sent(gone, MOST_SENT), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    gone = found.groupBy("doc_id").agg(F.min(F.col("component_id") != F.col("doc_id")).alias("gone")).where("gone").select(F.col("doc_id").alias("__pulselake_id"))
+    return docs.join(sent(gone, MOST_SENT), F.col("doc_id").cast("long") == F.col("__pulselake_id"), "left_anti")

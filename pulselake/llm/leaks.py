@@ -91,6 +91,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text leaks an item; all other rows, those without doc_id too, and all columns stay."""
-    bad = written(leaks(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).distinct(), "leaks")
-    same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__version"))
+    bad = written(leaks(docs, benchmark).select(F.col("doc_id").alias("__pulselake_id"), F.col("version").alias("__pulselake_version")).distinct(), "leaks")
+    same = (F.col("doc_id").cast("long") == F.col("__pulselake_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__pulselake_version"))
     return docs.join(sent(bad, MOST_SENT), same, "left_anti")

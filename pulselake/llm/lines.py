@@ -342,16 +342,16 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, buckets: int
     of rows that repeat doc_id and text all are treated alike. A null text stays null and has no lines. All rows stay,
     those left without any line too. Columns of docs named n_lines or n_dropped are replaced.
     """
-    drop = duplicates(docs, edits, least, buckets).toDF("__id", "__version", "__places")
+    drop = duplicates(docs, edits, least, buckets).toDF("__pulselake_id", "__pulselake_version", "__pulselake_places")
     docs = docs.drop("n_lines", "n_dropped")
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "__version": F.xxhash64(F.col("text").cast("string"))})
+    keyed = docs.withColumns({"__pulselake_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "__pulselake_version": F.xxhash64(F.col("text").cast("string"))})
     names = docs.columns
-    joined = keyed.join(drop, ["__id", "__version"], "left").select(*(docs[c] for c in docs.columns), "__places")
+    joined = keyed.join(drop, ["__pulselake_id", "__pulselake_version"], "left").select(*(docs[c] for c in docs.columns), "__pulselake_places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, n, gone = [], [], []
-            for text, places in zip(b.column("text").to_pylist(), b.column("__places").to_pylist(), strict=True):
+            for text, places in zip(b.column("text").to_pylist(), b.column("__pulselake_places").to_pylist(), strict=True):
                 if places:
                     out_of = set(places)
                     kept = "\n".join(x for p, x in enumerate(text.split("\n")) if p not in out_of)
@@ -360,7 +360,7 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, buckets: int
                 out.append(kept)
                 n.append(text.count("\n") + 1 if text else 0)
                 gone.append(len(places or ()))
-            columns = [pa.array(out, pa.string()) if name == "text" else c for name, c in zip(b.schema.names, b.columns, strict=True) if name != "__places"]
+            columns = [pa.array(out, pa.string()) if name == "text" else c for name, c in zip(b.schema.names, b.columns, strict=True) if name != "__pulselake_places"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_lines", "n_dropped"])
 
     return joined.mapInArrow(cut, T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))

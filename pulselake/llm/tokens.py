@@ -179,7 +179,8 @@ def encode(docs: DataFrame, path: str, buckets: int | None = None, decoded: bool
     With decoded=True also a column `decoded`, as decode() gives, made while the ids are at hand.
 
     A null text is the empty text, which has no ids. Repeated rows give repeated results; a null doc_id stays null; an
-    empty table gives an empty result. Texts are encoded whole, with no special tokens added.
+    empty table gives an empty result. Texts are encoded whole, with no special tokens added. docs is read twice, so it
+    should be a table (or common.written()); rows in another order the second time raise an error, never other results.
     """
     buckets = buckets or partitions(docs.sparkSession)
 

@@ -40,10 +40,12 @@ def some_texts():
 
 
 @pytest.fixture(scope="module")
-def docs(spark):
+def docs(spark, tmp_path_factory):
     rows = [(i * 3, t) for i, t in enumerate(some_texts())]
     df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")  # the first row twice
-    return df.withColumns({c: F.lit(1) for c in CLASHES}).repartition(3)
+    path = str(tmp_path_factory.mktemp("docs") / "docs")
+    df.withColumns({c: F.lit(1) for c in CLASHES}).repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @pytest.fixture(scope="module")
