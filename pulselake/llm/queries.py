@@ -93,8 +93,10 @@ FROM parts LEFT JOIN best USING (page_id) LEFT JOIN found USING (page_id)
 _RUNS = r"""
   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
 
+_LOW_RUNS = r"""regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+')"""
+
 _LEAKS = f"""
-WITH i AS (SELECT item_id, {_RUNS} AS w FROM benchmark), d AS (SELECT doc_id, {_RUNS} AS w FROM documents),
+WITH i AS (SELECT item_id, {_LOW_RUNS} AS w FROM benchmark), d AS (SELECT doc_id, {_LOW_RUNS} AS w FROM documents),
 items AS (SELECT item_id, list_transform(range(len(w) - 4), lambda k: list_aggregate(w[k + 1 : k + 5], 'string_agg', ' ')) AS item, len(w) - 4 AS length FROM i WHERE len(w) >= 5),
 docs AS (SELECT doc_id, list_transform(range(len(w) - 4), lambda k: list_aggregate(w[k + 1 : k + 5], 'string_agg', ' ')) AS runs FROM d WHERE len(w) >= 5),
 known AS (SELECT DISTINCT length, unnest(item) AS run FROM items), all_runs AS (SELECT doc_id, unnest(runs) AS run, unnest(range(len(runs))) AS place FROM docs),

@@ -345,7 +345,7 @@ def test_elias_fano():
 
 
 def leaks_by_force(by_id, items):
-    runs = lambda t: [tuple(w[i : i + 5]) for w in [WORD.findall(lowered(t))] for i in range(len(w) - 4)]
+    runs = lambda t: [tuple(w[i : i + 5]) for w in [WORD.findall((t or "").lower())] for i in range(len(w) - 4)]
     out = {}
     for d, t in by_id.items():
         s = runs(t)
@@ -364,7 +364,7 @@ def leaks_by_force(by_id, items):
 
 def test_leaks(spark):
     r = random.Random(8)
-    words = [f"v{i}" for i in range(400)]
+    words = [f"vñ{i}" for i in range(400)]
     items = {i: " ".join(r.choice(words) for _ in range(n)) for i, n in enumerate((14, 20, 36, 36, 60, 3))}
     rows = {}
     for d in range(60):
