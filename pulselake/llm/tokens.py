@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,8 +48,18 @@ def pieces(path: str) -> pa.Array:
     return pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.string())
 
 
+@functools.lru_cache(maxsize=4)
+def piece_bytes(path: str) -> np.ndarray:
+    """How many bytes of text each id stands for, where pieces are written a character for a byte; checked where it is used."""
+    return np.array([len((p or "").removesuffix("</w>")) for p in pieces(path).to_pylist()], np.int64)
+
+
 def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words one after the other, and how many each has."""
+    """Ids of all words one after the other, and how many each has.
+
+    Many words are encoded in one call, with spaces between them: a word's ids are those whose bytes make up the word's. Where
+    these don't add up (normalisation changed a length) a special token stands between the words instead.
+    """
     library = tokenizer(path)
     special = library.get_added_tokens_decoder()
     if special:
@@ -64,13 +75,25 @@ def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
         counts[i] = len(e.ids)
     at = np.flatnonzero(plain)
     runs = [at[i : i + WORDS_AT_ONCE] for i in range(0, len(at), WORDS_AT_ONCE)]
-    found = library.encode_batch_fast([marker.join(words[i] for i in run) for run in runs], add_special_tokens=False)
-    parts = []
-    for run, e in zip(runs, found, strict=True):
+    size = piece_bytes(path)
+    parts = [np.zeros(0, np.uint32)] * len(runs)
+    left = []
+    for r, e in enumerate(library.encode_batch_fast([" ".join(words[i] for i in run) for run in runs], add_special_tokens=False)):
+        ids = np.array(e.ids, np.uint32)
+        ends = np.cumsum(np.fromiter((len(w) if w.isascii() else len(unicodedata.normalize("NFC", w).lower().encode()) for w in (words[i] for i in runs[r])), np.int64, len(runs[r])))
+        upto = np.cumsum(size[ids])
+        cut = np.searchsorted(upto, ends)
+        if len(upto) and upto[-1] == ends[-1] and np.array_equal(upto[cut], ends):  # each word ends where a piece ends
+            counts[runs[r]] = np.diff(cut, prepend=-1)
+            parts[r] = ids
+        else:
+            left.append(r)
+    marked = library.encode_batch_fast([marker.join(words[i] for i in runs[r]) for r in left], add_special_tokens=False)
+    for r, e in zip(left, marked, strict=True):
         ids = np.array(e.ids, np.uint32)
         cut = np.flatnonzero(ids == mark)
-        counts[run] = np.diff(np.concatenate(([-1], cut, [len(ids)]))) - 1
-        parts.append(np.delete(ids, cut))
+        counts[runs[r]] = np.diff(np.concatenate(([-1], cut, [len(ids)]))) - 1
+        parts[r] = np.delete(ids, cut)
     out = np.zeros(int(counts.sum()), np.uint32)
     first = starts(counts)
     if parts:
