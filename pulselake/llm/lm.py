@@ -8,7 +8,8 @@ Only sums by document come back.
 
 Smoothing: absolute discounting, p(w|h) = max(c(h,w) - D, 0) / c(h) + D n(h) / c(h) p(w), n(h) the number of h's distinct
 successors, p(w) add-one over all training tokens and one unknown word. A context that is very frequent is spread over
-shards by its successors' hash; its n(h) is then estimated in each from the shard's part.
+shards by its successors' hash. As each pair is in one shard, its n(h) is the sum of the shards' distinct trained successors;
+it is counted before the tries are built and sent to every shard that has a part of the context.
 """
 
 from __future__ import annotations
@@ -162,18 +163,16 @@ class Trie:
         return out
 
 
-def build(context: np.ndarray, word: np.ndarray, times: np.ndarray, context_count: np.ndarray, spread: np.ndarray, unigram: np.ndarray) -> bytes:
+def build(context: np.ndarray, word: np.ndarray, times: np.ndarray, contexts: np.ndarray, context_count: np.ndarray, followers: np.ndarray, unigram: np.ndarray) -> bytes:
     """The trie of counted pairs (sorted by context, then word; times > 0).
 
-    context_count: how often the pair's context occurs; spread: over how many shards it is spread; unigram: quantised p(w).
+    contexts (ascending, also those without a pair here): context_count is how often each occurs and followers how many
+    distinct successors it has, both over all data; unigram: quantised p(w) of the pairs' words.
     """
-    contexts, first, n = np.unique(context, return_index=True, return_counts=True)
-    total = np.maximum(context_count[first], 1) if len(first) else np.zeros(0)
-    backoff = np.minimum(1.0, DISCOUNT * n * spread[first] / total) if len(first) else np.zeros(0)
-    backoff_code = quantised(np.log10(backoff)) if len(first) else np.zeros(0, np.uint8)
-    at = np.repeat(np.arange(len(contexts)), n)
-    p = (times - DISCOUNT) / total[at] + backoff[at] * 10 ** dequantised(unigram.astype(np.float64)) if len(first) else np.zeros(0)
-    return Trie.pack(contexts, backoff_code, np.append(first, len(context)), word, quantised(np.log10(p)) if len(first) else np.zeros(0, np.uint8))
+    backoff = np.minimum(1.0, DISCOUNT * followers / context_count)
+    at = np.searchsorted(contexts, context)
+    p = (times - DISCOUNT) / context_count[at] + backoff[at] * 10 ** dequantised(unigram.astype(np.float64))
+    return Trie.pack(contexts, quantised(np.log10(backoff)), np.append(np.searchsorted(context, contexts), len(context)), word, quantised(np.log10(p)))
 
 
 def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -293,27 +292,54 @@ def score(docs: DataFrame, learn: Column, buckets: int | None = None, tries: boo
             order = np.argsort((shard * len(c) + before) * len(c) + code, kind="stable") if shards * len(c) ** 2 < 2**62 else np.lexsort((code, before, shard))
             shard, before, code, doc = shard[order], before[order], code[order], doc[order]
             cut = starts(np.bincount(shard, minlength=shards))
+            trained = np.flatnonzero((share[before] > 1) & (np.unpackbits(np.frombuffer(row["learn"], np.uint8))[doc] > 0))
+            hot_before, hot_code = before[trained], code[trained]
+            trained = trained[(np.diff(hot_before, prepend=-1) != 0) | (np.diff(hot_code, prepend=-1) != 0)]
+            hot = np.searchsorted(trained, cut)
             info = b"".join((n_known.astype("<i8").tobytes(), size.astype("<i8").tobytes(), base.astype("<f8").tobytes()))
             out.append({"shard": int.from_bytes(block[:6], "little") % shards, "block": block, "doc_ids": row["doc_ids"], "info": info})
             for s in np.flatnonzero(np.diff(cut)):
                 i, j = cut[s], cut[s + 1]
                 new = np.flatnonzero(np.concatenate(([True], before[i + 1 : j] != before[i : j - 1])))
-                h = before[i:j][new]
-                out.append({"shard": int(s), "block": block, "learn": row["learn"], "contexts": _pressed(number[h].astype("<u8")), "times": _pressed(c[h].astype("<u8")), "runs": _pressed(np.diff(np.append(new, j - i)).astype("<u4")),
+                h, pairs_of = before[i:j][new], trained[hot[s] : hot[s + 1]]
+                out.append({"shard": int(s), "block": block, "hot": _pressed(number[before[pairs_of]].astype("<u8")) if len(pairs_of) else None, "hot_words": _pressed(number[code[pairs_of]].astype("<u8")) if len(pairs_of) else None,
+                            "hot_times": _pressed(c[before[pairs_of]].astype("<u8")) if len(pairs_of) else None, "learn": row["learn"], "contexts": _pressed(number[h].astype("<u8")), "times": _pressed(c[h].astype("<u8")), "runs": _pressed(np.diff(np.append(new, j - i)).astype("<u4")),
                             "words": _pressed(number[code[i:j]].astype("<u8")), "unigrams": _pressed(unigram[code[i:j]]), "docs": _pressed(doc[i:j].astype("<u4"))})
             freed()
         return pa.Table.from_pylist(out, pair_schema)
 
-    binary = ("block", "info", "learn", "contexts", "times", "runs", "words", "unigrams", "docs")
+    binary = ("block", "info", "hot", "hot_words", "hot_times", "learn", "contexts", "times", "runs", "words", "unigrams", "docs")
     pair_schema = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in binary)])
     pairs = rows.mapInArrow(split, "block binary, doc_ids array<long>, learn binary, counts binary, codes binary, buckets binary").groupBy("block").cogroup(words.groupBy("block"))
-    pairs = pairs.applyInArrow(pair, "shard long, doc_ids array<long>, " + ", ".join(f"{c} binary" for c in binary))
+    pairs = written(pairs.applyInArrow(pair, "shard long, doc_ids array<long>, " + ", ".join(f"{c} binary" for c in binary)), "pairs")
+
+    def follow(table: pa.Table) -> pa.Table:
+        """Of a shard's part of each spread context: its distinct trained successors."""
+        h, w, times = (np.concatenate([_unpressed(b, "<u8") for b in table[c].to_pylist()]).astype(np.int64) for c in ("hot", "hot_words", "hot_times"))
+        hs, one, own = _grouped(h)
+        known, _, rank = _grouped(w)
+        distinct = _grouped(own.astype(np.int64) * len(known) + rank)[0]
+        freed()
+        return pa.table({"context": hs, "times": times[one], "followers": np.bincount(distinct // len(known), minlength=len(hs)).astype(np.int64)})
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each shard that has a part of the context."""
+        for b in batches:
+            h, times, n = (b.column(c).to_numpy() for c in ("context", "times", "followers"))
+            parts = np.minimum(_shares(times, most), shards)
+            home = np.repeat(mix(h.astype(np.uint64)) % np.uint64(shards), parts).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((home + ranges(np.zeros_like(parts), parts)) % shards), pa.array(np.repeat(h, parts)), pa.array(np.repeat(n, parts))], ["shard", "context", "followers"])
+
+    followed = pairs.where("hot IS NOT NULL").select("shard", "hot", "hot_words", "hot_times").groupBy("shard").applyInArrow(follow, "context long, times long, followers long")
+    followed = followed.groupBy("context").agg(F.max("times").alias("times"), F.sum("followers").alias("followers")).mapInArrow(deal, "shard long, context long, followers long")
+    pairs = pairs.drop("hot", "hot_words", "hot_times").unionByName(followed, allowMissingColumns=True)
     sum_schema = pa.schema([("block", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("info", pa.binary()), ("docs", pa.binary()), ("sums", pa.binary()), ("trie", pa.binary()), ("shard", pa.int64())])
 
     def answer(table: pa.Table) -> pa.Table:
         got = table.to_pylist()
         out = [{"block": r["block"], "doc_ids": r["doc_ids"], "info": r["info"]} for r in got if r["info"] is not None]
-        got = [r for r in got if r["info"] is None]
+        spread = {r["context"]: r["followers"] for r in got if r["context"] is not None}
+        got = [r for r in got if r["info"] is None and r["context"] is None]
         if got:
             runs = [_unpressed(r["runs"], "<u4").astype(np.int64) for r in got]
             each = np.concatenate(runs)
@@ -324,12 +350,17 @@ def score(docs: DataFrame, learn: Column, buckets: int | None = None, tries: boo
             docs_of = [_unpressed(r["docs"], "<u4").astype(np.int64) for r in got]
             learn_of = np.concatenate([np.unpackbits(np.frombuffer(r["learn"], np.uint8))[d] for r, d in zip(got, docs_of, strict=True)])
             known, _, rank = _grouped(w)
-            _, _, own = _grouped(h)
+            hs, one, own = _grouped(h)
+            h_times = h_times[one]
             _, first, back = _grouped(own.astype(np.int64) * len(known) + rank)
-            del rank, own
             times = np.bincount(back, learn_of, len(first)).astype(np.int64)
             seen = first[times > 0]
-            trie = build(h[seen], w[seen], times[times > 0], h_times[seen], _shares(h_times[seen], most), unigram[seen])
+            followers = np.bincount(own[seen], minlength=len(hs)).astype(np.int64)
+            for i in np.flatnonzero(_shares(h_times, most) > 1):
+                followers[i] = spread[int(hs[i])]
+            known = h_times > 0
+            trie = build(h[seen], w[seen], times[times > 0], hs[known], h_times[known], followers[known], unigram[seen])
+            del rank, own
             if tries:
                 return pa.Table.from_pylist([{"trie": trie, "shard": table["shard"][0].as_py()}], sum_schema)
             with tempfile.TemporaryDirectory() as folder:

@@ -334,6 +334,31 @@ def test_lm_scores(spark, docs, by_id):
     assert lm.score(docs, learn, tries=True).count() >= 1
 
 
+@pytest.mark.parametrize("parts", [1, 4, 31])
+def test_lm_counts_successors_of_spread_contexts(spark, parts):
+    texts = ["a b", "a c", "a d", "a b e", "hot " * 40 + "hot a", *(f"hot x{i}" for i in range(30)), *(f"a y{i} hot" for i in range(9))]
+    held_out = ["a z", "hot z hot a", "x1 a hot x3", "z z"]
+    docs = spark.createDataFrame(list(enumerate(texts + held_out)), "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r.doc_id: r.score for r in lm.score(docs, F.col("doc_id") < len(texts)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    rows = [[*t.split(), "\n"] for t in texts + held_out]
+    c = Counter(x for w in rows[: len(texts)] for x in w)
+    pairs = Counter(p for w in rows[: len(texts)] for p in zip(["\n", *w], w, strict=False))
+    follow = Counter(h for h, _ in pairs)
+    n = sum(c.values()) + len(c) + 1
+    code = lambda p: lm.dequantised(lm.quantised(np.log10(p)).astype(float))
+    for k, w in enumerate(rows):
+        want = 0.0
+        for h, x in zip(["\n", *w], w, strict=False):
+            p1, weight = code((c[x] + 1) / n), min(1, 0.75 * follow[h] / c[h]) if c[h] else 1
+            want += code((pairs[h, x] - 0.75) / c[h] + weight * 10**p1) if pairs[h, x] else p1 + code(weight)
+        assert got[k] == pytest.approx(want), w  # to the code, whatever the number of shards
+
+
 def test_elias_fano():
     r = np.random.default_rng(1)
     for n, top in ((0, 9), (1, 1), (900, 4000), (900, 10**13), (3000, 3000)):
