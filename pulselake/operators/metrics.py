@@ -71,7 +71,7 @@ def calibration_error(df: DataFrame, keys: list[str], bins: int = 10) -> DataFra
     return g.groupBy(*keys).agg(ratio(F.sum(F.col("n") * F.abs(F.col("accuracy") - F.col("mean_confidence") / 100)), F.sum("n").cast("double")).alias("ece"))
 
 
-def bootstrap(df: DataFrame, keys: list[str], row: str, rounds: int = 100, seed: int = 42) -> DataFrame:
+def bootstrap(df: DataFrame, keys: list[str], row: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
     """percentile interval of the mean absolute error from `rounds` resamples by key.
 
     Draw i of resample b takes row md5(seed, key, b, i) mod n, so the interval is the same on every run and engine (T18).

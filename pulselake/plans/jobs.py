@@ -64,6 +64,7 @@ def probabilistic(df: DataFrame, low: float = 40.0, step: float = 0.5, n: int =
     sigma = 10 * (1 - clip(F.col("sqi") / 100, 0, 1)) + 0.8
     g = df.where("bpm > 0 AND sqi >= 0").groupBy("frame").agg(F.sum(1 / (sigma * sigma)).alias("p"), F.sum(F.col("bpm") / (sigma * sigma)).alias("px"))
     g = g.withColumn("mid", F.least(F.lit(low + step * (n - 1)), F.greatest(F.lit(low), F.col("px") / F.col("p"))))
+    g = g.withColumn("mid", low + step * F.round((F.col("mid") - low) / step))  # the likeliest point of the grid: many estimates don't make all weights 0
     grid = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: low + step * i)
     like = lambda x: F.exp(-0.5 * F.col("p") * ((x - F.col("px") / F.col("p")) * (x - F.col("px") / F.col("p")) - (F.col("mid") - F.col("px") / F.col("p")) * (F.col("mid") - F.col("px") / F.col("p"))))
     total = F.aggregate(grid, F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("wx")), lambda a, x: F.struct((a.w + like(x)).alias("w"), (a.wx + like(x) * x).alias("wx")))
@@ -143,7 +144,17 @@ def h3_session_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SIGNAL}, e AS (SELECT session AS frame, x + 30 AS bpm, (event_id % 101)::DOUBLE AS sqi FROM signal WHERE seq <= 5), g AS (SELECT frame, sum(1 / s2) AS p, sum(bpm / s2) AS px FROM (SELECT frame, bpm, (10 * (1 - sqi / 100) + 0.8) ** 2 AS s2 FROM e WHERE bpm > 0) GROUP BY frame),
 l AS (SELECT frame, 40 + 0.5 * i AS v, -0.5 * p * ((40 + 0.5 * i - px / p) ** 2 - (least(200, greatest(40, px / p)) - px / p) ** 2) AS z FROM g, range(321) r(i)) SELECT frame, {r4('sum(exp(z) * v) / sum(exp(z))')} AS bpm FROM l GROUP BY frame""")
 def g5_probabilistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = signal(spark, sf_dir).where("seq <= 5").select(F.col("session").alias("frame"), (F.col("x") + 30).alias("bpm"), F.pmod("event_id", F.lit(101)).cast("double").alias("sqi"))
+    """Of the first five estimates, as far as the SQL goes; g5_probabilistic_whole has all of them."""
+    return _posterior(signal(spark, sf_dir).where("seq <= 5"))
+
+
+@query()
+def g5_probabilistic_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _posterior(signal(spark, sf_dir))
+
+
+def _posterior(samples: DataFrame) -> DataFrame:
+    s = samples.select(F.col("session").alias("frame"), (F.col("x") + 30).alias("bpm"), F.pmod("event_id", F.lit(101)).cast("double").alias("sqi"))
     return probabilistic(s).select("frame", rounded(F.col("bpm")).alias("bpm"))
 
 

@@ -1,17 +1,22 @@
 """Known answers of the operators."""
 
+import hashlib
 import math
 
 import numpy as np
 import pytest
+from conftest import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from pulselake import plans
 from pulselake.functions import conditions as C
 from pulselake.functions import losses as L
 from pulselake.functions import spectral as S
 from pulselake.operators import alignment, filters, folds, fusion, grids, metrics, splits
+from pulselake.plans import jobs
+from pulselake.plans.bindings import signal
 from pulselake.sources import ground_truth, synthetic
 
 
@@ -49,6 +54,33 @@ def test_overall_rmse_is_over_windows(spark):
     assert metrics.errors(df, [], least=1).first().rmse == pytest.approx(math.sqrt(11.5))
 
 
+def test_bootstrap_by_force(spark):
+    e = {1: [1.0, 4.0, 2.5, 9.0], 2: [3.0, 0.5, 7.0]}
+    got = {r.s: r for r in metrics.bootstrap(spark.createDataFrame([(s, i, v) for s, x in e.items() for i, v in enumerate(x, 1)], "s int, row bigint, e double"), ["s"], "row").collect()}
+    for s, x in e.items():
+        draw = lambda b, i: x[int(hashlib.md5(f"42/{s}/{b}/{i}".encode()).hexdigest()[:8], 16) % len(x)]  # noqa: B023, E731
+        means = [np.mean([draw(b, i) for i in range(1, len(x) + 1)]) for b in range(1, 1001)]
+        assert (got[s].low, got[s].high) == pytest.approx(tuple(np.quantile(means, (0.025, 0.975))))
+
+
+def test_whole_queries_use_all_rows(spark):
+    s = signal(spark, SF).select("session", "x", F.pmod("event_id", F.lit(101)).alias("sqi")).collect()
+    sessions = {r.session for r in s}
+    got = {r.session: r for r in plans.QUERIES["f2_bootstrap_whole"](spark, SF).collect()}
+    assert set(got) == sessions and all(r.low <= r.high for r in got.values())
+    grid = 40 + 0.5 * np.arange(321)
+    want = {}
+    for k in sessions:
+        z = sum(-0.5 * ((grid - r.x - 30) / (10 * (1 - r.sqi / 100) + 0.8)) ** 2 for r in s if r.session == k and r.x + 30 > 0)
+        want[k] = np.average(grid, weights=np.exp(z - z.max()))
+    assert {r.frame: r.bpm for r in plans.QUERIES["g5_probabilistic_whole"](spark, SF).collect()} == pytest.approx(want, abs=1e-4)
+
+
+def test_posterior_of_many_estimates(spark):
+    df = spark.range(20000).select(F.lit(1).alias("frame"), F.lit(70.2).alias("bpm"), F.lit(100.0).alias("sqi"))
+    assert jobs.probabilistic(df).first().bpm == pytest.approx(70.0)
+
+
 def test_full_confidence_is_in_no_bin(spark):
     df = spark.createDataFrame([(1, 72.0, 72.0, 100.0), (1, 72.0, 72.0, 95.0)], "k int, measured double, reference double, confidence double")
     assert metrics.reliability(df, ["k"], least=1).collect()[0].n == 1
