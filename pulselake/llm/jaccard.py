@@ -219,13 +219,18 @@ def _sets_of(docs: DataFrame, active: DataFrame, width: int) -> DataFrame:
             bits = flips(hashes, n)
             at = starts(n) * 8
             raw = hashes.astype("<u8").tobytes()
-            ok = np.flatnonzero(node == b.column("node").to_numpy(zero_copy_only=False))  # rows of one doc_id can have other texts
+            ok = np.flatnonzero((node == b.column("node").to_numpy(zero_copy_only=False)) | b.column("every").to_numpy(zero_copy_only=False))  # rows of one doc_id can have other texts
             if len(ok):
                 yield pa.RecordBatch.from_pydict({"node": pa.array(node[ok]), "n": pa.array(n[ok]), "flips": pa.array([bits[i].tobytes() for i in ok], pa.binary()), "hashes": pa.array([raw[at[i] : at[i + 1]] for i in ok], pa.binary())})
 
-    ids = active.groupBy("doc_id").agg(F.first("node").alias("node"))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sent(ids, MOST_SENT), "doc_id").select("text", "node")
-    return found.mapInArrow(load, "node long, n long, flips binary, hashes binary")  # a row more for a row of docs that repeats changes nothing
+    def loaded(ids: DataFrame) -> DataFrame:
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sent(ids, MOST_SENT), "doc_id").select("text", "node", "every")
+        return rows.mapInArrow(load, "node long, n long, flips binary, hashes binary")  # a row more for a row of docs that repeats changes nothing
+
+    ids = active.groupBy("doc_id").agg(F.min("node").alias("node"), (F.count("*") > 1).alias("every"))
+    several = ids.where("every")  # doc_ids with more than one active node: the sets of all their rows, each once
+    one = loaded(ids.where("NOT every"))
+    return one if several.isEmpty() else one.union(loaded(several).dropDuplicates(["node"]))
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:

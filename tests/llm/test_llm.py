@@ -170,6 +170,14 @@ def test_jaccard_join_of_large_groups(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df).collect()} == joined_by_force(rows)
 
 
+def test_jaccard_join_of_a_doc_id_with_several_texts(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [(5, t) for t in texts] + [(7 + i, f"{t} end") for i, t in enumerate(texts)] + [(12, "another text that is near to none"), (5, texts[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.join(df).collect()) == [(5, 5)] * 4 + [(7, 5), (8, 5), (9, 5), (12, 12)]
+    assert sorted(r.doc_id for r in jaccard.representatives(df).collect()) == [5, 5, 5, 5, 12]
+
+
 def test_block_keys_meet():
     """Sets within the bound share a key, whatever their sizes."""
     r = np.random.default_rng(5)
