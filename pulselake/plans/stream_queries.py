@@ -179,23 +179,23 @@ _DFT = f"""{_HANN}, centre AS (SELECT id, i, v - avg(v) OVER (PARTITION BY id) A
 bins AS (SELECT id, k, k * 30.0 / 64 AS hz, sum(v * cos(2 * pi() * k * i / 64)) AS re, -sum(v * sin(2 * pi() * k * i / 64)) AS im FROM shaped, range(1, 17) r(k) GROUP BY ALL), power AS (SELECT *, re * re + im * im AS p FROM bins)"""
 
 
-def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, bins): the mean removed, Hann, bins 1..16 of 64 samples at 30 frames a second."""
-    return arrays(spark, sf_dir).select("id", "label", S.spectrum(S.windowed(S.centred(F.col("x")), 64), 64, 30.0, 1, 16).alias("bins"))
+def bins(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 16) -> DataFrame:
+    """(id, bins): the mean removed, Hann, bins first..last of 64 samples at 30 frames a second. All: 0 or 1 to 32."""
+    return arrays(spark, sf_dir).select("id", "label", S.spectrum(S.windowed(S.centred(F.col("x")), 64), 64, 30.0, first, last).alias("bins"))
 
 
 @query(f"WITH {_DFT} SELECT id, k, {r4('p')} AS power FROM power")
-def d1_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bins(spark, sf_dir).select("id", F.explode("bins").alias("b")).select("id", F.col("b.k").cast("bigint").alias("k"), rounded(F.col("b.power")).alias("power"))
+def d1_spectrum(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 16) -> DataFrame:
+    return bins(spark, sf_dir, first, last).select("id", F.explode("bins").alias("b")).select("id", F.col("b.k").cast("bigint").alias("k"), rounded(F.col("b.power")).alias("power"))
 
 
 @query(f"""WITH {_DFT}, m AS (SELECT *, lag(p) OVER (PARTITION BY id ORDER BY k) AS a, lead(p) OVER (PARTITION BY id ORDER BY k) AS b FROM power), t AS (SELECT id, k, row_number() OVER (PARTITION BY id ORDER BY p DESC, k) AS rank FROM m WHERE p > a AND p > b)
 SELECT id, k, rank FROM t WHERE rank <= 3""")
-def d2_top_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def d2_top_peaks(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 16) -> DataFrame:
     """The three highest local maxima, inside each row's array."""
     b = F.col("bins")
     near = F.filter(F.transform(F.sequence(F.lit(1), F.size(b) - 2), lambda i: F.struct((-F.get(b, i).power).alias("p"), F.get(b, i).k.alias("k"), ((F.get(b, i).power > F.get(b, i - 1).power) & (F.get(b, i).power > F.get(b, i + 1).power)).alias("top"))), lambda x: x.top)
-    x = bins(spark, sf_dir).select("id", F.posexplode(F.slice(F.array_sort(near), 1, 3)).alias("rank", "m"))
+    x = bins(spark, sf_dir, first, last).select("id", F.posexplode(F.slice(F.array_sort(near), 1, 3)).alias("rank", "m"))
     return x.select("id", F.col("m.k").cast("bigint").alias("k"), (F.col("rank") + 1).cast("bigint").alias("rank"))
 
 
@@ -219,9 +219,9 @@ _TOP = f"{_DFT}, top AS (SELECT id, arg_max(k, (p, -k)) AS k0 FROM power GROUP B
 
 
 @query(f"WITH {_TOP} SELECT id, k0, CASE WHEN half >= 0.3 * e1 THEN k0 // 2 WHEN k0 < 4 AND twice >= 0.4 * e1 THEN 2 * k0 ELSE k0 END AS k FROM e")
-def d5_subharmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+def d5_subharmonic(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 16) -> DataFrame:
     """The half rate if it holds 0.3 of the peak's energy, else the double one for slow rates if it holds 0.4."""
-    x = bins(spark, sf_dir).withColumn("k0", -S.peak(F.col("bins")).lower)
+    x = bins(spark, sf_dir, first, last).withColumn("k0", -S.peak(F.col("bins")).lower)
     at = lambda k: F.get(F.filter("bins", lambda b: b.k == k), F.lit(0)).power
     x = x.select("id", "k0", at(F.col("k0")).alias("e1"), at(F.floor(F.col("k0") / 2)).alias("half"), at(2 * F.col("k0")).alias("twice"))
     k = F.when(F.col("half") >= 0.3 * F.col("e1"), F.floor(F.col("k0") / 2)).when((F.col("k0") < 4) & (F.col("twice") >= 0.4 * F.col("e1")), 2 * F.col("k0")).otherwise(F.col("k0"))
@@ -229,8 +229,8 @@ def d5_subharmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {_TOP} SELECT id, coalesce(half, 0) > 0.4 * e1 AS lower_stronger, coalesce(twice, 0) > 0.15 * e1 AS has_harmonic FROM e")
-def d6_harmonic_rejection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = bins(spark, sf_dir).withColumn("k0", -S.peak(F.col("bins")).lower)
+def d6_harmonic_rejection(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 16) -> DataFrame:
+    x = bins(spark, sf_dir, first, last).withColumn("k0", -S.peak(F.col("bins")).lower)
     at = lambda k: F.coalesce(F.get(F.filter("bins", lambda b: b.k == k), F.lit(0)).power, F.lit(0.0))
     return x.select("id", (at(F.floor(F.col("k0") / 2)) > 0.4 * at(F.col("k0"))).alias("lower_stronger"), (at(2 * F.col("k0")) > 0.15 * at(F.col("k0"))).alias("has_harmonic"))
 
@@ -243,9 +243,9 @@ def d7_respiration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_DFT}, two AS (SELECT a.id, a.k, a.hz, a.re * b.re + a.im * b.im AS cr, a.im * b.re - a.re * b.im AS ci FROM power a JOIN power b ON b.id = a.id + 1 AND a.k = b.k),
 w AS (SELECT id, sqrt(cr * cr + ci * ci) AS weight, cos(atan2(ci, cr) - 2 * pi() * hz * 0.05) AS near FROM two) SELECT id, {r4('greatest(0.0, least(1.0, (1 + sum(weight * near) / sum(weight)) / 2))')} AS fraction FROM w GROUP BY id""")
-def d8_phase_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def d8_phase_coherence(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 16) -> DataFrame:
     """How well the phase between two neighbouring signals fits a transit of 50 ms, weighted by cross power."""
-    a = bins(spark, sf_dir).select("id", "bins")
+    a = bins(spark, sf_dir, first, last).select("id", "bins")
     b = a.select((F.col("id") - 1).alias("id"), F.col("bins").alias("other"))
     two = F.zip_with("bins", "other", lambda x, y: F.struct(x.hz.alias("hz"), (x.re * y.re + x.im * y.im).alias("cr"), (x.im * y.re - x.re * y.im).alias("ci")))
     w = F.transform(two, lambda t: F.struct(F.sqrt(t.cr * t.cr + t.ci * t.ci).alias("weight"), F.cos(F.atan2(t.ci, t.cr) - 2 * math.pi * 0.05 * t.hz).alias("near")))
@@ -255,11 +255,26 @@ def d8_phase_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {_DFT}, s AS (SELECT id, sum(p) FILTER (hz BETWEEN 0.83 AND 3.0) AS inside, sum(p) FILTER (hz > 3.0 OR hz < 0.83) AS outside FROM power GROUP BY id) SELECT id, {r4('greatest(-20.0, least(20.0, 10 * log10(inside / outside)))')} AS snr FROM s")
-def d9_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = bins(spark, sf_dir).select("id", S.band_power(F.col("bins"), 0.83, 3.0).alias("inside"), sum_of(F.transform("bins", lambda b: b.power)).alias("total"))
+def d9_snr(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 16) -> DataFrame:
+    x = bins(spark, sf_dir, first, last).select("id", S.band_power(F.col("bins"), 0.83, 3.0).alias("inside"), sum_of(F.transform("bins", lambda b: b.power)).alias("total"))
     return x.select("id", rounded(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), 10 * F.log10(F.try_divide(F.col("inside"), F.col("total") - F.col("inside")))))).alias("snr"))
 
 
+def _whole(f, first: int = 1):
+    """f as a query of all bins up to half the frame rate, f itself going as far as its SQL."""
+
+    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(spark, sf_dir, first, 32)
+
+    whole.__name__ = f"{f.__name__}_whole"
+    return query()(whole)
+
+
+for _f in (d1_spectrum, d2_top_peaks, d5_subharmonic, d6_harmonic_rejection, d8_phase_coherence):
+    _whole(_f)
+_whole(d9_snr, 0)  # the reference's noise is all of rfft outside the band, bin 0 too
+
+
 @query(f"WITH {_DFT}, r AS (SELECT *, first(hz) OVER (PARTITION BY id ORDER BY CASE WHEN hz <= 1.5 THEN p ELSE -1 END DESC, k) AS resp FROM power) SELECT id, k, {r4('p * CASE WHEN abs(hz - resp) <= 0.15 THEN 0.35 WHEN abs(hz - 2 * resp) <= 0.15 THEN 0.5 ELSE 1 END')} AS power FROM r")
 def d10_panting_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power damped around the respiration peak and its double."""

@@ -16,7 +16,7 @@ from pulselake.functions import losses as L
 from pulselake.functions import spectral as S
 from pulselake.operators import alignment, filters, folds, fusion, grids, metrics, splits
 from pulselake.plans import jobs
-from pulselake.plans.bindings import signal
+from pulselake.plans.bindings import arrays, signal
 from pulselake.sources import ground_truth, synthetic
 
 
@@ -81,6 +81,21 @@ def test_posterior_of_many_estimates(spark):
     assert jobs.probabilistic(df).first().bpm == pytest.approx(70.0)
 
 
+def test_whole_spectra_equal_numpy(spark):
+    x = {r.id: np.array(r.x) for r in arrays(spark, SF).select("id", "x").limit(300).collect()}
+    power = {k: np.abs(np.fft.rfft((v - v.mean()) * np.hanning(64))) ** 2 for k, v in x.items()}
+    hz = np.fft.rfftfreq(64, 1 / 30)
+    inside = (hz >= 0.83) & (hz <= 3.0)
+    ids = F.col("id").isin(list(x))
+    for r in plans.QUERIES["d9_snr_whole"](spark, SF).where(ids).collect():
+        assert r.snr == pytest.approx(np.clip(10 * np.log10(power[r.id][inside].sum() / power[r.id][~inside].sum()), -20, 20), abs=1e-3)
+    for r in plans.QUERIES["d6_harmonic_rejection_whole"](spark, SF).where(ids).collect():
+        p = power[r.id]
+        k = 1 + np.argmax(p[1:])
+        assert (r.lower_stronger, r.has_harmonic) == ((p[k // 2] if k > 1 else 0) > 0.4 * p[k], (p[2 * k] if k <= 16 else 0) > 0.15 * p[k])
+    assert {r.k for r in plans.QUERIES["d1_spectrum_whole"](spark, SF).select("k").distinct().collect()} == set(range(1, 33))
+
+
 def test_full_confidence_is_in_no_bin(spark):
     df = spark.createDataFrame([(1, 72.0, 72.0, 100.0), (1, 72.0, 72.0, 95.0)], "k int, measured double, reference double, confidence double")
     assert metrics.reliability(df, ["k"], least=1).collect()[0].n == 1
