@@ -23,8 +23,10 @@ BLOCK_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (one machine only)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="pulselake-")
         spark.sparkContext.setCheckpointDir(root)
@@ -44,10 +46,35 @@ def sent(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str, share: int = 256, least: int = 1000) -> DataFrame:
+    """left joined with right (at most a row for each key), for a left in which a few keys may have very many rows.
+
+    Keys with more than 1 / share of left's rows, which are fewer than `share`, are joined by sending their rows of right to all
+    tasks; the rest is joined as usual. Only how it is done depends on the counts.
+    """
+    counts = left.groupBy(key).count()
+    most = max(least, (counts.agg(F.sum("count")).first()[0] or 0) // share)
+    hot = [r[0] for r in counts.where(F.col("count") > most).select(key).collect()]  # fewer than share
+    if not hot:
+        return left.join(right, key)
+    is_hot = F.col(key).isin(hot)
+    return left.where(is_hot).join(F.broadcast(right.where(is_hot)), key).unionByName(left.where(~is_hot).join(right, key))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Text bytes that feed one bucket of keys or words, about: a task holds a bucket's share of what they give.
+BUCKET_BYTES = 32 << 20
+
+
+def buckets_for(docs: DataFrame) -> int:
+    """Buckets for the keys of docs (text, ...): as many as there are shuffle partitions, more for more text."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    return max(partitions(docs.sparkSession), size // BUCKET_BYTES + 1)
+
+
 #: A-Z to a-z, other bytes as they are.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 

@@ -9,8 +9,9 @@ Candidates pass a second sketch (one bit flipped for each shingle, whose Hamming
 symmetric difference) and are verified on the sets themselves.
 
 Equal sets are one node. In a group of equal blocks with few nodes all pairs are candidates; in a larger one each node
-with the smallest. After the components of these links are known, larger groups that still span components give all pairs
-between components, dealt over tasks by pairs of chunks. So no link is lost, and a large group of copies costs a star.
+with the smallest few. After the components of these links are known, larger groups that still span components are closed
+(closing.py) by tasks that verify their pairs and emit a spanning forest. So no component is lost that a link would join,
+and a large group of copies costs a few stars.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, hash_strings, mix, partitions, ranges, sent, shingle_hashes, split_words, starts, written
+from .closing import closing_links
+from .common import blocks, buckets_for, hash_strings, hot_join, mix, ranges, sent, shingle_hashes, split_words, starts, written
 from .graphs import components
 
 WIDTH, PERCENT = 5, 80
-#: Groups of up to so many nodes give all their pairs at once; larger ones are closed in chunks of about so many.
-FEW, CHUNK = 8, 500
+#: Groups of up to FEW nodes give all their pairs at once; larger ones each node with the PIVOTS smallest, and are closed later.
+FEW, PIVOTS = 8, 2
 #: Bits of the second sketch.
 BITS = 4096
 #: Ids up to so many are sent to all tasks to fetch their texts; more are joined.
@@ -122,7 +124,7 @@ def flips(hashes: np.ndarray, n: np.ndarray, bits: int = BITS) -> np.ndarray:
 def _packs(docs: DataFrame, buckets: int, width: int) -> DataFrame:
     """For each block of documents and bucket of keys: the sets' ids, how many keys of the bucket each has, and the keys.
 
-    Documents themselves (doc_id, set, size) travel to the bucket of their set.
+    Documents themselves (doc_id, set, size) travel with the packs of their block, dealt evenly: copies of one text don't meet.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +140,8 @@ def _packs(docs: DataFrame, buckets: int, width: int) -> DataFrame:
             bucket = (keys % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             by_key = starts(np.bincount(bucket, minlength=buckets))
-            home = (node.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            used = np.flatnonzero(np.diff(by_key) > 0)
+            home = used[np.arange(len(node)) % len(used)] if len(used) else np.arange(len(node)) % buckets
             row_order = np.argsort(home, kind="stable")
             by_row = starts(np.bincount(home, minlength=buckets))
             rows = []
@@ -175,8 +178,9 @@ def pairs_of_groups(key: np.ndarray, node: np.ndarray, few: int = FEW) -> tuple[
                 found.append(np.stack((node[at + i], node[at + j]), 1))
     large = size > few
     at = ranges(first[large], size[large])
-    found.append(np.stack((np.repeat(node[first[large]], size[large]), node[at]), 1))
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    for i in range(min(PIVOTS, few + 1)):
+        found.append(np.sort(np.stack((np.repeat(node[first[large] + i], size[large]), node[at]), 1), axis=1))
+    pairs = np.concatenate(found)
     pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0) if len(pairs) else pairs
     return pairs, np.stack((key[at], node[at]), 1)
 
@@ -249,7 +253,7 @@ def _verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
             ok = possible(na, nb, _distances(fa, fb), percent)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
 
-    kept = written(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(prune, "a long, b long"), "kept")
+    kept = written(hot_join(pairs, left, "a").join(right, "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(prune, "a long, b long"), "kept")
     need = kept.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +266,7 @@ def _verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     full = found.select("node", "hashes").join(sent(need, MOST_SENT), "node", "left_semi")
-    return kept.join(full.toDF("a", "ha"), "a").join(full.toDF("b", "hb"), "b").select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long").distinct()
+    return hot_join(kept, full.toDF("a", "ha"), "a", share=32).join(full.toDF("b", "hb"), "b").select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long").distinct()
 
 
 def possible(na: np.ndarray, nb: np.ndarray, differ: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -270,27 +274,31 @@ def possible(na: np.ndarray, nb: np.ndarray, differ: np.ndarray, percent: int =
     return (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent) & (differ * (100 + percent) <= (na + nb) * (100 - percent))
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of one group but of different components that their sizes and sketches allow."""
-    labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-    still = labelled.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key", F.ceil(F.col("m") / CHUNK).cast("long").alias("chunks"))
-    rows = labelled.join(still, "key").join(found.select("node", "n", "flips"), "node").withColumn("own", F.expr("pmod(xxhash64(node), chunks)"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1)"))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "flips")
+def _by_sketch(percent: int):
+    """Of rows with n and flips: which sets can be similar by sizes and sketches."""
 
-    def close(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        own, node, label, n = (table[c].to_numpy() for c in ("own", "node", "label", "n"))
+    def judge(table: pa.Table):
+        n = table["n"].to_numpy()
         bits = np.frombuffer(b"".join(table["flips"].to_pylist()), np.uint8).reshape(len(n), -1)
-        side = np.flatnonzero(own == j)
-        out = []
-        for x in np.flatnonzero(own == i):
-            y = side[(label[side] != label[x]) & ((node[side] > node[x]) if i == j else True)]
-            y = y[possible(n[x], n[y], _distances(bits[x], bits[y]), percent)]
-            out.append(np.stack((np.minimum(node[x], node[y]), np.maximum(node[x], node[y])), 1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        return lambda x, ys: possible(n[x], n[ys], _distances(bits[x], bits[ys]), percent), None
+
+    return judge
+
+
+def _by_set(percent: int):
+    """Of rows with n, flips and hashes: which sets can be similar, and which are."""
+
+    def judge(table: pa.Table):
+        n, sets_of = table["n"].to_numpy(), table["hashes"].to_pylist()
+
+        def linked(x: int, ys: np.ndarray) -> np.ndarray:
+            own = np.frombuffer(sets_of[x], "<u8")
+            both = np.array([len(np.intersect1d(own, np.frombuffer(sets_of[y], "<u8"), assume_unique=True)) for y in ys])
+            return 100 * both >= percent * (n[x] + n[ys] - both)
+
+        return _by_sketch(percent)(table)[0], linked
 
-    return rows.groupBy("key", "i", "j").applyInArrow(close, "a long, b long").distinct()
+    return judge
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
@@ -301,7 +309,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, buckets: i
     component_id is the smallest doc_id that links lead to, the document's own included. Rows of a doc_id that occurs
     again each have their own set and the component of that set. Rows without doc_id are left out.
     """
-    table = written(_candidates(docs, buckets or partitions(docs.sparkSession), width), "jaccard")
+    table = written(_candidates(docs, buckets or buckets_for(docs), width), "jaccard")
     pairs = table.where(F.col("kind") == PAIR).select("a", "b").distinct()
     members = table.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("node"))
     owned = table.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n_shingles"))
@@ -312,14 +320,15 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, buckets: i
     links = written(_verified(pairs, found, percent), "links")
     labels = components(links)
     if not members.isEmpty():
-        more = written(_open_pairs(members, labels, found, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        payload = found.withColumn("size", F.octet_length("hashes") + BITS // 8)
+        more = written(closing_links(members, labels, payload, _by_set(percent), sided=False, sieve=(found.select("node", "n", "flips"), _by_sketch(percent))), "links")
         if not more.isEmpty():
-            labels = components(links.union(_verified(more, found, percent)))
+            labels = components(links.union(more))
     classes = owned.groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = classes.join(ids, "component").select("node", "component_id")
-    full = owned.where("n_shingles > 0").join(classes, "node").select("doc_id", "n_shingles", "component_id")
+    full = hot_join(owned.where("n_shingles > 0"), classes, "node").select("doc_id", "n_shingles", "component_id")
     return full.union(owned.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
