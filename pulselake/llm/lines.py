@@ -1,10 +1,12 @@
 """Line dedup: a segment-partition edit join of lines, verified with a banded bit-parallel edit distance.
 
-A line is cut into EDITS + 1 segments of even length. Of two lines within EDITS edits the longer holds a segment of the
+A line may have an edit for every EVERY code points, EDITS at most, and is cut into one segment more, of even length. Of two
+lines within the shorter one's edits the longer holds a segment of the
 shorter at a place that only a few starts allow (the multi-match-aware ones of partition joins), so each line gives the
 hashes of its segments, with its length, and asks for the substrings that could be a segment of a line up to EDITS shorter.
-Equal hashes are candidates; those whose letters' counts allow it are verified on the lines. Lines within reach of each
-other, directly or by others, are one class, of which the first line by (doc_id, place) stays.
+Equal hashes are candidates, in large groups those with a few of the group first (closing.py does the rest); they are
+verified on the lines. Lines within reach of each other, directly or by others, are one class, of which the first line by
+(doc_id, place) stays. Two 64-bit hashes of a line must agree before an occurrence of it goes.
 """
 
 from __future__ import annotations
@@ -18,19 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, mix, partitions, ranges, sent, starts, written
+from .closing import closing_links
+from .common import blocks, buckets_for, hot_join, mix, ranges, sent, starts, written
 from .graphs import components
 
 #: Edits (insertions, deletions, replacements of code points) between near lines.
 EDITS = 2
-#: Shorter lines, in code points, are equal or not.
-LEAST = 24
-#: Groups of equal hashes that would give more pairs than this are closed in chunks of about CHUNK lines on each side.
-FEW, CHUNK = 64, 500
+#: A line has an edit for so many code points: lines of 24 two, of 12 to 23 one; shorter ones are equal or not.
+EVERY = 12
+#: Groups of equal hashes that would give more pairs than FEW give those with PIVOTS lines of each side, and are closed later.
+FEW, PIVOTS = 64, 4
 #: Text bytes of a block whose lines are hashed at once: each code point has several 64-bit numbers then.
 PACKED_BLOCK = 3 << 20
-#: Ids up to so many are sent to all tasks to fetch lines; more are joined.
-MOST_SENT = 1_000_000
 #: Base of the substring hashes (any odd number) and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
@@ -45,7 +46,12 @@ def segments(length: np.ndarray, edits: int = EDITS) -> tuple[np.ndarray, np.nda
     return np.cumsum(size, axis=1) - size, size
 
 
-def line_keys(lines: list[str], edits: int = EDITS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def allowed(length: np.ndarray, edits: int = EDITS, every: int = EVERY) -> np.ndarray:
+    """Edits between a line of this length and one that isn't shorter."""
+    return np.minimum(edits, np.asarray(length) // every)
+
+
+def line_keys(lines: list[str], edits: int = EDITS, every: int = EVERY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes to be asked for and their lines, hashes that ask and their lines."""
     n = np.fromiter(map(len, lines), np.int64, len(lines))
     code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
@@ -64,23 +70,23 @@ def line_keys(lines: list[str], edits: int = EDITS, least: int = LEAST) -> tuple
         a = first[line] + at
         return mix((upto[a + size] - upto[a]) * back[a] + mix((length * 16 + i).astype(np.uint64)))
 
-    long = np.flatnonzero(n >= max(least, edits + 1))
-    at, size = segments(n[long], edits)
-    held = [hashed(long, at[:, i], size[:, i], n[long], i) for i in range(edits + 1)]
-    asks, asking = [], []
-    for shorter in range(edits + 1):
-        own = long[n[long] - shorter >= max(least, edits + 1)]
-        length = n[own] - shorter
-        at, size = segments(length, edits)
-        for i in range(edits + 1):
-            low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            for move in range(low, high + 1):
-                p = at[:, i] + move
-                ok = (p >= 0) & (p + size[:, i] <= n[own])
-                asks.append(hashed(own[ok], p[ok], size[ok, i], length[ok], i))
-                asking.append(own[ok])
-    none = np.zeros(0, np.uint64)
-    return np.concatenate([none, *held]), np.tile(long, edits + 1), np.concatenate([none, *asks]), np.concatenate([np.zeros(0, np.int64), *asking])
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    holds, asks = [none], [none]
+    for e in range(1, edits + 1):
+        own = np.flatnonzero(allowed(n, edits, every) == e)
+        at, size = segments(n[own], e)
+        holds += [(hashed(own, at[:, i], size[:, i], n[own], i), own) for i in range(e + 1)]
+        for shorter in range(e + 1):
+            own = np.flatnonzero((n >= shorter) & (allowed(n - shorter, edits, every) == e))
+            length = n[own] - shorter
+            at, size = segments(length, e)
+            for i in range(e + 1):
+                low, high = max(-i, shorter - (e - i)), min(i, shorter + (e - i))
+                for move in range(low, high + 1):
+                    p = at[:, i] + move
+                    ok = (p >= 0) & (p + size[:, i] <= n[own])
+                    asks.append((hashed(own[ok], p[ok], size[ok, i], length[ok], i), own[ok]))
+    return (*map(np.concatenate, zip(*holds, strict=True)), *map(np.concatenate, zip(*asks, strict=True)))
 
 
 def letter_counts(line: str) -> np.ndarray:
@@ -168,6 +174,16 @@ def within(pairs: list[tuple[str, str]], edits: int = EDITS) -> np.ndarray:
     return out
 
 
+def near(pairs: list[tuple[str, str]], edits: int = EDITS, every: int = EVERY) -> np.ndarray:
+    """Whether each pair of lines is within the edits that the shorter one has."""
+    may = allowed(np.array([min(len(a), len(b)) for a, b in pairs], np.int64), edits, every)
+    out = np.zeros(len(pairs), bool)
+    for e in np.unique(may):
+        at = np.flatnonzero(may == e)
+        out[at] = within([pairs[i] for i in at], int(e))
+    return out
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     """Documents as (id, version, text): version tells rows of one doc_id with other texts apart; a null doc_id comes last."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("version"), F.col("text").cast("string").alias("text"))
@@ -177,8 +193,16 @@ def _digest(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - 2**63
 
 
-def _packs(rows: DataFrame, buckets: int, edits: int, least: int) -> DataFrame:
-    names = ("held_keys", "held_lines", "ask_keys", "ask_lines", "lines", "ids", "versions", "places")
+def _proof(line: str) -> int:
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 1) - 2**63
+
+
+def _packs(rows: DataFrame, buckets: int, edits: int, every: int) -> DataFrame:
+    """For each block of documents and bucket: hashes and their lines, and a share of the block's occurrences of lines.
+
+    Occurrences are only passed on, so they are dealt evenly: those of one line don't meet.
+    """
+    names = ("held_keys", "held_lines", "ask_keys", "ask_lines", "lines", "proofs", "ids", "versions", "places")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, most=PACKED_BLOCK):
@@ -192,7 +216,8 @@ def _packs(rows: DataFrame, buckets: int, edits: int, least: int) -> DataFrame:
                         place.append(p)
             lines = list(seen)
             node = np.fromiter((_digest(x) for x in lines), np.int64, len(lines))
-            held, held_of, asks, asking = line_keys(lines, edits, least)
+            proof = np.fromiter(map(_proof, lines), np.int64, len(lines))
+            held, held_of, asks, asking = line_keys(lines, edits, every)
             parts: dict[int, dict[str, bytes]] = {}
             for keys, of, a, c in ((held, held_of, "held_keys", "held_lines"), (asks, asking, "ask_keys", "ask_lines")):
                 home = (keys % np.uint64(buckets)).astype(np.int64)
@@ -203,13 +228,14 @@ def _packs(rows: DataFrame, buckets: int, edits: int, least: int) -> DataFrame:
                 for i in np.flatnonzero(np.diff(at)):
                     parts.setdefault(int(i), {}).update({a: small[at[i] : at[i + 1]].tobytes(), c: owner[at[i] : at[i + 1]].tobytes()})
             which, doc, place = (np.array(x, np.int64) for x in (which, doc, place))
-            home = (node[which].view(np.uint64) % np.uint64(buckets)).astype(np.int64) if len(which) else which
+            used = np.array(sorted(parts) or [0], np.int64)
+            home = used[np.arange(len(which)) % len(used)]
             order = np.argsort(home, kind="stable")
             at = starts(np.bincount(home, minlength=buckets))
             ids, versions = b.column("id").to_numpy(zero_copy_only=False), b.column("version").to_numpy(zero_copy_only=False)
             for i in np.flatnonzero(np.diff(at)):
                 own = order[at[i] : at[i + 1]]
-                parts.setdefault(int(i), {}).update({"lines": node[which[own]].tobytes(), "ids": ids[doc[own]].astype("<i8").tobytes(), "versions": versions[doc[own]].astype("<i8").tobytes(), "places": place[own].tobytes()})
+                parts.setdefault(int(i), {}).update({"lines": node[which[own]].tobytes(), "proofs": proof[which[own]].tobytes(), "ids": ids[doc[own]].astype("<i8").tobytes(), "versions": versions[doc[own]].astype("<i8").tobytes(), "places": place[own].tobytes()})
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), *(pa.array([p.get(c, b"") for p in parts.values()], pa.binary()) for c in names)], ["bucket", *names])
 
@@ -231,7 +257,7 @@ def _unique(key: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[new], line[new]
 
 
-def _candidates(rows: DataFrame, buckets: int, edits: int, least: int) -> DataFrame:
+def _candidates(rows: DataFrame, buckets: int, edits: int, every: int) -> DataFrame:
     def close(table: pa.Table) -> pa.Table:
         got = {c: table[c].to_pylist() for c in table.column_names}
         held, asks = _wide(got["held_keys"]), _wide(got["ask_keys"])
@@ -247,24 +273,33 @@ def _candidates(rows: DataFrame, buckets: int, edits: int, least: int) -> DataFr
         own = np.flatnonzero(few[at]) if len(at) else at
         x = np.repeat(ask_of[own], n_held[at[own]])
         y = held_of[ranges(first[at[own]], n_held[at[own]])]
+        big = np.flatnonzero(~few)
+        first_ask = np.searchsorted(asks, key)  # asks are sorted by key, then line
+        for i in range(PIVOTS):
+            for size, held_side in ((n_held, True), (n_ask, False)):
+                own = big[size[big] > i]
+                others = n_ask[own] if held_side else n_held[own]
+                one = np.repeat(held_of[first[own] + i] if held_side else ask_of[first_ask[own] + i], others)
+                x = np.concatenate((x, one))
+                y = np.concatenate((y, ask_of[ranges(first_ask[own], others)] if held_side else held_of[ranges(first[own], others)]))
         pairs = np.stack((np.minimum(x, y), np.maximum(x, y)), 1)[x != y]
         pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
         bucket = got["bucket"][0]
         big_asks, big_held = np.flatnonzero(~few[at]) if len(at) else at, np.flatnonzero(~np.repeat(few, n_held))
-        ids, versions, places, lines = (np.frombuffer(b"".join(got[c]), "<i8") for c in ("ids", "versions", "places", "lines"))
+        ids, versions, places, lines, proofs = (np.frombuffer(b"".join(got[c]), "<i8") for c in ("ids", "versions", "places", "lines", "proofs"))
         zero = np.zeros(len(pairs) + len(big_asks) + len(big_held), np.int64)
         return pa.table({
             "kind": np.repeat(np.array([PAIR, ASKING, ASKED, LINE], np.int32), [len(pairs), len(big_asks), len(big_held), len(lines)]),
             "a": np.concatenate((pairs[:, 0], asks[big_asks] * buckets + bucket, held[big_held] * buckets + bucket, lines)),
             "b": np.concatenate((pairs[:, 1], ask_of[big_asks], held_of[big_held], ids)),
-            "c": np.concatenate((zero, versions)), "d": np.concatenate((zero, places)),
+            "c": np.concatenate((zero, versions)), "d": np.concatenate((zero, places)), "e": np.concatenate((zero, proofs)),
         })
 
-    return _packs(rows, buckets, edits, least).groupBy("bucket").applyInArrow(close, "kind int, a long, b long, c long, d long")
+    return _packs(rows, buckets, edits, every).groupBy("bucket").applyInArrow(close, "kind int, a long, b long, c long, d long, e long")
 
 
 def _texts_of(rows: DataFrame, active: DataFrame) -> DataFrame:
-    """(line, text, counts) of active (line, id, version, place)."""
+    """(line, text) of active (line, id, version, place)."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
@@ -272,77 +307,67 @@ def _texts_of(rows: DataFrame, active: DataFrame) -> DataFrame:
             for text, asked, places in zip(b.column("text").to_pylist(), b.column("asked").to_pylist(), b.column("places").to_pylist(), strict=True):
                 lines = (text or "").split("\n")
                 found.update({line: lines[p] for line, p in zip(asked, places, strict=True) if p < len(lines) and _digest(lines[p]) == line})
-            yield pa.RecordBatch.from_pydict({"line": pa.array(list(found), pa.int64()), "text": pa.array(list(found.values()), pa.string()),
-                                              "counts": pa.array([np.minimum(letter_counts(t), 65535).astype("<u2").tobytes() for t in found.values()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"line": pa.array(list(found), pa.int64()), "text": pa.array(list(found.values()), pa.string())})
 
     asked = active.groupBy("id", "version").agg(F.collect_list("line").alias("asked"), F.collect_list("place").alias("places"))
-    asked = sent(asked, MOST_SENT)
-    return rows.join(asked, ["id", "version"]).select("text", "asked", "places").mapInArrow(load, "line long, text string, counts binary").dropDuplicates(["line"])
+    return rows.join(asked, ["id", "version"]).select("text", "asked", "places").mapInArrow(load, "line long, text string").dropDuplicates(["line"])
 
 
-def _verified(pairs: DataFrame, found: DataFrame, edits: int) -> DataFrame:
+def _verified(pairs: DataFrame, found: DataFrame, edits: int, every: int) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = within(list(zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True)), edits)
+            ok = near(list(zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True)), edits, every)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     texts = found.select("line", "text")
-    return pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    return hot_join(hot_join(pairs, texts.toDF("a", "ta"), "a"), texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
 
-def _open_pairs(asking: DataFrame, asked: DataFrame, labels: DataFrame, found: DataFrame, edits: int) -> DataFrame:
-    """Pairs of lines of one large group but of different classes that their letters' counts allow."""
-    sides = asking.withColumn("asks", F.lit(True)).union(asked.withColumn("asks", F.lit(False)))
-    rows = sides.join(labels.toDF("line", "label"), "line", "left").withColumn("label", F.coalesce("label", "line"))
-    still = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key", F.ceil(F.col("m") / CHUNK).cast("long").alias("chunks"))
-    rows = rows.join(still, "key").join(found.select("line", "counts"), "line").withColumn("own", F.expr("pmod(xxhash64(line), chunks)"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1)"))).withColumn("i", F.expr("if(asks, own, other)")).withColumn("j", F.expr("if(asks, other, own)"))
+def _judge(edits: int, every: int):
+    """Of rows with text: which lines can be near by their letters' counts, and which are."""
 
-    def close(table: pa.Table) -> pa.Table:
-        asks, line, label = (table[c].to_numpy(zero_copy_only=False) for c in ("asks", "line", "label"))
-        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), "<u2").reshape(len(line), -1).astype(np.int64)
-        held, out = np.flatnonzero(~asks), [np.zeros((0, 2), np.int64)]
-        for x in np.flatnonzero(asks):
-            y = held[label[held] != label[x]]
-            y = y[np.abs(counts[y] - counts[x]).sum(1) <= 2 * edits]
-            out.append(np.stack((np.minimum(line[x], line[y]), np.maximum(line[x], line[y])), 1))
-        pairs = np.concatenate(out)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+    def judge(table: pa.Table):
+        text = table["text"].to_pylist()
+        counts = np.array([letter_counts(t) for t in text], np.int32).reshape(len(text), 128)
+        return lambda x, ys: np.abs(counts[ys] - counts[x]).sum(1) <= 2 * edits, lambda x, ys: near([(text[x], text[y]) for y in ys], edits, every)
 
-    return rows.select("key", "i", "j", "asks", "line", "label", "counts").groupBy("key", "i", "j").applyInArrow(close, "a long, b long").distinct()
+    return judge
 
 
-def duplicates(docs: DataFrame, edits: int = EDITS, least: int = LEAST, buckets: int | None = None) -> DataFrame:
+def duplicates(docs: DataFrame, edits: int = EDITS, every: int = EVERY, buckets: int | None = None) -> DataFrame:
     """(id, version, places): the lines of each document that are not the first of their class; see dedup()."""
     rows = _rows(docs)
-    table = written(_candidates(rows, buckets or partitions(docs.sparkSession), edits, least), "lines")
+    table = written(_candidates(rows, buckets or buckets_for(docs), edits, every), "lines")
     pairs = written(table.where(F.col("kind") == PAIR).select("a", "b").distinct(), "pairs")
-    held = table.where(F.col("kind") == LINE).select(F.col("a").alias("line"), F.col("b").alias("id"), F.col("c").alias("version"), F.col("d").alias("place"))
-    asking, asked = (table.where(F.col("kind") == k).select(F.col("a").alias("key"), F.col("b").alias("line")) for k in (ASKING, ASKED))
-    active = pairs.select(F.explode(F.array("a", "b")).alias("line")).union(asking.select("line")).union(asked.select("line")).distinct()
-    place = held.join(active, "line").groupBy("line").agg(F.min(F.struct("id", "version", "place")).alias("at")).select("line", "at.*")
+    held = table.where(F.col("kind") == LINE).select(F.col("a").alias("line"), F.col("b").alias("id"), F.col("c").alias("version"), F.col("d").alias("place"), F.col("e").alias("proof"))
+    members = table.where(F.col("kind").isin(ASKING, ASKED)).select(F.col("a").alias("key"), F.col("b").alias("node"), F.when(F.col("kind") == ASKING, 0).otherwise(1).alias("side"))
+    active = pairs.select(F.explode(F.array("a", "b")).alias("line")).union(members.select("node")).distinct()
+    firsts = written(held.groupBy("line").agg(F.min(F.struct("id", "version", "place", "proof")).alias("at"), F.count("*").alias("n")).select("line", "at.*", "n"), "firsts")
+    place = firsts.join(active, "line").select("line", "id", "version", "place")
     found = written(_texts_of(rows, place), "texts")
-    links = written(_verified(pairs, found, edits), "links")
+    links = written(_verified(pairs, found, edits, every), "links")
     labels = components(links)
-    if not asking.isEmpty():
-        more = written(_open_pairs(asking, asked, labels, found, edits).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if not members.isEmpty():
+        payload = found.select(F.col("line").alias("node"), (F.octet_length("text") + 600).alias("size"), "text")
+        more = written(closing_links(members, labels, payload, _judge(edits, every), sided=True), "links")
         if not more.isEmpty():
-            labels = components(links.union(_verified(more, found, edits)))
-    held = held.join(labels.toDF("line", "label"), "line", "left").withColumn("label", F.coalesce("label", "line"))
-    first = held.groupBy("label").agg(F.min(F.struct("id", "version", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    drop = held.join(first, "label").where(F.struct("id", "version", "place") != F.col("first"))
+            labels = components(links.union(more))
+    classes = firsts.join(labels.toDF("line", "label"), "line", "left").withColumn("label", F.coalesce("label", "line"))
+    winner = classes.groupBy("label").agg(F.min(F.struct("id", "version", "place")).alias("first"), F.sum("n").alias("total")).where("total > 1")
+    known = classes.join(winner, "label").select("line", "first", F.col("proof").alias("of"))
+    drop = hot_join(held, known, "line").where((F.struct("id", "version", "place") != F.col("first")) & (F.col("proof") == F.col("of")))
     return drop.groupBy("id", "version").agg(F.collect_set("place").alias("places"))
 
 
-def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, buckets: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, edits: int = EDITS, every: int = EVERY, buckets: int | None = None) -> DataFrame:
     """docs (doc_id, text, ...) without the lines that an earlier line repeats, and n_lines, n_dropped long.
 
-    Lines are what "\\n" separates; blank ones always stay. Lines of at least `least` code points are near when at most
-    `edits` edits apart, shorter ones only when equal. The first line of a class, by doc_id (null last) and place, stays;
+    Lines are what "\\n" separates; blank ones always stay. Lines are near when they are at most as many edits apart as the
+    shorter one has blocks of `every` code points, and at most `edits`; lines under `every` only when equal. The first line of a class, by doc_id (null last) and place, stays;
     of rows that repeat doc_id and text all are treated alike. A null text stays null and has no lines. All rows stay,
     those left without any line too. Columns of docs named n_lines or n_dropped are replaced.
     """
-    drop = duplicates(docs, edits, least, buckets).toDF("__pulselake_id", "__pulselake_version", "__pulselake_places")
+    drop = duplicates(docs, edits, every, buckets).toDF("__pulselake_id", "__pulselake_version", "__pulselake_places")
     docs = docs.drop("n_lines", "n_dropped")
     keyed = docs.withColumns({"__pulselake_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "__pulselake_version": F.xxhash64(F.col("text").cast("string"))})
     names = docs.columns

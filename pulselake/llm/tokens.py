@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, freed, hash_strings, joined, offsets_array, partitions, ranges, split_words, starts
+from .common import blocks, buckets_for, freed, hash_strings, joined, offsets_array, ranges, split_words, starts
 
 #: Words encoded by one call of the library.
 WORDS_AT_ONCE = 200
@@ -205,7 +205,7 @@ def encode(docs: DataFrame, path: str, buckets: int | None = None, decoded: bool
     empty table gives an empty result. Texts are encoded whole, with no special tokens added. docs is read twice, so it
     should be a table (or common.written()); rows in another order the second time raise an error, never other results.
     """
-    buckets = buckets or partitions(docs.sparkSession)
+    buckets = buckets or buckets_for(docs)
 
     def encode_bucket(table: pa.Table) -> pa.Table:
         lists = [zstandard.decompress(w).decode().split("\n") for w in table["words"].to_pylist()]

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pulselake.llm import common, fingerprints, graphs, jaccard, languages, leaks, lines, lm, token_files, tokens, toxicity, urls
+from pulselake.llm import closing, common, fingerprints, graphs, jaccard, languages, leaks, lines, lm, token_files, tokens, toxicity, urls
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -166,10 +166,35 @@ def test_jaccard_join_of_large_groups(spark, monkeypatch):
     texts += [texts[0]] * 20
     rows = dict(enumerate(texts))
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)
-    monkeypatch.setattr(jaccard, "CHUNK", 7)
+    monkeypatch.setattr(closing, "CHUNK", 7)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df).collect()} == joined_by_force(rows)
 
 
+def test_closing_is_linear(spark, monkeypatch):
+    """1,000 members of one group, of which each is linked with its neighbours only: a forest, not all pairs, and no link lost."""
+    monkeypatch.setattr(closing, "CHUNK", 300)
+    n = 1000
+    members = spark.createDataFrame([(1, i) for i in range(n)], "key long, node long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "node long, component long").where("node < 600")
+    payload = members.select("node", F.lit(8).alias("size"))
+
+    def judge(table):
+        node = table["node"].to_numpy()
+        return lambda x, ys: np.abs(node[ys] - node[x]) <= 50, lambda x, ys: np.abs(node[ys] - node[x]) <= 20
+
+    links = closing.closing_links(members, labels, payload, judge, sided=False)
+    rows = [tuple(r) for r in links.collect()]
+    assert all(0 < b - a <= 20 for a, b in rows) and len(rows) < 3 * n  # all pairs within 20 would be 20 n
+    every = links.union(labels.toDF("a", "b"))
+    assert {r.component for r in graphs.components(every).collect()} == {0}
+
+
+def test_hot_join(spark):
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(i, i) for i in range(30)] + [(None, 1)], "k long, x long")
+    right = spark.createDataFrame([(i, -i) for i in range(20)], "k long, y long")
+    assert sorted(map(tuple, common.hot_join(left, right, "k", least=10).select("k", "x", "y").collect())) == sorted(map(tuple, left.join(right, "k").select("k", "x", "y").collect()))
+
+
 def test_jaccard_join_of_a_doc_id_with_several_texts(spark):
     texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
     rows = [(5, t) for t in texts] + [(7 + i, f"{t} end") for i, t in enumerate(texts)] + [(12, "another text that is near to none"), (5, texts[1])]
@@ -209,7 +234,7 @@ def test_components(spark):
     assert all(got[x] == find(x) for x in got) and set(got) >= {x for x in root if find(x) != x}
 
 
-def lines_by_force(by_id, edits=2, least=24):
+def lines_by_force(by_id, edits=2, every=12):
     places = defaultdict(list)
     for k in sorted(by_id, key=lambda k: (k is None, k)):
         for p, line in enumerate((by_id[k] or "").split("\n")):
@@ -225,7 +250,8 @@ def lines_by_force(by_id, edits=2, least=24):
 
     for i, a in enumerate(distinct):
         for b in distinct[:i]:
-            if min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= edits and lines._short(a, b) <= edits:
+            may = min(edits, min(len(a), len(b)) // every)
+            if may and abs(len(a) - len(b)) <= may and lines._short(a, b) <= may:
                 root[find(a)] = find(b)
     first = {}
     for x in distinct:
@@ -235,7 +261,7 @@ def lines_by_force(by_id, edits=2, least=24):
 
 def test_line_dedup(spark, monkeypatch):
     r = random.Random(4)
-    line = lambda: "".join(r.choice("abcdé ") for _ in range(r.randint(15, 60)))
+    line = lambda: "".join(r.choice("abcdé ") for _ in range(r.randint(9, 60)))
     pool = [line() for _ in range(30)] + ["", "  ", "Short.", "Short!"]
     rows = {}
     for i in range(60):
@@ -252,7 +278,7 @@ def test_line_dedup(spark, monkeypatch):
     got = lines.dedup(df)
     assert {r.doc_id: r.text for r in got.collect()} == lines_by_force(rows) and got.columns == ["doc_id", "text", "line", "place", "n_lines", "n_dropped"]
     monkeypatch.setattr(lines, "FEW", 1)  # all groups are closed in chunks
-    monkeypatch.setattr(lines, "CHUNK", 3)
+    monkeypatch.setattr(closing, "CHUNK", 3)
     assert {r.doc_id: r.text for r in lines.dedup(df).collect()} == lines_by_force(rows)
     assert lines.dedup(empty(spark)).count() == 0
 
