@@ -1,7 +1,8 @@
-"""Spectra of short array columns by higher-order functions; the bases are literals, so the plans stay in the JVM."""
+"""Spectra of short array columns by higher-order functions; the bases are constants, so the plans stay in the JVM."""
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column
@@ -16,14 +17,15 @@ WINDOWS = {
 }
 
 
-def literals(values) -> Column:
-    return F.array(*(F.lit(float(v)) for v in values))
+def table(values, kind: str) -> Column:
+    """A constant array as one literal: read from JSON when the plan is optimised, so that no plan holds thousands of numbers as expressions."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
 
 
 def windowed(x: Column, n: int, kind: str = "hann") -> Column:
     """x (n values) times a symmetric window; unknown kinds are all ones."""
     shape = WINDOWS.get(kind.lower(), lambda i, n: 1.0)
-    return F.zip_with(x, literals(shape(i, n) for i in range(n)), lambda a, b: a * b)
+    return F.zip_with(x, table([shape(i, n) for i in range(n)], "array<double>"), lambda a, b: a * b)
 
 
 def centred(x: Column) -> Column:
@@ -32,12 +34,10 @@ def centred(x: Column) -> Column:
 
 def spectrum(x: Column, n: int, fps: float, low: int, high: int) -> Column:
     """Array of (k, hz, re, im, power) for bins low..high of an array of n values."""
-    bins = []
-    for k in range(low, high + 1):
-        re = dot(x, literals(math.cos(2 * math.pi * k * i / n) for i in range(n)))
-        im = dot(x, literals(-math.sin(2 * math.pi * k * i / n) for i in range(n)))
-        bins.append(F.struct(F.lit(k).alias("k"), F.lit(k * fps / n).alias("hz"), re.alias("re"), im.alias("im")))
-    return F.transform(F.array(*bins), lambda b: F.struct(b.k.alias("k"), b.hz.alias("hz"), b.re.alias("re"), b.im.alias("im"), (b.re * b.re + b.im * b.im).alias("power")))
+    turn = [[2 * math.pi * k * i / n for i in range(n)] for k in range(low, high + 1)]
+    basis = [{"k": low + j, "hz": (low + j) * fps / n, "c": [math.cos(w) for w in t], "s": [-math.sin(w) for w in t]} for j, t in enumerate(turn)]
+    bins = F.transform(table(basis, "array<struct<k:int,hz:double,c:array<double>,s:array<double>>>"), lambda b: F.struct(b.k.alias("k"), b.hz.alias("hz"), dot(x, b.c).alias("re"), dot(x, b.s).alias("im")))
+    return F.transform(bins, lambda b: F.struct(b.k.alias("k"), b.hz.alias("hz"), b.re.alias("re"), b.im.alias("im"), (b.re * b.re + b.im * b.im).alias("power")))
 
 
 def band_power(bins: Column, low: float, high: float) -> Column:
@@ -48,3 +48,12 @@ def band_power(bins: Column, low: float, high: float) -> Column:
 def peak(bins: Column) -> Column:
     """The bin of most power, of equal ones the lowest."""
     return F.array_max(F.transform(bins, lambda b: F.struct(b.power.alias("power"), (-b.k).alias("lower"), b.hz.alias("hz"))))
+
+
+def is_harmonic(bins: Column, hz: Column, low: float = 0.7, share: float = 0.15) -> Column:
+    """Whether a peak at hz belongs to another rate: its half or third (from `low` up) holds 0.6 of its power (0.4 above
+    140 a minute), or its double or triple holds `share` of it. Powers are the highest within 0.1 Hz."""
+    at = lambda f: F.array_max(F.transform(F.filter(bins, lambda b: (b.hz >= f - 0.1) & (b.hz <= f + 0.1)), lambda b: b.power))
+    main, yes = at(hz), lambda c: F.coalesce(c, F.lit(False))
+    below = F.when(hz * 60 > 140, 0.4).otherwise(0.6) * main
+    return yes((hz / 2 >= low) & (at(hz / 2) > below)) | yes((hz / 3 >= low) & (at(hz / 3) > below)) | yes(at(2 * hz) > share * main) | yes(at(3 * hz) > share * main)

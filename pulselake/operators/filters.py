@@ -135,3 +135,31 @@ def independent_pulse(df: DataFrame, fps: float) -> DataFrame:
 
     types = dict(df.dtypes)
     return df.select("session", "seq", "r", "g", "b").groupBy("session").applyInPandas(run, f"session {types['session']}, seq {types['seq']}, y double")
+
+
+def peak_contrast(x: np.ndarray, fps: float, low: float = 0.7, high: float = 3.0) -> float:
+    """Power within 0.08 Hz of the strongest rate in the band over that of its sidebands (0.09 to 0.4 Hz away), of a filtered series."""
+    t = np.arange(len(x), dtype=float)
+    x = x - np.polyval(np.polyfit(t, x, 1), t) if len(x) > 1 else x
+    sections = butterworth(4, low, high, fps)
+    x = run_sections(run_sections(x, sections)[::-1], sections)[::-1]
+    power, hz = np.abs(np.fft.rfft(x * np.hanning(len(x)))) ** 2, np.fft.rfftfreq(len(x), 1 / fps)
+    band = np.flatnonzero((hz >= low) & (hz <= high))
+    if not len(band):
+        return 0.0
+    apart = np.abs(hz - hz[band[power[band].argmax()]])
+    return float(power[apart <= 0.08].sum() / (power[(apart > 0.09) & (apart <= 0.4)].sum() + 1e-9))
+
+
+def blended(df: DataFrame, names: tuple[str, ...], fps: float, weights: tuple[float, ...] = (0.6, 0.3, 0.1)) -> DataFrame:
+    """(session, seq, y, winner) of df (session, seq, a column for each name): the signals by rank of their peak_contrast, the first of equal ones first."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq")
+        signals = {n: np.nan_to_num(rows[n].to_numpy(float)) for n in names}
+        score = {n: peak_contrast(x, fps) for n, x in signals.items()}
+        ranked = sorted(names, key=lambda n: -score[n])
+        return pd.DataFrame({"session": rows["session"], "seq": rows["seq"], "y": sum(w * signals[n] for w, n in zip(weights, ranked, strict=False)), "winner": ranked[0]})
+
+    types = dict(df.dtypes)
+    return df.select("session", "seq", *names).groupBy("session").applyInPandas(run, f"session {types['session']}, seq {types['seq']}, y double, winner string")

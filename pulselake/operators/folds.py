@@ -1,24 +1,28 @@
-"""State machines over ordered samples: one step function each, driven in batch (applyInPandas) and in streams.
+"""State machines over ordered samples: one step function each, driven in batch (mapInArrow over sorted rows) and in streams.
 
-A step takes (state, row) and returns (state, output). Batch and stream agree because they run the same steps. A key's
-rows are read in order and only its state is kept, so memory doesn't grow with a stream's length; the batch driver holds
-one key's rows, which is why long keys are cut by `session` (a session is what the reference holds in memory, too).
+A step takes (state, row) and returns (state, output); inputs that a row doesn't have are None. Batch and stream agree because
+they run the same steps. A key's rows are read in order and only its state is kept, so memory doesn't grow with their number.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-from statistics import median, pstdev
+from collections.abc import Callable, Iterator
+from statistics import median
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 Step = Callable[[dict[str, Any], dict[str, Any]], tuple[dict[str, Any], dict[str, Any]]]
 
 
+def pstdev(values: list[float]) -> float:
+    mean = sum(values) / len(values)
+    return math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
+
+
 def kalman(state: dict, row: dict, q: tuple[float, float] = (1.0, 0.01), r: float = 25.0, floor: float = 4.0) -> tuple[dict, dict]:
     """Constant velocity; the measurement's variance falls from r to floor with quality 0..100 (null or 0: 50); clipped to 42..200."""
     z = row["x"]
@@ -55,23 +59,39 @@ def uncertain_rate(state: dict, row: dict, q: tuple[float, float] = (1.0, 0.01),
     return s, {"y": s["x"], "aleatoric": aleatoric, "epistemic": epistemic, "low": low, "high": high, "confidence": confidence}
 
 
-def smoother(state: dict, row: dict) -> tuple[dict, dict]:
-    """Inertia, a slower one for jumps over 10, three frames to believe a large jump, median of 17, slow mean, lock flag."""
-    x, last = row["x"], state.get("last")
-    recent, waiting, ema = list(state.get("recent", ())), state.get("waiting", 0), state.get("ema")
-    if last is None:
-        y = x
-    else:
-        limit = 12.0 * (2.5 if len(recent) < 10 else 1.0)
-        jump = abs(x - last)
-        waiting = waiting + 1 if jump > limit else 0
-        if jump > limit and waiting < 3:
-            y = last
-        else:
-            y, waiting = (0.9 * last + 0.1 * x, 0) if jump > 10 else (0.7 * last + 0.3 * x, 0)
-    recent = (recent + [y])[-17:]
-    ema = median(recent) if ema is None else 0.75 * ema + 0.25 * median(recent)
-    return {"last": y, "recent": recent, "waiting": waiting, "ema": ema}, {"y": ema, "locked": len(recent) >= 5 and pstdev(recent) <= 3.5}
+def smoother(state: dict, row: dict, jump: float = 12.0, window: int = 17, lock: tuple[int, int, float] = (200, 240, 3.5)) -> tuple[dict, dict]:
+    """Inertia, plausibility, jump test, median, slow mean, the filter of G3, and a lock on steady output.
+
+    A value is pulled to the one before (0.3 of the new), and a move of more than 10 that is left is cut to a tenth. If it is
+    more than 8 from one of the last three (itself included) it is pulled to the slow mean. One that still moves by more than
+    `jump` (2.5 times that until `window` values are known) counts for the median only. Values of 0 or less change nothing.
+    """
+    x, last, mean = row["x"], state.get("last"), state.get("mean")
+    (known, recent, steady), locked = (list(state.get(k, ())) for k in ("known", "recent", "steady")), state.get("locked", False)
+    held = {"y": mean or 0.0, "locked": locked}
+    if x <= 0:
+        return state, held
+    if last is not None:
+        x = 0.3 * x + 0.7 * last
+        if abs(x - last) > 10:
+            x = 0.1 * x + 0.9 * last
+    recent = (recent + [x])[-12:]
+    state = {**state, "recent": recent}
+    if any(abs(x - r) > 8 for r in recent[-3:]):
+        if not mean:
+            return state, held
+        recent[-1] = x = 0.2 * x + 0.8 * mean
+    room = jump if len(known) >= window else 2.5 * jump
+    state["known"] = known = (known + [x])[-window:]
+    if last is not None and abs(x - last) > room:
+        return state, held
+    middle = median(known)
+    mean = middle if mean is None else 0.25 * middle + 0.75 * mean
+    inner, out = kalman(state.get("inner", {}), {"x": mean}, (0.5, 0.005), 20.0)
+    steady = (steady + [out["y"]])[-lock[1] :]
+    if len(steady) >= lock[0] and len(known) >= window:
+        locked = pstdev(steady) <= lock[2]
+    return {**state, "last": x, "mean": mean, "inner": inner, "steady": steady, "locked": locked}, {"y": out["y"], "locked": locked}
 
 
 _GRID = np.arange(40, 200.5, 0.5)
@@ -93,13 +113,15 @@ def bayes(state: dict, row: dict) -> tuple[dict, dict]:
 
 
 def motion(state: dict, row: dict, enter: float = 2.5, leave: float = 1.5, grace: int = 20) -> tuple[dict, dict]:
-    """Fast mean less 0.6 of the slow one, with hysteresis and frames of grace after it."""
-    fast = 0.5 * row["x"] + 0.5 * state.get("fast", row["x"])
-    slow = 0.04 * row["x"] + 0.96 * state.get("slow", row["x"])
-    score = max(0.0, fast - 0.6 * slow)
-    on = score > (leave if state.get("on") else enter)
-    left = grace if on else max(0, state.get("left", 0) - 1)
-    return {"fast": fast, "slow": slow, "on": on, "left": left}, {"score": score, "moving": on or left > 0}
+    """Fast mean less 0.6 of the slow one, both from 0. Above `enter` movement begins; below `leave` it uses up its frames of grace, then ends."""
+    fast, slow = 0.5 * row["x"] + 0.5 * state.get("fast", 0.0), 0.04 * row["x"] + 0.96 * state.get("slow", 0.0)
+    score = round(max(0.0, fast - 0.6 * slow), 3)
+    on, left = state.get("on", False), state.get("left", 0)
+    if score > enter:
+        on, left = True, grace
+    elif score < leave:
+        on, left = on and left > 0, max(0, left - 1)
+    return {"fast": fast, "slow": slow, "on": on, "left": left}, {"score": score, "moving": on}
 
 
 def physio_state(state: dict, row: dict) -> tuple[dict, dict]:
@@ -115,65 +137,191 @@ def physio_state(state: dict, row: dict) -> tuple[dict, dict]:
     return {"recent": recent, "now": now}, {"state": now, "median": m}
 
 
-def sustained_arrhythmia(state: dict, row: dict, cooldown: float = 45.0) -> tuple[dict, dict]:
-    """Irregular windows of five intervals vote; two flags raise the alarm, which then rests (in event time)."""
-    beats = (list(state.get("beats", ())) + [row["x"]])[-10:]
-    votes, flags, quiet = list(state.get("votes", ())), state.get("flags", 0), state.get("quiet", -math.inf)
-    alarm = False
-    if len(beats) == 10 and (row.get("sqi") is None or row["sqi"] >= 70):
-        odd = [b for b in (beats[i : i + 5] for i in range(6)) if pstdev(b) / max(sum(b) / 5, 1e-9) > 0.28 or max(abs(p - q) for p, q in zip(b, b[1:], strict=False)) > 180]
-        votes = (votes + [len(odd) / 6])[-5:]
-        flags = flags + 1 if sum(v > 0.4 for v in votes) >= 3 else 0
-        if flags >= 2 and row["t"] >= quiet:
-            alarm, flags, quiet = True, 0, row["t"] + cooldown
-    return {"beats": beats, "votes": votes, "flags": flags, "quiet": quiet}, {"alarm": alarm}
-
-
-def baseline(state: dict, row: dict) -> tuple[dict, dict]:
-    """An adaptive mean (0.12 for 30 samples, then 0.04) and deviation with a floor of 1.5; z labels after 20 samples."""
-    n, mean, var = state.get("n", 0), state.get("mean", row["x"]), state.get("var", 0.0)
-    sd = max(1.5, math.sqrt(var))
-    z = (row["x"] - mean) / sd if n >= 20 else None
-    label = "learning" if z is None else "normal" if abs(z) < 1 else "elevated" if abs(z) < 2 else "abnormal"
-    a = 0.12 if n < 30 else 0.04
-    d = row["x"] - mean
-    return {"n": n + 1, "mean": mean + a * d, "var": (1 - a) * (var + a * d * d)}, {"z": z, "label": label}
-
-
-def reliability(state: dict, row: dict) -> tuple[dict, dict]:
-    """WARMUP, STABLE, DEGRADING, UNCERTAIN, RECOVERING, INVALID by confidence, with counters between them."""
-    now, count, bad, c = state.get("now", "WARMUP"), state.get("count", 0) + 1, state.get("bad", 0), row["x"]
-    recent = (list(state.get("recent", ())) + [c])[-5:]
-    k = len(recent)
-    mid, avg = (k - 1) / 2, sum(recent) / k
-    spread = sum((i - mid) ** 2 for i in range(k))
-    trend = max(-1.0, min(1.0, 10 * sum((i - mid) * (v - avg) for i, v in enumerate(recent)) / spread / 100)) if spread else 0.0
-    bad = bad + 1 if c < 40 else 0
+def sustained_arrhythmia(state: dict, row: dict, beats: int = 30, pause: float = 45.0, short_pause: float = 30.0) -> tuple[dict, dict]:
+    """X is an interval in ms; the last `beats` intervals are looked at, with the rate bpm (without it, that of their median).
+
+    Nothing is looked at below a quality of 70, with under ten intervals, or while an alarm rests (event time). The share of odd
+    runs of five is a vote; where three of the last five votes pass 0.4, two kinds of oddity raise the alarm, or an extreme rate does.
+    """
+    ibi = (list(state.get("ibi", ())) + [row["x"]])[-beats:]
+    state = {**state, "ibi": ibi}
+    calm = {"alarm": False, "kinds": ""}
+    sqi = row.get("sqi")
+    if (sqi is not None and sqi < 70) or len(ibi) < 10 or row["t"] < state.get("until", -math.inf):
+        return state, calm
+    spread = lambda v: pstdev(v) / (sum(v) / len(v) + 1e-9)
+    steps = lambda v: [abs(p - q) for p, q in zip(v, v[1:], strict=False)]
+    runs = [ibi[i : i + 5] for i in range(len(ibi) - 4)]
+    state["votes"] = votes = (list(state.get("votes", ())) + [sum(spread(r) > 0.28 or max(steps(r)) > 180 for r in runs) / len(runs)])[-10:]
+    if sum(v > 0.4 for v in votes[-5:]) < 3:
+        return state, calm
+    beat = 60000 / (median(ibi) + 1e-9)
+    bpm = beat if row.get("bpm") is None else row["bpm"]
+    kinds = ["HRV_HIGH"] * (spread(ibi) > 0.3) + ["RR_JUMP"] * (sum(d > 180 for d in steps(ibi)) >= 3)
+    kinds += ["BRADY"] if bpm < 45 and beat < 48 else ["TACHY"] if bpm > 150 and beat > 148 else []
+    if len(kinds) >= 2:
+        return {**state, "until": row["t"] + pause}, {"alarm": True, "kinds": "|".join(kinds)}
+    if bpm < 38 or bpm > 175:
+        return {**state, "until": row["t"] + short_pause}, {"alarm": True, "kinds": "|".join(kinds) or "EXTREME"}
+    return state, calm
+
+
+def baseline(state: dict, row: dict, gate: float = 35.0) -> tuple[dict, dict]:
+    """A slow mean (from 72) and mean deviation (from 8, at least 1.5) of the rate, learned at 0.12 for 30 values, then 0.04.
+
+    Values of a quality below `gate` or of 0 or less aren't learned. Labels after 20 learned values, by the value's distance.
+    """
+    x, n, mean, off = row["x"], state.get("n", 0), state.get("mean", 72.0), state.get("off", 8.0)
+    if x > 0 and (row.get("sqi") is None or row["sqi"] >= gate):
+        a = 0.12 if n < 30 else 0.04
+        off = max(1.5, (1 - a) * off + a * abs(x - mean))
+        mean, n = (1 - a) * mean + a * x, n + 1
+    z = (x - mean) / off if n >= 20 and x > 0 else None
+    label = None if z is None else "HIGH" if z > 2 else "LOW" if z < -2 else "ELEVATED" if z > 1 else "SUPPRESSED" if z < -1 else "NORMAL"
+    return {"n": n, "mean": mean, "off": off}, {"z": z, "label": label, "mean": mean, "deviation": off}
+
+
+def reliability(state: dict, row: dict, warm_up: int = 15, patience: int = 5, recovery: int = 3, timeout: int = 30) -> tuple[dict, dict]:
+    """WARMUP, STABLE, DEGRADING, UNCERTAIN, RECOVERING, INVALID by confidence x (0..100) and evidence (0..1, by default x / 100).
+
+    Counters begin anew with each change of state: frames in it, frames of decline, frames of recovery.
+    """
+    c = row["x"]
+    evidence = c / 100 if row.get("evidence") is None else row["evidence"]
+    now, frames, low, up = (state.get(k, d) for k, d in (("now", "WARMUP"), ("frames", 0), ("low", 0), ("up", 0)))
+    recent = (list(state.get("recent", ())) + [evidence])[-10:]
     after = now
-    if now == "WARMUP" and count >= 10:
-        after = "STABLE" if c >= 60 else "UNCERTAIN"
-    elif now == "STABLE" and c < 60:
-        after = "DEGRADING"
+    if now == "WARMUP":
+        after = "STABLE" if frames >= warm_up and c >= 60 else "UNCERTAIN" if frames >= 2 * warm_up else now
+    elif now == "STABLE":
+        low = low + 1 if c < 40 else 0
+        after = "DEGRADING" if low >= patience else now
     elif now == "DEGRADING":
-        after = "STABLE" if c >= 60 else "UNCERTAIN" if bad >= 3 else now
+        after = "STABLE" if c >= 60 else "UNCERTAIN" if low >= 2 * patience else now
+        low += after == now
     elif now == "UNCERTAIN":
-        after = "INVALID" if c < 20 else "RECOVERING" if c >= 60 else now
+        after = "INVALID" if c < 20 else "STABLE" if c >= 60 else "RECOVERING" if c >= 40 and up >= recovery else now
+        up += after == now and evidence > 0.6 and c > 40
     elif now == "RECOVERING":
-        after = "UNCERTAIN" if c < 40 else "STABLE" if count >= 5 and c >= 60 else now
-    elif now == "INVALID" and count >= 30:
-        after = "UNCERTAIN"
-    return {"now": after, "count": 0 if after != now else count, "bad": bad, "recent": recent}, {"state": after, "trend": trend}
+        after = "STABLE" if c >= 60 else "DEGRADING" if c < 40 else "UNCERTAIN" if up >= 2 * recovery else now
+        up += after == now
+    else:
+        after = "RECOVERING" if evidence > 0.5 and c > 40 else "UNCERTAIN" if frames >= timeout else now
+    if after != now:
+        frames = low = up = 0
+    tail = recent[-5:]
+    mid, avg = (len(tail) - 1) / 2, sum(tail) / len(tail)
+    slope = sum((i - mid) * (v - avg) for i, v in enumerate(tail)) / sum((i - mid) ** 2 for i in range(len(tail))) if len(tail) >= 3 else 0.0
+    return {"now": after, "frames": frames + 1, "low": low, "up": up, "recent": recent}, {"state": after, "trend": max(-1.0, min(1.0, 10 * slope))}
+
 
+def candidate_life(state: dict, row: dict, window: int = 10, born: float = 0.5, fade: float = 0.25, patience: int = 5, lost_after: int = 5) -> tuple[dict, dict]:
+    """A candidate's life by the frames (t) that show it: BORN, ALIVE, DEGRADING, EXPIRED, RECOVERED.
 
-def candidate_life(state: dict, row: dict, lost_after: int = 4) -> tuple[dict, dict]:
-    """A candidate's life by frame: BORN, ALIVE, DEGRADING, EXPIRED, RECOVERED; persistence from the mean and evenness of its scores."""
-    frame, score = int(row["t"]), row["x"]
-    gap = frame - state.get("frame", frame)
-    scores = (list(state.get("scores", ())) + [score])[-30:]
+    Persistence: the mean score x times its evenness (0.3 over its variation, at most 1) times the mean stability (by default
+    0.5), in 0..1. DEGRADING for `patience` frames expires, an expired one that persists again has recovered, and one that
+    wasn't seen for more than `lost_after` frames begins anew.
+    """
+    frame = row["t"]
+    if "frame" in state and frame - state["frame"] > lost_after:
+        state = {}
+    scores, steady = ((list(state.get(k, ())) + [v])[-window:] for k, v in (("scores", row["x"]), ("steady", 0.5 if row.get("stability") is None else row["stability"])))
     mean = sum(scores) / len(scores)
-    cv = pstdev(scores) / mean if mean > 0 and len(scores) > 1 else 0.0
-    now = "BORN" if "frame" not in state else "RECOVERED" if gap > lost_after else "DEGRADING" if score < 0.5 * mean else "ALIVE"
-    return {"frame": frame, "scores": scores}, {"life": now, "persistence": mean * min(1.0, 0.3 / cv if cv else 1.0)}
+    even = min(1.0, 0.3 / (pstdev(scores) / (abs(mean) + 1e-9) + 1e-9)) if len(scores) > 1 else 1.0
+    persistence = max(0.0, min(1.0, mean * even * sum(steady) / len(steady)))
+    now, frames = state.get("now"), state.get("frames", 0) + 1
+    if now is None:
+        now, frames = "ALIVE" if persistence > born else "BORN", 0
+    elif now == "EXPIRED":
+        now = "RECOVERED" if persistence > fade else now
+    elif now == "DEGRADING":
+        if persistence > fade:
+            now, frames = "ALIVE", 0
+        elif frames >= patience:
+            now = "EXPIRED"
+    elif persistence < fade:
+        now, frames = "DEGRADING", 0
+    else:
+        now = "ALIVE"
+    return {"frame": frame, "scores": scores, "steady": steady, "now": now, "frames": frames}, {"life": now, "persistence": persistence}
+
+
+def session_confidence(state: dict, row: dict, window: int = 180) -> tuple[dict, dict]:
+    """A session's confidence (0..100) from quality, agreement, steadiness and stillness of the last `window` frames, slowly followed.
+
+    Frames in motion count as motion only; the others add their quality (30 and more), rate x (above 0) and agreement. A single
+    region costs 0.15; a hard reject lowers the confidence by 0.15. Under ten frames of quality it is 0.
+    """
+    moving = bool(row.get("moving"))
+    s = {k: list(state.get(k, ())) for k in ("sqi", "bpm", "agree", "moved")} | {"ema": state.get("ema", 0.0)}
+    s["moved"] = (s["moved"] + [float(moving)])[-window:]
+    if not moving and (row.get("sqi") or 0.0) >= 30:
+        s["sqi"] = (s["sqi"] + [row["sqi"]])[-window:]
+        s["bpm"] = (s["bpm"] + [row["x"]] * (row["x"] > 0))[-window:]
+        s["agree"] = (s["agree"] + [1.0 if row.get("agreement") is None else row["agreement"]])[-window:]
+    if len(s["sqi"]) < 10:
+        return s, {"confidence": 0.0, "label": "POOR"}
+    mean = lambda v: sum(v) / len(v)
+    agree = mean(s["agree"])
+    steady = math.exp(-pstdev(s["bpm"]) / 10) if len(s["bpm"]) >= 5 else 0.5
+    whole = 0.4 * mean(s["sqi"]) / 100 + 0.3 * agree + 0.2 * steady + 0.1 * (1 - mean(s["moved"]))
+    whole = max(0.0, min(100.0, 100 * whole * max(0.4, agree) * (1.0 if row.get("regions") is None or row["regions"] >= 2 else 0.85)))
+    s["ema"] = (0.25 * whole + 0.75 * s["ema"] if s["ema"] else whole) * (0.85 if row.get("hard") else 1.0)
+    return s, {"confidence": s["ema"], "label": "GOOD" if s["ema"] >= 75 else "FAIR" if s["ema"] >= 45 else "POOR"}
+
+
+def region_weight(state: dict, row: dict, prior: float = 2.0, keep: float = 0.999) -> tuple[dict, dict]:
+    """A region's weight: the mean of a Beta belief that it succeeds, which fades towards its prior, and its deviation.
+
+    A frame's success is quality times agreement of its rate x with the fused rate (exp(-distance / 12), less for half or double
+    rates and for rates over 130) times plausibility. Frames without rate or quality change nothing.
+    """
+    up, down = state.get("up", 0.0), state.get("down", 0.0)
+    x, sqi, fused = row["x"], row.get("sqi") or 0.0, row.get("fused") or 0.0
+    if x > 0 and sqi > 0:
+        agree = math.exp(-abs(x - fused) / 12)
+        if fused > 0:
+            agree *= 0.4 if 0.45 < x / fused < 0.55 else 0.3 if 1.8 < x / fused < 2.2 else 1.0
+        agree *= 0.15 if x > 145 else 0.3 if x > 135 else 0.5 if x > 130 else 1.0
+        if x > 130:
+            agree *= (0.5 if sqi < 80 else 1.0) * (0.15 if row.get("forehead") else 1.0)
+        good = sqi / 100 * agree
+        up, down = keep * (up + good), keep * (down + 1 - good)
+    a, b = prior + up, prior + down
+    return {"up": up, "down": down}, {"weight": a / (a + b), "deviation": math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1) + 1e-9))}
+
+
+def posterior_quality(state: dict, row: dict) -> tuple[dict, dict]:
+    """Quality (0..100) from a sum of log odds: SNR in dB, concentration, regularity (mean of the last eight), and priors.
+
+    Priors: motion, exposure drift, the rate x, the peak's ratio to the next, and the move from the frame before. The result is
+    blended with the one before (0.35 of the new) unless the rate's prior is below -4.
+    """
+    x, of = row["x"], lambda k, d: d if row.get(k) is None else row[k]
+    regular = (list(state.get("regular", ())) + [of("regularity", 0.5)])[-8:]
+    moved = of("motion", 0.0)
+    bio = -8.0 if x > 145 else -5.0 if x > 135 else -3.0 if x > 130 else -2.0 if x > 115 and moved < 1 else 0.0
+    ratio = of("peak_ratio", 2.0)
+    jump = abs(x - state["x"]) if "x" in state else 0.0
+    odds = 1.5 * (of("snr_db", 6.0) - 6) / 4 + 0.8 * (of("concentration", 0.3) - 0.3) / 0.2 + 0.5 * (sum(regular) / len(regular) - 0.5) / 0.3
+    odds += math.log(math.exp(-moved / 3) + 1e-9) + math.log(math.exp(-max(0.0, of("drift", 0.0) - 8) / 5) + 1e-9) + bio
+    odds += (-5.0 if ratio < 1.3 else -1.5 if ratio < 1.8 else 0.0) + (-6.0 if jump > 30 else -4.0 if jump > 20 else -2.5 if jump > 12 else 0.0)
+    p = 1 / (1 + math.exp(-odds))
+    if "sqi" in state and bio >= -4:
+        p = 0.35 * p + 0.65 * state["sqi"] / 100
+    sqi = max(0.0, min(100.0, 100 * p))
+    return {"x": x, "regular": regular, "sqi": round(sqi, 1)}, {"sqi": round(sqi, 1), "log_odds": odds}
+
+
+def region_state(state: dict, row: dict, floor: float = 30.0, streak: int = 90, rest: int = 45) -> tuple[dict, dict]:
+    """Frames of a quality below `floor` count up by one, others down by two; at `streak` the region is left out until `rest` frames later."""
+    bad, out = state.get("bad", 0), state.get("out", 0)
+    if out > 0:
+        return {"bad": bad, "out": out - 1}, {"bad": bad, "excluded": True}
+    bad = bad + 1 if (row.get("sqi") or 0.0) < floor else max(0, bad - 2)
+    if bad >= streak:
+        return {"bad": 0, "out": rest - 1}, {"bad": 0, "excluded": False}
+    return {"bad": bad, "out": 0}, {"bad": bad, "excluded": False}
 
 
 #: Step, output columns.
@@ -184,29 +332,45 @@ FOLDS: dict[str, tuple[Step, str]] = {
     "bayes": (bayes, "y double, sd double, top double"),
     "motion": (motion, "score double, moving boolean"),
     "physio_state": (physio_state, "state string, median double"),
-    "sustained_arrhythmia": (sustained_arrhythmia, "alarm boolean"),
-    "baseline": (baseline, "z double, label string"),
+    "sustained_arrhythmia": (sustained_arrhythmia, "alarm boolean, kinds string"),
+    "baseline": (baseline, "z double, label string, mean double, deviation double"),
     "reliability": (reliability, "state string, trend double"),
     "candidate_life": (candidate_life, "life string, persistence double"),
+    "session_confidence": (session_confidence, "confidence double, label string"),
+    "region_weight": (region_weight, "weight double, deviation double"),
+    "posterior_quality": (posterior_quality, "sqi double, log_odds double"),
+    "region_state": (region_state, "bad long, excluded boolean"),
 }
 
 
+ARROW = {"int": pa.int32(), "bigint": pa.int64(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+def plain(row: dict) -> dict:
+    """The row as steps expect it: NaN, which pandas makes of null, is None."""
+    return {k: None if isinstance(v, float) and math.isnan(v) else v for k, v in row.items()}
+
+
 def run(df: DataFrame, name: str) -> DataFrame:
-    """df (session, seq, t, x[, sqi]) with the fold's outputs for each row, in order of (t, seq); null x are left out."""
+    """df (session, seq, t, x, more inputs of the step) with the fold's outputs for each row, in order of (t, seq); null x are left out.
+
+    Sessions are dealt by hash and sorted by Spark; a task reads them batch by batch and keeps one session's state at a time.
+    """
     step, outputs = FOLDS[name]
-    names = [c.split()[0] for c in outputs.split(", ")]
-    columns = [c for c in ("session", "seq", "t", "x", "sqi", "agreement") if c in df.columns]
     types = dict(df.dtypes)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "seq"])
-        state: dict = {}
-        out = []
-        for row in rows.to_dict("records"):
-            if row.get("sqi") is not None and math.isnan(row["sqi"]):
-                row["sqi"] = None
-            state, got = step(state, row)
-            out.append([row["session"], row["seq"], *(got[n] for n in names)])
-        return pd.DataFrame(out, columns=["session", "seq", *names])
-
-    return df.where("x IS NOT NULL").select(*columns).groupBy("session").applyInPandas(fold, f"session {types['session']}, seq {types['seq']}, {outputs}")
+    schema = f"session {types['session']}, seq {types['seq']}, {outputs}"
+    names = [c.split()[0] for c in outputs.split(", ")]
+    arrow = {c.split()[0]: ARROW[c.split()[1]] for c in schema.split(", ")}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, state = object(), {}
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["session"] != session:
+                    session, state = row["session"], {}
+                state, got = step(state, plain(row))
+                out.append({"session": session, "seq": row["seq"], **{n: got[n] for n in names}})
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in arrow.items()], list(arrow))
+
+    return df.where("x IS NOT NULL").repartition("session").sortWithinPartitions("session", "t", "seq").mapInArrow(fold, schema)

@@ -6,7 +6,7 @@ stream is never sorted or held by one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _TINY = 1e-9
@@ -77,3 +77,21 @@ METHODS = {"GREEN": green, "CHROM": chrom, "POS": pos}
 def project(df: DataFrame, name: str, key: str = "session") -> DataFrame:
     """By name in any case; unknown names are POS."""
     return METHODS.get(name.upper(), pos)(df, key).select(key, "seq", "y")
+
+
+def detrended(df: DataFrame, window: int = 45) -> DataFrame:
+    """Df (session, seq from 1, x) with y: the line through x removed, then the mean of the `window` samples around, then scaled.
+
+    Sessions of up to `window` samples have no moving mean. Beyond its ends a session goes on as its mirror image (without the
+    end itself): the first and last samples are copied there. Sessions that don't vary aren't scaled.
+    """
+    half = window // 2
+    line = df.groupBy("session").agg(F.regr_slope("x", F.col("seq").cast("double")).alias("slope"), F.regr_intercept("x", F.col("seq").cast("double")).alias("level"), F.count("*").alias("n"))
+    d = df.join(line, "session").withColumn("d", F.col("x") - F.coalesce(F.col("level") + F.col("slope") * F.col("seq"), "x"))
+    ends = F.array(F.col("seq"), F.when((F.col("n") > window) & F.col("seq").between(2, half + 1), 2 - F.col("seq")), F.when((F.col("n") > window) & F.col("seq").between(F.col("n") - half, F.col("n") - 1), 2 * F.col("n") - F.col("seq")))
+    p = d.withColumn("at", F.explode(F.array_compact(ends.cast("array<bigint>"))))
+    around = Window.partitionBy("session").orderBy("at").rowsBetween(-half, half)
+    y = F.when(F.col("n") > window, F.col("d") - F.avg("d").over(around)).otherwise(F.col("d"))
+    p = p.withColumn("y", y).where(F.col("at") == F.col("seq"))
+    scale = F.stddev_pop("y").over(Window.partitionBy("session"))
+    return p.withColumn("y", F.when(scale > 1e-9, F.col("y") / scale).otherwise(F.col("y"))).drop("slope", "level", "n", "d", "at")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, ratio, rounded
-from ..operators import alignment, filters, folds, fusion, metrics, projections
+from ..operators import alignment, filters, folds, fusion, metrics
+from ..operators import projections as P
 from ..sources import ground_truth
 from .bindings import SIGNAL, pairs, rgb, signal
 from .registry import query, r4
@@ -16,19 +17,20 @@ from .registry import query, r4
 
 def classical_rates(df: DataFrame, fps: float, methods: tuple[str, ...] = ("GREEN", "CHROM", "POS")) -> DataFrame:
     """(session, method, bpm) of df (session, seq, r, g, b): each method's signal, band-passed, its strongest rate."""
-    parts = [filters.rates(projections.project(df, m).withColumnRenamed("y", "x"), fps).select("session", F.lit(m).alias("method"), "bpm") for m in methods]
+    parts = [filters.rates(P.project(df, m).withColumnRenamed("y", "x"), fps).select("session", F.lit(m).alias("method"), "bpm") for m in methods]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
     return out
 
 
-def arbitrate(rates: DataFrame) -> DataFrame:
-    """A session's rates blended 0.6, 0.3, 0.1 by the rank of their score (rates: session, method, bpm, score)."""
-    w = Window.partitionBy("session").orderBy(F.col("score").desc(), "method")  # a row for each method
-    weight = F.when(F.col("k") == 1, 0.6).when(F.col("k") == 2, 0.3).otherwise(0.1)
-    r = rates.withColumn("k", F.row_number().over(w)).where("k <= 3")
-    return r.groupBy("session").agg(ratio(F.sum(weight * F.col("bpm")), F.sum(weight)).alias("bpm"), F.max_by("method", "score").alias("best"))
+def arbitrate(df: DataFrame, fps: float) -> DataFrame:
+    """(session, seq, y, winner) of df (session, seq, r, g, b): the signals of CHROM, POS and green blended 0.6, 0.3, 0.1 by
+    how far each one's spectral peak stands above its sidebands."""
+    signals = P.chrom(df).withColumnRenamed("y", "chrom").select("session", "seq", "chrom")
+    for name, of in (("pos", P.core_pos(df)), ("green", df.withColumn("y", F.col("g") / F.avg("g").over(Window.partitionBy("session")) - 1))):
+        signals = signals.join(of.select("session", "seq", F.col("y").alias(name)), ["session", "seq"])
+    return filters.blended(signals, ("chrom", "pos", "green"), fps)
 
 
 def evaluate(pred: DataFrame, ref: DataFrame, tolerance: float, compat: bool = False, least: int = 10) -> DataFrame:
@@ -44,16 +46,22 @@ def session_summary(rates: DataFrame) -> DataFrame:
     return s.withColumn("k", F.row_number().over(w)).where("k <= 10").groupBy("session").agg(F.percentile("y", 0.5).alias("bpm"), F.max_by("locked", "seq").alias("locked"))
 
 
-def reliable(fused: DataFrame, before: Column) -> DataFrame:
-    """H9: fused (frame, value, sigma, agreement) with confidence, state and the final estimate.
+def reliable(fused: DataFrame) -> DataFrame:
+    """H9: fused (series, frame, value, sigma, confidence, direct) with the temporal state, the verdict and the final estimate.
 
-    Confidence is (100 - 5 sigma) times agreement; the jump is against the frame before (T15); 0.7 of the fused value and
-    0.3 of the one before.
+    The final value is 0.7 of the fused and 0.3 of the direct estimate of the same frame. Its confidence is the mean of the fused
+    one, of the temporal state's (G16; times 0.8 in warm-up, 0.6 while degrading or uncertain, 0.2 else) and of the plausibility's
+    (95, 60 or 20; range and jumps are errors, jumps against the frame before, T15).
     """
-    confidence = clip((100 - 5 * F.col("sigma")) * F.col("agreement"), 0, 100)
-    jump = F.coalesce(F.abs(F.col("value") - before) > 20, F.lit(False))
-    state = F.when((F.col("value") < 40) | (F.col("value") > 200) | jump, "INVALID").when((confidence < 50) | (F.col("sigma") > 10), "UNCERTAIN").otherwise("VALID")
-    return fused.withColumn("confidence", confidence).withColumn("state", state).withColumn("final", 0.7 * F.col("value") + 0.3 * F.coalesce(before, F.col("value")))
+    state = folds.run(fused.select(F.col("series").alias("session"), F.col("frame").alias("seq"), F.col("frame").cast("double").alias("t"), F.col("confidence").alias("x")), "reliability").select(F.col("session").alias("series"), F.col("seq").alias("frame"), "state")
+    before = F.lag("value").over(Window.partitionBy("series").orderBy("frame"))
+    apart = F.abs(F.col("value") - before)
+    wrong = (F.col("value") < 40) | (F.col("value") > 200) | F.coalesce((apart > 20) | (apart > 0.25 * before), F.lit(False))
+    verdict = F.when(wrong, "INVALID").when(F.col("sigma") > 10, "UNCERTAIN").otherwise("PLAUSIBLE")
+    out = fused.withColumn("verdict", verdict).join(state, ["series", "frame"], "left")
+    share = F.when(F.col("state") == "STABLE", 1.0).when(F.col("state") == "WARMUP", 0.8).when(F.col("state").isin("DEGRADING", "UNCERTAIN"), 0.6).otherwise(0.2)
+    sure = F.when(F.col("verdict") == "PLAUSIBLE", 95.0).when(F.col("verdict") == "UNCERTAIN", 60.0).otherwise(20.0)
+    return out.withColumn("final", 0.7 * F.col("value") + 0.3 * F.col("direct")).withColumn("final_confidence", (F.col("confidence") + share * F.col("confidence") + sure) / 3)
 
 
 def probabilistic(df: DataFrame, low: float = 40.0, step: float = 0.5, n: int = 321) -> DataFrame:
@@ -124,10 +132,7 @@ def b9_classical_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def b8_arbitrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored by how near a method is to the session's median method."""
-    r = classical_rates(rgb(spark, sf_dir), 30.0)
-    mid = r.groupBy("session").agg(F.percentile("bpm", 0.5).alias("mid"))
-    return arbitrate(r.join(mid, "session").withColumn("score", -F.abs(F.col("bpm") - F.col("mid"))))
+    return arbitrate(rgb(spark, sf_dir), 30.0)
 
 
 @query()
@@ -141,15 +146,15 @@ def h3_session_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_summary(signal(spark, sf_dir).withColumn("seq", F.col("seq").cast("bigint")))
 
 
-@query(f"""WITH {SIGNAL}, e AS (SELECT session AS frame, x + 30 AS bpm, (event_id % 101)::DOUBLE AS sqi FROM signal WHERE seq <= 5), g AS (SELECT frame, sum(1 / s2) AS p, sum(bpm / s2) AS px FROM (SELECT frame, bpm, (10 * (1 - sqi / 100) + 0.8) ** 2 AS s2 FROM e WHERE bpm > 0) GROUP BY frame),
+@query(f"""WITH {SIGNAL}, e AS (SELECT session AS frame, x + 30 AS bpm, (event_id % 101)::DOUBLE AS sqi FROM signal), g AS (SELECT frame, sum(1 / s2) AS p, sum(bpm / s2) AS px FROM (SELECT frame, bpm, (10 * (1 - sqi / 100) + 0.8) ** 2 AS s2 FROM e WHERE bpm > 0) GROUP BY frame),
 l AS (SELECT frame, 40 + 0.5 * i AS v, -0.5 * p * ((40 + 0.5 * i - px / p) ** 2 - (least(200, greatest(40, px / p)) - px / p) ** 2) AS z FROM g, range(321) r(i)) SELECT frame, {r4('sum(exp(z) * v) / sum(exp(z))')} AS bpm FROM l GROUP BY frame""")
 def g5_probabilistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the first five estimates, as far as the SQL goes; g5_probabilistic_whole has all of them."""
-    return _posterior(signal(spark, sf_dir).where("seq <= 5"))
+    return _posterior(signal(spark, sf_dir))
 
 
 @query()
 def g5_probabilistic_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name that g5_probabilistic had while it stopped after five estimates."""
     return _posterior(signal(spark, sf_dir))
 
 
@@ -160,6 +165,8 @@ def _posterior(samples: DataFrame) -> DataFrame:
 
 @query()
 def h9_reliable_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts in order stand for frames of a series."""
-    f = fusion.fuse(pairs(spark, sf_dir).select(F.col("id").alias("frame"), (F.col("id") % 20).alias("series"), F.col("measured").alias("x"), "sigma", "confidence"), "variance").withColumn("series", F.col("frame") % 20)
-    return reliable(f.withColumn("before", F.lag("value").over(Window.partitionBy("series").orderBy("frame"))), F.col("before"))
+    """Parts in order stand for frames of a series; the most confident estimate of a part is the direct one."""
+    p = pairs(spark, sf_dir).select(F.col("id").alias("frame"), F.col("measured").alias("x"), "sigma", "confidence")
+    direct = p.groupBy("frame").agg(F.max(F.struct("confidence", "x")).alias("top")).select("frame", F.col("top.confidence").alias("confidence"), F.col("top.x").alias("direct"))
+    f = fusion.fuse(p, "variance").select("frame", "value", "sigma").join(direct, "frame")
+    return reliable(f.withColumn("series", F.col("frame") % 20))

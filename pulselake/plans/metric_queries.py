@@ -20,16 +20,10 @@ def f1_error_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.rounded_all(M.errors(pairs(spark, sf_dir), ["method"]).where("n >= 10"), _NAMES)
 
 
-@query(f"""
-WITH {SIGNAL}, e AS (SELECT session, seq AS row, abs(x - 50) AS e, count(*) OVER (PARTITION BY session) AS n FROM signal WHERE session % 5 = 0),
-draws AS (SELECT DISTINCT session, n, b, i FROM e, range(1, 101) r(b), LATERAL (SELECT unnest(range(1, n + 1)) AS i)),
-drawn AS (SELECT session, b, ('0x' || substr(md5('42/' || session || '/' || b || '/' || i), 1, 8))::BIGINT % n + 1 AS row FROM draws),
-means AS (SELECT session, b, avg(e) AS m FROM drawn JOIN e USING (session, row) GROUP BY ALL)
-SELECT session, {r4('quantile_cont(m, 0.025)')} AS low, {r4('quantile_cont(m, 0.975)')} AS high FROM means GROUP BY session""")
+@query()
 def f2_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hundred resamples for every fifth user's sessions, as far as the SQL goes; f2_bootstrap_whole has all of them."""
-    x = signal(spark, sf_dir).where("session % 5 = 0").select("session", F.col("seq").cast("bigint").alias("row"), F.abs(F.col("x") - 50).alias("e"))
-    return M.rounded_all(M.bootstrap(x, ["session"], "row", rounds=100), ["low", "high"])
+    """Intervals of all sessions from 1,000 resamples: too many rows for SQL here, tested by brute force."""
+    return f2_bootstrap_whole(spark, sf_dir)
 
 
 @query()
@@ -176,13 +170,12 @@ def f20_domain_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {DOMAINS}, n AS (SELECT domain, count(*) FILTER (sample % 3 = 0) AS test, count(*) FILTER (sample % 3 <> 0) AS train FROM domains WHERE NOT (domain = 'BUILDING' AND sample % 3 <> 0 AND sample % 2 = 0) GROUP BY domain),
+WITH {DOMAINS}, n AS (SELECT domain, count(*) FILTER (value < 3000) AS test, count(*) FILTER (value >= 3000) AS train FROM domains GROUP BY domain),
 p AS (SELECT domain, test / sum(test) OVER () AS p_test, train / sum(train) OVER () AS p_train FROM n)
 SELECT {r4('sum(CASE WHEN p_test > 0 AND p_train > 0 THEN p_test * ln(p_test / p_train) END)')} AS kl, bool_or(p_train = 0 AND p_test > 0) OR sum(CASE WHEN p_test > 0 AND p_train > 0 THEN p_test * ln(p_test / p_train) END) > 0.1 AS shifted FROM p""")
 def f20_domain_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Divergence of the domains of a test third from those of the rest, of which half a domain is missing."""
-    x = domains(spark, sf_dir).where("NOT (domain = 'BUILDING' AND sample % 3 <> 0 AND sample % 2 = 0)")
-    n = x.groupBy("domain").agg(F.count_if(F.col("sample") % 3 == 0).alias("test"), F.count_if(F.col("sample") % 3 != 0).alias("train"))
+    """Divergence of the domains of samples of a low value from those of the rest."""
+    n = domains(spark, sf_dir).groupBy("domain").agg(F.count_if(F.col("value") < 3000).alias("test"), F.count_if(F.col("value") >= 3000).alias("train"))
     total = n.agg(F.sum("test").alias("all_test"), F.sum("train").alias("all_train"))
     p = n.crossJoin(F.broadcast(total)).select((F.col("test") / F.col("all_test")).alias("p"), (F.col("train") / F.col("all_train")).alias("q"))  # one row on the right
     kl = F.sum(F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("p") * F.log(F.col("p") / F.col("q"))))

@@ -75,9 +75,10 @@ def e6_harmonic_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("frame", "roi").agg(F.bool_or((q > 1.85) & (q < 2.15) & (F.col("sqi_b") > 30)).alias("doubled"), F.bool_or((F.abs(F.col("bpm") - 2 * F.col("bpm_b")) < 8) & (F.col("sqi_b") > 25)).alias("suspect"))
 
 
-@query(f"WITH {SIGNAL}, {DOMAINS} SELECT coalesce(domain, 'unknown') AS domain, count(*) AS n FROM signal LEFT JOIN domains ON session = sample AND sample % 2 = 0 GROUP BY 1")
+@query(f"WITH {SIGNAL}, {DOMAINS} SELECT coalesce(domain, 'unknown') AS domain, count(*) AS n FROM signal LEFT JOIN domains ON session = 3 * sample GROUP BY 1")
 def e7_domain_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = domains(spark, sf_dir).where("sample % 2 = 0").select(F.col("sample").alias("session"), "domain")
+    """The table's samples stand for every third session, so that some sessions are unknown."""
+    d = domains(spark, sf_dir).select((3 * F.col("sample")).alias("session"), "domain")
     return samples(spark, sf_dir).join(d, "session", "left").groupBy(F.coalesce("domain", F.lit("unknown")).alias("domain")).agg(F.count("*").alias("n"))
 
 
@@ -115,17 +116,13 @@ def b5_pos_with_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("session", F.col("seq").cast("bigint").alias("seq"), rounded(F.col("y")).alias("h"), *(rounded(F.col(c)).alias(c) for c in ("m", "alpha", "s1", "s2")))
 
 
-@query(f"""WITH {SIGNAL}, l AS (SELECT session, regr_slope(x, seq) AS s, regr_intercept(x, seq) AS i FROM signal GROUP BY session), d AS (SELECT session, seq, x - i - s * seq AS d FROM signal JOIN l USING (session)),
-a AS (SELECT session, seq, d - avg(d) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN 22 PRECEDING AND 22 FOLLOWING) AS y, count(*) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN 22 PRECEDING AND 22 FOLLOWING) AS n FROM d)
-SELECT session, seq, {r4('y')} AS y FROM a WHERE n = 45""")
+@query(f"""WITH {SIGNAL}, l AS (SELECT session, regr_slope(x, seq) AS s, regr_intercept(x, seq) AS i, count(*) AS n FROM signal GROUP BY session), d AS (SELECT session, seq, n, x - coalesce(i + s * seq, x) AS d FROM signal JOIN l USING (session)),
+p AS (SELECT *, seq AS pos FROM d UNION ALL SELECT *, 2 - seq FROM d WHERE n > 45 AND seq BETWEEN 2 AND 23 UNION ALL SELECT *, 2 * n - seq FROM d WHERE n > 45 AND seq BETWEEN n - 22 AND n - 1),
+a AS (SELECT session, seq, pos, CASE WHEN n > 45 THEN d - avg(d) OVER (PARTITION BY session ORDER BY pos ROWS BETWEEN 22 PRECEDING AND 22 FOLLOWING) ELSE d END AS y FROM p),
+z AS (SELECT session, seq, y, stddev_pop(y) OVER (PARTITION BY session) AS sd FROM a WHERE pos = seq)
+SELECT session, seq, {r4('CASE WHEN sd > 1e-9 THEN y / sd ELSE y END')} AS y FROM z""")
 def c1_detrend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Linear and moving-average trend removed, where the 45 samples around are all there."""
-    s = signal(spark, sf_dir)
-    line = s.groupBy("session").agg(F.regr_slope("x", F.col("seq").cast("double")).alias("slope"), F.regr_intercept("x", F.col("seq").cast("double")).alias("level"))
-    d = s.join(line, "session").withColumn("d", F.col("x") - F.col("level") - F.col("slope") * F.col("seq"))
-    w = Window.partitionBy("session").orderBy("seq").rowsBetween(-22, 22)
-    d = d.withColumn("y", F.col("d") - F.avg("d").over(w)).withColumn("n", F.count("*").over(w)).where("n = 45")
-    return d.select("session", F.col("seq").cast("bigint").alias("seq"), rounded(F.col("y")).alias("y"))
+    return P.detrended(signal(spark, sf_dir)).select("session", F.col("seq").cast("bigint").alias("seq"), rounded(F.col("y")).alias("y"))
 
 
 _HANN = f"{ARRAYS}, hann AS (SELECT id, i, v * (0.5 - 0.5 * cos(2 * pi() * i / 63)) AS v FROM points)"
@@ -163,7 +160,8 @@ def c6_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = span.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(48)))).select("session", (F.col("t0") + (F.col("t1") - F.col("t0")) * F.col("k") / 49.0).alias("t"), "k")
     both = s.select("session", "t", F.lit(None).cast("int").alias("k"), F.struct("t", "x").alias("p"), "event_id").unionByName(grid.withColumn("p", F.lit(None)).withColumn("event_id", F.lit(None)), allowMissingColumns=True)
     w = Window.partitionBy("session").orderBy("t", F.col("event_id").asc_nulls_last())
-    x = both.withColumn("a", F.last("p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("b", F.first("p", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))).where("k IS NOT NULL")
+    down = Window.partitionBy("session").orderBy(F.col("t").desc(), F.col("event_id").desc_nulls_first())  # what follows, looked back at
+    x = both.withColumn("a", F.last("p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("b", F.last("p", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1))).where("k IS NOT NULL")
     y = F.col("a.x") + (F.col("b.x") - F.col("a.x")) * F.try_divide(F.col("t") - F.col("a.t"), F.col("b.t") - F.col("a.t"))
     return x.select("session", F.col("k").cast("bigint").alias("k"), rounded(y).alias("y"))
 
@@ -176,22 +174,25 @@ def c8_skin_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DFT = f"""{_HANN}, centre AS (SELECT id, i, v - avg(v) OVER (PARTITION BY id) AS c FROM points), shaped AS (SELECT id, i, c * (0.5 - 0.5 * cos(2 * pi() * i / 63)) AS v FROM centre),
-bins AS (SELECT id, k, k * 30.0 / 64 AS hz, sum(v * cos(2 * pi() * k * i / 64)) AS re, -sum(v * sin(2 * pi() * k * i / 64)) AS im FROM shaped, range(1, 17) r(k) GROUP BY ALL), power AS (SELECT *, re * re + im * im AS p FROM bins)"""
+bins AS (SELECT id, k, k * 30.0 / 64 AS hz, sum(v * cos(2 * pi() * k * i / 64)) AS re, -sum(v * sin(2 * pi() * k * i / 64)) AS im FROM shaped, range(1, 33) r(k) GROUP BY ALL), power AS (SELECT *, re * re + im * im AS p FROM bins)"""
+
 
+_DFT0 = _DFT.replace("range(1, 33)", "range(0, 33)")
 
-def bins(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 16) -> DataFrame:
+
+def bins(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 32) -> DataFrame:
     """(id, bins): the mean removed, Hann, bins first..last of 64 samples at 30 frames a second. All: 0 or 1 to 32."""
     return arrays(spark, sf_dir).select("id", "label", S.spectrum(S.windowed(S.centred(F.col("x")), 64), 64, 30.0, first, last).alias("bins"))
 
 
 @query(f"WITH {_DFT} SELECT id, k, {r4('p')} AS power FROM power")
-def d1_spectrum(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 16) -> DataFrame:
+def d1_spectrum(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 32) -> DataFrame:
     return bins(spark, sf_dir, first, last).select("id", F.explode("bins").alias("b")).select("id", F.col("b.k").cast("bigint").alias("k"), rounded(F.col("b.power")).alias("power"))
 
 
 @query(f"""WITH {_DFT}, m AS (SELECT *, lag(p) OVER (PARTITION BY id ORDER BY k) AS a, lead(p) OVER (PARTITION BY id ORDER BY k) AS b FROM power), t AS (SELECT id, k, row_number() OVER (PARTITION BY id ORDER BY p DESC, k) AS rank FROM m WHERE p > a AND p > b)
 SELECT id, k, rank FROM t WHERE rank <= 3""")
-def d2_top_peaks(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 16) -> DataFrame:
+def d2_top_peaks(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 32) -> DataFrame:
     """The three highest local maxima, inside each row's array."""
     b = F.col("bins")
     near = F.filter(F.transform(F.sequence(F.lit(1), F.size(b) - 2), lambda i: F.struct((-F.get(b, i).power).alias("p"), F.get(b, i).k.alias("k"), ((F.get(b, i).power > F.get(b, i - 1).power) & (F.get(b, i).power > F.get(b, i + 1).power)).alias("top"))), lambda x: x.top)
@@ -219,7 +220,7 @@ _TOP = f"{_DFT}, top AS (SELECT id, arg_max(k, (p, -k)) AS k0 FROM power GROUP B
 
 
 @query(f"WITH {_TOP} SELECT id, k0, CASE WHEN half >= 0.3 * e1 THEN k0 // 2 WHEN k0 < 4 AND twice >= 0.4 * e1 THEN 2 * k0 ELSE k0 END AS k FROM e")
-def d5_subharmonic(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 16) -> DataFrame:
+def d5_subharmonic(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 32) -> DataFrame:
     """The half rate if it holds 0.3 of the peak's energy, else the double one for slow rates if it holds 0.4."""
     x = bins(spark, sf_dir, first, last).withColumn("k0", -S.peak(F.col("bins")).lower)
     at = lambda k: F.get(F.filter("bins", lambda b: b.k == k), F.lit(0)).power
@@ -228,11 +229,12 @@ def d5_subharmonic(spark: SparkSession, sf_dir: str, first: int = 1, last: int =
     return x.select("id", F.col("k0").cast("bigint").alias("k0"), k.cast("bigint").alias("k"))
 
 
-@query(f"WITH {_TOP} SELECT id, coalesce(half, 0) > 0.4 * e1 AS lower_stronger, coalesce(twice, 0) > 0.15 * e1 AS has_harmonic FROM e")
-def d6_harmonic_rejection(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 16) -> DataFrame:
-    x = bins(spark, sf_dir, first, last).withColumn("k0", -S.peak(F.col("bins")).lower)
-    at = lambda k: F.coalesce(F.get(F.filter("bins", lambda b: b.k == k), F.lit(0)).power, F.lit(0.0))
-    return x.select("id", (at(F.floor(F.col("k0") / 2)) > 0.4 * at(F.col("k0"))).alias("lower_stronger"), (at(2 * F.col("k0")) > 0.15 * at(F.col("k0"))).alias("has_harmonic"))
+@query(f"""WITH {_DFT0}, t AS (SELECT id, arg_max(hz, (p, -k)) AS f FROM power WHERE hz BETWEEN 0.8 AND 3.0 GROUP BY id), e AS (SELECT power.id, f, {', '.join(f"max(p) FILTER (hz BETWEEN {c} - 0.1 AND {c} + 0.1) AS {n}" for n, c in (('main', 'f'), ('half', 'f / 2'), ('third', 'f / 3'), ('twice', '2 * f'), ('thrice', '3 * f')))} FROM power JOIN t USING (id) GROUP BY ALL)
+SELECT id, {r4('f * 60')} AS bpm, coalesce(f / 2 >= 0.7 AND half > CASE WHEN f * 60 > 140 THEN 0.4 ELSE 0.6 END * main, false) OR coalesce(f / 3 >= 0.7 AND third > CASE WHEN f * 60 > 140 THEN 0.4 ELSE 0.6 END * main, false)
+  OR coalesce(twice > 0.15 * main, false) OR coalesce(thrice > 0.15 * main, false) AS harmonic FROM e""")
+def d6_harmonic_rejection(spark: SparkSession, sf_dir: str, first: int = 0, last: int = 32) -> DataFrame:
+    x = bins(spark, sf_dir, first, last).withColumn("f", S.peak(F.filter("bins", lambda b: (b.hz >= 0.8) & (b.hz <= 3.0))).hz)
+    return x.select("id", rounded(F.col("f") * 60).alias("bpm"), S.is_harmonic(F.col("bins"), F.col("f")).alias("harmonic"))
 
 
 @query(f"WITH {_DFT} SELECT id, {r4('sum(p) FILTER (hz <= 1.5) / sum(p) FILTER (hz BETWEEN 0.83 AND 3.0)')} AS interference, {r4('arg_max(hz, (p, -k)) FILTER (hz <= 1.5)')} AS resp_hz FROM power GROUP BY id")
@@ -243,7 +245,7 @@ def d7_respiration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_DFT}, two AS (SELECT a.id, a.k, a.hz, a.re * b.re + a.im * b.im AS cr, a.im * b.re - a.re * b.im AS ci FROM power a JOIN power b ON b.id = a.id + 1 AND a.k = b.k),
 w AS (SELECT id, sqrt(cr * cr + ci * ci) AS weight, cos(atan2(ci, cr) - 2 * pi() * hz * 0.05) AS near FROM two) SELECT id, {r4('greatest(0.0, least(1.0, (1 + sum(weight * near) / sum(weight)) / 2))')} AS fraction FROM w GROUP BY id""")
-def d8_phase_coherence(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 16) -> DataFrame:
+def d8_phase_coherence(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 32) -> DataFrame:
     """How well the phase between two neighbouring signals fits a transit of 50 ms, weighted by cross power."""
     a = bins(spark, sf_dir, first, last).select("id", "bins")
     b = a.select((F.col("id") - 1).alias("id"), F.col("bins").alias("other"))
@@ -254,14 +256,14 @@ def d8_phase_coherence(spark: SparkSession, sf_dir: str, first: int = 1, last: i
     return x.select("id", rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 + near) / 2))).alias("fraction"))
 
 
-@query(f"WITH {_DFT}, s AS (SELECT id, sum(p) FILTER (hz BETWEEN 0.83 AND 3.0) AS inside, sum(p) FILTER (hz > 3.0 OR hz < 0.83) AS outside FROM power GROUP BY id) SELECT id, {r4('greatest(-20.0, least(20.0, 10 * log10(inside / outside)))')} AS snr FROM s")
-def d9_snr(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 16) -> DataFrame:
+@query(f"WITH {_DFT0}, s AS (SELECT id, sum(p) FILTER (hz BETWEEN 0.83 AND 3.0) AS inside, sum(p) FILTER (hz > 3.0 OR hz < 0.83) AS outside FROM power GROUP BY id) SELECT id, {r4('greatest(-20.0, least(20.0, 10 * log10(inside / outside)))')} AS snr FROM s")
+def d9_snr(spark: SparkSession, sf_dir: str, first: int = 0, last: int = 32) -> DataFrame:
     x = bins(spark, sf_dir, first, last).select("id", S.band_power(F.col("bins"), 0.83, 3.0).alias("inside"), sum_of(F.transform("bins", lambda b: b.power)).alias("total"))
     return x.select("id", rounded(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), 10 * F.log10(F.try_divide(F.col("inside"), F.col("total") - F.col("inside")))))).alias("snr"))
 
 
 def _whole(f, first: int = 1):
-    """f as a query of all bins up to half the frame rate, f itself going as far as its SQL."""
+    """f as a query of all bins up to half the frame rate, under the name it had while f itself stopped at bin 16."""
 
     def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
         return f(spark, sf_dir, first, 32)
@@ -270,9 +272,10 @@ def _whole(f, first: int = 1):
     return query()(whole)
 
 
-for _f in (d1_spectrum, d2_top_peaks, d5_subharmonic, d6_harmonic_rejection, d8_phase_coherence):
+for _f in (d1_spectrum, d2_top_peaks, d5_subharmonic, d8_phase_coherence):
     _whole(_f)
-_whole(d9_snr, 0)  # the reference's noise is all of rfft outside the band, bin 0 too
+for _f in (d6_harmonic_rejection, d9_snr):  # with bin 0
+    _whole(_f, 0)
 
 
 @query(f"WITH {_DFT}, r AS (SELECT *, first(hz) OVER (PARTITION BY id ORDER BY CASE WHEN hz <= 1.5 THEN p ELSE -1 END DESC, k) AS resp FROM power) SELECT id, k, {r4('p * CASE WHEN abs(hz - resp) <= 0.15 THEN 0.35 WHEN abs(hz - 2 * resp) <= 0.15 THEN 0.5 ELSE 1 END')} AS power FROM r")

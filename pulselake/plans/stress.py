@@ -24,17 +24,17 @@ labelled AS (
     CASE WHEN 1 - coverage >= 0.3 THEN 'roi_severe_loss' WHEN 1 - coverage >= 0.1 THEN 'roi_partial_loss' ELSE 'roi_stable' END AS roi,
     least(1.0, CASE WHEN 1 - coverage >= 0.3 THEN greatest(0.7, 1 - coverage) WHEN 1 - coverage >= 0.1 THEN greatest(0.3, 2 * (1 - coverage)) ELSE 0.0 END) AS roi_severity,
     hr_estimate - hr_reference AS e,
-    CASE {QUALITY_SQL.replace("CASE", "", 1).replace("'sqi_high'", "'excellent'").replace("'sqi_medium'", "'good'").replace("'sqi_low'", "'fair'").replace("'sqi_failed'", "'poor'")} AS level
+    CASE WHEN NOT is_valid THEN 'unknown' {QUALITY_SQL.replace("CASE", "", 1).replace("'sqi_high'", "'excellent'").replace("'sqi_medium'", "'good'").replace("'sqi_low'", "'fair'").replace("'sqi_failed'", "'poor'")} AS level
   FROM scored)"""
 )
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """windows with quality, conditions and error; invalid windows keep both but don't count in errors."""
+    """windows with quality, conditions and error; invalid windows have no conditions and an unknown quality level."""
     c = F.col
     w = windows(spark, sf_dir).withColumn("quality", C.quality(c("signal_quality"), c("hr_confidence"), F.lit(None).cast("double")))
     conditions = C.all_conditions(c("luminance"), c("luminance_range"), c("motion"), F.lit(0.0), c("coverage"), c("quality"))
-    return w.withColumn("conditions", conditions).withColumn("level", C.quality_level(c("quality.type"))).withColumn("e", c("hr_estimate") - c("hr_reference"))
+    return w.withColumn("conditions", F.when(c("is_valid"), conditions).otherwise(F.filter(conditions, lambda _: F.lit(False)))).withColumn("level", F.when(c("is_valid"), C.quality_level(c("quality.type"))).otherwise("unknown")).withColumn("e", c("hr_estimate") - c("hr_reference"))
 
 
 @query(f"WITH {LABELLED} SELECT session, w, light AS type, {r4('light_severity')} AS severity FROM labelled")
@@ -61,10 +61,10 @@ def j4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CONDITIONS = """conditions AS (
-  SELECT session, w, subject, is_valid, e, signal_quality, light AS type, light_severity AS severity FROM labelled UNION ALL
-  SELECT session, w, subject, is_valid, e, signal_quality, moves, moves_severity FROM labelled UNION ALL
-  SELECT session, w, subject, is_valid, e, signal_quality, roi, roi_severity FROM labelled UNION ALL
-  SELECT session, w, subject, is_valid, e, signal_quality, kind, 1 - score FROM labelled)"""
+  SELECT session, w, subject, is_valid, e, signal_quality, light AS type, light_severity AS severity FROM labelled WHERE is_valid UNION ALL
+  SELECT session, w, subject, is_valid, e, signal_quality, moves, moves_severity FROM labelled WHERE is_valid UNION ALL
+  SELECT session, w, subject, is_valid, e, signal_quality, roi, roi_severity FROM labelled WHERE is_valid UNION ALL
+  SELECT session, w, subject, is_valid, e, signal_quality, kind, 1 - score FROM labelled WHERE is_valid)"""
 
 
 @query(f"WITH {LABELLED}, {CONDITIONS} SELECT session, w, type, {r4('severity')} AS severity FROM conditions")
@@ -75,7 +75,7 @@ def j5_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {LABELLED} SELECT session, w, CASE WHEN is_valid THEN {r4('abs(e)')} END AS abs_error, CASE WHEN is_valid THEN {r4('e')} END AS bias,
-  light <> 'lighting_normal' AS has_lighting, moves <> 'motion_none' AS has_motion, roi <> 'roi_stable' AS has_roi FROM labelled""")
+  is_valid AND light <> 'lighting_normal' AS has_lighting, is_valid AND moves <> 'motion_none' AS has_motion, is_valid AND roi <> 'roi_stable' AS has_roi FROM labelled""")
 def f16_window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     has = lambda *kinds: F.exists("conditions", lambda c: c.type.isin(*kinds))
     return labelled(spark, sf_dir).select("session", "w", F.when(F.col("is_valid"), rounded(F.abs("e"))).alias("abs_error"), F.when(F.col("is_valid"), rounded(F.col("e"))).alias("bias"),

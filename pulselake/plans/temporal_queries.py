@@ -66,15 +66,28 @@ def g6_uncertain_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.run(s, "uncertain_rate")
 
 
-@query()
+def _from_zero(first: str, row: str, step: str) -> str:
+    """SQL of a fold: k begins at seq 0 with `first`, `row` is each next row's expressions and `step` the next state from them."""
+    return f"k AS (SELECT DISTINCT session, 0::BIGINT AS seq, {first} FROM s UNION ALL SELECT session, seq, {step} FROM (SELECT s.session, s.seq, {row} FROM k JOIN s ON s.session = k.session AND s.seq = k.seq + 1) n)"
+
+
+_SQI = "(event_id % 101)::DOUBLE"
+
+
+@query(f"""WITH RECURSIVE {SIGNAL}, s AS (SELECT session, seq, x / 10 AS x FROM signal),
+{_from_zero("0.0::DOUBLE AS fast, 0.0::DOUBLE AS slow, 0.0::DOUBLE AS score, false AS moving, 0 AS spare", "0.5 * s.x + 0.5 * k.fast AS f, 0.04 * s.x + 0.96 * k.slow AS l, round(greatest(0.0, 0.5 * s.x + 0.5 * k.fast - 0.6 * (0.04 * s.x + 0.96 * k.slow)), 3) AS sc, k.moving, k.spare",
+ "f, l, sc, CASE WHEN sc > 2.5 THEN true WHEN sc < 1.5 THEN moving AND spare > 0 ELSE moving END, CASE WHEN sc > 2.5 THEN 20 WHEN sc < 1.5 THEN greatest(0, spare - 1) ELSE spare END")}
+SELECT session, seq, score, moving FROM k WHERE seq > 0""")
 def g9_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fold("motion")(spark, sf_dir)
+    return folds.run(_seq(signal(spark, sf_dir)).withColumn("x", F.col("x") / 10), "motion")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SIGNAL}, s AS (SELECT session, seq, median(x / 100) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS m FROM signal),
+{_from_zero("'RESTING' AS state, 0.0::DOUBLE AS median", "s.m, k.state", "CASE WHEN m > 0.85 THEN 'PANTING' WHEN state = 'RESTING' THEN CASE WHEN m > 0.35 THEN 'ACTIVE' ELSE state END WHEN state = 'ACTIVE' THEN CASE WHEN m < 0.28 THEN 'RESTING' ELSE state END WHEN m >= 0.70 THEN state WHEN m >= 0.28 THEN 'ACTIVE' ELSE 'RESTING' END, m")}
+SELECT session, seq, state, {r4("median")} AS median FROM k WHERE seq > 0""")
 def g11_physio_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _seq(signal(spark, sf_dir)).withColumn("x", F.col("x") / 100)
-    return folds.run(s, "physio_state")
+    return folds.run(s, "physio_state").withColumn("median", rounded(F.col("median")))
 
 
 @query()
@@ -83,14 +96,43 @@ def g13_sustained_arrhythmia(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.run(s, "sustained_arrhythmia")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SIGNAL}, s AS (SELECT session, seq, x + 22 AS x, {_SQI} AS sqi FROM signal),
+{_from_zero("0 AS n, 72.0::DOUBLE AS mean, 8.0::DOUBLE AS deviation, 0.0::DOUBLE AS x", "s.x AS v, s.x > 0 AND s.sqi >= 35 AS ok, k.n, k.mean, k.deviation, CASE WHEN k.n < 30 THEN 0.12 ELSE 0.04 END::DOUBLE AS a",
+ "n + ok::INT, CASE WHEN ok THEN (1 - a) * mean + a * v ELSE mean END, CASE WHEN ok THEN greatest(1.5, (1 - a) * deviation + a * abs(v - mean)) ELSE deviation END, v")},
+z AS (SELECT *, CASE WHEN n >= 20 AND x > 0 THEN (x - mean) / deviation END AS z FROM k WHERE seq > 0)
+SELECT session, seq, {r4("z")} AS z, CASE WHEN z > 2 THEN 'HIGH' WHEN z < -2 THEN 'LOW' WHEN z > 1 THEN 'ELEVATED' WHEN z < -1 THEN 'SUPPRESSED' WHEN z IS NOT NULL THEN 'NORMAL' END AS label, {r4("mean")} AS mean, {r4("deviation")} AS deviation FROM z""")
 def g15_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fold("baseline")(spark, sf_dir)
+    s = _seq(signal(spark, sf_dir)).withColumn("x", F.col("x") + 22).withColumn("sqi", F.pmod("event_id", F.lit(101)).cast("double"))
+    out = folds.run(s, "baseline")
+    return out.select("session", "seq", "label", *(rounded(F.col(c)).alias(c) for c in ("z", "mean", "deviation")))
 
 
-@query()
+_DECLINE = "CASE WHEN state = 'STABLE' AND c < 40 THEN low + 1 WHEN state = 'STABLE' THEN 0 ELSE low END"
+
+
+@query(f"""WITH RECURSIVE {SIGNAL}, c AS (SELECT session, seq, ((seq // 8) * 37 + event_id % 20) % 101 AS c FROM signal),
+s AS (SELECT *, CASE WHEN count(*) OVER w >= 3 THEN greatest(-1.0, least(1.0, 10 * regr_slope(c / 100, seq) OVER w)) ELSE 0.0 END AS slope FROM c WINDOW w AS (PARTITION BY session ORDER BY seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+k AS (SELECT DISTINCT session, 0::BIGINT AS seq, 'WARMUP' AS state, 0 AS frames, 0 AS low, 0 AS up, 0.0::DOUBLE AS trend FROM s UNION ALL
+SELECT session, seq, after, CASE WHEN after <> state THEN 1 ELSE frames + 1 END, CASE WHEN after <> state THEN 0 WHEN state = 'DEGRADING' THEN low1 + 1 ELSE low1 END,
+  CASE WHEN after <> state THEN 0 WHEN state = 'UNCERTAIN' AND c > 60 THEN up + 1 WHEN state = 'RECOVERING' THEN up + 1 ELSE up END, slope
+FROM (SELECT *, CASE state WHEN 'WARMUP' THEN CASE WHEN frames >= 15 AND c >= 60 THEN 'STABLE' WHEN frames >= 30 THEN 'UNCERTAIN' ELSE state END WHEN 'STABLE' THEN CASE WHEN low1 >= 5 THEN 'DEGRADING' ELSE state END
+   WHEN 'DEGRADING' THEN CASE WHEN c >= 60 THEN 'STABLE' WHEN low1 >= 10 THEN 'UNCERTAIN' ELSE state END WHEN 'UNCERTAIN' THEN CASE WHEN c < 20 THEN 'INVALID' WHEN c >= 60 THEN 'STABLE' WHEN c >= 40 AND up >= 3 THEN 'RECOVERING' ELSE state END
+   WHEN 'RECOVERING' THEN CASE WHEN c >= 60 THEN 'STABLE' WHEN c < 40 THEN 'DEGRADING' WHEN up >= 6 THEN 'UNCERTAIN' ELSE state END ELSE CASE WHEN c > 50 THEN 'RECOVERING' WHEN frames >= 30 THEN 'UNCERTAIN' ELSE state END END AS after
+  FROM (SELECT s.session, s.seq, s.c, s.slope, k.state, k.frames, k.up, {_DECLINE} AS low1 FROM k JOIN s ON s.session = k.session AND s.seq = k.seq + 1) n) m)
+SELECT session, seq, state, {r4("trend")} AS trend FROM k WHERE seq > 0""")
 def g16_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fold("reliability")(spark, sf_dir)
+    """The confidence holds for eight frames, about."""
+    s = _seq(signal(spark, sf_dir))
+    c = F.pmod(F.floor(F.col("seq") / 8) * 37 + F.pmod("event_id", F.lit(20)), F.lit(101)).cast("double")
+    return folds.run(s.withColumn("x", c), "reliability").withColumn("trend", rounded(F.col("trend")))
+
+
+@query(f"""WITH RECURSIVE {SIGNAL}, s AS (SELECT session, seq, CASE WHEN event_id % 5 = 0 THEN 10 ELSE (event_id % 32)::DOUBLE END AS sqi FROM signal),
+{_from_zero("0 AS bad, 0 AS rest, false AS excluded", "k.bad, k.rest, CASE WHEN s.sqi < 30 THEN k.bad + 1 ELSE greatest(0, k.bad - 2) END AS b", "CASE WHEN rest > 0 THEN bad WHEN b >= 90 THEN 0 ELSE b END, CASE WHEN rest > 0 THEN rest - 1 WHEN b >= 90 THEN 44 ELSE 0 END, rest > 0")}
+SELECT session, seq, bad::BIGINT AS bad, excluded FROM k WHERE seq > 0""")
+def g23_region_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sqi = F.when(F.pmod("event_id", F.lit(5)) == 0, 10.0).otherwise(F.pmod("event_id", F.lit(32)).cast("double"))
+    return folds.run(_seq(signal(spark, sf_dir)).withColumn("sqi", sqi), "region_state")
 
 
 @query()
@@ -164,23 +206,28 @@ def g18_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("session", "seq", ((F.col("n") == 30) & (F.col("sd") < 1)).alias("stagnant"), (off > 30).alias("far"), ((F.pmod("event_id", F.lit(101)) < 30) & (off < 5)).alias("underconfident"))
 
 
-@query(f"""WITH {SIGNAL}, p AS (SELECT session, seq, roi, avg(CASE WHEN roi = 'view' THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY session ORDER BY seq) AS a, sum(CASE WHEN roi = 'view' THEN power(0.5, 0) ELSE 0 END) OVER (PARTITION BY session ORDER BY seq) AS alpha, count(*) OVER (PARTITION BY session ORDER BY seq) AS n FROM signal)
-SELECT session, seq, {r4('(1 + alpha) / (2 + n)')} AS weight FROM p""")
+_AGREE = """exp(-abs(x - fused) / 12) * CASE WHEN x / fused > 0.45 AND x / fused < 0.55 THEN 0.4 WHEN x / fused > 1.8 AND x / fused < 2.2 THEN 0.3 ELSE 1.0 END * CASE WHEN x > 145 THEN 0.15 WHEN x > 135 THEN 0.3 WHEN x > 130 THEN 0.5 ELSE 1.0 END
+  * CASE WHEN x > 130 AND sqi < 80 THEN 0.5 ELSE 1.0 END * CASE WHEN x > 130 AND forehead THEN 0.15 ELSE 1.0 END"""
+
+
+@query(f"""WITH RECURSIVE {SIGNAL}, s AS (SELECT session, seq, CASE WHEN x > 0 AND sqi > 0 THEN sqi / 100 * {_AGREE} END AS good FROM (SELECT session, seq, 2 * x AS x, {_SQI} AS sqi, 60.0 + event_id % 40 AS fused, roi = 'view' AS forehead FROM signal)),
+{_from_zero("0.0::DOUBLE AS up, 0.0::DOUBLE AS down", "k.up, k.down, s.good", "CASE WHEN good IS NULL THEN up ELSE 0.999 * (up + good) END, CASE WHEN good IS NULL THEN down ELSE 0.999 * (down + 1 - good) END")}
+SELECT session, seq, {r4("(2 + up) / (4 + up + down)")} AS weight, {r4("sqrt((2 + up) * (2 + down) / ((4 + up + down) ** 2 * (5 + up + down) + 1e-9))")} AS deviation FROM k WHERE seq > 0""")
 def g19_learned_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean of a Beta belief that good frames raise and others lower (here without decay, so it is a running count)."""
-    w = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    good = F.sum(F.when(F.col("roi") == "view", 1.0).otherwise(0.0)).over(w)
-    return _seq(signal(spark, sf_dir)).select("session", "seq", rounded((1 + good) / (2 + F.count("*").over(w))).alias("weight"))
+    s = _seq(signal(spark, sf_dir)).withColumns({"x": 2 * F.col("x"), "sqi": F.pmod("event_id", F.lit(101)).cast("double"), "fused": 60.0 + F.pmod("event_id", F.lit(40)), "forehead": F.col("roi") == "view"})
+    return folds.run(s, "region_weight").select("session", "seq", rounded(F.col("weight")).alias("weight"), rounded(F.col("deviation")).alias("deviation"))
 
 
-@query(f"""WITH {SIGNAL}, p AS (SELECT session, seq, 1.5 * (x / 50 - 1) + 0.8 * ((event_id % 101) / 100.0 - 0.5) + CASE WHEN roi = 'error' THEN -1.0 ELSE 0.5 END AS z, lag(x) OVER (PARTITION BY session ORDER BY seq) AS before, x FROM signal)
-SELECT session, seq, {r4('1 / (1 + exp(-z))')} AS posterior, {r4('0.35 / (1 + exp(-z)) + 0.65 * coalesce(before / 100, 1 / (1 + exp(-z)))')} AS blended FROM p""")
+@query(f"""WITH RECURSIVE {SIGNAL}, e AS (SELECT session, seq, 60 + x AS x, 60 + lag(x) OVER w AS before, event_id % 13 - 1 AS snr, (event_id % 10) / 10.0 AS conc, avg((event_id % 7) / 6.0) OVER (w ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS reg, (event_id % 9) / 3.0 AS motion, event_id % 15 AS drift, 1 + (event_id % 11) / 10.0 AS ratio FROM signal WINDOW w AS (PARTITION BY session ORDER BY seq)),
+b AS (SELECT *, CASE WHEN x > 145 THEN -8.0 WHEN x > 135 THEN -5.0 WHEN x > 130 THEN -3.0 WHEN x > 115 AND motion < 1 THEN -2.0 ELSE 0.0 END AS bio, abs(x - coalesce(before, x)) AS jump FROM e),
+s AS (SELECT session, seq, bio, 1.5 * (snr - 6) / 4 + 0.8 * (conc - 0.3) / 0.2 + 0.5 * (reg - 0.5) / 0.3 + ln(exp(-motion / 3) + 1e-9) + ln(exp(-greatest(0.0, drift - 8) / 5) + 1e-9) + bio
+  + CASE WHEN ratio < 1.3 THEN -5.0 WHEN ratio < 1.8 THEN -1.5 ELSE 0.0 END + CASE WHEN jump > 30 THEN -6.0 WHEN jump > 20 THEN -4.0 WHEN jump > 12 THEN -2.5 ELSE 0.0 END AS odds FROM b),
+{_from_zero("-1.0::DOUBLE AS sqi, 0.0::DOUBLE AS odds", "s.odds AS o, s.bio, k.sqi", "round(greatest(0.0, least(100.0, 100 * CASE WHEN sqi >= 0 AND bio >= -4 THEN 0.35 / (1 + exp(-o)) + 0.65 * sqi / 100 ELSE 1 / (1 + exp(-o)) END)), 1), o")}
+SELECT session, seq, sqi, {r4("odds")} AS log_odds FROM k WHERE seq > 0""")
 def g20_posterior_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sum of log odds as a probability, blended with the one before."""
-    z = 1.5 * (F.col("x") / 50 - 1) + 0.8 * (F.pmod("event_id", F.lit(101)) / 100.0 - 0.5) + F.when(F.col("roi") == "error", -1.0).otherwise(0.5)
-    p = 1 / (1 + F.exp(-z))
-    s = _seq(signal(spark, sf_dir)).withColumn("p", p).withColumn("before", F.lag("x").over(_ordered()) / 100)
-    return s.select("session", "seq", rounded(F.col("p")).alias("posterior"), rounded(0.35 * F.col("p") + 0.65 * F.coalesce("before", "p")).alias("blended"))
+    of = lambda n, by=1.0: F.pmod("event_id", F.lit(n)) / F.lit(by)
+    s = _seq(signal(spark, sf_dir)).withColumns({"x": 60 + F.col("x"), "snr_db": of(13) - 1, "concentration": of(10, 10.0), "regularity": of(7, 6.0), "motion": of(9, 3.0), "drift": of(15), "peak_ratio": 1 + of(11, 10.0)})
+    return folds.run(s, "posterior_quality").withColumn("log_odds", rounded(F.col("log_odds")))
 
 
 @query(f"""WITH {SIGNAL} SELECT session, seq, {r4("last_value(CASE WHEN roi <> 'error' THEN x END IGNORE NULLS) OVER (PARTITION BY session ORDER BY t RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)")} AS shown FROM signal""")
@@ -190,13 +237,18 @@ def g22_holdover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seq(signal(spark, sf_dir)).select("session", "seq", rounded(F.last(F.when(F.col("roi") != "error", F.col("x")), ignorenulls=True).over(w)).alias("shown"))
 
 
-@query(f"""WITH {SIGNAL}, f AS (SELECT session, seq, x, avg(x) OVER w AS m, stddev_pop(x) OVER w AS sd FROM signal WINDOW w AS (PARTITION BY session ORDER BY seq ROWS BETWEEN 179 PRECEDING AND CURRENT ROW))
-SELECT session, seq, {r4('0.4 * m / 100 + 0.3 * exp(-abs(x - m) / 50) + 0.2 * exp(-sd / 10) + 0.1')} AS score, CASE WHEN 0.4 * m / 100 + 0.3 * exp(-abs(x - m) / 50) + 0.2 * exp(-sd / 10) + 0.1 >= 0.75 THEN 'HIGH' WHEN 0.4 * m / 100 + 0.3 * exp(-abs(x - m) / 50) + 0.2 * exp(-sd / 10) + 0.1 >= 0.45 THEN 'MEDIUM' ELSE 'LOW' END AS label FROM f""")
+_GOOD = "FILTER (WHERE NOT moving AND sqi >= 30"
+
+
+@query(f"""WITH RECURSIVE {SIGNAL}, f AS (SELECT session, seq, x, {_SQI} AS sqi, roi = 'error' AS moving, 0.5 + (event_id % 11) / 20.0 AS agree, event_id % 3 AS regions, event_id % 17 = 0 AS hard FROM signal),
+l AS (SELECT *, list(sqi) {_GOOD}) OVER o AS q, list(x) {_GOOD} AND x > 0) OVER o AS b, list(agree) {_GOOD}) OVER o AS a, avg(moving::INT) OVER (o ROWS BETWEEN 179 PRECEDING AND CURRENT ROW) AS moved FROM f WINDOW o AS (PARTITION BY session ORDER BY seq)),
+m AS (SELECT session, seq, hard, regions, moved, len(q) AS n, list_avg(q[-180:]) AS q, list_avg(a[-180:]) AS a, CASE WHEN len(b) >= 5 THEN exp(-list_stddev_pop(b[-180:]) / 10) ELSE 0.5 END AS steady FROM l),
+s AS (SELECT session, seq, hard, CASE WHEN n >= 10 THEN greatest(0.0, least(100.0, 100 * (0.4 * q / 100 + 0.3 * a + 0.2 * steady + 0.1 * (1 - moved)) * greatest(0.4, a) * CASE WHEN regions >= 2 THEN 1.0 ELSE 0.85 END)) END AS i FROM m),
+{_from_zero("0.0::DOUBLE AS ema, false AS ready", "s.i, s.hard, k.ema", "CASE WHEN i IS NULL THEN ema ELSE CASE WHEN ema = 0 THEN i ELSE 0.25 * i + 0.75 * ema END * CASE WHEN hard THEN 0.85 ELSE 1.0 END END, i IS NOT NULL")}
+SELECT session, seq, {r4("CASE WHEN ready THEN ema ELSE 0 END")} AS confidence, CASE WHEN NOT ready THEN 'POOR' WHEN ema >= 75 THEN 'GOOD' WHEN ema >= 45 THEN 'FAIR' ELSE 'POOR' END AS label FROM k WHERE seq > 0""")
 def g7_session_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _ordered(179)
-    m = F.avg("x").over(w)
-    s = _seq(signal(spark, sf_dir)).withColumn("score", 0.4 * m / 100 + 0.3 * F.exp(-F.abs(F.col("x") - m) / 50) + 0.2 * F.exp(-F.stddev_pop("x").over(w) / 10) + 0.1)
-    return s.select("session", "seq", rounded(F.col("score")).alias("score"), F.when(F.col("score") >= 0.75, "HIGH").when(F.col("score") >= 0.45, "MEDIUM").otherwise("LOW").alias("label"))
+    s = _seq(signal(spark, sf_dir)).withColumns({"sqi": F.pmod("event_id", F.lit(101)).cast("double"), "moving": F.col("roi") == "error", "agreement": 0.5 + F.pmod("event_id", F.lit(11)) / 20.0, "regions": F.pmod("event_id", F.lit(3)), "hard": F.pmod("event_id", F.lit(17)) == 0})
+    return folds.run(s, "session_confidence").withColumn("confidence", rounded(F.col("confidence")))
 
 
 @query()
