@@ -93,23 +93,24 @@ def word_scores(words: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best label of each word (scores: words of all texts in order); of equal paths the one that stays, then the first language."""
-    labels = np.zeros(len(scores), np.int8)
+    kind = np.int8 if scores.shape[1] <= 127 else np.int32
+    labels = np.zeros(len(scores), kind)
     order = np.argsort(-counts, kind="stable")
     first, length = starts(counts)[:-1][order], counts[order]
     alive = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), side="right")  # texts that have a word at each step
     best = np.zeros((len(counts), scores.shape[1]), np.float32)
-    back = np.zeros(scores.shape, np.int8)
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    back = np.zeros(scores.shape, kind)
+    own = np.arange(scores.shape[1], dtype=kind)
     for t, k in enumerate(alive):
         at, now = first[:k] + t, best[:k]
         if t:
             top = now.argmax(1)
             most = now[np.arange(k), top] - switch
             moves = most[:, None] > now
-            back[at] = np.where(moves, top[:, None].astype(np.int8), own)
+            back[at] = np.where(moves, top[:, None].astype(kind), own)
             now = np.where(moves, most[:, None], now)
         best[:k] = now + scores[at]
-    state = best.argmax(1).astype(np.int8)
+    state = best.argmax(1).astype(kind)
     for t in range(len(alive) - 1, -1, -1):
         k = alive[t]
         at = first[:k] + t
@@ -170,7 +171,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
             scores, letters = word_scores(words, model) if len(langs) else (np.zeros((len(words), 1), np.float32), np.zeros(len(words), np.int64))
             labels = viterbi(scores[codes], counts, switch)
             doc = np.repeat(np.arange(len(counts)), counts)
-            weight = np.bincount(doc * max(len(langs), 1) + labels, letters[codes], len(counts) * max(len(langs), 1)).reshape(len(counts), -1)
+            weight = np.bincount(doc * max(len(langs), 1) + labels.astype(np.int64), letters[codes], len(counts) * max(len(langs), 1)).reshape(len(counts), -1)
             total = weight.sum(1)
             known = total > 0
             new = np.concatenate(([True], (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1]))) if len(labels) else np.zeros(0, bool)

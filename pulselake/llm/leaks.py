@@ -64,7 +64,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("version"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     items = with_shingles(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), "item").drop("text")
-    items = items.where("item_id IS NOT NULL AND size(item) > 0").dropDuplicates().withColumn("length", F.size("item"))
+    items = items.where("item_id IS NOT NULL AND size(item) > 0").dropDuplicates().withColumns({"length": F.size("item"), "version": F.xxhash64("item")})
     items = written(items, "items")
     known = sent(items.select("length", F.explode("item").alias("h")).distinct(), MOST_SENT)
 
@@ -74,15 +74,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     some = hits.select("doc_id", "version").distinct()
     found = with_shingles(docs.join(sent(some, MOST_SENT), ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"]), "runs").drop("text")
 
-    windows = found.join(hits, ["doc_id", "version"]).withColumn("at", F.explode("hits")).withColumn("at", F.greatest(F.lit(0), F.least("at", F.size("runs") - F.col("length"))))
-    inside = F.expr("size(filter(hits, p -> p >= at AND p < at + length))")
-    windows = windows.withColumn("runs", F.expr("slice(runs, at + 1, length)")).where(inside >= SIMILAR * F.size("runs")).where(F.size("runs") >= SIMILAR * F.col("length"))
+    windows = found.join(hits, ["doc_id", "version"]).where(F.size("runs") >= SIMILAR * F.col("length")).select("*", F.posexplode("hits").alias("i", "begin"))
+    windows = windows.withColumn("at", F.greatest(F.lit(0), F.least("begin", F.size("runs") - F.col("length")))).withColumn("need", F.ceil(SIMILAR * F.least("length", F.size("runs")) - 1e-9).cast("int"))
+    # places are ascending: enough lie in the window if the one `need` further, or `need` before the end, does
+    inside = F.when(F.col("at") == F.col("begin"), F.get("hits", F.col("i") + F.col("need") - 1) < F.col("at") + F.col("length")).otherwise(F.get("hits", F.size("hits") - F.col("need")) >= F.col("at"))
+    windows = windows.where(inside).withColumn("runs", F.expr("slice(runs, at + 1, length)"))
     windows = written(windows.select("doc_id", "version", "length", "at", "runs").distinct(), "windows")
 
     prints = _cut(_fingerprints(windows, ["doc_id", "version", "length", "at"], "runs"))
-    of_items = _cut(_fingerprints(items, ["item_id", "item", "length"], "item").withColumnRenamed("print", "item_print").withColumn("print", F.col("item_print"))).drop("print")
+    of_items = _cut(_fingerprints(items, ["item_id", "version", "length"], "item").withColumnRenamed("print", "item_print").withColumn("print", F.col("item_print"))).drop("print").withColumnRenamed("version", "item_version")
     met = prints.join(sent(of_items, MOST_SENT), ["length", "block", "bits"]).where(F.bit_count(F.expr("print ^ item_print")) <= RADIUS)
-    met = met.select("doc_id", "version", "length", "at", "item_id", "item").distinct().join(windows, ["doc_id", "version", "length", "at"])
+    met = met.select("doc_id", "version", "length", "at", "item_id", "item_version").distinct().join(windows, ["doc_id", "version", "length", "at"])
+    met = met.join(items.select("item_id", F.col("version").alias("item_version"), "item"), ["item_id", "item_version"])
     both = F.expr("aggregate(array_distinct(item), 0, (n, h) -> n + least(size(filter(item, x -> x = h)), size(filter(runs, x -> x = h))))")
     scored = met.withColumn("both", both).withColumn("similarity", F.col("both") / (F.size("item") + F.size("runs") - F.col("both")))
     best = scored.where(F.col("similarity") >= SIMILAR).groupBy("doc_id", "version", "item_id").agg(F.max(F.struct("similarity", (-F.col("at")).alias("first"))).alias("best"))

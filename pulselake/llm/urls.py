@@ -1,8 +1,9 @@
 """URL filters over a sorted array of 64-bit digests, memory-mapped by each task.
 
 A list of entries (host, or host and beginning of the path) is a file: the sorted xxhash digests of the entries, then the
-entries. A url asks for each suffix of its host together with each beginning of its path that could be an entry; the
-digests asked for are searched for together, and a hit counts only if the stored entry is the string asked for.
+entries, and a second one of the entries' hosts with the lengths of path that entries of the host have. A url asks for the
+suffixes of its host, then for each that is listed with the beginnings of its path of those lengths; all digests asked for
+by a batch are searched for together, and a hit counts only if the stored entry is the string asked for.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Larger lists are joined instead of sent to every executor.
 MOST_BYTES = 256 << 20
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: The contract's rules: entry and verdict.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -32,16 +33,11 @@ RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow
 LISTED = tuple(f"{name}.example.{top}" for name in ("spam-farm", "cheap-pills", "casino-win") for top in ("com", "net", "org"))
 
 
-def parts(url: str | None) -> tuple[str, str]:
-    """Host, A-Z lower-cased, and path; both empty without `://`."""
-    _, found, rest = (url or "").partition("://")
-    if not found:
-        return "", ""
-    ends = [i for i in map(rest.find, "/?#") if i >= 0]
-    host = rest[: min(ends, default=len(rest))]
-    tail = rest[len(host) :]
-    ends = [i for i in map(tail.find, "?#") if i >= 0]
-    return host.translate(LOWER), tail[: min(ends, default=len(tail))]
+def parts(url: Column) -> tuple[Column, Column]:
+    """Host, A-Z lower-cased, and path; both empty without `://` (or for null)."""
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substr(url, at + 3)).otherwise("")
+    return F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, UPPER.lower()), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
 def suffixes(host: str) -> Iterator[str]:
@@ -50,9 +46,9 @@ def suffixes(host: str) -> Iterator[str]:
         _, _, host = host.partition(".")
 
 
-def asked(host: str, path: str, lengths: tuple[int, ...]) -> list[str]:
-    """The entries that would fit, the longest first (of the same length, the longer host first)."""
-    found = [(s, n) for s in suffixes(host) for n in lengths if n <= len(path)]
+def asked(host: str, path: str, lengths: dict[str, list[int]]) -> list[str]:
+    """The entries that would fit, the longest first (of the same length, the longer host first); lengths: of paths, by host."""
+    found = [(s, n) for s in suffixes(host) for n in lengths.get(s, ()) if n <= len(path)]
     return [s + path[:n] for s, n in sorted(found, key=lambda x: (-len(x[0]) - x[1], -len(x[0])))]
 
 
@@ -68,7 +64,7 @@ class DigestArray:
 
     @staticmethod
     def save(entries: list[str], file: str) -> None:
-        rows = sorted((xxhash.xxh64_intdigest(e.encode()), e.encode()) for e in set(entries))
+        rows = sorted((xxhash.xxh64_intdigest(e.partition(" ")[0].encode()), e.encode()) for e in set(entries))  # entries have no spaces; numbers may follow one
         with open(file, "wb") as out:
             out.write(np.array([len(rows), *(d for d, _ in rows)], "<u8").tobytes())
             out.write(np.cumsum([0, *(len(e) for _, e in rows)]).astype("<u8").tobytes())
@@ -77,6 +73,19 @@ class DigestArray:
     def entry(self, i: int) -> bytes:
         return self.strings[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
+    def numbers(self, keys: list[str]) -> dict[str, list[int]]:
+        """The numbers stored behind those keys that are entries."""
+        out: dict[str, list[int]] = {}
+        raw = [k.encode() for k in keys]
+        digests = np.fromiter((xxhash.xxh64_intdigest(k) for k in raw), np.uint64, len(raw))
+        first, end = np.searchsorted(self.digests, digests), np.searchsorted(self.digests, digests, side="right")
+        for i in np.flatnonzero(first < end):
+            for j in range(first[i], end[i]):
+                name, *numbers = self.entry(j).split(b" ")
+                if name == raw[i]:
+                    out[keys[i]] = [int(n) for n in numbers]
+        return out
+
     def has(self, keys: list[str]) -> np.ndarray:
         """Which keys are entries: one binary search for all, then the strings of equal digests are compared."""
         raw = [k.encode() for k in keys]
@@ -91,51 +100,56 @@ class DigestArray:
         return found
 
 
-def _shipped(spark: SparkSession, entries: list[str]) -> str:
-    """Writes the list and sends the file to every executor; its name there."""
-    name = f"digests-{uuid.uuid4().hex}.bin"
-    folder = tempfile.mkdtemp(prefix="pulselake-")  # executors that start later ask the driver for it, so it stays until the driver ends
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    DigestArray.save(entries, f"{folder}/{name}")
-    spark.sparkContext.addFile(f"{folder}/{name}")
-    return name
+def _host(entry: str) -> str:
+    return entry.partition("/")[0]
 
 
-def _schema(df: DataFrame, *more: tuple[str, str]) -> T.StructType:
-    return T.StructType([*df.schema.fields, *(T.StructField(n, T.ArrayType(T.StringType()) if t == "array" else T.StringType()) for n, t in more)])
+def _shipped(spark: SparkSession, entries: list[str]) -> tuple[str, str]:
+    """Writes the list and sends its files to every executor; their names there: entries, and `host length length ...` by host."""
+    lengths: dict[str, set[int]] = {}
+    for e in entries:
+        lengths.setdefault(_host(e), set()).add(len(e) - len(_host(e)))
+    folder = tempfile.mkdtemp(prefix="pulselake-")  # executors that start later ask the driver for it, so it stays until the driver ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    names = []
+    for rows in (entries, [" ".join([h, *map(str, sorted(n))]) for h, n in lengths.items()]):
+        names.append(f"digests-{uuid.uuid4().hex}.bin")
+        DigestArray.save(rows, f"{folder}/{names[-1]}")
+        spark.sparkContext.addFile(f"{folder}/{names[-1]}")
+    return names[0], names[1]
 
 
 def matched(urls: DataFrame, entries: DataFrame, out: str, most_bytes: int = MOST_BYTES) -> DataFrame:
     """urls (host, path, ...) with a column `out`: the longest row of entries (entry string) that fits, else null.
 
     An entry fits its host and all subdomains whose url's path begins with the entry's. Lists over most_bytes aren't sent
-    out: then each url's askable entries are joined with the list. Null entries are left out, repeated ones count once.
+    out: then each url's suffixes are joined with the list's hosts and what they ask for with the list. Null entries are left
+    out, repeated ones count once.
     """
     spark = urls.sparkSession
-    entries = entries.select("entry").where(F.col("entry").isNotNull())
+    entries = entries.select("entry").where(F.col("entry").isNotNull()).distinct()
     size = entries.agg(F.sum(F.octet_length("entry") + 16)).first()[0] or 0
-    lengths = tuple(sorted(r[0] for r in entries.select(F.length("entry") - F.length(F.substring_index("entry", "/", 1))).distinct().collect()))
     if size <= most_bytes:
-        name = _shipped(spark, [r[0] for r in entries.collect()])
+        names = _shipped(spark, [r[0] for r in entries.collect()])
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = DigestArray(SparkFiles.get(name))
+            found, hosts = (DigestArray(SparkFiles.get(n)) for n in names)
             for b in batches:
-                keys = [asked(h, p, lengths) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
+                sides = list(zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True))
+                lengths = hosts.numbers(sorted({s for h, _ in sides for s in suffixes(h or "")}))
+                keys = [asked(h or "", p or "", lengths) for h, p in sides]
                 hit = iter(found.has([k for ks in keys for k in ks]))
                 best = [next((k for k, x in [(k, next(hit)) for k in ks] if x), None) for ks in keys]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.string())], [*b.schema.names, out])
 
-        return urls.mapInArrow(probe, _schema(urls, (out, "string")))
+        return urls.mapInArrow(probe, T.StructType([*urls.schema.fields, T.StructField(out, T.StringType())]))
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [asked(h, p, lengths) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.list_(pa.string()))], [*b.schema.names, out])
-
-    hosts = urls.select("host", "path").distinct()
-    asks = hosts.mapInArrow(ask, _schema(hosts, (out, "array"))).select("host", "path", F.posexplode(out).alias("rank", "entry"))
-    best = asks.join(entries.distinct(), "entry").groupBy("host", "path").agg(F.min_by("entry", "rank").alias(out))
+    hosts = entries.select(F.substring_index("entry", "/", 1).alias("suffix"), F.length("entry").alias("n")).withColumn("n", F.col("n") - F.length("suffix")).distinct()
+    sides = urls.select("host", "path").distinct()
+    dots = F.split("host", r"\.")
+    asks = sides.withColumn("suffix", F.explode(F.transform(F.sequence(F.lit(1), F.size(dots)), lambda i: F.array_join(F.slice(dots, i, F.size(dots)), "."))))
+    asks = asks.join(hosts, "suffix").where(F.col("n") <= F.length("path")).withColumn("entry", F.concat("suffix", F.expr("substring(path, 1, n)")))
+    best = asks.join(entries, "entry").groupBy("host", "path").agg(F.max_by("entry", F.struct(F.length("entry"), F.length("suffix"))).alias(out))
     return urls.join(best, ["host", "path"], "left")
 
 
@@ -146,12 +160,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, listed:
     """
     spark = pages.sparkSession
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [parts(u) for u in b.column("url").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array([h for h, _ in found], pa.string()), pa.array([p for _, p in found], pa.string())], ["page_id", "host", "path"])
-
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")).mapInArrow(cut, "page_id long, host string, path string")
+    host, path = parts(F.col("url").cast("string"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     one = lambda values: spark.createDataFrame([(v,) for v in values], "entry string")
     rows = matched(matched(rows, one([r for r, _ in rules]), "rule"), listed if isinstance(listed, DataFrame) else one(listed), "listed")
     by_rule = F.coalesce(*(F.when(F.col("rule") == r, F.lit(v)) for r, v in rules)) if rules else F.lit(None)
