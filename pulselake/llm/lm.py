@@ -1,15 +1,18 @@
-"""LM scoring with an Elias-Fano bigram trie, sharded by context.
-
-Blocks of documents send their distinct words to hash buckets, which count them over the table and give each word a
-number; the blocks then send their word pairs to the shard of the context. A shard counts its pairs, builds the trie
-(first level: contexts and their back-off weights; second level: the contexts' successors and the quantised smoothed
-probabilities; pointers and keys as Elias-Fano sequences), maps it from a file and answers all pairs that were sent to it.
-Only sums by document come back.
-
-Smoothing: absolute discounting, p(w|h) = max(c(h,w) - D, 0) / c(h) + D n(h) / c(h) p(w), n(h) the number of h's distinct
-successors, p(w) add-one over all training tokens and one unknown word. A context that is very frequent is spread over
-shards by its successors' hash. As each pair is in one shard, its n(h) is the sum of the shards' distinct trained successors;
-it is counted before the tries are built and sent to every shard that has a part of the context.
+"""LM scoring with an Elias-Fano trigram trie, sharded by context.
+
+Blocks of documents send their distinct words to hash buckets, which count them over the table and give each word a number;
+the blocks then send their word triples to the shard of the word before. A shard counts its triples, builds the trie, maps it
+from a file and answers what was sent to it; only sums by document come back.
+
+Levels of the trie: words as contexts, with back-off weights; each one's successors; the words before each one, which make
+two-word contexts with back-off weights; and their successors, each by its place among the successors of the shorter context
+(where it must occur). Every level but the first is ranges of ascending numbers that pointers cut, laid out as one Elias-Fano
+sequence: a range goes on from the last value before it. A query walks the pointers and searches in its context's range.
+
+Smoothing: interpolated absolute discounting, p(w|h) = max(c(h,w) - D, 0) / c(h) + D n(h) / c(h) p(w|h'), n(h) the number of
+h's distinct successors, h' the shorter context, p(w) add-one over all training tokens and one unknown word. The triples of a
+word that occurs more than SPREAD times are spread over shards by the successor's hash; counts of its contexts are summed
+over the shards before the tries are built, so that scores don't depend on shards, partitions or SPREAD.
 """
 
 from __future__ import annotations
@@ -20,18 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, freed, mix, partitions, ranges, starts, written
+from .common import blocks, buckets_for, freed, mix, partitions, ranges, starts, written
 from .tokens import ENCODED_BLOCK, _dictionary, _pressed, _unpressed, totals
 
 DISCOUNT = 0.75
 #: Quantised log10 probabilities: codes 0 to 255 are 0 to LEAST in equal steps.
 LEAST = -12.0
-#: Tokens of a shard, about.
-SHARD_TOKENS = 800_000
+#: Tokens of a shard, about, and of a context word that has more than one part.
+SHARD_TOKENS, SPREAD = 800_000, 1_600_000
 END = 0  #: the number of the end token, which also is the first context of a text
 
 _ZEROS = np.array([8 - bin(b).count("1") for b in range(256)], np.int64)
@@ -101,6 +105,27 @@ class EliasFano:
         out |= np.where(shift > 0, self.low[at + 8].astype(np.uint64) << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
         return out & np.uint64((1 << self.low_bits) - 1)
 
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The values at these places."""
+        if not hasattr(self, "ones"):
+            self.ones = 64 * np.arange(len(self.before), dtype=np.int64) - self.before
+        word = np.searchsorted(self.ones, i, side="right") - 1
+        left = i - self.ones[word]
+        byte = ~self.high.reshape(-1, 8)[word]  # its zeros are the ones
+        upto = np.cumsum(_ZEROS[byte], axis=1)
+        which = np.minimum((upto <= left[:, None]).sum(1), 7)
+        row = np.arange(len(i))
+        left = left - (upto[row, which] - _ZEROS[byte[row, which]])
+        top = word * 64 + which * 8 + _PLACE[byte[row, which], left] - i
+        return (top.astype(np.uint64) << np.uint64(self.low_bits) | self.lows(i)).astype(np.int64)
+
+    def find_in(self, lo: np.ndarray, hi: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Where each value is in its range of a sequence made by laid(), or -1."""
+        if not self.n or not len(lo):
+            return np.full(len(lo), -1, np.int64)
+        at = self.find(np.where(lo > 0, self.get(np.maximum(lo - 1, 0)) + 1, 0) + values)
+        return np.where((at >= lo) & (at < hi), at, -1)
+
     def find(self, values: np.ndarray) -> np.ndarray:
         """The place of each value, or -1."""
         values = np.asarray(values, np.uint64)
@@ -126,53 +151,110 @@ class EliasFano:
         return out
 
 
+def laid(first: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Ranks that ascend in each range first[i]:first[i + 1] as one ascending sequence."""
+    n = np.diff(first)
+    step = np.zeros(len(n), np.int64)
+    step[n > 0] = rank[first[1:][n > 0] - 1] + 1
+    return rank + np.repeat(starts(step)[:-1], n)
+
+
+def _changes(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal rows begin, and each row's run."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
 class Trie:
-    """Contexts, their successors and quantised log10 probabilities, read from one memory-mapped file."""
+    """Contexts of one and two words, their successors and quantised log10 probabilities, read from one memory-mapped file."""
+
+    SEQUENCES = ("context", "known", "prior", "follow_at", "follow", "longer_at", "longer", "third_at", "third")
+    CODES = ("backoff", "code", "longer_backoff", "third_code")
 
     @staticmethod
-    def pack(context: np.ndarray, backoff: np.ndarray, first: np.ndarray, word: np.ndarray, code: np.ndarray) -> bytes:
-        """context ascending, first[i]:first[i + 1] its successors, ascending within; backoff and code quantised."""
-        known, rank = np.unique(word, return_inverse=True)
-        owner = np.repeat(np.arange(len(context)), np.diff(first))
-        parts = [EliasFano.pack(context), EliasFano.pack(known), EliasFano.pack(first), EliasFano.pack(owner * max(len(known), 1) + rank)]
-        parts += [np.array([len(backoff)], "<i8").tobytes() + backoff.tobytes() + bytes(-len(backoff) % 8), np.array([len(code)], "<i8").tobytes() + code.tobytes() + bytes(-len(code) % 8)]
+    def pack(**levels: np.ndarray) -> bytes:
+        """Words: context, known (successors), prior (words before a context), ascending. Ranges: follow (ranks of known) and
+        longer (ranks of prior) cut by *_at for each context, third (places among the context's successors) for each longer one."""
+        parts = [EliasFano.pack(levels[n]) for n in Trie.SEQUENCES]
+        parts += [np.array([len(levels[n])], "<i8").tobytes() + levels[n].tobytes() + bytes(-len(levels[n]) % 8) for n in Trie.CODES]
         return b"".join(parts)
 
     def __init__(self, file: str):
-        data = np.memmap(file, np.uint8, "r")
-        self.context, at = EliasFano.view(data, 0)
-        self.known, at = EliasFano.view(data, at)
-        self.first, at = EliasFano.view(data, at)
-        self.pairs, at = EliasFano.view(data, at)
-        n = int(data[at : at + 8].view("<i8")[0])
-        self.backoff = data[at + 8 : at + 8 + n]
-        at += 8 + n + -n % 8
-        n = int(data[at : at + 8].view("<i8")[0])
-        self.code = data[at + 8 : at + 8 + n]
-
-    def score(self, context: np.ndarray, word: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-        """log10 p(word | context), where unigram is the word's quantised log10 probability."""
-        h, w = self.context.find(context), self.known.find(word)
-        at = np.full(len(h), -1, np.int64)
-        both = np.flatnonzero((h >= 0) & (w >= 0))
-        at[both] = self.pairs.find(h[both] * max(self.known.n, 1) + w[both])  # the successor's place relative to its context
+        data, at = np.memmap(file, np.uint8, "r"), 0
+        for name in self.SEQUENCES:
+            found, at = EliasFano.view(data, at)
+            setattr(self, name, found)
+        for name in self.CODES:
+            n = int(data[at : at + 8].view("<i8")[0])
+            setattr(self, name, data[at + 8 : at + 8 + n])
+            at += 8 + n + -n % 8
+
+    def score(self, prior: np.ndarray, context: np.ndarray, word: np.ndarray, unigram: np.ndarray) -> np.ndarray:
+        """log10 p(word | prior, context), where unigram is the word's quantised log10 probability. Fastest where equal contexts stand together."""
+        value = lambda code, at: dequantised(code[at].astype(np.float64))
         out = dequantised(unigram.astype(np.float64))
-        out += np.where(h >= 0, dequantised(self.backoff[np.maximum(h, 0)].astype(np.float64)), 0.0) if len(self.backoff) else 0.0
+        begin, run = _changes(context)
+        h = self.context.find(context[begin])
+        on = np.flatnonzero(h >= 0)
+        lo, hi, longer_lo, longer_hi = (np.zeros(len(h), np.int64) for _ in range(4))
+        for ends, (x, y) in ((self.follow_at, (lo, hi)), (self.longer_at, (longer_lo, longer_hi))):
+            x[on], y[on] = ends.get(h[on]), ends.get(h[on] + 1)
+        known = (h >= 0)[run]
+        out[known] += value(self.backoff, h[run[known]])
+        rank = self.known.find(word)
+        at = np.full(len(word), -1, np.int64)
+        ask = np.flatnonzero(known & (rank >= 0))
+        at[ask] = self.follow.find_in(lo[run[ask]], hi[run[ask]], rank[ask])
         seen = np.flatnonzero(at >= 0)
-        out[seen] = dequantised(self.code[at[seen]].astype(np.float64))
+        out[seen] = value(self.code, at[seen])
+        begin, pair = _changes(context, prior)
+        own, rank = run[begin], self.prior.find(prior[begin])
+        c = np.full(len(begin), -1, np.int64)
+        ask = np.flatnonzero((h[own] >= 0) & (rank >= 0))
+        c[ask] = self.longer.find_in(longer_lo[own[ask]], longer_hi[own[ask]], rank[ask])
+        on = np.flatnonzero(c >= 0)
+        lo3, hi3 = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
+        lo3[on], hi3[on] = self.third_at.get(c[on]), self.third_at.get(c[on] + 1)
+        known = (c >= 0)[pair]
+        out[known] += value(self.longer_backoff, c[pair[known]])
+        ask = np.flatnonzero(known & (at >= 0))
+        third = self.third.find_in(lo3[pair[ask]], hi3[pair[ask]], at[ask] - lo[run[ask]])
+        out[ask[third >= 0]] = value(self.third_code, third[third >= 0])
         return out
 
 
-def build(context: np.ndarray, word: np.ndarray, times: np.ndarray, contexts: np.ndarray, context_count: np.ndarray, followers: np.ndarray, unigram: np.ndarray) -> bytes:
-    """The trie of counted pairs (sorted by context, then word; times > 0).
+def build(v: np.ndarray, u: np.ndarray, w: np.ndarray, times: np.ndarray, unigram: np.ndarray, one: tuple, two: tuple) -> bytes:
+    """The trie of counted triples (prior u, context v, word w; distinct, sorted by v, u, w; times > 0) with quantised p(w).
 
-    contexts (ascending, also those without a pair here): context_count is how often each occurs and followers how many
-    distinct successors it has, both over all data; unigram: quantised p(w) of the pairs' words.
+    one: contexts, their counts and numbers of distinct successors; two: contexts, priors, and the same of both. Contexts
+    ascend, and all have a count; these are counts over all data, the triples those of this shard.
     """
-    backoff = np.minimum(1.0, DISCOUNT * followers / context_count)
-    at = np.searchsorted(contexts, context)
-    p = (times - DISCOUNT) / context_count[at] + backoff[at] * 10 ** dequantised(unigram.astype(np.float64))
-    return Trie.pack(contexts, quantised(np.log10(backoff)), np.append(np.searchsorted(context, contexts), len(context)), word, quantised(np.log10(p)))
+    contexts, count, followers = one
+    weight = np.minimum(1.0, DISCOUNT * followers / count)
+    of = np.searchsorted(contexts, v)
+    known, rank = np.unique(w, return_inverse=True)
+    pair, place, back = _grouped(of * max(len(known), 1) + rank)
+    pair_times = np.bincount(back, times, len(pair))
+    owner = pair // max(len(known), 1)
+    p = np.maximum(pair_times - DISCOUNT, 0) / count[owner] + weight[owner] * 10 ** dequantised(unigram[place].astype(np.float64))
+    code = quantised(np.log10(p))
+    follow_at = np.searchsorted(owner, np.arange(len(contexts) + 1))
+    contexts2, priors2, count2, followers2 = two
+    weight2 = np.minimum(1.0, DISCOUNT * followers2 / count2)
+    prior, prior_rank = np.unique(priors2, return_inverse=True)
+    owner2 = np.searchsorted(contexts, contexts2)
+    longer_at = np.searchsorted(owner2, np.arange(len(contexts) + 1))
+    key2 = owner2 * max(len(prior), 1) + prior_rank  # ascending
+    of2 = np.searchsorted(key2, of * max(len(prior), 1) + np.searchsorted(prior, u))
+    p = (times - DISCOUNT) / count2[of2] + weight2[of2] * 10 ** dequantised(code[back].astype(np.float64))
+    third_at = np.searchsorted(of2, np.arange(len(key2) + 1))
+    return Trie.pack(
+        context=contexts, known=known, prior=prior, follow_at=follow_at, follow=laid(follow_at, pair % max(len(known), 1)), longer_at=longer_at, longer=laid(longer_at, prior_rank),
+        third_at=third_at, third=laid(third_at, back - follow_at[of]), backoff=quantised(np.log10(weight)), code=code, longer_backoff=quantised(np.log10(weight2)), third_code=quantised(np.log10(p)),
+    )
 
 
 def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,20 +268,16 @@ def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[new], order[new], place
 
 
-def _shares(count: np.ndarray, most: int) -> np.ndarray:
-    return 1 + count // most
-
-
 def score(docs: DataFrame, learn: Column, buckets: int | None = None, tries: bool = False) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of docs (doc_id, text, ...).
 
     Learns from the rows where learn is true (null: false). Tokens: A-Z lower-cased words between ASCII white space, then one
     end; a null text has the end alone. n_known: tokens that occur in training; base_score: the add-one unigram's log10
-    probability; score: the bigram model's. Repeated rows give repeated results. If no row is learned from, every token is
+    probability; score: the trigram model's. Repeated rows give repeated results. If no row is learned from, every token is
     unknown. docs is read twice, as in tokens.encode(). With tries=True the model instead: (shard, trie binary).
     """
     spark = docs.sparkSession
-    buckets = buckets or partitions(spark)
+    buckets = buckets or buckets_for(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
 
     def learned(batch: pa.RecordBatch) -> np.ndarray:
@@ -237,17 +315,17 @@ def score(docs: DataFrame, learn: Column, buckets: int | None = None, tries: boo
             "block": table["block"], "bucket": table["bucket"],
             "numbers": pa.array([_pressed(number[codes[i:j]].astype("<u8")) for i, j in zip(at, at[1:], strict=False)], pa.binary()),
             "times": pa.array([_pressed(times[codes[i:j]].astype("<u8")) for i, j in zip(at, at[1:], strict=False)], pa.binary()),
-            "distinct": np.where(lone, (times > 0).sum(), 0), "tokens": np.where(lone, times.sum(), 0),
+            "distinct": np.where(lone, (times > 0).sum(), 0), "tokens": np.where(lone, times.sum(), 0), "most": np.full(len(sizes), times.max(initial=0)),
         })
 
     packs = rows.mapInArrow(pack, "bucket long, block binary, words binary, times binary")
-    words = written(packs.groupBy("bucket").applyInArrow(count, "block binary, bucket long, numbers binary, times binary, distinct long, tokens long"), "words")
+    words = written(packs.groupBy("bucket").applyInArrow(count, "block binary, bucket long, numbers binary, times binary, distinct long, tokens long, most long"), "words")
     ends = rows.where("learn").count()
-    distinct, tokens = words.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    distinct, tokens, most = words.agg(*(F.coalesce(f(c), F.lit(0)) for f, c in ((F.sum, "distinct"), (F.sum, "tokens"), (F.max, "most")))).first()
     n_all, n_distinct = tokens + ends, distinct + (ends > 0)
     below = np.log10(n_all + n_distinct + 1)
     shards = max(partitions(spark), n_all // SHARD_TOKENS + 1)
-    most = max(1, n_all // (4 * shards))
+    spread = SPREAD
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, most=ENCODED_BLOCK):
@@ -257,12 +335,12 @@ def score(docs: DataFrame, learn: Column, buckets: int | None = None, tries: boo
                 "counts": [_pressed(counts.astype("<u4"))], "codes": [_pressed(codes.astype("<u4"))], "buckets": [_pressed(bucket.astype("<u4"))],
             })
 
-    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+    def numbered(left: pa.Table, right: pa.Table) -> Iterator[tuple]:
+        """Of each block: its row, the words' numbers and counts (the last: the end), and (prior, context, word, document, shard) by token."""
         known = {r["bucket"]: r for r in right.to_pylist()}
         known = [known[k] for k in sorted(known)]
         numbers = np.concatenate([_unpressed(r["numbers"], "<u8") for r in known] or [np.zeros(0, "<u8")]).astype(np.int64)
         times = np.concatenate([_unpressed(r["times"], "<u8") for r in known] or [np.zeros(0, "<u8")]).astype(np.int64)
-        out = []
         for copy, row in enumerate(left.to_pylist()):
             bucket = _unpressed(row["buckets"], "<u4")
             if len(bucket) != len(numbers):
@@ -272,104 +350,151 @@ def score(docs: DataFrame, learn: Column, buckets: int | None = None, tries: boo
             number[place], c[place] = numbers, times
             number[-1], c[-1] = END, ends
             counts = _unpressed(row["counts"], "<u4").astype(np.int64)
-            docs_n = len(counts)
             size = counts + 1
             at = starts(size)
-            code = np.full(at[-1], len(place), np.int64)
-            code[ranges(at[:-1], counts)] = _unpressed(row["codes"], "<u4")
-            before = np.empty_like(code)
-            before[1:] = code[:-1]
-            before[at[:-1]] = len(place)
-            doc = np.repeat(np.arange(docs_n), size)
+            w = np.full(at[-1], len(place), np.int64)
+            w[ranges(at[:-1], counts)] = _unpressed(row["codes"], "<u4")
+            v, u = np.empty_like(w), np.empty_like(w)
+            for x, y in ((v, w), (u, v)):
+                x[1:] = y[:-1]
+                x[at[:-1]] = len(place)
+            home = mix(number.astype(np.uint64))
+            share = 1 + c // spread
+            shard = ((home[v] + home[w] % share[v].astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+            yield copy, row, number, c, size, u, v, w, np.repeat(np.arange(len(counts)), size), shard, share
+
+    def ordered(n: int, *keys: np.ndarray) -> np.ndarray:
+        """The stable order by the keys, the first of them first; all but the first below n."""
+        if n ** (len(keys) - 1) >= 2**62:
+            return np.lexsort(keys[::-1])
+        inner = keys[1]
+        for k in keys[2:]:
+            inner = inner * n + k
+        order = np.argsort(inner, kind="stable")
+        first = keys[0][order]
+        return order[np.argsort(first.astype(np.uint16) if shards < 2**16 else first, kind="stable")]
+
+    def triples(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for copy, row, number, c, size, u, v, w, doc, shard, _ in numbered(left, right):
+            docs_n = len(size)
             log_c = np.log10(c + 1.0)
-            base = np.bincount(doc, log_c[code], docs_n) - size * below
-            n_known = totals((c > 0)[code].astype(np.int64), size)
+            base = np.bincount(doc, log_c[w], docs_n) - size * below
+            n_known = totals((c > 0)[w].astype(np.int64), size)
             block = row["block"] + copy.to_bytes(4, "little")
             unigram = quantised(log_c - below)
-            home = mix(number.astype(np.uint64))
-            share = _shares(c, most)
-            shard = ((home[before] + home[code] % share[before].astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort((shard * len(c) + before) * len(c) + code, kind="stable") if shards * len(c) ** 2 < 2**62 else np.lexsort((code, before, shard))
-            shard, before, code, doc = shard[order], before[order], code[order], doc[order]
+            order = ordered(len(c), shard, v, u, w)  # documents ascend within
+            shard, u, v, w, doc = (x[order] for x in (shard, u, v, w, doc))
+            begin, _ = _changes(shard, v, u, w, doc)
+            again = np.diff(np.append(begin, len(w)))
+            shard, u, v, w, doc = (x[begin] for x in (shard, u, v, w, doc))
             cut = starts(np.bincount(shard, minlength=shards))
-            trained = np.flatnonzero((share[before] > 1) & (np.unpackbits(np.frombuffer(row["learn"], np.uint8))[doc] > 0))
-            hot_before, hot_code = before[trained], code[trained]
-            trained = trained[(np.diff(hot_before, prepend=-1) != 0) | (np.diff(hot_code, prepend=-1) != 0)]
-            hot = np.searchsorted(trained, cut)
             info = b"".join((n_known.astype("<i8").tobytes(), size.astype("<i8").tobytes(), base.astype("<f8").tobytes()))
             out.append({"shard": int.from_bytes(block[:6], "little") % shards, "block": block, "doc_ids": row["doc_ids"], "info": info})
             for s in np.flatnonzero(np.diff(cut)):
                 i, j = cut[s], cut[s + 1]
-                new = np.flatnonzero(np.concatenate(([True], before[i + 1 : j] != before[i : j - 1])))
-                h, pairs_of = before[i:j][new], trained[hot[s] : hot[s + 1]]
-                out.append({"shard": int(s), "block": block, "hot": _pressed(number[before[pairs_of]].astype("<u8")) if len(pairs_of) else None, "hot_words": _pressed(number[code[pairs_of]].astype("<u8")) if len(pairs_of) else None,
-                            "hot_times": _pressed(c[before[pairs_of]].astype("<u8")) if len(pairs_of) else None, "learn": row["learn"], "contexts": _pressed(number[h].astype("<u8")), "times": _pressed(c[h].astype("<u8")), "runs": _pressed(np.diff(np.append(new, j - i)).astype("<u4")),
-                            "words": _pressed(number[code[i:j]].astype("<u8")), "unigrams": _pressed(unigram[code[i:j]]), "docs": _pressed(doc[i:j].astype("<u4"))})
+                new, _ = _changes(v[i:j])
+                new2, _ = _changes(v[i:j], u[i:j])
+                h = v[i:j][new]
+                out.append({"shard": int(s), "block": block, "learn": row["learn"], "contexts": _pressed(number[h].astype("<u8")), "times": _pressed(c[h].astype("<u8")), "runs": _pressed(np.diff(np.append(new, j - i)).astype("<u4")),
+                            "priors": _pressed(number[u[i:j][new2]].astype("<u8")), "prior_runs": _pressed(np.diff(np.append(new2, j - i)).astype("<u4")), "again": _pressed(again[i:j].astype("<u4")),
+                            "words": _pressed(number[w[i:j]].astype("<u8")), "unigrams": _pressed(unigram[w[i:j]]), "docs": _pressed(doc[i:j].astype("<u4"))})
             freed()
-        return pa.Table.from_pylist(out, pair_schema)
+        return pa.Table.from_pylist(out, schema)
+
+    def hot(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Of contexts that are spread: the distinct triples by shard, and how often each is trained here."""
+        out = []
+        for _, row, number, c, _, u, v, w, doc, shard, share in numbered(left, right):
+            on = np.flatnonzero(share[v] > 1)
+            if not len(on):
+                continue
+            u, v, w, shard, learn = u[on], v[on], w[on], shard[on], np.unpackbits(np.frombuffer(row["learn"], np.uint8))[doc[on]]
+            order = ordered(len(c), shard, v, u, w)
+            shard, u, v, w, learn = (x[order] for x in (shard, u, v, w, learn))
+            begin, of = _changes(shard, v, u, w)
+            trained = np.bincount(of, learn, len(begin))
+            shard, u, v, w = (x[begin] for x in (shard, u, v, w))
+            cut = starts(np.bincount(shard, minlength=shards))
+            for s in np.flatnonzero(np.diff(cut)):
+                i, j = cut[s], cut[s + 1]
+                out.append({"shard": int(s), **{n: _pressed(number[x[i:j]].astype("<u8")) for n, x in (("priors", u), ("contexts", v), ("words", w))}, "times": _pressed(trained[i:j].astype("<u8"))})
+        freed()
+        return pa.Table.from_pylist(out, hot_schema)
 
-    binary = ("block", "info", "hot", "hot_words", "hot_times", "learn", "contexts", "times", "runs", "words", "unigrams", "docs")
-    pair_schema = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in binary)])
-    pairs = rows.mapInArrow(split, "block binary, doc_ids array<long>, learn binary, counts binary, codes binary, buckets binary").groupBy("block").cogroup(words.groupBy("block"))
-    pairs = written(pairs.applyInArrow(pair, "shard long, doc_ids array<long>, " + ", ".join(f"{c} binary" for c in binary)), "pairs")
+    binary = ("block", "info", "learn", "contexts", "times", "runs", "priors", "prior_runs", "again", "words", "unigrams", "docs")
+    schema = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in binary)])
+    hot_schema = pa.schema([("shard", pa.int64()), *((c, pa.binary()) for c in ("priors", "contexts", "words", "times"))])
+    coded = rows.mapInArrow(split, "block binary, doc_ids array<long>, learn binary, counts binary, codes binary, buckets binary").groupBy("block").cogroup(words.groupBy("block"))
+    pairs = coded.applyInArrow(triples, "shard long, doc_ids array<long>, " + ", ".join(f"{c} binary" for c in binary))
 
     def follow(table: pa.Table) -> pa.Table:
-        """Of a shard's part of each spread context: its distinct trained successors."""
-        h, w, times = (np.concatenate([_unpressed(b, "<u8") for b in table[c].to_pylist()]).astype(np.int64) for c in ("hot", "hot_words", "hot_times"))
-        hs, one, own = _grouped(h)
-        known, _, rank = _grouped(w)
-        distinct = _grouped(own.astype(np.int64) * len(known) + rank)[0]
+        """Of a shard's part of each spread context: count and distinct trained successors of it (prior -1) and of it after each prior."""
+        u, v, w, times = (np.concatenate([_unpressed(b, "<u8") for b in table[c].to_pylist()]).astype(np.int64) for c in ("priors", "contexts", "words", "times"))
+        (vs, _, vi), (us, _, ui), (ws, _, wi) = map(_grouped, (v, u, w))
+        key, _, back = _grouped((vi.astype(np.int64) * len(us) + ui) * len(ws) + wi)
+        times = np.bincount(back, times, len(key)).astype(np.int64)
+        longer, of = _changes(key // len(ws))
+        of_v = key // (len(us) * len(ws))
+        pair = _grouped((of_v * len(ws) + key % len(ws))[times > 0])[0] // len(ws)
+        shard = table["shard"][0].as_py()
         freed()
-        return pa.table({"context": hs, "times": times[one], "followers": np.bincount(distinct // len(known), minlength=len(hs)).astype(np.int64)})
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each shard that has a part of the context."""
-        for b in batches:
-            h, times, n = (b.column(c).to_numpy() for c in ("context", "times", "followers"))
-            parts = np.minimum(_shares(times, most), shards)
-            home = np.repeat(mix(h.astype(np.uint64)) % np.uint64(shards), parts).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((home + ranges(np.zeros_like(parts), parts)) % shards), pa.array(np.repeat(h, parts)), pa.array(np.repeat(n, parts))], ["shard", "context", "followers"])
-
-    followed = pairs.where("hot IS NOT NULL").select("shard", "hot", "hot_words", "hot_times").groupBy("shard").applyInArrow(follow, "context long, times long, followers long")
-    followed = followed.groupBy("context").agg(F.max("times").alias("times"), F.sum("followers").alias("followers")).mapInArrow(deal, "shard long, context long, followers long")
-    pairs = pairs.drop("hot", "hot_words", "hot_times").unionByName(followed, allowMissingColumns=True)
+        return pa.table({
+            "shard": np.full(len(vs) + len(longer), shard), "context": np.concatenate((vs, vs[of_v[longer]])), "prior": np.concatenate((np.full(len(vs), -1), us[key[longer] // len(ws) % len(us)])),
+            "count": np.concatenate((np.bincount(of_v, times, len(vs)), np.bincount(of, times, len(longer)))).astype(np.int64),
+            "followers": np.concatenate((np.bincount(pair, minlength=len(vs)), np.bincount(of, times > 0, len(longer)))).astype(np.int64),
+        })
+
+    if max(most, ends) >= spread:  # else no context is spread
+        # the exchanges below both uses of `coded` are the same, so blocks are split and numbered once
+        followed = coded.applyInArrow(hot, "shard long, priors binary, contexts binary, words binary, times binary").groupBy("shard").applyInArrow(follow, "shard long, context long, prior long, count long, followers long")
+        followed = followed.groupBy("context", "prior").agg(F.sum("count").alias("count"), F.sum("followers").alias("followers"), F.collect_list("shard").alias("shards"))  # a context has no more parts than its count over SPREAD
+        pairs = pairs.unionByName(followed.select(F.explode("shards").alias("shard"), "context", "prior", "count", "followers"), allowMissingColumns=True)
+    else:
+        pairs = pairs.withColumns({c: F.lit(None).cast("long") for c in ("context", "prior", "count", "followers")})
     sum_schema = pa.schema([("block", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("info", pa.binary()), ("docs", pa.binary()), ("sums", pa.binary()), ("trie", pa.binary()), ("shard", pa.int64())])
 
     def answer(table: pa.Table) -> pa.Table:
-        got = table.to_pylist()
+        summed = table.filter(pc.is_valid(table["context"]))
+        spread_v, spread_u, spread_count, spread_n = (summed[c].to_numpy() for c in ("context", "prior", "count", "followers"))
+        got = table.filter(pc.is_null(table["context"])).to_pylist()
         out = [{"block": r["block"], "doc_ids": r["doc_ids"], "info": r["info"]} for r in got if r["info"] is not None]
-        spread = {r["context"]: r["followers"] for r in got if r["context"] is not None}
-        got = [r for r in got if r["info"] is None and r["context"] is None]
+        got = [r for r in got if r["info"] is None]
         if got:
-            runs = [_unpressed(r["runs"], "<u4").astype(np.int64) for r in got]
-            each = np.concatenate(runs)
-            h = np.repeat(np.concatenate([_unpressed(r["contexts"], "<u8") for r in got]).astype(np.int64), each)
-            h_times = np.repeat(np.concatenate([_unpressed(r["times"], "<u8") for r in got]).astype(np.int64), each)
-            w = np.concatenate([_unpressed(r["words"], "<u8") for r in got]).astype(np.int64)
-            unigram = np.concatenate([_unpressed(r["unigrams"], "u1") for r in got])
+            flat = lambda name, kind: np.concatenate([_unpressed(r[name], kind) for r in got])
+            v_runs = flat("runs", "<u4").astype(np.int64)
+            v, v_times = (np.repeat(flat(c, "<u8").astype(np.int64), v_runs) for c in ("contexts", "times"))
+            u = np.repeat(flat("priors", "<u8").astype(np.int64), flat("prior_runs", "<u4").astype(np.int64))
+            w, unigram, again = flat("words", "<u8").astype(np.int64), flat("unigrams", "u1"), flat("again", "<u4").astype(np.int64)
             docs_of = [_unpressed(r["docs"], "<u4").astype(np.int64) for r in got]
             learn_of = np.concatenate([np.unpackbits(np.frombuffer(r["learn"], np.uint8))[d] for r, d in zip(got, docs_of, strict=True)])
-            known, _, rank = _grouped(w)
-            hs, one, own = _grouped(h)
-            h_times = h_times[one]
-            _, first, back = _grouped(own.astype(np.int64) * len(known) + rank)
-            times = np.bincount(back, learn_of, len(first)).astype(np.int64)
-            seen = first[times > 0]
-            followers = np.bincount(own[seen], minlength=len(hs)).astype(np.int64)
-            for i in np.flatnonzero(_shares(h_times, most) > 1):
-                followers[i] = spread[int(hs[i])]
-            known = h_times > 0
-            trie = build(h[seen], w[seen], times[times > 0], hs[known], h_times[known], followers[known], unigram[seen])
-            del rank, own
+            (vs, one, vi), (us, _, ui), (ws, _, wi) = map(_grouped, (v, u, w))
+            v_times = v_times[one]
+            key, first, back = _grouped((vi.astype(np.int64) * len(us) + ui) * len(ws) + wi)
+            times = np.bincount(back, learn_of * again, len(key)).astype(np.int64)
+            del vi, ui, wi, learn_of
+            v, u, w, unigram = v[first], u[first], w[first], unigram[first]
+            of_v = key // (len(us) * len(ws))
+            followers = np.bincount(_grouped((of_v * len(ws) + key % len(ws))[times > 0])[0] // len(ws), minlength=len(vs))
+            longer, of = _changes(key // len(ws))
+            v2, u2 = v[longer], u[longer]
+            count2, followers2 = np.bincount(of, times, len(longer)).astype(np.int64), np.bincount(of, times > 0, len(longer)).astype(np.int64)
+            if len(spread_v):  # of contexts with parts elsewhere too
+                short = spread_u < 0
+                followers[np.searchsorted(vs, spread_v[short])] = spread_n[short]
+                place = np.searchsorted(key[longer] // len(ws), np.searchsorted(vs, spread_v[~short]) * len(us) + np.searchsorted(us, spread_u[~short]))
+                count2[place], followers2[place] = spread_count[~short], spread_n[~short]
+            on, on1, on2 = times > 0, v_times > 0, count2 > 0
+            trie = build(v[on], u[on], w[on], times[on], unigram[on], (vs[on1], v_times[on1], followers[on1]), (v2[on2], u2[on2], count2[on2], followers2[on2]))
             if tries:
                 return pa.Table.from_pylist([{"trie": trie, "shard": table["shard"][0].as_py()}], sum_schema)
             with tempfile.TemporaryDirectory() as folder:
                 file = os.path.join(folder, "trie")
                 with open(file, "wb") as f:
                     f.write(trie)
-                value = Trie(file).score(h[first], w[first], unigram[first])
-            value = value[back]
-            del h, h_times, w, unigram, back, learn_of
+                value = Trie(file).score(u, v, w, unigram)
+            value = value[back] * again
+            del v, u, w, unigram, back, again
             at = starts(np.array([len(d) for d in docs_of]))
             for r, d, i, j in zip(got, docs_of, at, at[1:], strict=False):
                 which, inverse = np.unique(d, return_inverse=True)

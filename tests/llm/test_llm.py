@@ -369,52 +369,86 @@ def test_many_languages():
     assert labels.tolist() == [150, 150, 199]
 
 
+def trigram_by_force(rows, learned, exact):
+    """Scores of rows of words; probabilities go through the trie's codes unless exact."""
+    start = ["\n", "\n"]
+    c = Counter(x for w in learned for x in w)
+    two = Counter(p for w in learned for p in zip(start[1:] + w, w, strict=False))
+    three = Counter(p for w in learned for p in zip(start + w, start[1:] + w, w, strict=False))
+    after, after2, times2 = Counter(h for h, _ in two), Counter(p[:2] for p in three), Counter()
+    for p, k in three.items():
+        times2[p[:2]] += k
+    n = sum(c.values()) + len(c) + 1
+    code = (lambda p: np.log10(p)) if exact else lambda p: lm.dequantised(lm.quantised(np.log10(p)).astype(float))
+    out = []
+    for w in rows:
+        total = 0.0
+        for g, h, x in zip(start + w, start[1:] + w, w, strict=False):
+            p = code((c[x] + 1) / n)
+            if c[h]:
+                weight = min(1, 0.75 * after[h] / c[h])
+                p = code(max(two[h, x] - 0.75, 0) / c[h] + weight * 10**p) if two[h, x] else p + code(weight)
+            if times2[g, h]:
+                weight = min(1, 0.75 * after2[g, h] / times2[g, h])
+                p = code(max(three[g, h, x] - 0.75, 0) / times2[g, h] + weight * 10**p) if three[g, h, x] else p + code(weight)
+            total += p
+        out.append(total)
+    return out
+
+
 def test_lm_scores(spark, docs, by_id):
     learn = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
-    got = {r.doc_id: r for r in lm.score(docs, learn).collect()}
+    got = defaultdict(list)
+    for r in lm.score(docs, learn).collect():
+        got[r.doc_id].append(r)
     rows = [(r.doc_id, [*WORD.findall(lowered(r.text)), "\n"]) for r in docs.collect()]
     seen = [w for k, w in rows if zlib.crc32(str(k).encode()) % 7 != 2]
     c = Counter(x for w in seen for x in w)
-    pairs = Counter(p for w in seen for p in zip(["\n", *w], w, strict=False))
-    follow = Counter(h for h, _ in pairs)
     n, v = sum(c.values()), len(c)
-    for k, w in rows:
-        p1 = {x: (c[x] + 1) / (n + v + 1) for x in w}
-        assert got[k].n_tokens == len(w) and got[k].train_tokens == n and got[k].n_known == sum(x in c for x in w)
-        assert got[k].base_score == pytest.approx(sum(np.log10(p1[x]) for x in w))
-        want = 0.0
-        for h, x in zip(["\n", *w], w, strict=False):
-            want += np.log10(max(pairs[h, x] - 0.75, 0) / c[h] + min(1, 0.75 * follow[h] / c[h]) * p1[x]) if c[h] else np.log10(p1[x])
-        assert abs(got[k].score - want) <= 0.08 * len(w)  # quantised
+    exact, coded = (trigram_by_force([w for _, w in rows], seen, e) for e in (True, False))
+    assert sum(map(len, got.values())) == len(rows) and len(got[0]) == 2 and len(set(got[0])) == 1  # the row that repeats
+    for (k, w), x, y in zip(rows, exact, coded, strict=True):
+        r = got[k][0]
+        assert r.n_tokens == len(w) and r.train_tokens == n and r.n_known == sum(x in c for x in w)
+        assert r.base_score == pytest.approx(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w))
+        assert r.score == pytest.approx(y) and abs(y - x) <= 0.05 * len(w)
     assert lm.score(empty(spark), F.lit(True)).count() == 0
     blind = lm.score(docs, F.lit(None).cast("boolean")).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in blind)
     assert lm.score(docs, learn, tries=True).count() >= 1
+    odd = spark.createDataFrame([(None, "a b"), (None, None), (3, "a b")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in lm.score(odd, F.lit(True)).collect()) == [(0, 1), (0, 3), (3, 3)]
 
 
-@pytest.mark.parametrize("parts", [1, 4, 31])
-def test_lm_counts_successors_of_spread_contexts(spark, parts):
+@pytest.mark.parametrize("parts, spread", [(3, 10**6), (17, 10**6), (1, 5), (4, 5), (31, 2), (4, 1)])
+def test_lm_scores_do_not_depend_on_shards(spark, monkeypatch, parts, spread):
     texts = ["a b", "a c", "a d", "a b e", "hot " * 40 + "hot a", *(f"hot x{i}" for i in range(30)), *(f"a y{i} hot" for i in range(9))]
-    held_out = ["a z", "hot z hot a", "x1 a hot x3", "z z"]
+    held_out = ["a z", "hot z hot a", "x1 a hot x3", "z z", "hot hot hot hot", "y3 hot hot"]
     docs = spark.createDataFrame(list(enumerate(texts + held_out)), "doc_id long, text string")
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
+    monkeypatch.setattr(lm, "SPREAD", spread)
     try:
         got = {r.doc_id: r.score for r in lm.score(docs, F.col("doc_id") < len(texts)).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     rows = [[*t.split(), "\n"] for t in texts + held_out]
-    c = Counter(x for w in rows[: len(texts)] for x in w)
-    pairs = Counter(p for w in rows[: len(texts)] for p in zip(["\n", *w], w, strict=False))
-    follow = Counter(h for h, _ in pairs)
-    n = sum(c.values()) + len(c) + 1
-    code = lambda p: lm.dequantised(lm.quantised(np.log10(p)).astype(float))
-    for k, w in enumerate(rows):
-        want = 0.0
-        for h, x in zip(["\n", *w], w, strict=False):
-            p1, weight = code((c[x] + 1) / n), min(1, 0.75 * follow[h] / c[h]) if c[h] else 1
-            want += code((pairs[h, x] - 0.75) / c[h] + weight * 10**p1) if pairs[h, x] else p1 + code(weight)
-        assert got[k] == pytest.approx(want), w  # to the code, whatever the number of shards
+    for k, want in enumerate(trigram_by_force(rows, rows[: len(texts)], exact=False)):
+        assert got[k] == pytest.approx(want, abs=1e-9), rows[k]
+
+
+def test_elias_fano_ranges():
+    r = np.random.default_rng(4)
+    sizes = r.integers(0, 9, 300)
+    first = common.starts(sizes)
+    rank = np.concatenate([np.sort(r.choice(40, n, replace=False)) for n in sizes])
+    values = lm.laid(first, rank)
+    assert (np.diff(values) > 0).all()
+    found, _ = lm.EliasFano.view(np.frombuffer(lm.EliasFano.pack(values), np.uint8), 0)
+    assert found.get(np.arange(len(values))).tolist() == values.tolist()
+    which, asked = r.integers(0, 300, 5000), r.integers(0, 45, 5000)
+    want = [next((j for j in range(first[i], first[i + 1]) if rank[j] == x), -1) for i, x in zip(which, asked, strict=True)]
+    assert found.find_in(first[which], first[which + 1], asked).tolist() == want
 
 
 def test_elias_fano():
