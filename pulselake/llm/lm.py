@@ -35,7 +35,7 @@ DISCOUNT = 0.75
 #: Quantised log10 probabilities: codes 0 to 255 are 0 to LEAST in equal steps.
 LEAST = -12.0
 #: Tokens of a shard, about, and of a context word that has more than one part.
-SHARD_TOKENS, SPREAD = 800_000, 1_600_000
+SHARD_TOKENS, SPREAD = 500_000, 800_000
 END = 0  #: the number of the end token, which also is the first context of a text
 
 _ZEROS = np.array([8 - bin(b).count("1") for b in range(256)], np.int64)
@@ -352,7 +352,7 @@ def score(docs: DataFrame, learn: Column, buckets: int | None = None, tries: boo
             counts = _unpressed(row["counts"], "<u4").astype(np.int64)
             size = counts + 1
             at = starts(size)
-            w = np.full(at[-1], len(place), np.int64)
+            w = np.full(at[-1], len(place), np.int32)
             w[ranges(at[:-1], counts)] = _unpressed(row["codes"], "<u4")
             v, u = np.empty_like(w), np.empty_like(w)
             for x, y in ((v, w), (u, v)):
@@ -360,14 +360,14 @@ def score(docs: DataFrame, learn: Column, buckets: int | None = None, tries: boo
                 x[at[:-1]] = len(place)
             home = mix(number.astype(np.uint64))
             share = 1 + c // spread
-            shard = ((home[v] + home[w] % share[v].astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-            yield copy, row, number, c, size, u, v, w, np.repeat(np.arange(len(counts)), size), shard, share
+            shard = ((home[v] + home[w] % share[v].astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
+            yield copy, row, number, c, size, u, v, w, np.repeat(np.arange(len(counts), dtype=np.int32), size), shard, share
 
     def ordered(n: int, *keys: np.ndarray) -> np.ndarray:
         """The stable order by the keys, the first of them first; all but the first below n."""
         if n ** (len(keys) - 1) >= 2**62:
             return np.lexsort(keys[::-1])
-        inner = keys[1]
+        inner = keys[1].astype(np.int64)
         for k in keys[2:]:
             inner = inner * n + k
         order = np.argsort(inner, kind="stable")
@@ -472,7 +472,7 @@ def score(docs: DataFrame, learn: Column, buckets: int | None = None, tries: boo
             v_times = v_times[one]
             key, first, back = _grouped((vi.astype(np.int64) * len(us) + ui) * len(ws) + wi)
             times = np.bincount(back, learn_of * again, len(key)).astype(np.int64)
-            del vi, ui, wi, learn_of
+            del vi, ui, wi, learn_of, v_runs
             v, u, w, unigram = v[first], u[first], w[first], unigram[first]
             of_v = key // (len(us) * len(ws))
             followers = np.bincount(_grouped((of_v * len(ws) + key % len(ws))[times > 0])[0] // len(ws), minlength=len(vs))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, buckets_for, freed, hash_strings, joined, offsets_array, ranges, split_words, starts
+from .common import blocks, buckets_for, freed, joined, mix, offsets_array, ranges, split_words, starts
 
 #: Words encoded by one call of the library.
 WORDS_AT_ONCE = 200
@@ -114,14 +114,35 @@ def totals(each: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.diff(starts(each)[starts(counts)])
 
 
+def _flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all words one after the other, and the words' starts in them."""
+    words = words.cast(pa.large_string())
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8), offsets - offsets[0]
+
+
 def block_key(doc_ids: pa.Array, counts: np.ndarray, codes: np.ndarray, words: pa.Array) -> bytes:
     """A block is known by its content, so that a block read again (or after a lost executor) keeps its key."""
     h = xxhash.xxh3_128()
-    for part in (counts.tobytes(), codes.tobytes(), "\n".join(words.to_pylist()).encode(), repr(doc_ids.to_pylist()).encode()):
+    for part in (counts.tobytes(), codes.tobytes(), *(x.tobytes() for x in _flat(words)), repr(doc_ids.to_pylist()).encode()):
         h.update(part)
     return h.digest()
 
 
+def word_buckets(words: pa.Array, buckets: int) -> np.ndarray:
+    """A bucket for each (non-empty) word, by a polynomial of its bytes: it only has to be the same for the same word."""
+    data, first = _flat(words)
+    if not len(words):
+        return np.zeros(0, np.int64)
+    size = np.diff(first)
+    power = np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64)
+    power[0] = 1
+    power = np.cumprod(power, dtype=np.uint64)
+    terms = (data.astype(np.uint64) + np.uint64(1)) * power[np.arange(len(data)) - np.repeat(first[:-1], size)]
+    return (mix(np.add.reduceat(terms, first[:-1])) % np.uint64(buckets)).astype(np.int64)
+
+
 def _pressed(values: np.ndarray) -> bytes:
     """Integers as compressed byte planes."""
     data = np.ascontiguousarray(values)
@@ -140,7 +161,7 @@ def _dictionary(batch: pa.RecordBatch, buckets: int, lower: bool = False) -> tup
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     codes, words = rank[codes], words.take(pa.array(order))
-    bucket = (hash_strings(words) % np.uint64(buckets)).astype(np.int64)
+    bucket = word_buckets(words, buckets)
     return block_key(batch.column("doc_id"), counts, codes, words), counts, codes, words, bucket
 
 
