@@ -39,3 +39,16 @@ def index(snr: Column, regularity: Column, temporal: Column, consistency: Column
     raw = raw * F.when(agreement < 0.7, 1 - (0.7 - agreement) / 0.7 * 0.3).otherwise(1.0)
     whole = raw * 100 * bio
     return rounded(clip(F.when((before > 0) & (bio > 0.5), 0.4 * before + 0.6 * whole).otherwise(whole), 0, 100), 1)
+
+
+def confidence_failures(error: Column, confidence: Column, actual: Column, predicted: Column, steady: Column, lagging: Column) -> Column:
+    """Names of what is wrong with an estimate's confidence (0..100) and predicted uncertainty, given its error and actual one.
+
+    steady: the confidence hardly varied over the last 30 frames; lagging: evidence moved over the last 10, the confidence didn't.
+    """
+    found = {
+        "high_confidence_wrong": (confidence > 80) & (error > 10), "low_confidence_correct": (confidence < 30) & (error < 5),
+        "uncertainty_underestimation": (predicted > 0) & (actual > 2 * predicted), "uncertainty_overestimation": (predicted > 0) & (predicted > 3 * actual),
+        "confidence_stagnation": steady, "temporal_confidence_lag": lagging,
+    }
+    return F.array_compact(F.array(*(F.when(c, name) for name, c in found.items())))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +88,35 @@ def bootstrap(df: DataFrame, keys: list[str], row: str, rounds: int = 1000, seed
     return means.groupBy(*keys).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 
+def two_sided_p(r: Column, n: Column) -> Column:
+    """the p-value of a correlation r of n pairs (Student's t with n - 2 degrees of freedom), null below three pairs."""
+
+    @F.pandas_udf("double")
+    def p(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([_beta(1 - min(1.0, x * x), (k - 2) / 2, 0.5) if k > 2 and x == x else None for x, k in zip(r, n, strict=True)], dtype="float64")
+
+    return p(r, n.cast("double"))
+
+
+def _beta(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function by its continued fraction (modified Lentz)."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta(1 - x, b, a)
+    tiny = 1e-300
+    c, d = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
+    h = d
+    for m in range(1, 500):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / ((1 + term * d) or tiny)
+            c = (1 + term / c) or tiny
+            h *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return h * math.exp(a * math.log(x) + b * math.log(1 - x) - math.lgamma(a) - math.lgamma(b) + math.lgamma(a + b)) / a
+
+
 def failure_class(error: Column, sqi: Column) -> Column:
     """how an estimate failed."""
     return F.when((error > 30) & (sqi < 30), "low_sqi").when((error > 30) & sqi.isNull(), "invalid_bpm").when(error > 30, "large_error").when(sqi < 20, "low_sqi").otherwise("acceptable")

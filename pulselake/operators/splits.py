@@ -10,6 +10,21 @@ def digest(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws("/", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in columns)))
 
 
+def placed(df: DataFrame, keys: list[str], by: Column, tie: str) -> DataFrame:
+    """df with __place (from 0) in the order of the digest `by` within keys, and __n, the rows of the keys.
+
+    No key is sorted in one task: rows are counted by the digest's first three hex digits (4096 buckets), and ranked within theirs.
+    """
+    d = df.withColumn("__h", by).withColumn("__b", F.substring("__h", 1, 3))
+    n = d.groupBy(*keys, "__b").agg(F.count("*").alias("__m"))
+    w = Window.partitionBy(*keys)
+    before = n.select(*keys, "__b", (F.sum("__m").over(w.orderBy("__b")) - F.col("__m")).alias("__before"), F.sum("__m").over(w).alias("__n"))  # at most 4096 rows a key
+    d = d.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy("__h", tie)))
+    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("d.__b") == F.col("b.__b")]
+    out = d.alias("d").join(before.alias("b"), on)
+    return out.select("d.*", (F.col("b.__before") + F.col("d.__r") - 1).alias("__place"), F.col("b.__n").alias("__n")).drop("__h", "__b", "__r")
+
+
 def random_split(df: DataFrame, key: str = "sample", seed: int = 42, train: float = 0.7, validation: float = 0.15) -> DataFrame:
     """K1: exact sizes floor(n train), floor(n validation), rest test.
 
@@ -37,11 +52,9 @@ def leave_one_out(df: DataFrame, domain: str = "domain", seed: int = 42, share:
     """K3: a fold for each domain, which is its test; of the rest max(1, floor(k share)) rows by digest train, the others validate."""
     folds = df.select(F.col(domain).alias("fold")).distinct()
     x = df.crossJoin(F.broadcast(folds))  # a row for each domain on the right
-    rest = Window.partitionBy("fold", (F.col(domain) == F.col("fold")))
-    rank = F.row_number().over(rest.orderBy(digest(seed, "sample"), "sample"))
-    n = F.count("*").over(rest)
-    split = F.when(F.col(domain) == F.col("fold"), "test").when(rank <= F.greatest(F.lit(1), F.floor(n * share)), "train").otherwise("validation")
-    return x.withColumn("split", split)
+    x = placed(x.withColumn("__test", F.coalesce(F.col(domain) == F.col("fold"), F.lit(False))), ["fold", "__test"], digest(seed, "sample"), "sample")
+    split = F.when(F.col("__test"), "test").when(F.col("__place") < F.greatest(F.lit(1), F.floor(F.col("__n") * share)), "train").otherwise("validation")
+    return x.withColumn("split", split).drop("__test", "__place", "__n")
 
 
 def leakage(df: DataFrame, group: str = "subject") -> DataFrame:
@@ -51,8 +64,7 @@ def leakage(df: DataFrame, group: str = "subject") -> DataFrame:
 
 def balanced_order(df: DataFrame, domain: str = "domain", batch: int = 32, seed: int = 42) -> DataFrame:
     """K5: the round of each sample in its domain; a batch takes the domains' samples round by round."""
-    w = Window.partitionBy(domain).orderBy(digest(seed, "sample"), "sample")
-    return df.withColumn("round", F.row_number().over(w))
+    return placed(df, [domain], digest(seed, "sample"), "sample").withColumn("round", F.col("__place") + 1).drop("__place", "__n")
 
 
 def domain_weights(df: DataFrame, domain: str = "domain", root: bool = False) -> DataFrame:

@@ -52,6 +52,13 @@ def f4_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where("n >= 3").select("domain", "method", rounded(F.col("pearson")).alias("pearson"))
 
 
+@query()
+def f4_pearson_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL has no Student's t; the p-value is tested against known values."""
+    g = pairs(spark, sf_dir).groupBy("domain", "method").agg(F.count("*").alias("n"), corr(F.col("measured"), F.col("reference")).alias("pearson"))
+    return g.where("n >= 3").select("domain", "method", "n", rounded(F.col("pearson")).alias("pearson"), rounded(M.two_sided_p(F.col("pearson"), F.col("n"))).alias("p_value"))
+
+
 @query(f"WITH {PAIRS} SELECT domain, count(*) AS n, {r4('avg(measured)')} AS mean_measured, {r4('avg(reference)')} AS mean_reference, {r4('stddev_pop(measured)')} AS sd_measured, {r4('stddev_pop(reference)')} AS sd_reference FROM pairs GROUP BY domain")
 def f5_light_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).groupBy("domain").agg(F.count("*").alias("n"), rounded(F.avg("measured")).alias("mean_measured"), rounded(F.avg("reference")).alias("mean_reference"),

@@ -196,14 +196,19 @@ def g17_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("session", "seq", verdict.alias("verdict"), sum((F.col(k).cast("int") for k in checks), F.lit(0)).alias("failed"))
 
 
-@query(f"""WITH {SIGNAL}, p AS (SELECT session, seq, x, stddev_pop(x) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS sd, count(*) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS n,
-  avg(x) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS m FROM signal)
-SELECT session, seq, n = 30 AND sd < 1 AS stagnant, abs(x - m) > 30 AS far, event_id % 101 < 30 AND abs(x - m) < 5 AS underconfident FROM p JOIN (SELECT session, seq, event_id FROM signal) USING (session, seq)""")
+@query(f"""WITH {SIGNAL}, i AS (SELECT session, seq, abs(x - 50) AS error, CASE WHEN seq % 80 < 40 THEN 60.0 ELSE event_id % 101 END::DOUBLE AS c, event_id % 13 AS actual, event_id % 7 AS predicted, (event_id % 21 - 8) / 10.0 AS trend FROM signal),
+p AS (SELECT *, count(*) OVER long >= 30 AND stddev_pop(c) OVER long < 1 AS steady, count(*) OVER short >= 10 AND abs(avg(trend) OVER short) > 0.1 AND abs(c - avg(c) OVER short) < 2 AS lagging FROM i
+  WINDOW long AS (PARTITION BY session ORDER BY seq ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), short AS (PARTITION BY session ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
+SELECT session, seq, concat_ws(',', CASE WHEN c > 80 AND error > 10 THEN 'high_confidence_wrong' END, CASE WHEN c < 30 AND error < 5 THEN 'low_confidence_correct' END, CASE WHEN predicted > 0 AND actual > 2 * predicted THEN 'uncertainty_underestimation' END,
+  CASE WHEN predicted > 0 AND predicted > 3 * actual THEN 'uncertainty_overestimation' END, CASE WHEN steady THEN 'confidence_stagnation' END, CASE WHEN lagging THEN 'temporal_confidence_lag' END) AS failures FROM p""")
 def g18_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs from the event's number; the confidence rests for 40 frames of 80."""
+    of = lambda n: F.pmod("event_id", F.lit(n))
+    s = _seq(signal(spark, sf_dir)).withColumns({"c": F.when(F.col("seq") % 80 < 40, 60.0).otherwise(of(101).cast("double")), "trend": (of(21) - 8) / 10.0})
     w30, w10 = _ordered(29), _ordered(9)
-    s = _seq(signal(spark, sf_dir)).withColumns({"sd": F.stddev_pop("x").over(w30), "n": F.count("*").over(w30), "m": F.avg("x").over(w10)})
-    off = F.abs(F.col("x") - F.col("m"))
-    return s.select("session", "seq", ((F.col("n") == 30) & (F.col("sd") < 1)).alias("stagnant"), (off > 30).alias("far"), ((F.pmod("event_id", F.lit(101)) < 30) & (off < 5)).alias("underconfident"))
+    s = s.withColumns({"steady": (F.count("*").over(w30) >= 30) & (F.stddev_pop("c").over(w30) < 1), "lagging": (F.count("*").over(w10) >= 10) & (F.abs(F.avg("trend").over(w10)) > 0.1) & (F.abs(F.col("c") - F.avg("c").over(w10)) < 2)})
+    names = quality.confidence_failures(F.abs(F.col("x") - 50), F.col("c"), of(13), of(7), F.col("steady"), F.col("lagging"))
+    return s.select("session", "seq", F.concat_ws(",", names).alias("failures"))
 
 
 _AGREE = """exp(-abs(x - fused) / 12) * CASE WHEN x / fused > 0.45 AND x / fused < 0.55 THEN 0.4 WHEN x / fused > 1.8 AND x / fused < 2.2 THEN 0.3 ELSE 1.0 END * CASE WHEN x > 145 THEN 0.15 WHEN x > 135 THEN 0.3 WHEN x > 130 THEN 0.5 ELSE 1.0 END

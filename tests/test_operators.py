@@ -223,6 +223,19 @@ def test_stream_equals_batch(spark, tmp_path, name):
     assert len(got) == 120 and got == want
 
 
+def test_correlation_p_values(spark):
+    """Known values of Student's t: r 0.5 of 10 pairs, r 0.9 of 5, r 0.02 of 1,000, none of 2."""
+    df = spark.createDataFrame([(0.5, 10), (-0.9, 5), (0.02, 1000), (0.0, 8), (0.7, 2)], "r double, n long")
+    got = [r[0] for r in df.select(metrics.two_sided_p(F.col("r"), F.col("n"))).collect()]
+    assert got[:4] == pytest.approx([0.14111, 0.03739, 0.52752, 1.0], abs=2e-4) and got[4] is None
+
+
+def test_lenient_csv(spark, tmp_path):
+    p = tmp_path / "gt.csv"
+    p.write_text("Time,Rate,More\n0.0,71.5,x\n\n5\nabc,70\n1.0 , 72\n")
+    assert [tuple(r) for r in ground_truth.load_lenient(spark, str(p)).orderBy("ts").collect()] == [(0.0, 71.5), (1.0, 72.0)]
+
+
 def test_csv_rows_and_rejects(spark, tmp_path):
     p = tmp_path / "gt.csv"
     p.write_text(" Timestamp , BPM\n0.0,71.5\n0.5,999.0\n1.0,\n1.5,abc\nnan,70\n")
