@@ -18,6 +18,32 @@ def mse(a: Column, b: Column) -> Column:
     return mean_of(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
 
 
+def _magnitudes(bins: Column) -> Column:
+    return F.transform(bins, lambda b: F.sqrt(b.power))
+
+
+def _shares(bins: Column) -> Column:
+    m = _magnitudes(bins)
+    return F.get(F.transform(F.array(F.array_max(m)), lambda high: F.transform(m, lambda v: v / (high + 1e-9))), F.lit(0))
+
+
+def spectral_loss(p: Column, y: Column) -> Column:
+    """Mean distance of two spectra's magnitudes as shares of their largest ones (bins of spectral.spectrum from 0 up)."""
+    return mean_of(F.zip_with(_shares(p), _shares(y), lambda a, b: F.abs(a - b)))
+
+
+def frequency_loss(p: Column, y: Column, low: float = 0.833, high: float = 3.0, outside: float = 0.1) -> Column:
+    """Mean distance of magnitudes in the cardiac band, and `outside` of that beyond it."""
+    apart = F.zip_with(p, y, lambda a, b: F.struct(a.hz.alias("hz"), F.abs(F.sqrt(a.power) - F.sqrt(b.power)).alias("d")))
+    mean_where = lambda keep: mean_of(F.transform(F.filter(apart, keep), lambda x: x.d))
+    return mean_where(lambda x: x.hz.between(low, high)) + outside * mean_where(lambda x: ~x.hz.between(low, high))
+
+
+def waveform_loss(p: Column, y: Column, p_bins: Column, y_bins: Column, by_correlation: float = 0.5, by_spectrum: float = 0.3) -> Column:
+    """Squared error, correlation and spectrum together."""
+    return mse(p, y) + by_correlation * (1 - correlation(p, y)) + by_spectrum * spectral_loss(p_bins, y_bins)
+
+
 def bce(p: Column, y: Column, tiny: float = 1e-7) -> Column:
     """Binary cross-entropy of a probability held to tiny..1 - tiny."""
     p = F.greatest(F.lit(tiny), F.least(F.lit(1 - tiny), p))

@@ -65,10 +65,3 @@ def regions(mask: DataFrame, side: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["frame", "cell", "region"])
 
     return frames.mapInPandas(fill, f"frame {dict(mask.dtypes)['frame']}, cell long, region long")
-
-
-def failures(df: DataFrame) -> DataFrame:
-    """Df (frame, quality, motion, coverage, ...) with its failure names and what to do."""
-    found = F.array_compact(F.array(F.when(F.col("quality") < 0.2, "low_quality"), F.when(F.col("motion") > 1.0, "high_motion"), F.when(F.col("coverage") < 0.3, "low_coverage")))
-    action = F.when(F.size("failures") >= 2, "reject").when(F.size("failures") == 1, "downweight").otherwise("keep")
-    return df.withColumn("failures", found).withColumn("action", action)

@@ -74,20 +74,37 @@ def calibration_error(df: DataFrame, keys: list[str], bins: int = 10) -> DataFra
     return g.groupBy(*keys).agg(ratio(F.sum(F.col("n") * F.abs(F.col("accuracy") - F.col("mean_confidence") / 100)), F.sum("n").cast("double")).alias("ece"))
 
 
-def bootstrap(df: DataFrame, keys: list[str], row: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
-    """percentile interval of the mean absolute error from `rounds` resamples by key.
+def resamples(df: DataFrame, keys: list[str], row: str, rounds: int, seed: int) -> DataFrame:
+    """df's rows (row: 1..n within the key) drawn with replacement, n for each resample b of 1..rounds.
 
-    Draw i of resample b takes row md5(seed, key, b, i) mod n, so the interval is the same on every run and engine (T18).
-    df: keys, row (1..n within the key), e (absolute error). Each resample is a join on (key, row), not a collected group.
+    Draw i of resample b takes row md5(seed, key, b, i) mod n, so the rows are the same on every run and engine (T18).
+    Each resample is a join on (key, row), not a collected group.
     """
     n = df.groupBy(*keys).agg(F.count("*").alias("n"))
     draws = n.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     text = F.concat_ws("/", F.lit(seed), *(F.col(k).cast("string") for k in keys), F.col("b").cast("string"), F.col("i").cast("string"))
     draws = draws.withColumn(row, F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.col("n")) + 1)
-    means = draws.join(df, [*keys, row]).groupBy(*keys, "b").agg(F.avg("e").alias("m"))
+    return draws.drop("n", "i").join(df, [*keys, row])
+
+
+def bootstrap(df: DataFrame, keys: list[str], row: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """percentile interval of the mean absolute error from `rounds` resamples by key. df: keys, row, e (absolute error)."""
+    means = resamples(df, keys, row, rounds, seed).groupBy(*keys, "b").agg(F.avg("e").alias("m"))
     return means.groupBy(*keys).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 
+def error_intervals(df: DataFrame, keys: list[str], rounds: int = 1000, seed: int = 42, least: int = 10) -> DataFrame:
+    """each metric of errors() by keys with `<metric>_low` and `<metric>_high`, its 95 % interval from `rounds` resamples.
+
+    df: keys, row (1..n within the key; rows without a side don't count, so leave them out), measured, reference. Groups under
+    `least` pairs have neither. A resample whose sides don't vary has no correlation and doesn't count for its interval.
+    """
+    names = ["mae", "rmse", "bias", "pearson", "loa_low", "loa_high"]
+    drawn = errors(resamples(df, keys, "row", rounds, seed), [*keys, "b"], least=least)
+    ends = [F.percentile(name, q).alias(f"{name}_{end}") for name in names for end, q in (("low", 0.025), ("high", 0.975))]
+    return errors(df, keys, least=least).where(F.col("n") >= least).join(drawn.groupBy(*keys).agg(*ends), keys)
+
+
 def two_sided_p(r: Column, n: Column) -> Column:
     """the p-value of a correlation r of n pairs (Student's t with n - 2 degrees of freedom), null below three pairs."""
 

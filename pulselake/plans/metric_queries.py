@@ -20,6 +20,14 @@ def f1_error_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.rounded_all(M.errors(pairs(spark, sf_dir), ["method"]).where("n >= 10"), _NAMES)
 
 
+@query()
+def f1_metric_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of all sessions with intervals from 1,000 resamples: too many rows for SQL here, tested by brute force."""
+    x = signal(spark, sf_dir).select("session", F.col("seq").cast("bigint").alias("row"), F.col("x").alias("measured"), (F.col("x") * 0.5 + F.pmod("event_id", F.lit(41))).alias("reference"))
+    got = M.error_intervals(x, ["session"])
+    return M.rounded_all(got, [c for c in got.columns if c not in ("session", "n")])
+
+
 @query()
 def f2_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of all sessions from 1,000 resamples: too many rows for SQL here, tested by brute force."""

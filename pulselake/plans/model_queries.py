@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import losses as L
+from ..functions import spectral as S
 from ..functions.numeric import mean_of, rounded, std_of, sum_of
 from ..operators import fusion as H
+from ..operators import gates
 from ..operators import grids as G
 from ..operators import splits as K
 from .bindings import ARRAYS, DOMAINS, PAIRS, PIXELS, SAMPLES, SIGNAL, arrays, domains, pairs, pixels, samples, signal, table
@@ -139,11 +141,24 @@ def i4_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.regions(pixels(spark, sf_dir).where("v > 0"), 8).groupBy("frame", "region").agg(F.count("*").alias("size")).where("size >= 2")
 
 
-@query(f"""WITH {_CELLS}, f AS (SELECT frame, avg(v) AS quality, max(v) - min(v) AS motion, avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END) AS coverage FROM cells GROUP BY frame), n AS (SELECT frame, (quality < 0.2)::INT + (motion > 1.0)::INT + (coverage < 0.3)::INT AS n, quality, motion, coverage FROM f)
-SELECT frame, concat_ws(',', CASE WHEN quality < 0.2 THEN 'low_quality' END, CASE WHEN motion > 1.0 THEN 'high_motion' END, CASE WHEN coverage < 0.3 THEN 'low_coverage' END) AS failures, CASE WHEN n >= 2 THEN 'reject' WHEN n = 1 THEN 'downweight' ELSE 'keep' END AS action FROM n""")
+_SCORES = "list_transform(list_filter(x, lambda v: abs(v) > 0.22), lambda v: abs(v) - 0.2)"
+
+
+@query(f"""WITH {ARRAYS}, f AS (SELECT label AS stream, id AS frame, 1.4 * list_max(list_transform(x, lambda v: abs(v))) AS motion, {_SCORES} AS scores, 1 - 7 * list_avg(list_transform(x, lambda v: abs(v))) AS stability, 2.5 * x[1] + 0.7 AS quality, 25 * abs(x[2]) AS landmarks FROM arrays),
+many AS (SELECT frame, count(*) OVER w >= 10 AND 10 * sum(len(scores) ** 2) OVER w - (sum(len(scores)) OVER w) ** 2 > 200 AS thrashing FROM f WHERE len(scores) >= 3 WINDOW w AS (PARTITION BY stream ORDER BY frame ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+q AS (SELECT *, avg(quality) OVER w AS m, stddev_pop(quality) OVER w AS sd, count(*) OVER w AS n FROM f WINDOW w AS (PARTITION BY stream ORDER BY frame ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+g AS (SELECT frame, CASE WHEN motion > 0.8 THEN 2 WHEN motion > 0.4 THEN 1 END AS a, CASE WHEN len(scores) < 1 THEN 2 WHEN len(scores) < 2 THEN 1 END AS b, CASE WHEN thrashing THEN 1 END AS c,
+  CASE WHEN len(scores) >= 2 AND list_stddev_pop(scores) > 0.4 * list_avg(scores) THEN 1 END AS d, CASE WHEN stability < 0.3 OR (n >= 5 AND m > 0 AND sd > 0.5 * m AND sd > 0.3) THEN 1 END AS e, CASE WHEN landmarks > 5 THEN 2 WHEN landmarks > 2 THEN 1 END AS h FROM q LEFT JOIN many USING (frame))
+SELECT frame, concat_ws(',', CASE WHEN a > 0 THEN 'local_motion' END, CASE WHEN b > 0 THEN 'insufficient_candidates' END, CASE WHEN c > 0 THEN 'candidate_thrashing' END, CASE WHEN d > 0 THEN 'spatial_disagreement' END, CASE WHEN e > 0 THEN 'temporal_instability' END,
+  CASE WHEN h > 0 THEN 'landmark_instability' END) AS failures, CASE greatest(0, a, b, c, d, e, h) WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'info' END AS severity, CASE greatest(0, a, b, c, d, e, h) WHEN 2 THEN 'reject' WHEN 1 THEN 'downweight' ELSE 'none' END AS action FROM g""")
 def i6_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = G.cells(pixels(spark, sf_dir), 2).groupBy("frame").agg(F.avg("v").alias("quality"), (F.max("v") - F.min("v")).alias("motion"), F.avg(F.when(F.col("v") > 0, 1.0).otherwise(0.0)).alias("coverage"))
-    return G.failures(f).select("frame", F.concat_ws(",", "failures").alias("failures"), "action")
+    """All detectors; a label's vectors are a stream of frames, with inputs from their values."""
+    x, size = F.col("x"), lambda v: F.abs(v)
+    f = arrays(spark, sf_dir).select(
+        F.col("label").alias("stream"), F.col("id").alias("frame"), (1.4 * F.array_max(F.transform(x, size))).alias("motion"), F.transform(F.filter(x, lambda v: F.abs(v) > 0.22), lambda v: F.abs(v) - 0.2).alias("scores"),
+        (1 - 7 * mean_of(F.transform(x, size))).alias("stability"), (2.5 * F.get(x, F.lit(0)) + 0.7).alias("quality"), (25 * F.abs(F.get(x, F.lit(1)))).alias("landmark_variance"),
+    )
+    return gates.spatial_failures(f.withColumn("candidates", F.size("scores"))).select("frame", F.concat_ws(",", "failures").alias("failures"), "severity", "action")
 
 
 @query(f"""WITH {SIGNAL}, p AS (SELECT session, seq, median(x - 50) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS yaw FROM signal) SELECT session, seq, {r4('yaw')} AS yaw, abs(yaw) <= 25 AS facing FROM p""")
@@ -226,6 +241,23 @@ def l2_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("id", rounded(L.mse(p, y)).alias("mse"), rounded(1 - L.correlation(p, y)).alias("correlation_loss"), rounded(F.sqrt(L.mse(p, y))).alias("rmse"), rounded(mape).alias("mape"))
 
 
+_MAGNITUDES = ARRAYS + """, pts AS (SELECT a.id, unnest(a.x) AS p, unnest(b.x) AS y, unnest(range(64)) AS i FROM arrays a JOIN arrays b ON b.id = a.id + 1),
+m AS (SELECT id, k, sqrt(sum(p * cos(2 * pi() * k * i / 64)) ** 2 + sum(p * sin(2 * pi() * k * i / 64)) ** 2) AS mp, sqrt(sum(y * cos(2 * pi() * k * i / 64)) ** 2 + sum(y * sin(2 * pi() * k * i / 64)) ** 2) AS my FROM pts, range(0, 33) r(k) GROUP BY ALL),
+s AS (SELECT id, avg(abs(mp - my)) FILTER (k * 30 / 64.0 BETWEEN 0.833 AND 3.0) + 0.1 * avg(abs(mp - my)) FILTER (k * 30 / 64.0 NOT BETWEEN 0.833 AND 3.0) AS frequency FROM m GROUP BY id),
+n AS (SELECT id, avg(abs(mp / (hp + 1e-9) - my / (hy + 1e-9))) AS spectral FROM (SELECT *, max(mp) OVER w AS hp, max(my) OVER w AS hy FROM m WINDOW w AS (PARTITION BY id)) GROUP BY id),
+t AS (SELECT id, avg((p - y) ** 2) AS mse, 1 - corr(p, y) AS correlation FROM pts GROUP BY id)"""
+
+
+@query(f"""WITH {_MAGNITUDES} SELECT id, {r4('spectral')} AS spectral, {r4('frequency')} AS frequency, {r4('mse + 0.5 * correlation + 0.3 * spectral')} AS waveform FROM t JOIN n USING (id) JOIN s USING (id)""")
+def l2_waveform_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each signal against the next as its target, by their spectra."""
+    a = arrays(spark, sf_dir)
+    x = a.select("id", F.col("x").alias("p")).join(a.select((F.col("id") - 1).alias("id"), F.col("x").alias("y")), "id")
+    x = x.select("id", "p", "y", *(S.spectrum(F.col(c), 64, 30.0, 0, 32).alias(f"{c}_bins") for c in ("p", "y")))
+    p, y = F.col("p_bins"), F.col("y_bins")
+    return x.select("id", rounded(L.spectral_loss(p, y)).alias("spectral"), rounded(L.frequency_loss(p, y)).alias("frequency"), rounded(L.waveform_loss(F.col("p"), F.col("y"), p, y)).alias("waveform"))
+
+
 @query(f"WITH {PAIRS}, b AS (SELECT method, greatest(1e-7, least(1 - 1e-7, confidence / 100)) AS p, CASE WHEN abs(measured - reference) <= 10 THEN 1.0 ELSE 0.0 END AS y FROM pairs WHERE valid) SELECT method, {r4('avg(-(y * ln(p) + (1 - y) * ln(1 - p)))')} AS bce FROM b GROUP BY method")
 def l2_confidence_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.when(F.abs(F.col("measured") - F.col("reference")) <= 10, 1.0).otherwise(0.0)

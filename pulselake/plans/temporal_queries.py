@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quality
 from ..functions.numeric import clip, rounded
-from ..operators import filters, folds
+from ..operators import filters, folds, gates
 from .bindings import SIGNAL, WINDOWS, rgb, signal, windows
 from .registry import query, r4
 
@@ -181,19 +181,19 @@ def g14_stress_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows(spark, sf_dir).withColumn("s", s).select("session", "w", rounded(100 * F.avg("s").over(w)).alias("stress"))
 
 
-@query(f"""WITH {SIGNAL}, p AS (SELECT session, seq, x, lag(x) OVER (PARTITION BY session ORDER BY seq) AS before, stddev_pop(x) OVER b AS sd, avg(x) OVER b AS m, count(*) OVER b AS n FROM signal WINDOW b AS (PARTITION BY session ORDER BY seq ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
-c AS (SELECT session, seq, x < 40 OR x > 200 AS out_of_range, coalesce(abs(x - before) > 20 OR abs(x - before) > 0.25 * before, false) AS jumps, coalesce(n >= 5 AND sd >= 15, false) AS unsteady, coalesce(n >= 5 AND sd / m >= 0.3, false) AS varied FROM p)
-SELECT session, seq, CASE WHEN out_of_range OR jumps THEN 'INVALID' WHEN unsteady OR varied THEN 'UNCERTAIN' ELSE 'VALID' END AS verdict, out_of_range::INT + jumps::INT + unsteady::INT + varied::INT AS failed FROM c""")
+@query(f"""WITH {SIGNAL}, i AS (SELECT session, seq, 30 + x / 2 AS x, event_id % 11 / 10.0 AS instability, event_id % 13 / 13.0 AS harmonic, event_id % 9 / 20.0 AS cv FROM signal),
+j AS (SELECT *, x NOT BETWEEN 40 AND 200 AS out_of_range, coalesce(lag(x) OVER w > 0 AND (abs(x - lag(x) OVER w) > 20 OR abs(x - lag(x) OVER w) / greatest(lag(x) OVER w, 1) > 0.25), false) AS jumps FROM i WINDOW w AS (PARTITION BY session ORDER BY seq)),
+s AS (SELECT *, seq - coalesce(max(CASE WHEN NOT (out_of_range OR jumps) THEN seq END) OVER (PARTITION BY session ORDER BY seq), 0) AS streak FROM j),
+t AS (SELECT *, coalesce(max(streak) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 12, false) AS late FROM s),
+a AS (SELECT session, seq, stddev_pop(x) OVER v AS sd, count(*) OVER v AS m FROM t WHERE NOT (out_of_range OR jumps OR late) WINDOW v AS (PARTITION BY session ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+f AS (SELECT t.session, t.seq, out_of_range OR jumps OR late AS invalid, concat_ws(',', CASE WHEN out_of_range THEN 'out_of_range' END, CASE WHEN jumps THEN 'jumps' END, CASE WHEN late THEN 'timeout' END, CASE WHEN a.m >= 5 AND a.sd >= 15 THEN 'trajectory' END,
+  CASE WHEN instability >= 0.5 THEN 'spectral' END, CASE WHEN harmonic >= 0.5 THEN 'harmonic' END, CASE WHEN cv >= 0.3 THEN 'candidates' END) AS failures FROM t ASOF LEFT JOIN a ON t.session = a.session AND t.seq > a.seq)
+SELECT session, seq, CASE WHEN invalid THEN 'INVALID' WHEN failures <> '' THEN 'UNCERTAIN' ELSE 'PLAUSIBLE' END AS verdict, failures FROM f""")
 def g17_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Range, jump (against the value before, T15), trajectory and variation checks."""
-    b = _ordered(10, -1)
-    d = F.abs(F.col("x") - F.lag("x").over(_ordered()))
-    sd, m, n = F.stddev_pop("x").over(b), F.avg("x").over(b), F.count("*").over(b)
-    known = lambda c: F.coalesce(c, F.lit(False))
-    checks = {"out_of_range": (F.col("x") < 40) | (F.col("x") > 200), "jumps": known((d > 20) | (d > 0.25 * F.lag("x").over(_ordered()))), "unsteady": known((n >= 5) & (sd >= 15)), "varied": known((n >= 5) & (F.try_divide(sd, m) >= 0.3))}
-    p = _seq(signal(spark, sf_dir)).select("session", "seq", *(c.alias(k) for k, c in checks.items()))
-    verdict = F.when(F.col("out_of_range") | F.col("jumps"), "INVALID").when(F.col("unsteady") | F.col("varied"), "UNCERTAIN").otherwise("VALID")
-    return p.select("session", "seq", verdict.alias("verdict"), sum((F.col(k).cast("int") for k in checks), F.lit(0)).alias("failed"))
+    """All seven checks; spectra, harmonics and candidates from the event's number, timeout after 12 rows."""
+    of = lambda n, by: F.pmod("event_id", F.lit(n)) / by
+    s = _seq(signal(spark, sf_dir)).withColumns({"x": 30 + F.col("x") / 2, "instability": of(11, 10.0), "harmonic_ratio": of(13, 13.0), "cv": of(9, 20.0)})
+    return gates.plausible(s, timeout=12).select("session", "seq", "verdict", F.concat_ws(",", "failures").alias("failures"))
 
 
 @query(f"""WITH {SIGNAL}, i AS (SELECT session, seq, abs(x - 50) AS error, CASE WHEN seq % 80 < 40 THEN 60.0 ELSE event_id % 101 END::DOUBLE AS c, event_id % 13 AS actual, event_id % 7 AS predicted, (event_id % 21 - 8) / 10.0 AS trend FROM signal),

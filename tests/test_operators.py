@@ -14,7 +14,7 @@ from pulselake import plans
 from pulselake.functions import conditions as C
 from pulselake.functions import losses as L
 from pulselake.functions import spectral as S
-from pulselake.operators import alignment, filters, folds, fusion, grids, metrics, splits
+from pulselake.operators import alignment, filters, folds, fusion, gates, grids, metrics, splits
 from pulselake.plans import jobs
 from pulselake.plans.bindings import arrays, signal
 from pulselake.sources import ground_truth, synthetic
@@ -312,3 +312,59 @@ def test_notch_takes_out_respiration(spark):
     power = np.abs(np.fft.rfft(y[100:500])) ** 2
     hz = np.fft.rfftfreq(400, 0.1)
     assert power[np.argmin(abs(hz - 0.25))] < 0.05 * power[np.argmin(abs(hz - 1.2))]
+
+
+def test_plausibility_trace(spark):
+    rates = [70.0] * 6 + [95.0, 95.0, None, float("nan"), 300.0, 70.0, 70.0]
+    df = spark.createDataFrame([(1, i, x, 0.0, 0.0, 0.0) for i, x in enumerate(rates)] + [(2, 0, 70.0, 0.5, None, 0.3)], "session int, seq int, x double, instability double, harmonic_ratio double, cv double")
+    got = {(r.session, r.seq): (r.verdict, r.failures) for r in gates.plausible(df).collect()}
+    assert got[2, 0] == ("UNCERTAIN", ["spectral", "candidates"])
+    assert [got[1, i][0] for i in range(13)] == ["PLAUSIBLE"] * 6 + ["INVALID", "PLAUSIBLE", "INVALID", "INVALID", "INVALID", "INVALID", "PLAUSIBLE"]
+    assert got[1, 6][1] == ["jumps"] and got[1, 8][1] == got[1, 9][1] == ["out_of_range"] and got[1, 11][1] == ["jumps"]
+    late = {r.seq: r.failures for r in gates.plausible(df.where("session = 1"), timeout=4).collect()}
+    assert late[11] == ["jumps"] and late[12] == ["timeout"]  # four rows in a row were invalid: the session stays so
+    wild = spark.createDataFrame([(1, i, x, 0.0, 0.0, 0.0) for i, x in enumerate([100.0, 119.0, 100.0, 119.0, 138.0, 157.0, 157.0])], df.schema)
+    assert [r.failures for r in gates.plausible(wild, unsteady=13).orderBy("seq").collect()] == [[]] * 5 + [["trajectory"]] * 2
+    assert gates.plausible(df.limit(0)).count() == 0
+
+
+def test_spatial_failures(spark):
+    kind = "stream int, frame int, motion double, candidates int, scores array<double>, stability double, quality double, landmark_variance double"
+    calm = (0.1, 5, [1.0, 1.1], 0.9, 1.0, 0.5)
+    rows = [(1, 1, *calm), (1, 2, 0.5, 1, [1.0, 9.0], 0.2, 1.0, 3.0), (1, 3, 0.9, 0, [], 0.9, 1.0, 6.0), (1, 4, None, 5, None, None, None, None)]
+    rows += [(2, i, 0.1, 3 if i % 2 else 9, [], 0.9, 1.0, 0.5) for i in range(11)] + [(3, i, 0.1, 5, [], 0.9, 2.0 * (i % 2), 0.5) for i in range(5)]
+    got = {(r.stream, r.frame): (r.failures, r.severity, r.action) for r in gates.spatial_failures(spark.createDataFrame(rows, kind)).collect()}
+    assert got[1, 1] == got[1, 4] == ([], "info", "none")
+    assert got[1, 2] == (["local_motion", "insufficient_candidates", "spatial_disagreement", "temporal_instability", "landmark_instability"], "warning", "downweight")
+    assert got[1, 3] == (["local_motion", "insufficient_candidates", "landmark_instability"], "error", "reject")
+    assert [got[2, i][0] for i in range(11)] == [[]] * 9 + [["candidate_thrashing"]] * 2
+    assert [got[3, i][0] for i in range(5)] == [[]] * 4 + [["temporal_instability"]]
+
+
+def test_metric_intervals_by_force(spark):
+    rng = np.random.default_rng(5)
+    x, e = rng.normal(70, 10, 12), rng.normal(1, 3, 12)
+    df = spark.createDataFrame([(7, i + 1, float(a + b), float(a)) for i, (a, b) in enumerate(zip(x, e, strict=True))] + [(8, 1, 1.0, 2.0)], "session int, row long, measured double, reference double")
+    got = metrics.error_intervals(df, ["session"], rounds=40).collect()
+    assert [r.session for r in got] == [7]
+    d, r = x + e, x
+    of = {"mae": lambda m, t: np.abs(m - t).mean(), "rmse": lambda m, t: np.sqrt(((m - t) ** 2).mean()), "bias": lambda m, t: (m - t).mean(), "pearson": lambda m, t: np.corrcoef(m, t)[0, 1],
+          "loa_low": lambda m, t: (m - t).mean() - 1.96 * (m - t).std(ddof=1), "loa_high": lambda m, t: (m - t).mean() + 1.96 * (m - t).std(ddof=1)}
+    draws = [[int(hashlib.md5(f"42/7/{b}/{i}".encode()).hexdigest()[:8], 16) % 12 for i in range(1, 13)] for b in range(1, 41)]
+    for name, f in of.items():
+        drawn = [f(d[at], r[at]) for at in draws]
+        assert got[0][name] == pytest.approx(f(d, r)) and got[0][f"{name}_low"] == pytest.approx(np.percentile(drawn, 2.5)) and got[0][f"{name}_high"] == pytest.approx(np.percentile(drawn, 97.5))
+
+
+def test_waveform_losses_equal_numpy(spark):
+    rng = np.random.default_rng(2)
+    p, y = rng.normal(size=64), rng.normal(size=64)
+    df = spark.createDataFrame([(p.tolist(), y.tolist())], "p array<double>, y array<double>")
+    bins = [S.spectrum(F.col(c), 64, 30.0, 0, 32) for c in "py"]
+    got = df.select(L.spectral_loss(*bins).alias("s"), L.frequency_loss(*bins).alias("f"), L.waveform_loss(F.col("p"), F.col("y"), *bins).alias("w")).first()
+    a, b = np.abs(np.fft.rfft(p)), np.abs(np.fft.rfft(y))
+    hz = np.fft.rfftfreq(64, 1 / 30)
+    band = (hz >= 0.833) & (hz <= 3.0)
+    s = np.abs(a / a.max() - b / b.max()).mean()
+    assert got.s == pytest.approx(s) and got.f == pytest.approx(np.abs(a - b)[band].mean() + 0.1 * np.abs(a - b)[~band].mean())
+    assert got.w == pytest.approx(((p - y) ** 2).mean() + 0.5 * (1 - np.corrcoef(p, y)[0, 1]) + 0.3 * s)
