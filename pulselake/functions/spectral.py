@@ -57,3 +57,18 @@ def is_harmonic(bins: Column, hz: Column, low: float = 0.7, share: float = 0.15)
     main, yes = at(hz), lambda c: F.coalesce(c, F.lit(False))
     below = F.when(hz * 60 > 140, 0.4).otherwise(0.6) * main
     return yes((hz / 2 >= low) & (at(hz / 2) > below)) | yes((hz / 3 >= low) & (at(hz / 3) > below)) | yes(at(2 * hz) > share * main) | yes(at(3 * hz) > share * main)
+
+
+def resolved(bins: Column, hz: Column, before: Column, low: float = 50 / 60, high: float = 3.0) -> Column:
+    """A peak at hz, or its half or double where that holds enough of its energy (magnitudes within 0.12 Hz, in low..high).
+
+    The half needs 0.30 of it, 0.15 if the rate before was under 90 a minute and the peak is over 130. Else a peak under
+    1.25 Hz gives way to its double with 0.40, 0.25 if the rate before was over 80 and the peak is under 60. before may be null.
+    """
+    band = F.filter(bins, lambda b: b.hz.between(low, high))
+    energy = lambda f: sum_of(F.transform(F.filter(band, lambda b: b.hz.between(f - 0.12, f + 0.12)), lambda b: F.sqrt(b.power)))
+    own, highest = energy(hz), F.array_max(F.transform(band, lambda b: b.hz))
+    half = F.when((before < 90) & (hz * 60 > 130), 0.15).otherwise(0.30)
+    double = F.when((before > 80) & (hz * 60 < 60), 0.25).otherwise(0.40)
+    usable = (hz > 0) & (own >= 1e-12)
+    return F.when(usable & (hz / 2 >= low) & (energy(hz / 2) >= half * own), hz / 2).when(usable & (hz < 1.25) & (2 * hz <= highest) & (energy(2 * hz) >= double * own), 2 * hz).otherwise(hz)

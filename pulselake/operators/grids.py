@@ -65,3 +65,30 @@ def regions(mask: DataFrame, side: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["frame", "cell", "region"])
 
     return frames.mapInPandas(fill, f"frame {dict(mask.dtypes)['frame']}, cell long, region long")
+
+
+def candidates(cells: DataFrame, side: int, least: float, area: int = 2, least_score: float = 0.2, most: int = 10) -> DataFrame:
+    """I4: cells (frame, y, x, quality, confidence, stability) to a frame's `most` best regions: (frame, region, cells, y, x, score, rank).
+
+    Regions join cells with quality >= least that share an edge. The score is the product of their means, less the further their
+    size is from five; regions under `area` cells or `least_score` go. Of equal scores the smaller region comes first.
+    """
+    kept = cells.where(F.col("quality") >= least)
+    at = regions(kept, side).join(kept.withColumn("cell", (F.col("y") * side + F.col("x")).cast("long")), ["frame", "cell"])
+    n = F.count("*")
+    score = F.avg("quality") * F.avg("confidence") * F.avg("stability") / (1 + 0.1 * F.abs(n - 5))
+    g = at.groupBy("frame", "region").agg(n.alias("cells"), F.avg("y").alias("y"), F.avg("x").alias("x"), score.alias("score")).where((F.col("cells") >= area) & (F.col("score") >= least_score))
+    rank = F.row_number().over(Window.partitionBy("frame").orderBy(F.col("score").desc(), "region"))
+    return g.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def matched(new: DataFrame, known: DataFrame, reach: float) -> DataFrame:
+    """New (stream, region, y, x) with candidate: the first id of known (stream, candidate, y, x) whose centre is nearer than
+    reach, null where there is none. Centres of known are those before the frame. An equi join by squares of side reach."""
+    square = lambda c: F.floor(F.col(c) / reach)
+    near = F.sequence(F.lit(-1), F.lit(1))
+    left = new.withColumns({"_y": F.col("y"), "_x": F.col("x")}).withColumn("_i", F.explode(F.transform(near, lambda d: square("y") + d))).withColumn("_j", F.explode(F.transform(near, lambda d: square("x") + d)))
+    right = known.select("stream", "candidate", square("y").alias("_i"), square("x").alias("_j"), F.col("y").alias("_ky"), F.col("x").alias("_kx"))
+    close = F.sqrt(F.pow(F.col("_y") - F.col("_ky"), F.lit(2)) + F.pow(F.col("_x") - F.col("_kx"), F.lit(2))) < reach
+    found = left.join(right, ["stream", "_i", "_j"]).where(close).groupBy("stream", "region").agg(F.min("candidate").alias("candidate"))
+    return new.join(found, ["stream", "region"], "left")

@@ -141,6 +141,31 @@ def i4_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.regions(pixels(spark, sf_dir).where("v > 0"), 8).groupBy("frame", "region").agg(F.count("*").alias("size")).where("size >= 2")
 
 
+_REACH = PIXELS + """, mask AS (SELECT frame, (y * 8 + x)::BIGINT AS cell, y, x, v FROM pixels WHERE v > 0), e AS (SELECT a.frame, a.cell, b.cell AS other FROM mask a JOIN mask b ON a.frame = b.frame AND abs(a.y - b.y) + abs(a.x - b.x) = 1),
+reach AS (SELECT frame, cell, cell AS root FROM mask UNION SELECT r.frame, e.other, r.root FROM reach r JOIN e ON e.frame = r.frame AND e.cell = r.cell), l AS (SELECT frame, cell, min(root) AS region FROM reach GROUP BY ALL),
+c AS (SELECT frame, region, count(*) AS cells, avg(y) AS y, avg(x) AS x, avg(0.5 + 2 * v) * avg(1 - v) * avg(1 - v / 2) / (1 + 0.1 * abs(count(*) - 5)) AS score FROM l JOIN mask USING (frame, cell) GROUP BY ALL HAVING count(*) >= 2),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, region) AS rank FROM c WHERE score >= 0.2) WHERE rank <= 10)"""
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("v")
+    maps = pixels(spark, sf_dir).where("v > 0").select("frame", "y", "x", (0.5 + 2 * v).alias("quality"), (1 - v).alias("confidence"), (1 - v / 2).alias("stability"))
+    return G.candidates(maps, 8, 0.5)
+
+
+@query(f"WITH RECURSIVE {_REACH} SELECT frame, region, cells, {r4('score')} AS score, rank FROM best")
+def i4_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir).select("frame", "region", "cells", rounded(F.col("score")).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"WITH RECURSIVE {_REACH} SELECT a.frame, a.region, min(b.region) AS candidate FROM best a LEFT JOIN best b ON b.frame = a.frame - 1 AND sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2) < 2 GROUP BY ALL")
+def e8_candidate_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frame's candidates against those of the frame before."""
+    c = _candidates(spark, sf_dir)
+    known = c.select((F.col("frame") + 1).alias("stream"), F.col("region").alias("candidate"), "y", "x")
+    return G.matched(c.select(F.col("frame").alias("stream"), "region", "y", "x"), known, 2.0).select(F.col("stream").alias("frame"), "region", "candidate")
+
+
 _SCORES = "list_transform(list_filter(x, lambda v: abs(v) > 0.22), lambda v: abs(v) - 0.2)"
 
 

@@ -216,17 +216,15 @@ def d4_window_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("id", F.col("start").cast("bigint").alias("start"), (-top.lower).cast("bigint").alias("k"))
 
 
-_TOP = f"{_DFT}, top AS (SELECT id, arg_max(k, (p, -k)) AS k0 FROM power GROUP BY id), e AS (SELECT id, k0, max(p) FILTER (k = k0) AS e1, max(p) FILTER (k = k0 // 2) AS half, max(p) FILTER (k = 2 * k0) AS twice FROM power JOIN top USING (id) GROUP BY ALL)"
-
-
-@query(f"WITH {_TOP} SELECT id, k0, CASE WHEN half >= 0.3 * e1 THEN k0 // 2 WHEN k0 < 4 AND twice >= 0.4 * e1 THEN 2 * k0 ELSE k0 END AS k FROM e")
+@query(f"""WITH {_DFT}, f AS (SELECT id, CASE WHEN id % 3 > 0 THEN 60.0 + id % 3 * 30 END AS before, arg_max(hz, (p, -k)) FILTER (hz BETWEEN 0.6 AND 3.0) AS f, max(hz) FILTER (hz <= 3.0) AS highest FROM power GROUP BY id),
+e AS (SELECT f.*, {", ".join(f"coalesce(sum(sqrt(p)) FILTER (hz BETWEEN {c} - 0.12 AND {c} + 0.12 AND hz BETWEEN 0.6 AND 3.0), 0) AS {n}" for c, n in (("f", "own"), ("f / 2", "half"), ("2 * f", "twice")))} FROM power JOIN f USING (id) GROUP BY ALL)
+SELECT id, {r4('f * 60')} AS bpm, {r4("60 * CASE WHEN f / 2 >= 0.6 AND half >= own * CASE WHEN before < 90 AND f * 60 > 130 THEN 0.15 ELSE 0.30 END THEN f / 2 WHEN f < 1.25 AND 2 * f <= highest AND twice >= own * CASE WHEN before > 80 AND f * 60 < 60 THEN 0.25 ELSE 0.40 END THEN 2 * f ELSE f END")} AS resolved FROM e""")
 def d5_subharmonic(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 32) -> DataFrame:
-    """The half rate if it holds 0.3 of the peak's energy, else the double one for slow rates if it holds 0.4."""
-    x = bins(spark, sf_dir, first, last).withColumn("k0", -S.peak(F.col("bins")).lower)
-    at = lambda k: F.get(F.filter("bins", lambda b: b.k == k), F.lit(0)).power
-    x = x.select("id", "k0", at(F.col("k0")).alias("e1"), at(F.floor(F.col("k0") / 2)).alias("half"), at(2 * F.col("k0")).alias("twice"))
-    k = F.when(F.col("half") >= 0.3 * F.col("e1"), F.floor(F.col("k0") / 2)).when((F.col("k0") < 4) & (F.col("twice") >= 0.4 * F.col("e1")), 2 * F.col("k0")).otherwise(F.col("k0"))
-    return x.select("id", F.col("k0").cast("bigint").alias("k0"), k.cast("bigint").alias("k"))
+    """Peaks from 0.6 Hz up, as these bins are 0.47 Hz apart; a third of the rows has no rate before."""
+    f = S.peak(F.filter("bins", lambda b: b.hz.between(0.6, 3.0))).hz
+    before = F.when(F.col("id") % 3 > 0, 60.0 + F.col("id") % 3 * 30)
+    x = bins(spark, sf_dir, first, last).select("id", "bins", f.alias("f"), before.alias("before"))
+    return x.select("id", rounded(F.col("f") * 60).alias("bpm"), rounded(60 * S.resolved(F.col("bins"), F.col("f"), F.col("before"), low=0.6)).alias("resolved"))
 
 
 @query(f"""WITH {_DFT0}, t AS (SELECT id, arg_max(hz, (p, -k)) AS f FROM power WHERE hz BETWEEN 0.8 AND 3.0 GROUP BY id), e AS (SELECT power.id, f, {', '.join(f"max(p) FILTER (hz BETWEEN {c} - 0.1 AND {c} + 0.1) AS {n}" for n, c in (('main', 'f'), ('half', 'f / 2'), ('third', 'f / 3'), ('twice', '2 * f'), ('thrice', '3 * f')))} FROM power JOIN t USING (id) GROUP BY ALL)

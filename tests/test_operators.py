@@ -368,3 +368,24 @@ def test_waveform_losses_equal_numpy(spark):
     s = np.abs(a / a.max() - b / b.max()).mean()
     assert got.s == pytest.approx(s) and got.f == pytest.approx(np.abs(a - b)[band].mean() + 0.1 * np.abs(a - b)[~band].mean())
     assert got.w == pytest.approx(((p - y) ** 2).mean() + 0.5 * (1 - np.corrcoef(p, y)[0, 1]) + 0.3 * s)
+
+
+def test_subharmonic_rules(spark):
+    def run(energy, hz, before):
+        df = spark.createDataFrame([([(k, k * 0.1, 0.0, 0.0, energy.get(k, 0.0) ** 2) for k in range(41)], hz, before)], "bins array<struct<k:int,hz:double,re:double,im:double,power:double>>, f double, b double")
+        return df.select(S.resolved(F.col("bins"), F.col("f"), F.col("b"))).first()[0]
+
+    assert run({24: 1.0, 12: 0.31}, 2.4, None) == pytest.approx(1.2)
+    assert run({24: 1.0, 12: 0.2}, 2.4, None) == 2.4 and run({24: 1.0, 12: 0.2}, 2.4, 80.0) == pytest.approx(1.2)
+    assert run({9: 1.0, 18: 0.45}, 0.9, None) == pytest.approx(1.8) and run({9: 1.0, 18: 0.3}, 0.9, 85.0) == pytest.approx(1.8)
+    assert run({9: 1.0, 18: 0.3}, 0.9, None) == 0.9 and run({}, 2.4, None) == 2.4
+
+
+def test_candidates_and_matching(spark):
+    ok = (0.9, 1.0, 1.0)
+    rows = [(1, y, x, *ok) for y, x in [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)]] + [(1, 5, 5, *ok)] + [(1, 7, x, 0.6, 0.5, 0.5) for x in (0, 1)] + [(1, 4, 0, 0.1, 1.0, 1.0), (2, 0, 0, *ok), (2, 1, 0, *ok)]
+    got = grids.candidates(spark.createDataFrame(rows, "frame int, y int, x int, quality double, confidence double, stability double"), 8, 0.3).collect()
+    assert {(r.frame, r.region, r.cells, r.rank): round(r.score, 6) for r in got} == {(1, 0, 5, 1): 0.9, (2, 0, 2, 1): round(0.9 / 1.3, 6)}
+    new = spark.createDataFrame([(1, 1, 0.4, 0.4), (1, 2, 9.0, -9.0), (2, 1, 0.0, 0.0)], "stream int, region int, y double, x double")
+    known = spark.createDataFrame([(1, 5, -1.0, 0.0), (1, 3, 2.3, 0.4), (1, 2, 2.5, 0.4), (1, 9, 9.0, -9.5)], "stream int, candidate int, y double, x double")
+    assert {(r.stream, r.region): r.candidate for r in grids.matched(new, known, 2.0).collect()} == {(1, 1): 3, (1, 2): 9, (2, 1): None}
