@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pulselake import plans
+from pulselake.functions import augment as A
 from pulselake.functions import conditions as C
 from pulselake.functions import losses as L
 from pulselake.functions import spectral as S
@@ -389,3 +390,16 @@ def test_candidates_and_matching(spark):
     new = spark.createDataFrame([(1, 1, 0.4, 0.4), (1, 2, 9.0, -9.0), (2, 1, 0.0, 0.0)], "stream int, region int, y double, x double")
     known = spark.createDataFrame([(1, 5, -1.0, 0.0), (1, 3, 2.3, 0.4), (1, 2, 2.5, 0.4), (1, 9, 9.0, -9.5)], "stream int, candidate int, y double, x double")
     assert {(r.stream, r.region): r.candidate for r in grids.matched(new, known, 2.0).collect()} == {(1, 1): 3, (1, 2): 9, (2, 1): None}
+
+
+def test_augmentations(spark):
+    df = spark.range(300).select("id", F.array(*(F.lit(float(i)) for i in range(10))).alias("x"))
+    x, key = F.col("x"), F.col("id")
+    one = df.limit(1).select(A.shifted(x, 2).alias("a"), A.shifted(x, -2).alias("b"), A.composed(x, [lambda c: A.scaled(c, 2.0), lambda c: A.masked(c, 1, 8)]).alias("c"), A.shifted(F.slice(x, 1, 0), 2).alias("d")).first()
+    assert one.a == [0, 0, 0, 1, 2, 3, 4, 5, 6, 7] and one.b == [2, 3, 4, 5, 6, 7, 8, 9, 9, 9] and one.c == [0] * 9 + [18] and one.d == []
+    got = df.select(A.cropped(x, F.lit(0.5), A.chance(key, "crop")).alias("part"), A.noisy(x, key, 0.5).alias("noisy"), A.dropped(x, key, 0.2).alias("dropped"), A.views(x, key, 2, 4, lambda c, own: A.noisy(c, own, 0.0)).alias("views")).collect()
+    assert {tuple(r.part) for r in got} == {tuple(float(i) for i in range(s, s + 5)) for s in range(6)}
+    noise = np.array([r.noisy for r in got]) - np.arange(10)
+    assert abs(noise.mean()) < 0.05 and abs(noise.std() - 0.5) < 0.05
+    assert 0.15 < np.mean([[v == 0 for v in r.dropped[1:]] for r in got]) < 0.25
+    assert all(len(v) == 4 and np.diff(v).tolist() == [1, 1, 1] for r in got for v in r.views) and any(r.views[0] != r.views[1] for r in got)
