@@ -20,29 +20,41 @@ from .common import written
 #: Rows and bytes of a chunk, about: a task holds two.
 CHUNK, CHUNK_BYTES = 500, 16 << 20
 
-#: From a task's rows: two functions of a row and an array of rows, which of the latter can be linked with it, and which are.
-Judge = Callable[[pa.Table], tuple[Callable[[int, np.ndarray], np.ndarray], Callable[[int, np.ndarray], np.ndarray]]]
+#: Pairs that a task verifies at once, about.
+PAIRS = 4096
+
+#: From a task's rows: which of an array of rows can be linked with a row; and of two arrays of rows, which pairs are linked.
+Judge = Callable[[pa.Table], tuple[Callable[[int, np.ndarray], np.ndarray], Callable[[np.ndarray, np.ndarray], np.ndarray]]]
 
 
 def forest(node: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, possible, linked, ordered: bool = False) -> np.ndarray:
-    """(links, 2): links between rows of left and right that connect all labels that any links between them connect."""
+    """(links, 2): links between rows of left and right that connect all labels that any links between them connect.
+
+    Pairs are verified in rounds: the next ones of every row together, four times as many in each round, without those that
+    links found before connect.
+    """
     _, root = np.unique(label, return_inverse=True)
-    out = []
+    out, xs, ys = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for x in left:
-        ys = right[root[right] != root[x]]
+        y = right[root[right] != root[x]]
         if ordered:  # both sides are the same rows
-            ys = ys[node[ys] > node[x]]
-        if len(ys):
-            ys = ys[possible(x, ys)]
-        at, step = 0, 1
-        while at < len(ys):
-            part = ys[at : at + step]
-            at, step = at + step, 4 * step
-            part = part[root[part] != root[x]]
-            for y in part[linked(x, part)] if len(part) else ():
-                if root[y] != root[x]:
-                    out.append((min(node[x], node[y]), max(node[x], node[y])))
-                    root[root == root[y]] = root[x]
+            y = y[node[y] > node[x]]
+        if len(y):
+            y = y[possible(x, y)]
+        xs.append(np.full(len(y), x, np.int64))
+        ys.append(y)
+    x, y, step = np.concatenate(xs), np.concatenate(ys), 1
+    while len(x):
+        at = np.arange(len(x))
+        rank = at - np.maximum.accumulate(np.where(np.diff(x, prepend=-1) != 0, at, 0))
+        now = np.flatnonzero(rank < step)[:PAIRS]
+        for i in now[linked(x[now], y[now])]:
+            if root[x[i]] != root[y[i]]:
+                out.append((min(node[x[i]], node[y[i]]), max(node[x[i]], node[y[i]])))
+                root[root == root[y[i]]] = root[x[i]]
+        left_over = root[x] != root[y]
+        left_over[now] = False
+        x, y, step = x[left_over], y[left_over], 4 * step
     return np.array(out, np.int64).reshape(-1, 2)
 
 

@@ -291,10 +291,9 @@ def _by_set(percent: int):
     def judge(table: pa.Table):
         n, sets_of = table["n"].to_numpy(), table["hashes"].to_pylist()
 
-        def linked(x: int, ys: np.ndarray) -> np.ndarray:
-            own = np.frombuffer(sets_of[x], "<u8")
-            both = np.array([len(np.intersect1d(own, np.frombuffer(sets_of[y], "<u8"), assume_unique=True)) for y in ys])
-            return 100 * both >= percent * (n[x] + n[ys] - both)
+        def linked(xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+            both = np.array([len(np.intersect1d(np.frombuffer(sets_of[x], "<u8"), np.frombuffer(sets_of[y], "<u8"), assume_unique=True)) for x, y in zip(xs, ys, strict=True)], np.int64)
+            return 100 * both >= percent * (n[xs] + n[ys] - both)
 
         return _by_sketch(percent)(table)[0], linked
 

@@ -323,13 +323,29 @@ def _verified(pairs: DataFrame, found: DataFrame, edits: int, every: int) -> Dat
     return hot_join(hot_join(pairs, texts.toDF("a", "ta"), "a"), texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
 
+def pair_counts(line: str, bins: int = 256) -> np.ndarray:
+    """How many of a line's pairs of neighbouring code points fall into each bin: an edit changes at most four of them."""
+    code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return np.bincount((code[:-1] * 31 + code[1:]) % bins, minlength=bins)
+
+
 def _judge(edits: int, every: int):
-    """Of rows with text: which lines can be near by their letters' counts, and which are."""
+    """Of rows with text: which lines can be near by length and the counts of letters and of pairs of them, and which are."""
 
     def judge(table: pa.Table):
         text = table["text"].to_pylist()
-        counts = np.array([letter_counts(t) for t in text], np.int32).reshape(len(text), 128)
-        return lambda x, ys: np.abs(counts[ys] - counts[x]).sum(1) <= 2 * edits, lambda x, ys: near([(text[x], text[y]) for y in ys], edits, every)
+        size = np.array([len(t) for t in text], np.int64)
+        letters = np.array([letter_counts(t) for t in text], np.int32).reshape(len(text), 128)
+        pairs = np.array([pair_counts(t) for t in text], np.int32).reshape(len(text), 256)
+
+        def possible(x: int, ys: np.ndarray) -> np.ndarray:
+            ok = np.abs(size[ys] - size[x]) <= edits
+            for counts, most in ((letters, 2 * edits), (pairs, 4 * edits)):
+                own = np.flatnonzero(ok)
+                ok[own] = np.abs(counts[ys[own]] - counts[x]).sum(1) <= most
+            return ok
+
+        return possible, lambda xs, ys: near([(text[x], text[y]) for x, y in zip(xs, ys, strict=True)], edits, every)
 
     return judge
 

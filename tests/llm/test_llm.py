@@ -199,7 +199,7 @@ def test_closing_is_linear(spark, monkeypatch):
 
     def judge(table):
         node = table["node"].to_numpy()
-        return lambda x, ys: np.abs(node[ys] - node[x]) <= 50, lambda x, ys: np.abs(node[ys] - node[x]) <= 20
+        return lambda x, ys: np.abs(node[ys] - node[x]) <= 50, lambda xs, ys: np.abs(node[ys] - node[xs]) <= 20
 
     links = closing.closing_links(members, labels, payload, judge, sided=False)
     rows = [tuple(r) for r in links.collect()]
@@ -208,6 +208,33 @@ def test_closing_is_linear(spark, monkeypatch):
     assert {r.component for r in graphs.components(every).collect()} == {0}
 
 
+def test_forest_connects_what_all_pairs_connect(monkeypatch):
+    """However few pairs are verified at once; with sides apart, or both the same rows."""
+    r = np.random.default_rng(3)
+    for pairs in (1, 7, 4096):
+        monkeypatch.setattr(closing, "PAIRS", pairs)
+        for ordered in (False, True):
+            n = 60
+            node, label, near = r.permutation(n), r.integers(0, 40, n), r.random((n, n)) < 0.02
+            near |= near.T
+            left = np.arange(n) if ordered else np.arange(n // 2)
+            right = np.arange(n) if ordered else np.arange(n // 2, n)
+            got = closing.forest(node, label, left, right, lambda x, ys: np.ones(len(ys), bool), lambda xs, ys, near=near: near[xs, ys], ordered)
+            at = np.argsort(node)
+            assert all(near[at[a], at[b]] and a < b for a, b in got) and len(got) < len(np.unique(label))
+            every = [(x, y) for x in left for y in right if near[x, y] and x != y]
+            assert parts(label, [(at[a], at[b]) for a, b in got]) == parts(label, every)
+    none = np.zeros(0, np.int64)
+    assert closing.forest(none, none, none, none, None, None).shape == (0, 2)
+
+
+def parts(label, links):
+    root = label.copy()
+    for x, y in links:
+        root[root == root[y]] = root[x]
+    return {frozenset(np.flatnonzero(root == v).tolist()) for v in root}
+
+
 def test_hot_join(spark):
     left = spark.createDataFrame([(1, i) for i in range(50)] + [(i, i) for i in range(30)] + [(None, 1)], "k long, x long")
     right = spark.createDataFrame([(i, -i) for i in range(20)], "k long, y long")
@@ -316,6 +343,23 @@ def test_edit_distance():
         assert lines.within(pairs, edits).tolist() == [lines._short(a, b) <= edits for a, b in pairs]
 
 
+def test_letters_and_pairs_rule_out_no_near_line():
+    r = random.Random(11)
+    text = []
+    for _ in range(40):
+        a = "".join(r.choice("abcé ") for _ in range(r.choice((12, 20, 30, 60))))
+        b = list(a)
+        for _ in range(r.randint(0, 3)):
+            p = r.randint(0, len(b))
+            b[p : p + r.randint(0, 1)] = r.choice(("", "x", "é"))
+        text += [a, "".join(b)]
+    possible, linked = lines._judge(2, 12)(pa.table({"text": text}))
+    every = np.arange(len(text))
+    for x in every:
+        ok = linked(np.full(len(every), x), every)
+        assert ok[x] and not (ok & ~possible(x, every)).any()
+
+
 def test_urls(spark):
     rows = [(1, "http://A.example.com/en/71?x"), (2, "https://b.example.net/de/8#t"), (3, "https://x.net/de/9"), (4, "ftp://q.org?en"), (5, None), (6, "no host"), (7, "http://www.spam-farm.example.com"), (8, "http://com/en/"), (9, "http://xcom/en/"), (1, "http://A.example.com/en/71?x")]
     df = spark.createDataFrame([(*x, "h", "v") for x in rows], "page_id long, url string, host string, verdict string")
