@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hot_join, written
 
 #: Rows and bytes of a chunk, about: a task holds two.
 CHUNK, CHUNK_BYTES = 500, 16 << 20
@@ -72,7 +72,8 @@ def _cells(members: DataFrame, labels: DataFrame, sizes: DataFrame, sided: bool)
     rows = written(whole.union(rest).join(sizes, "node"), "members")
     chunks = rows.groupBy("kind", "g", "side").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_BYTES)).alias("chunks"))
     grid = chunks.groupBy("kind", "g").agg(F.max(F.when(F.col("side") == 0, F.col("chunks"))).alias("c0"), F.max(F.when(F.col("side") == 1, F.col("chunks"))).alias("c1")).where("c0 IS NOT NULL AND c1 IS NOT NULL")
-    rows = rows.join(grid, ["kind", "g"]).withColumn("own", F.expr("pmod(xxhash64(node), if(side = 0, c0, c1))")).withColumn("other", F.explode(F.expr("sequence(0L, if(side = 0, c1, c0) - 1)")))
+    grid = grid.select(F.concat_ws(":", "kind", "g").alias("group"), "c0", "c1")
+    rows = hot_join(rows.withColumn("group", F.concat_ws(":", "kind", "g")), grid, "group").withColumn("own", F.expr("pmod(xxhash64(node), if(side = 0, c0, c1))")).withColumn("other", F.explode(F.expr("sequence(0L, if(side = 0, c1, c0) - 1)")))
     return rows.select("kind", "g", F.expr("if(side = 0, own, other)").alias("i"), F.expr("if(side = 0, other, own)").alias("j"), "side", "node", "label")
 
 
