@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, languages, leaks, lines, lm, token_files, tokens, toxicity, urls
+from . import centroids, fingerprints, jaccard, languages, leaks, lines, lm, token_files, tokens, toxicity, urls
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -67,7 +67,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_toxicity, op4_line_dedup, op5_token_files, op6_language_id, op7_lm_scoring, op8_benchmark_leaks, op9_jaccard_join, op10_url_filters)}
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_toxicity, op4_line_dedup, op5_token_files, op6_language_id, op7_lm_scoring, op8_benchmark_leaks, op9_jaccard_join, op10_url_filters, op13_centroids)}
 
 _URL = """
 WITH cut AS (
@@ -121,5 +125,20 @@ least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, n AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM size LEFT JOIN least USING (doc_id)
 """
 
+#: Ten rounds, each a table of centroids; distances by components.
+_NEAR = """(SELECT vec_id, row, min_by(c, (list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c)) AS cluster,
+  min(list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS distance FROM v, c{n} GROUP BY vec_id, row)"""
+_ROUND = """c{m} AS MATERIALIZED (SELECT c, coalesce(list(s ORDER BY j) FILTER (s IS NOT NULL), any_value(y)) AS y FROM c{n} LEFT JOIN
+  (SELECT cluster, j, floor_div AS s FROM (SELECT cluster, j, (sum(x[j + 1]) - ((sum(x[j + 1]) % count(*) + count(*)) % count(*))) // count(*) AS floor_div FROM v JOIN {near} USING (row), range(64) r(j) GROUP BY cluster, j)) ON cluster = c GROUP BY c)"""
+_CENTROIDS = """
+WITH kept AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS x FROM kept),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x AS y FROM (SELECT x, sha256('3:' || vec_id) AS h FROM v) ORDER BY h, x LIMIT 8),
+""" + ",\n".join(_ROUND.format(n=n, m=n + 1, near=_NEAR.format(n=n)) for n in range(10)) + f""",
+last AS MATERIALIZED {_NEAR.format(n=10)}
+SELECT vec_id, cluster::INTEGER AS cluster, distance::BIGINT AS distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(y, ',')) AS centroid_sha256 FROM last JOIN c10 ON c = cluster
+"""
+
 #: op8: the fingerprints' radius is not in the SQL, so it also gives pairs that the radius would miss.
-ORACLE_SQL = {"op8_benchmark_leaks": _LEAKS, "op9_jaccard_join": _JACCARD, "op10_url_filters": _URL}
+ORACLE_SQL = {"op8_benchmark_leaks": _LEAKS, "op9_jaccard_join": _JACCARD, "op10_url_filters": _URL, "op13_centroids": _CENTROIDS}
