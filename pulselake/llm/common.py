@@ -79,8 +79,8 @@ def buckets_for(docs: DataFrame) -> int:
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def texts(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> pa.Array:
-    """A text column as one Arrow array in which null is the empty text; A-Z lower-cased if asked.
+def texts(column: pa.Array | pa.ChunkedArray, lower: bool = False, table: bytes | None = None) -> pa.Array:
+    """A text column as one Arrow array in which null is the empty text; A-Z lower-cased if asked, or ASCII bytes replaced by table.
 
     The array is laid out anew from offset 0: Arrow's ASCII functions read slices wrongly.
     """
@@ -92,7 +92,8 @@ def texts(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> pa.Array:
         return pa.array([""] * len(column), pa.large_string())
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     data = memoryview(data)[offsets[0] : offsets[-1]].tobytes()
-    return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(data.translate(LOWER) if lower else data))
+    table = table or (LOWER if lower else None)
+    return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(data.translate(table) if table else data))
 
 
 _LIBC = ctypes.CDLL(None)
@@ -121,9 +122,9 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
             freed()
 
 
-def split_words(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+def split_words(column: pa.Array | pa.ChunkedArray, lower: bool = False, table: bytes | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words between ASCII white space: word counts by text, a code for each word in order, and the distinct words."""
-    lists = pc.ascii_split_whitespace(texts(column, lower))
+    lists = pc.ascii_split_whitespace(texts(column, lower, table))
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = lists.flatten()
     empty = pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
