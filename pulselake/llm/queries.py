@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, fingerprints, jaccard, languages, leaks, lines, lm, resample, token_files, tokens, toxicity, urls
+from . import centroids, extraction, fingerprints, jaccard, languages, leaks, lines, lm, resample, token_files, tokens, toxicity, urls
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -71,11 +71,15 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_toxicity, op4_line_dedup, op5_token_files, op6_language_id, op7_lm_scoring, op8_benchmark_leaks, op9_jaccard_join, op10_url_filters, op11_resampling, op13_centroids)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_toxicity, op4_line_dedup, op5_token_files, op6_language_id, op7_lm_scoring, op8_benchmark_leaks, op9_jaccard_join, op10_url_filters, op11_resampling, op12_main_text, op13_centroids)}
 
 _URL = """
 WITH cut AS (
