@@ -223,7 +223,7 @@ def main_text(pages: DataFrame, ranges: int | None = None) -> DataFrame:
 
     n_blocks counts a page's blocks, n_shared those deleted because a neighbour has them too. Pages of one host are ordered
     by path, then by the whole url, page_id and a hash of the html; a page with the same blocks as its neighbour isn't
-    compared with it (copies tell nothing). A null url or one without `://` belongs to the host without a name, a null html
+    compared with it (copies tell nothing: a page whose both neighbours are its copies is left to its markup). A null url or one without `://` belongs to the host without a name, a null html
     gives an empty text, rows that repeat give repeated results. A page alone in its host is left to its markup.
     """
     spark = pages.sparkSession
@@ -276,6 +276,7 @@ def main_text(pages: DataFrame, ranges: int | None = None) -> DataFrame:
         unpack = zstandard.ZstdDecompressor()
         before: dict | None = None
         out: list[tuple] = []
+        held = 0
 
         def done(x: dict) -> None:
             if not x["ghost"]:
@@ -302,7 +303,9 @@ def main_text(pages: DataFrame, ranges: int | None = None) -> DataFrame:
                         row["shared"].update(y)
                     done(before)
                 before = row
-                if len(out) >= 1000 or sum(r[3] for r in out[-8:]) * len(out) > 8 * BLOCK_BYTES:
+                held += sum(map(len, row["blocks"]))
+                if len(out) >= 1000 or held > BLOCK_BYTES:
+                    held = 0
                     yield batch()
         if before is not None:
             done(before)
