@@ -1,16 +1,22 @@
 """Time alignment of predictions to references (survey E).
 
-Candidate pairs come from an equi join on (session, time bucket of the tolerance's width, its neighbours too), not from a
-range join, so the plan hashes and no side is sent whole.
+One-to-one pairs come from a sweep over both sides in order of time. Candidate pairs of the others come from an equi join on
+(session, time bucket of the tolerance's width, its neighbours too), not from a range join, so the plan hashes and no side is
+sent whole.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 #: Chains of a session that one call reads.
@@ -39,13 +45,66 @@ def nearest(pred: DataFrame, ref: DataFrame, tolerance: float) -> DataFrame:
 def greedy(pred: DataFrame, ref: DataFrame, tolerance: float, order: str = "t", compat: bool = False) -> DataFrame:
     """E1 (compat: E3, which allows anything less than tolerance + 1): one-to-one pairs, predictions in `order`.
 
-    Each prediction takes the nearest reference that is still free, of equal ones the earliest. The choice is sequential
-    within a chain of predictions that compete; sessions are cut where consecutive candidates are further apart than the
-    reach, so that a task holds one chain, not a session.
+    Each prediction takes the nearest reference that is still free, of equal ones the earliest. In order of time a session is
+    swept: references and predictions come sorted, and only the free references within reach of the present prediction are
+    held, however long the session is. Rows without a finite time, and predictions without a finite x, take no part.
     """
     reach = tolerance + 1 if compat else tolerance
+    if order != "t":
+        return _greedy_by(pred, ref, reach, order, compat)
+    slack = 1e-6 + 1e-9 * reach  # a reference comes in a little early; what counts is the exact distance
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    cols = ("session", "id", "t", "x")
+    a = pred.where(finite("t") & finite("x")).select(*cols, F.lit(1).alias("side"), F.col("t").alias("at"))
+    b = ref.where(finite("t")).select(*cols, F.lit(0).alias("side"), (F.col("t") - (reach + slack)).alias("at"))
+    types, theirs = dict(pred.dtypes), dict(ref.dtypes)
+    out = {"session": types["session"], "pred_id": types["id"], "ref_id": theirs["id"], "pred_t": "double", "ref_t": "double", "pred_x": types["x"], "ref_x": theirs["x"], "apart": "double"}
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session: object = object()
+        times, refs = [], []  # of the free references within reach, in order of time
+        for batch in batches:
+            found: list[tuple] = []
+            for s, i, t, x, side in zip(*(batch.column(c).to_pylist() for c in (*cols, "side")), strict=True):
+                if s != session:
+                    session, times, refs = s, [], []
+                if not side:
+                    times.append(t)
+                    refs.append((i, x))
+                    continue
+                gone = bisect_left(times, t - reach - slack)
+                del times[:gone], refs[:gone]
+                best = nearest_free(times, t)
+                if best is not None:
+                    apart = abs(t - times[best])
+                    if apart < reach or (apart == reach and not compat):
+                        found.append((s, i, refs[best][0], t, times[best], x, refs[best][1], apart))
+                        del times[best], refs[best]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kinds[c]) for k, c in enumerate(out)], list(out))
+
+    schema = StructType.fromDDL(", ".join(f"{c} {t}" for c, t in out.items()))
+    kinds = {f.name: f.type for f in to_arrow_schema(schema)}
+    return a.unionByName(b).repartition("session").sortWithinPartitions("session", "at", "side", "t", "id").mapInArrow(sweep, schema)
+
+
+def nearest_free(times: list[float], t: float) -> int | None:
+    """The place of the time nearest to t, of equally near or equal ones the first."""
+    if not times:
+        return None
+    after = bisect_left(times, t)
+    if after and (after == len(times) or t - times[after - 1] <= times[after] - t):
+        return bisect_left(times, times[after - 1])
+    return after
+
+
+def _greedy_by(pred: DataFrame, ref: DataFrame, reach: float, order: str, strict: bool) -> DataFrame:
+    """greedy() with predictions in another order than that of time.
+
+    The choice is sequential within a chain of predictions that compete; sessions are cut where consecutive candidates are
+    further apart than the reach, so a task holds one chain, not a session (a session without such a gap is one chain).
+    """
     pred = pred.withColumn("o", F.col(order))
-    pairs = candidates(pred, ref, reach, strict=compat).join(pred.select("session", F.col("id").alias("pred_id"), "o"), ["session", "pred_id"])
+    pairs = candidates(pred, ref, reach, strict=strict).join(pred.select("session", F.col("id").alias("pred_id"), "o"), ["session", "pred_id"])
     times = pairs.select("session", F.col("pred_t").alias("at")).union(pairs.select("session", F.col("ref_t").alias("at"))).distinct()
     w = Window.partitionBy("session").orderBy("at")
     chains = times.withColumn("chain", F.sum(F.when(F.col("at") - F.lag("at").over(w) > reach, 1).otherwise(0)).over(w))

@@ -63,7 +63,7 @@ def smoother(state: dict, row: dict, jump: float = 12.0, window: int = 17, lock:
     """Inertia, plausibility, jump test, median, slow mean, the filter of G3, and a lock on steady output.
 
     A value is pulled to the one before (0.3 of the new), and a move of more than 10 that is left is cut to a tenth. If it is
-    more than 8 from one of the last three (itself included) it is pulled to the slow mean. One that still moves by more than
+    more than 8 from one of the last three (itself included; none before there are three) it is pulled to the slow mean. One that still moves by more than
     `jump` (2.5 times that until `window` values are known) counts for the median only. Values of 0 or less change nothing.
     """
     x, last, mean = row["x"], state.get("last"), state.get("mean")
@@ -77,7 +77,7 @@ def smoother(state: dict, row: dict, jump: float = 12.0, window: int = 17, lock:
             x = 0.1 * x + 0.9 * last
     recent = (recent + [x])[-12:]
     state = {**state, "recent": recent}
-    if any(abs(x - r) > 8 for r in recent[-3:]):
+    if len(recent) >= 3 and any(abs(x - r) > 8 for r in recent[-3:]):
         if not mean:
             return state, held
         recent[-1] = x = 0.2 * x + 0.8 * mean

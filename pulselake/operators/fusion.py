@@ -8,16 +8,25 @@ from pyspark.sql import functions as F
 from ..functions.numeric import clip, ratio
 
 
-def region_weight(base: Column, sqi: Column, temporal: Column, snr: Column, bpm: Column, brightness: Column, motion: Column, drift: Column, suspect: Column) -> Column:
-    """H1: base weight times quality, plausibility, brightness, motion and exposure factors; suspects 0, else 0.05..3."""
+def region_weight(base: Column, sqi: Column, temporal: Column, snr: Column, bpm: Column, brightness: Column, motion: Column, drift: Column, suspect: Column, agreement: Column, stable: Column) -> Column:
+    """H1: base weight times quality, plausibility, brightness, motion, agreement and exposure factors; suspects 0, else 0.05..3.
+
+    temporal is the steadiness of the region's rates (see steadiness()), stable the rate that was last fused (0 if none).
+    """
     plausible = F.when((bpm > 0) & ((bpm < 45) | (bpm > 150)), 0.1).when((bpm > 0) & ((bpm < 55) | (bpm > 130)), 0.5).otherwise(1.0)
+    plausible = plausible * F.when((stable > 0) & (F.abs(bpm - stable) > 25), 0.6).otherwise(1.0)
     snr_score = F.when(snr > 0, F.least(F.pow(snr / 100, F.lit(1.5)), F.lit(1.0))).otherwise(0.1)
     light = F.when(brightness < 65, F.greatest(F.lit(0.08), F.pow(brightness / 65, F.lit(2.0)))).when(brightness < 85, F.greatest(F.lit(0.35), brightness / 85)).otherwise(1.0)
-    w = base * (0.4 * F.greatest(F.lit(0.1), sqi / 100) + 0.4 * temporal + 0.2 * snr_score) * plausible * light
-    w = w * F.when(motion > 2.5, 0.2).otherwise(1.0) * F.when(motion > 3.5, 0.5).otherwise(1.0) * F.when(drift > 20, 0.1).otherwise(1.0)
+    w = base * (0.4 * F.greatest(F.lit(0.1), sqi / 100) + 0.4 * temporal + 0.2 * snr_score) * plausible * light * F.when((bpm < 45) | (bpm > 130), 0.15).otherwise(1.0)
+    w = w * F.when(motion > 2.5, 0.2).otherwise(1.0) * F.when(motion > 3.5, 0.5).otherwise(1.0) * F.when(agreement < 0.55, 0.15).otherwise(1.0) * F.when(drift > 40, 0.1).when(drift > 20, 0.45).otherwise(1.0)
     return F.when(suspect, 0.0).otherwise(clip(w, 0.05, 3.0))
 
 
+def steadiness(deviation: Column, n: Column) -> Column:
+    """H1: 1 less a twentieth of the deviation of a region's last rates, at least 0.1; 1 with fewer than five."""
+    return F.when(n >= 5, F.greatest(F.lit(0.1), 1 - deviation / 20)).otherwise(1.0)
+
+
 def clusters(df: DataFrame, frame: str = "frame", value: str = "bpm", gap: float = 8.0) -> DataFrame:
     """H2: cluster numbers of a frame's estimates: a gap of more than `gap` to the one before begins a new cluster."""
     w = Window.partitionBy(frame).orderBy(value, "roi")
@@ -29,13 +38,13 @@ def hierarchical(df: DataFrame, keep: float = 0.2, share: float = 0.75) -> DataF
     """H2: (frame, fused) from df (frame, roi, bpm, weight, suspect).
 
     Suspects count only in frames without others; weights are held to 0.01..3 and to `share` of the frame's; clusters of
-    less than `keep` of the weight count only if they have as many members as the heaviest one.
+    less than `keep` of the weight count only if no cluster has more members.
     """
     w = Window.partitionBy("frame")
     d = df.where("weight > 0").withColumn("clean", F.max((~F.col("suspect")).cast("int")).over(w)).where("clean = 0 OR NOT suspect").withColumn("w", clip(F.col("weight"), 0.01, 3.0))
     d = d.withColumn("w", F.least("w", share * F.sum("w").over(w)))
     c = clusters(d).groupBy("frame", "cluster").agg(F.sum("w").alias("w"), F.count("*").alias("n"), (F.sum(F.col("bpm") * F.col("w")) / (F.sum("w") + 1e-9)).alias("bpm"))
-    c = c.withColumn("total", F.sum("w").over(w)).withColumn("top", F.max(F.struct("w", "n")).over(w)["n"])
+    c = c.withColumn("total", F.sum("w").over(w)).withColumn("top", F.max("n").over(w))
     c = c.where((F.col("w") / F.col("total") >= keep) | (F.col("n") == F.col("top")))
     return c.groupBy("frame").agg((F.sum(F.col("bpm") * F.col("w")) / (F.sum("w") + 1e-9)).alias("fused"))
 

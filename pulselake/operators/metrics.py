@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 from ..functions.numeric import clip, corr, ratio, rounded
+from ..sources.shared import checkpointed
 
 
 def at_least(n: int, x: Column) -> Column:
@@ -47,17 +53,18 @@ def ranked(metrics: DataFrame, name: str) -> DataFrame:
 def calibration(df: DataFrame, keys: list[str]) -> DataFrame:
     """errors of accepted rows, median error, selective and expected risk (a rejected row costs |200 - reference|), coverage of the interval.
 
-    The correlation is the plain one (T10).
+    The correlation is the plain one (T10). The median is exact without holding a group (exact_quantile).
     """
     e = F.abs(F.col("measured") - F.col("reference"))
     ok = F.col("valid") & ~F.col("rejected")
     on = lambda x: F.when(ok, x)
     inside = F.when(F.col("reference").between(F.col("measured") - F.col("sigma"), F.col("measured") + F.col("sigma")), 1.0).otherwise(0.0)
+    median = exact_quantile(df.where(ok).select(*keys, e.alias("e")), keys, "e", 0.5).withColumnRenamed("quantile", "median_error")
     return df.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count_if(ok).alias("accepted"), F.avg(on(e)).alias("mae"), F.sqrt(F.avg(on(e * e))).alias("rmse"), F.avg(on(F.col("measured") - F.col("reference"))).alias("bias"),
-        F.percentile(on(e), 0.5).alias("median_error"), corr(on(F.col("measured")), on(F.col("reference"))).alias("pearson"), F.avg(F.when(ok, e).otherwise(F.abs(200 - F.col("reference")))).alias("expected_risk"),
+        corr(on(F.col("measured")), on(F.col("reference"))).alias("pearson"), F.avg(F.when(ok, e).otherwise(F.abs(200 - F.col("reference")))).alias("expected_risk"),
         F.avg(on(inside)).alias("coverage"),
-    )
+    ).join(median, keys, "left")
 
 
 def reliability(df: DataFrame, keys: list[str], bins: int = 10, least: int = 10) -> DataFrame:
@@ -74,35 +81,179 @@ def calibration_error(df: DataFrame, keys: list[str], bins: int = 10) -> DataFra
     return g.groupBy(*keys).agg(ratio(F.sum(F.col("n") * F.abs(F.col("accuracy") - F.col("mean_confidence") / 100)), F.sum("n").cast("double")).alias("ece"))
 
 
-def resamples(df: DataFrame, keys: list[str], row: str, rounds: int, seed: int) -> DataFrame:
-    """df's rows (row: 1..n within the key) drawn with replacement, n for each resample b of 1..rounds.
+#: Cumulative probabilities of a Poisson count of mean 1, in units of 2^-32, and the finalizer of murmur3 for 32 bits.
+POISSON = tuple(int(2**32 * math.exp(-1) * sum(1 / math.factorial(i) for i in range(j + 1))) for j in range(13))
+MIX = ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1))
+#: Rows of a key that a task sends on as they are; more become sums.
+RAW = 512
+
+_SUMS = ("w", "d", "dd", "ad", "m", "r", "mm", "rr", "mr")
+
+
+def multiplicities(h: np.ndarray, rounds: int) -> np.ndarray:
+    """How often each row (two 32-bit hashes, h) occurs in resample 1, 2, ...: Poisson counts of mean 1, (rows, rounds)."""
+    low = np.uint64(0xFFFFFFFF)
+    z = (h[:, :1] + np.arange(1, rounds + 1, dtype=np.uint64) * (h[:, 1:] | np.uint64(1))) & low
+    for shift, factor in MIX:
+        z ^= z >> np.uint64(shift)
+        z = (z * np.uint64(factor)) & low
+    return np.searchsorted(np.array(POISSON, np.uint64), z, side="right")
+
 
-    Draw i of resample b takes row md5(seed, key, b, i) mod n, so the rows are the same on every run and engine (T18).
-    Each resample is a join on (key, row), not a collected group.
+def _resampled_sums(rows: np.ndarray, rounds: int) -> np.ndarray:
+    """(sums, rounds) of rows (h1, h2, measured, reference)."""
+    m, r = rows[:, 2], rows[:, 3]
+    d = m - r
+    return np.stack([np.ones(len(m)), d, d * d, np.abs(d), m, r, m * m, r * r, m * r]) @ multiplicities(rows[:, :2].astype(np.uint64), rounds).astype(float)
+
+
+def _resampled(df: DataFrame, keys: list[str], row: str, measured: str, reference: str, rounds: int, seed: int, finish: Callable[[np.ndarray], dict[str, float]], names: list[str]) -> DataFrame:
+    """keys and the columns `names` that finish() makes of each key's sums, (sums, rounds).
+
+    Each row adds itself to the sums of every resample, as often as hashes of (seed, keys, row) say, so a resample of n rows has
+    n rows on average (a Poisson bootstrap), and is the same on every run and engine (T18). A task sends on a key's rows if they
+    are few, else their sums, whose size doesn't depend on the number of rows.
     """
-    n = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    draws = n.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    text = F.concat_ws("/", F.lit(seed), *(F.col(k).cast("string") for k in keys), F.col("b").cast("string"), F.col("i").cast("string"))
-    draws = draws.withColumn(row, F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.col("n")) + 1)
-    return draws.drop("n", "i").join(df, [*keys, row])
+    text = F.md5(F.concat_ws("/", F.lit(seed), *(F.col(k).cast("string") for k in keys), F.col(row).cast("string")))
+    word = lambda at: F.conv(F.substring(text, at, 8), 16, 10).cast("double")
+    rows = df.select(*keys, word(1).alias("__h1"), word(9).alias("__h2"), F.col(measured).cast("double").alias("__m"), F.col(reference).cast("double").alias("__r")).where("__m IS NOT NULL AND __r IS NOT NULL")
+    schema = StructType([*(rows.schema[k] for k in keys), StructField("__raw", BinaryType()), StructField("__sums", BinaryType())])
+    kinds = to_arrow_schema(schema)
+    out = StructType([*(rows.schema[k] for k in keys), *(StructField(n, DoubleType()) for n in names)])
+
+    def combined(batches: Iterator[pa.RecordBatch], parts: Callable[[pa.RecordBatch], Iterator[tuple[tuple, np.ndarray | None, np.ndarray | None]]]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray | None]]:
+        """Of each run of equal keys its rows, RAW at most, or else the sums of all of them."""
+        now, held, sums = None, [], None
+        for batch in batches:
+            for key, raw, more in parts(batch):
+                if key != now:
+                    if now is not None:
+                        yield now, np.concatenate(held) if held else np.zeros((0, 4)), sums
+                    now, held, sums = key, [], None
+                if more is not None:
+                    sums = more if sums is None else sums + more
+                if raw is not None:
+                    held.append(raw)
+                    if sums is not None or sum(map(len, held)) > RAW:
+                        for i in range(0, len(block := np.concatenate(held)), RAW):
+                            own = _resampled_sums(block[i : i + RAW], rounds)
+                            sums = own if sums is None else sums + own
+                        held = []
+        if now is not None:
+            yield now, np.concatenate(held) if held else np.zeros((0, 4)), sums
+
+    def by_runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray | None, None]]:
+        values = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("__h1", "__h2", "__m", "__r")])
+        names_ = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * batch.num_rows
+        first = 0
+        for i in range(1, len(names_) + 1):
+            if i == len(names_) or names_[i] != names_[first]:
+                yield names_[first], values[first:i], None
+                first = i
+
+    def packed(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray | None, np.ndarray | None]]:
+        for *key, raw, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield tuple(key), None if raw is None else np.frombuffer(raw).reshape(-1, 4), None if sums is None else np.frombuffer(sums).reshape(-1, rounds)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, raw, sums in combined(batches, by_runs):
+            row = [*key, raw.tobytes() if len(raw) else None, None if sums is None else sums.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, kinds, strict=True)], schema=kinds)
+
+    def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = to_arrow_schema(out)
+        for key, raw, sums in combined(batches, packed):
+            if len(raw):
+                own = _resampled_sums(raw, rounds)
+                sums = own if sums is None else sums + own
+            got = finish(sums)
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([*key, *(got[n] for n in names)], fields, strict=True)], schema=fields)
+
+    parts = rows.sortWithinPartitions(*keys).mapInArrow(add, schema)
+    return (parts.repartition(*keys).sortWithinPartitions(*keys) if keys else parts.coalesce(1)).mapInArrow(end, out)
+
+
+def _ends(values: np.ndarray) -> tuple[float | None, float | None]:
+    """The 2.5 and 97.5 percentiles of what is a number."""
+    values = values[~np.isnan(values)]
+    return (None, None) if not len(values) else tuple(float(q) for q in np.quantile(values, (0.025, 0.975)))
 
 
 def bootstrap(df: DataFrame, keys: list[str], row: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
-    """percentile interval of the mean absolute error from `rounds` resamples by key. df: keys, row, e (absolute error)."""
-    means = resamples(df, keys, row, rounds, seed).groupBy(*keys, "b").agg(F.avg("e").alias("m"))
-    return means.groupBy(*keys).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    """percentile interval of the mean absolute error by key from `rounds` resamples. df: keys, row (tells rows of a key apart), e (absolute error)."""
+
+    def finish(s: np.ndarray) -> dict:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            low, high = _ends(s[4] / s[0])
+        return {"low": low, "high": high}
+
+    return _resampled(df.withColumn("__zero", F.lit(0.0)), keys, row, "e", "__zero", rounds, seed, finish, ["low", "high"])
 
 
 def error_intervals(df: DataFrame, keys: list[str], rounds: int = 1000, seed: int = 42, least: int = 10) -> DataFrame:
     """each metric of errors() by keys with `<metric>_low` and `<metric>_high`, its 95 % interval from `rounds` resamples.
 
-    df: keys, row (1..n within the key; rows without a side don't count, so leave them out), measured, reference. Groups under
-    `least` pairs have neither. A resample whose sides don't vary has no correlation and doesn't count for its interval.
+    df: keys, row (tells the rows of a key apart), measured, reference. Groups under `least` pairs have neither. A resample whose
+    sides don't vary has no correlation, one of fewer than two rows no limits; they don't count for these intervals.
     """
     names = ["mae", "rmse", "bias", "pearson", "loa_low", "loa_high"]
-    drawn = errors(resamples(df, keys, "row", rounds, seed), [*keys, "b"], least=least)
-    ends = [F.percentile(name, q).alias(f"{name}_{end}") for name in names for end, q in (("low", 0.025), ("high", 0.975))]
-    return errors(df, keys, least=least).where(F.col("n") >= least).join(drawn.groupBy(*keys).agg(*ends), keys)
+
+    def finish(s: np.ndarray) -> dict:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            n, d, dd, ad, m, r, mm, rr, mr = s
+            n = np.where(n > 0, n, np.nan)
+            spread = 1.96 * np.sqrt(np.maximum(dd - d * d / n, 0) / np.where(n > 1, n - 1, np.nan))
+            vm, vr = mm / n - (m / n) ** 2, rr / n - (r / n) ** 2
+            varies = (vm > 1e-9 * (mm / n)) & (vr > 1e-9 * (rr / n))
+            pearson = np.where(varies, (mr / n - m * r / n**2) / np.sqrt(np.where(varies, vm * vr, np.nan)), np.nan)
+        found = (ad / n, np.sqrt(dd / n), d / n, pearson, d / n - spread, d / n + spread)
+        return {f"{name}_{end}": v for name, x in zip(names, found, strict=True) for end, v in zip(("low", "high"), _ends(x), strict=True)}
+
+    drawn = _resampled(df, keys, "row", "measured", "reference", rounds, seed, finish, [f"{name}_{end}" for name in names for end in ("low", "high")])
+    return errors(df, keys, least=least).where(F.col("n") >= least).join(drawn, keys)
+
+
+#: Rows of a group above which its quantile is found by narrowing bounds instead of in one buffer, and marks of each narrowing.
+BUFFERED, MARKS = 100_000, 64
+
+
+def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, buffered: int = BUFFERED) -> DataFrame:
+    """(keys, quantile) of df's values that are numbers: exact, between two values by linear interpolation, as percentile() gives.
+
+    A group of more than `buffered` rows is never held. Marks from a mergeable sketch cut its values, each mark a bucket of its
+    own and what lies between two another; exact counts by bucket say which one has the rank, and that one is cut again until it
+    has `buffered` rows or a single value. The sketch only decides where to cut.
+    """
+    if not keys:
+        return exact_quantile(df.withColumn("__all", F.lit(0)), ["__all"], value, q, buffered).drop("__all")
+    x = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL AND NOT isnan(__v)")
+    n = x.groupBy(*keys).agg(F.count("*").alias("__n"))
+    small = x.join(n.where(F.col("__n") <= buffered), keys).groupBy(*keys).agg(F.percentile("__v", q).alias("quantile"))
+    large = n.where(F.col("__n") > buffered)
+    if not large.limit(1).count():
+        return small
+    place = (F.col("__n") - 1) * F.lit(q)
+    ranks = F.array_distinct(F.array(F.floor(place), F.ceil(place)))
+    bounds = large.select(*keys, place.alias("__place"), F.explode(ranks).alias("__r"), F.lit(float("-inf")).alias("__lo"), F.lit(float("inf")).alias("__hi"), F.lit(0).cast("long").alias("__below"), F.col("__n").alias("__in"))
+    own = [*keys, "__r"]
+    done = (F.col("__lo") == F.col("__hi")) | (F.col("__in") <= buffered)
+    while True:
+        bounds = checkpointed(bounds)
+        wide = bounds.where(~done)
+        if not wide.limit(1).count():
+            break
+        inside = x.join(wide, keys).where("__v >= __lo AND __v <= __hi")
+        marks = inside.groupBy(*own).agg(F.array_distinct(F.percentile_approx("__v", [i / MARKS for i in range(MARKS + 1)], 20 * MARKS)).alias("__marks"))
+        under = F.aggregate("__marks", F.lit(0), lambda a, m: a + F.when(m < F.col("__v"), 2).when(m == F.col("__v"), 1).otherwise(0))
+        cut = inside.join(marks, own).withColumn("__bucket", under).groupBy(*own, "__bucket").agg(F.count("*").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), *(F.first(c).alias(c) for c in ("__place", "__below")))
+        w = Window.partitionBy(*own).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # 2 MARKS + 3 rows
+        cut = cut.withColumn("__below", F.col("__below") + F.coalesce(F.sum("__c").over(w), F.lit(0)))
+        cut = cut.where((F.col("__r") >= F.col("__below")) & (F.col("__r") < F.col("__below") + F.col("__c")))
+        bounds = bounds.where(done).unionByName(cut.select(*keys, "__place", "__r", "__lo", "__hi", "__below", F.col("__c").alias("__in")))
+    held = x.join(bounds.where("__lo < __hi"), keys).where("__v >= __lo AND __v <= __hi").groupBy(*own, "__place", "__below").agg(F.sort_array(F.collect_list("__v")).alias("__x"))  # `buffered` rows
+    found = held.select(*own, "__place", F.element_at("__x", (F.col("__r") - F.col("__below") + 1).cast("int")).alias("__v")).unionByName(bounds.where("__lo = __hi").select(*own, "__place", F.col("__lo").alias("__v")))
+    low, high = F.min("__v"), F.max("__v")
+    return small.unionByName(found.groupBy(*keys).agg((low + (high - low) * (F.first("__place") - F.floor(F.first("__place")))).alias("quantile")))
 
 
 def two_sided_p(r: Column, n: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Whole jobs made of the operators (survey A9-A12, B8, B9, H3, H9, I7, J9, M1, M3, M4)."""
+"""Whole jobs made of the operators (survey A9-A12, B8, B9, H9, I7, J9, M1, M3, M4)."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from ..operators import projections as P
 from ..sources import ground_truth
 from .bindings import SIGNAL, pairs, rgb, signal
 from .registry import query, r4
+from .stream_queries import greedy_sql
 
 
 def classical_rates(df: DataFrame, fps: float, methods: tuple[str, ...] = ("GREEN", "CHROM", "POS")) -> DataFrame:
@@ -39,13 +40,6 @@ def evaluate(pred: DataFrame, ref: DataFrame, tolerance: float, compat: bool = F
     return alignment.summary(pred, m).join(metrics.errors(m, ["session"], least=least), "session", "left")
 
 
-def session_summary(rates: DataFrame) -> DataFrame:
-    """H3: the session's stable rate: smoothed frames (G2), the median of the last ten, and whether they were locked at the end."""
-    s = folds.run(rates, "smoother")
-    w = Window.partitionBy("session").orderBy(F.col("seq").desc())
-    return s.withColumn("k", F.row_number().over(w)).where("k <= 10").groupBy("session").agg(F.percentile("y", 0.5).alias("bpm"), F.max_by("locked", "seq").alias("locked"))
-
-
 def reliable(fused: DataFrame) -> DataFrame:
     """H9: fused (series, frame, value, sigma, confidence, direct) with the temporal state, the verdict and the final estimate.
 
@@ -135,15 +129,14 @@ def b8_arbitrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arbitrate(rgb(spark, sf_dir), 30.0)
 
 
-@query()
+@query(f"""WITH {greedy_sql('<= 86400')}, n AS (SELECT session, count(*) AS predictions FROM pred GROUP BY session),
+m AS (SELECT session, count(*) AS matches, avg(apart) AS mean_apart, max(apart) AS max_apart, avg(abs(pred_x - ref_x)) AS mae, sqrt(avg((pred_x - ref_x) ** 2)) AS rmse, avg(pred_x - ref_x) AS bias, CASE WHEN stddev_pop(pred_x) > 0 AND stddev_pop(ref_x) > 0 THEN corr(pred_x, ref_x) END AS pearson, stddev_samp(pred_x - ref_x) AS sd FROM matched GROUP BY session)
+SELECT session, predictions, coalesce(matches, 0) AS matches, {r4('mean_apart')} AS mean_apart, {r4('max_apart')} AS max_apart, predictions - coalesce(matches, 0) AS unmatched, {r4('coalesce(matches, 0) / predictions::DOUBLE')} AS rate, matches AS n,
+  {", ".join(f"CASE WHEN matches >= 5 THEN {r4(e)} END AS {n}" for n, e in (("mae", "mae"), ("rmse", "rmse"), ("bias", "bias"), ("pearson", "pearson"), ("loa_low", "bias - 1.96 * sd"), ("loa_high", "bias + 1.96 * sd")))} FROM n LEFT JOIN m USING (session)""")
 def m1_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = signal(spark, sf_dir).select("session", F.col("event_id").alias("id"), "t", "x", "roi")
-    return evaluate(s.where("roi = 'view'").drop("roi"), s.where("roi = 'click'").drop("roi"), alignment.days(1), least=5)
-
-
-@query()
-def h3_session_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session_summary(signal(spark, sf_dir).withColumn("seq", F.col("seq").cast("bigint")))
+    out = evaluate(s.where("roi = 'view'").drop("roi"), s.where("roi = 'click'").drop("roi"), alignment.days(1), least=5)
+    return out.select(*(rounded(F.col(c)).alias(c) if t == "double" else c for c, t in out.dtypes))
 
 
 @query(f"""WITH {SIGNAL}, e AS (SELECT session AS frame, x + 30 AS bpm, (event_id % 101)::DOUBLE AS sqi FROM signal), g AS (SELECT frame, sum(1 / s2) AS p, sum(bpm / s2) AS px FROM (SELECT frame, bpm, (10 * (1 - sqi / 100) + 0.8) ** 2 AS s2 FROM e WHERE bpm > 0) GROUP BY frame),

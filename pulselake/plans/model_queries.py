@@ -15,33 +15,39 @@ from ..operators import grids as G
 from ..operators import splits as K
 from .bindings import ARRAYS, DOMAINS, PAIRS, PIXELS, SAMPLES, SIGNAL, arrays, domains, pairs, pixels, samples, signal, table
 from .registry import query, r4
-from .stream_queries import _ROIS, rois
 
-_W = """w AS (SELECT *, CASE WHEN suspect THEN 0.0 ELSE greatest(0.05, least(3.0, 0.33 * (0.4 * greatest(0.1, sqi / 100) + 0.4 * 0.8 + 0.2 * CASE WHEN sqi > 0 THEN least((sqi / 100) ** 1.5, 1.0) ELSE 0.1 END)
-  * CASE WHEN bpm < 45 OR bpm > 150 THEN 0.1 WHEN bpm < 55 OR bpm > 130 THEN 0.5 ELSE 1.0 END * CASE WHEN bpm < 65 THEN greatest(0.08, (bpm / 65) ** 2) WHEN bpm < 85 THEN greatest(0.35, bpm / 85) ELSE 1.0 END
-  * CASE WHEN bpm / 20 > 2.5 THEN 0.2 ELSE 1.0 END * CASE WHEN bpm / 20 > 3.5 THEN 0.5 ELSE 1.0 END * CASE WHEN abs(bpm - 50) > 20 THEN 0.1 ELSE 1.0 END)) END AS weight
-  FROM (SELECT frame, roi, bpm, sqi, bpm > 70 AS suspect FROM rois) r)"""
+
+_STEADY = SAMPLES + """, rois AS (SELECT *, exp(-abs(bpm - avg(bpm) OVER (PARTITION BY frame)) / 6) AS agreement FROM (
+  SELECT session AS frame, roi, avg(x) AS bpm, least(100.0, count(*) * 5.0) AS sqi, CASE WHEN count(*) >= 5 THEN greatest(0.1, 1 - stddev_pop(x) / 20) ELSE 1.0 END AS temporal FROM samples GROUP BY ALL) r)"""
+_W = """w AS (SELECT *, CASE WHEN suspect THEN 0.0 ELSE greatest(0.05, least(3.0, 0.33 * (0.4 * greatest(0.1, sqi / 100) + 0.4 * temporal + 0.2 * CASE WHEN sqi > 0 THEN least((sqi / 100) ** 1.5, 1.0) ELSE 0.1 END)
+  * CASE WHEN bpm < 45 OR bpm > 150 THEN 0.1 WHEN bpm < 55 OR bpm > 130 THEN 0.5 ELSE 1.0 END * CASE WHEN abs(bpm - 75) > 25 THEN 0.6 ELSE 1.0 END * CASE WHEN bpm < 65 THEN greatest(0.08, (bpm / 65) ** 2) WHEN bpm < 85 THEN greatest(0.35, bpm / 85) ELSE 1.0 END
+  * CASE WHEN bpm < 45 OR bpm > 130 THEN 0.15 ELSE 1.0 END * CASE WHEN bpm / 20 > 2.5 THEN 0.2 ELSE 1.0 END * CASE WHEN bpm / 20 > 3.5 THEN 0.5 ELSE 1.0 END * CASE WHEN agreement < 0.55 THEN 0.15 ELSE 1.0 END
+  * CASE WHEN 4 * abs(bpm - 50) > 40 THEN 0.1 WHEN 4 * abs(bpm - 50) > 20 THEN 0.45 ELSE 1.0 END)) END AS weight
+  FROM (SELECT *, bpm > 70 AS suspect FROM rois) r)"""
 
 
 def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions of a user's events with weights; rates also stand for brightness, motion and drift, 75 for the stable rate."""
+    g = samples(spark, sf_dir).groupBy(F.col("session").alias("frame"), "roi").agg(F.avg("x").alias("bpm"), F.least(F.lit(100.0), F.count("*") * 5.0).alias("sqi"), H.steadiness(F.stddev_pop("x"), F.count("*")).alias("temporal"))
+    g = g.withColumn("agreement", F.exp(-F.abs(F.col("bpm") - F.avg("bpm").over(Window.partitionBy("frame"))) / 6)).withColumn("suspect", F.col("bpm") > 70)
     b, s = F.col("bpm"), F.col("sqi")
-    return rois(spark, sf_dir).withColumn("suspect", b > 70).withColumn("weight", H.region_weight(F.lit(0.33), s, F.lit(0.8), s, b, b, b / 20, F.abs(b - 50), F.col("suspect")))
+    return g.withColumn("weight", H.region_weight(F.lit(0.33), s, F.col("temporal"), s, b, b, b / 20, 4 * F.abs(b - 50), F.col("suspect"), F.col("agreement"), F.lit(75.0)))
 
 
-@query(f"WITH {_ROIS}, {_W} SELECT frame, roi, {r4('weight')} AS weight FROM w")
+@query(f"WITH {_STEADY}, {_W} SELECT frame, roi, {r4('weight')} AS weight FROM w")
 def h1_region_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _weighted(spark, sf_dir).select("frame", "roi", rounded(F.col("weight")).alias("weight"))
 
 
-@query(f"""WITH {_ROIS}, {_W}, clean AS (SELECT *, max((NOT suspect)::INT) OVER (PARTITION BY frame) AS any_clean FROM w WHERE weight > 0), held AS (SELECT frame, roi, bpm, greatest(0.01, least(3.0, weight)) AS w FROM clean WHERE any_clean = 0 OR NOT suspect),
+@query(f"""WITH {_STEADY}, {_W}, clean AS (SELECT *, max((NOT suspect)::INT) OVER (PARTITION BY frame) AS any_clean FROM w WHERE weight > 0), held AS (SELECT frame, roi, bpm, greatest(0.01, least(3.0, weight)) AS w FROM clean WHERE any_clean = 0 OR NOT suspect),
 capped AS (SELECT frame, roi, bpm, least(w, 0.75 * sum(w) OVER (PARTITION BY frame)) AS w, CASE WHEN bpm - lag(bpm) OVER (PARTITION BY frame ORDER BY bpm, roi) > 8 THEN 1 ELSE 0 END AS far FROM held),
 grouped AS (SELECT *, sum(far) OVER (PARTITION BY frame ORDER BY bpm, roi) AS cluster FROM capped), c AS (SELECT frame, cluster, sum(w) AS w, count(*) AS n, sum(bpm * w) / (sum(w) + 1e-9) AS bpm FROM grouped GROUP BY ALL),
-t AS (SELECT *, sum(w) OVER (PARTITION BY frame) AS total, first(n) OVER (PARTITION BY frame ORDER BY w DESC, n DESC) AS top FROM c) SELECT frame, {r4('sum(bpm * w) / (sum(w) + 1e-9)')} AS fused FROM t WHERE w / total >= 0.2 OR n = top GROUP BY frame""")
+t AS (SELECT *, sum(w) OVER (PARTITION BY frame) AS total, max(n) OVER (PARTITION BY frame) AS top FROM c) SELECT frame, {r4('sum(bpm * w) / (sum(w) + 1e-9)')} AS fused FROM t WHERE w / total >= 0.2 OR n = top GROUP BY frame""")
 def h2_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.hierarchical(_weighted(spark, sf_dir)).select("frame", rounded(F.col("fused")).alias("fused"))
 
 
-@query(f"""WITH {_ROIS}, {_W}, c AS (SELECT frame, bpm, sum(weight) OVER (PARTITION BY frame ORDER BY bpm, roi) AS cum, sum(weight) OVER (PARTITION BY frame) / 2 AS half FROM w WHERE weight > 0) SELECT frame, {r4('min(bpm)')} AS median FROM c WHERE cum >= half GROUP BY frame""")
+@query(f"""WITH {_STEADY}, {_W}, c AS (SELECT frame, bpm, sum(weight) OVER (PARTITION BY frame ORDER BY bpm, roi) AS cum, sum(weight) OVER (PARTITION BY frame) / 2 AS half FROM w WHERE weight > 0) SELECT frame, {r4('min(bpm)')} AS median FROM c WHERE cum >= half GROUP BY frame""")
 def h4_weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.weighted_median(_weighted(spark, sf_dir).where("weight > 0")).select("frame", rounded(F.col("median")).alias("median"))
 

@@ -39,13 +39,22 @@ def e2_alignment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("session", "predictions", "matches", "unmatched", rounded(F.col("rate")).alias("rate"), rounded(F.col("max_apart")).alias("max_apart"))
 
 
-@query()
+def greedy_sql(within: str) -> str:
+    """The pairs of E1 as a recursion over each session's predictions, which remembers the references taken."""
+    return f"""RECURSIVE {_SIDES}, c AS (SELECT p.id, list({{'apart': abs(p.t - r.t), 't': r.t, 'id': r.id}} ORDER BY abs(p.t - r.t), r.t, r.id) AS near FROM pred p JOIN ref r ON p.session = r.session AND abs(p.t - r.t) {within} GROUP BY p.id),
+p AS (SELECT session, id, near, row_number() OVER (PARTITION BY session ORDER BY t, id) AS n FROM pred LEFT JOIN c USING (id)),
+k AS (SELECT DISTINCT session, 0::BIGINT AS n, NULL::BIGINT AS pred_id, NULL::BIGINT AS ref_id, []::BIGINT[] AS taken FROM p UNION ALL
+SELECT session, n, id, ref_id, CASE WHEN ref_id IS NULL THEN taken ELSE list_append(taken, ref_id) END FROM (SELECT p.session, p.n, p.id, k.taken, list_filter(p.near, lambda r: NOT list_contains(k.taken, r.id))[1].id AS ref_id FROM k JOIN p ON p.session = k.session AND p.n = k.n + 1) j),
+matched AS (SELECT k.session, k.pred_id, k.ref_id, p.t AS pred_t, r.t AS ref_t, p.x AS pred_x, r.x AS ref_x, abs(p.t - r.t) AS apart FROM k JOIN pred p ON p.id = k.pred_id JOIN ref r ON r.id = k.ref_id)"""
+
+
+@query(f"WITH {greedy_sql('<= 86400')} SELECT * FROM matched")
 def e1_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-to-one in prediction order: SQL has no such join."""
+    """One-to-one in prediction order; view events stand for predictions, click events for references."""
     return A.greedy(*_sides(spark, sf_dir), A.days(1))
 
 
-@query()
+@query(f"WITH {greedy_sql('< 86401')} SELECT * FROM matched")
 def e3_greedy_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anything less than the tolerance and one second."""
     return A.greedy(*_sides(spark, sf_dir), A.days(1), compat=True)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import quality
 from ..functions.numeric import clip, rounded
-from ..operators import filters, folds, gates
-from .bindings import SIGNAL, WINDOWS, rgb, signal, windows
+from ..operators import filters, folds, frames, gates  # noqa: F401  (frames adds folds)
+from .bindings import SAMPLES, SIGNAL, WINDOWS, rgb, samples, signal, windows
 from .registry import query, r4
 
 
@@ -50,9 +50,30 @@ def g3_kalman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fold("kalman")(spark, sf_dir).withColumn("y", rounded(F.col("y")))
 
 
-@query()
+_SMOOTH = """
+WITH RECURSIVE {SIGNAL}, k AS (
+  SELECT DISTINCT session, 0::BIGINT AS seq, NULL::DOUBLE AS last, NULL::DOUBLE AS mean, []::DOUBLE[] AS recent, []::DOUBLE[] AS known, []::DOUBLE[] AS steady, NULL::DOUBLE AS kx, 0::DOUBLE AS kv, 100::DOUBLE AS ka, 0::DOUBLE AS kb, 1::DOUBLE AS kc, false AS locked, 0::DOUBLE AS y FROM signal
+  UNION ALL
+  SELECT session, seq, CASE WHEN ok THEN x4 ELSE last END, CASE WHEN ok THEN mean2 ELSE mean END, recent2, known2, steady2, CASE WHEN ok THEN f ELSE kx END, CASE WHEN ok AND kx IS NOT NULL THEN kv + b / (a + 12) * miss ELSE kv END,
+    CASE WHEN ok AND kx IS NOT NULL THEN (1 - a / (a + 12)) * a ELSE ka END, CASE WHEN ok AND kx IS NOT NULL THEN (1 - a / (a + 12)) * b ELSE kb END, CASE WHEN ok AND kx IS NOT NULL THEN c - b / (a + 12) * b ELSE kc END,
+    CASE WHEN ok AND len(steady2) >= 200 AND len(known2) >= 17 THEN list_stddev_pop(steady2) <= 3.5 ELSE locked END, CASE WHEN ok THEN f ELSE coalesce(mean, 0) END
+  FROM (SELECT *, CASE WHEN ok THEN list_append(steady, f)[-240:] ELSE steady END AS steady2 FROM (
+    SELECT *, CASE WHEN kx IS NULL THEN mean2 ELSE least(200.0, greatest(42.0, kx + kv + a / (a + 12) * miss)) END AS f FROM (
+    SELECT *, mean2 - (kx + kv) AS miss, ka + 2 * kb + kc + 0.5 AS a, kb + kc AS b, kc + 0.005 AS c FROM (
+    SELECT *, 0.25 * list_median(known2) + 0.75 * coalesce(mean, list_median(known2)) AS mean2 FROM (
+    SELECT *, raw > 0 AND NOT dropped AND (last IS NULL OR abs(x4 - last) <= CASE WHEN len(known) >= 17 THEN 12.0 ELSE 30.0 END) AS ok, CASE WHEN raw <= 0 OR dropped THEN known ELSE list_append(known, x4)[-17:] END AS known2 FROM (
+    SELECT *, odd AND mean IS NULL AS dropped, CASE WHEN odd AND mean IS NOT NULL THEN 0.2 * x2 + 0.8 * mean ELSE x2 END AS x4,
+           CASE WHEN raw <= 0 THEN recent WHEN odd AND mean IS NOT NULL THEN list_append(recent, 0.2 * x2 + 0.8 * mean)[-12:] ELSE list_append(recent, x2)[-12:] END AS recent2 FROM (
+    SELECT *, len(recent) >= 2 AND len(list_filter(recent[-2:], lambda r: abs(x2 - r) > 8)) > 0 AS odd FROM (
+    SELECT *, CASE WHEN last IS NOT NULL AND abs(x1 - last) > 10 THEN 0.1 * x1 + 0.9 * last ELSE x1 END AS x2 FROM (
+    SELECT k.* EXCLUDE (seq, y), s.seq, s.x AS raw, CASE WHEN k.last IS NULL THEN s.x ELSE 0.3 * s.x + 0.7 * k.last END AS x1 FROM k JOIN signal s ON s.session = k.session AND s.seq = k.seq + 1
+    ) t1) t2) t3) t4) t5) t6) t7) t8) t9)
+SELECT session, seq, {y} AS y, locked FROM k WHERE seq > 0"""
+
+
+@query(_SMOOTH.format(SIGNAL=SIGNAL, y=r4("y")))
 def g2_smoother(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fold("smoother")(spark, sf_dir)
+    return _fold("smoother")(spark, sf_dir).withColumn("y", rounded(F.col("y")))
 
 
 @query()
@@ -141,11 +162,14 @@ def i5_candidate_life(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.run(s, "candidate_life")
 
 
-@query(f"""WITH {SIGNAL}, n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) AS k FROM signal WHERE event_id % 101 >= 30)
-SELECT session, {r4('avg(event_id % 101)')} AS mean_sqi, {r4('median(x)')} AS bpm, count(*) >= 30 AS done FROM n WHERE k <= 180 GROUP BY session""")
+@query(f"""WITH {SAMPLES}, n AS (SELECT session % 15 AS series, event_id % 101 AS sqi, x - 5 AS x, row_number() OVER (PARTITION BY session % 15 ORDER BY t, event_id) AS k FROM samples WHERE event_id % 101 >= 30)
+SELECT series, count(*) >= 180 AS done, CASE WHEN count(*) >= 180 THEN {r4('avg(sqi)')} END AS mean_sqi, CASE WHEN count(*) >= 180 THEN coalesce({r4('median(x) FILTER (x > 0)')}, 0) END AS bpm FROM n WHERE k <= 180 GROUP BY series""")
 def g8_calibration_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = signal(spark, sf_dir).withColumn("sqi", F.pmod("event_id", F.lit(101))).where("sqi >= 30").withColumn("k", F.row_number().over(_ordered())).where("k <= 180")
-    return s.groupBy("session").agg(rounded(F.avg("sqi")).alias("mean_sqi"), rounded(F.percentile("x", 0.5)).alias("bpm"), (F.count("*") >= 30).alias("done"))
+    """The first 180 good samples of a series of users; no baseline before all of them are there."""
+    s = samples(spark, sf_dir).select((F.col("session") % 15).alias("series"), F.pmod("event_id", F.lit(101)).alias("sqi"), (F.col("x") - 5).alias("x"), "t", "event_id").where("sqi >= 30")
+    s = s.withColumn("k", F.row_number().over(Window.partitionBy("series").orderBy("t", "event_id"))).where("k <= 180")
+    done = F.count("*") >= 180
+    return s.groupBy("series").agg(done.alias("done"), F.when(done, rounded(F.avg("sqi"))).alias("mean_sqi"), F.when(done, F.coalesce(rounded(F.percentile(F.when(F.col("x") > 0, F.col("x")), 0.5)), F.lit(0.0))).alias("bpm"))
 
 
 @query(f"""WITH {SIGNAL}, t AS (SELECT session, seq, regr_slope(x, seq) OVER w * 30 AS slope, stddev_pop(x) OVER w AS sd, avg(x) OVER w AS m, count(*) OVER w AS n FROM signal WINDOW w AS (PARTITION BY session ORDER BY seq ROWS BETWEEN 599 PRECEDING AND CURRENT ROW))
@@ -273,20 +297,57 @@ def b6_independent_pulse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.independent_pulse(_seq(rgb(spark, sf_dir)), 30.0)
 
 
-@query(f"""WITH {SIGNAL}, p AS (SELECT session, seq, x AS bpm, (event_id % 101) / 100.0 AS snr, (event_id % 7) / 6.0 AS regularity, 0.8 AS temporal, (event_id % 5) / 4.0 AS consistency, (event_id % 41) / 10.0 AS motion, 30 + (event_id % 200) AS brightness,
-  (event_id % 50)::DOUBLE AS drift, (event_id % 11) / 10.0 AS agreement, lag(x) OVER (PARTITION BY session ORDER BY seq) AS before FROM signal),
-a AS (SELECT *, CASE WHEN motion > 2.5 THEN least(0.5, least(motion / 15, 0.6) + 0.2) WHEN motion > 1.5 THEN greatest(least(motion / 15, 0.6), 0.1) ELSE 0.0 END AS m,
+_G21_ST, _G21_CO = "(0.9 * k.steady + 0.1 * s.inst)", "(0.8 * k.consistent + 0.2 * s.consistency)"
+_G21_RAW = f"(0.25 * s.snr + 0.30 * s.regular + 0.30 * {_G21_ST} + 0.15 * {_G21_CO} + 0.10 * (1 - s.m) - 0.4 * (s.m + s.l + 0.05) / 3) * (1 - 0.3 * s.m) * (1 - 0.3 * s.l)"
+_G21_ROW = f"""s.bio0, k.sqi, {_G21_ST} AS st, {_G21_CO} AS co, s.inst < 0.05 AND {_G21_CO} > 0.9 AS lone, CASE WHEN s.snr > 0.35 AND s.regular > 0.2 THEN greatest({_G21_RAW}, 0.22) ELSE {_G21_RAW} END AS raw,
+ s.agree AS agree2"""
+
+
+@query(f"""WITH RECURSIVE {SIGNAL}, p AS (SELECT session, seq, 1.5 * x AS x, (event_id % 101) / 100.0 AS snr, avg((event_id % 7) / 6.0) OVER (w ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS regular, (event_id % 5) / 4.0 AS consistency, (event_id % 41) / 10.0 AS motion, 30 + (event_id % 200) AS brightness,
+  (event_id % 50)::DOUBLE AS drift, (event_id % 11) / 10.0 AS agree, 1 + (event_id % 9) / 4.0 AS ratio, (event_id % 20) / 20.0 AS sine, lag(1.5 * x) OVER w AS before, count(*) OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS n,
+  stddev_pop(1.5 * x) OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS sd, stddev_pop(1.5 * x) OVER (w ROWS BETWEEN 150 PRECEDING AND 1 PRECEDING) AS long_sd FROM signal WINDOW w AS (PARTITION BY session ORDER BY seq)),
+s AS (SELECT session, seq, snr, regular, consistency, agree, CASE WHEN n >= 5 THEN greatest(0, (100 - 4 * sd) / 100) ELSE 1.0 END AS inst,
+  CASE WHEN motion > 2.5 THEN least(0.5, least(motion / 15, 0.6) + 0.2) WHEN motion > 1.5 THEN greatest(least(motion / 15, 0.6), 0.1) ELSE 0.0 END AS m,
   CASE WHEN drift > 40 THEN 0.9 WHEN drift > 30 THEN 0.7 WHEN drift > 20 THEN 0.5 WHEN drift > 10 THEN 0.3 WHEN brightness < 50 THEN least((50 - brightness) / 50.0, 0.3) WHEN brightness > 210 THEN least((brightness - 210) / 40.0, 0.3) ELSE 0.0 END AS l,
-  CASE WHEN 2 * bpm > 160 THEN 0.1 WHEN 2 * bpm > 145 THEN 0.3 WHEN 2 * bpm > 130 THEN 0.5 WHEN 2 * bpm > 115 AND motion < 1.8 THEN 0.55 ELSE 1.0 END AS bio FROM p),
-b AS (SELECT *, (0.25 * snr + 0.30 * regularity + 0.30 * temporal + 0.15 * consistency + 0.10 * (1 - m) - 0.4 * (m + l + 0.05) / 3) * (1 - 0.3 * m) * (1 - 0.3 * l) AS r0 FROM a),
-c AS (SELECT *, CASE WHEN snr > 0.35 AND regularity > 0.2 THEN greatest(r0, 0.22) ELSE r0 END * CASE WHEN agreement < 0.7 THEN 1 - (0.7 - agreement) / 0.7 * 0.3 ELSE 1.0 END * 100 * bio AS whole FROM b)
-SELECT session, seq, (floor(greatest(0, least(100, CASE WHEN before > 0 AND bio > 0.5 THEN 0.4 * before + 0.6 * whole ELSE whole END)) * 10 + 0.500001) / 10 + 0.0)::DOUBLE AS sqi FROM c""")
+  CASE WHEN x > 160 THEN 0.1 WHEN x > 145 THEN 0.3 WHEN x > 130 THEN 0.5 WHEN x > 115 AND motion < 1.8 THEN 0.55 ELSE 1.0 END * CASE WHEN n >= 5 AND long_sd > 15 THEN 0.7 ELSE 1.0 END * CASE WHEN x >= 110 AND sine > 0.93 THEN 0.55 ELSE 1.0 END
+  * CASE WHEN abs(x - before) > 25 THEN CASE WHEN x / 75 BETWEEN 1.8000001 AND 2.1999999 OR x / 75 BETWEEN 0.4500001 AND 0.5499999 THEN 0.2 ELSE 0.4 END ELSE 1.0 END
+  * CASE WHEN x / 75 BETWEEN 1.8000001 AND 2.1999999 THEN 0.3 WHEN x / 75 BETWEEN 0.4500001 AND 0.5499999 THEN 0.4 ELSE 1.0 END * CASE WHEN ratio < 1.3 THEN 0.2 ELSE 1.0 END AS bio0 FROM p),
+{_from_zero("0.0::DOUBLE AS sqi, 1.0::DOUBLE AS steady, 0.5::DOUBLE AS consistent", _G21_ROW,
+ """(floor(least(100, greatest(0, (WITHOUT) * CASE WHEN lone THEN 0.4 * bio0 ELSE bio0 END * CASE WHEN sqi > 0 AND CASE WHEN lone THEN 0.4 * bio0 ELSE bio0 END > 0.5 THEN 0.6 ELSE 1.0 END + CASE WHEN sqi > 0 AND CASE WHEN lone THEN 0.4 * bio0 ELSE bio0 END > 0.5 THEN 0.4 * sqi ELSE 0.0 END)) * 10 + 0.500001) / 10 + 0.0)::DOUBLE, st, co""")}
+SELECT session, seq, sqi FROM k WHERE seq > 0""".replace("WITHOUT", "100 * raw * CASE WHEN agree2 < 0.7 THEN 1 - (0.7 - agree2) / 0.7 * 0.3 ELSE 1.0 END"))
 def g21_quality_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of the index taken from the event's number."""
-    of = lambda n, by: F.pmod("event_id", F.lit(n)) / by
-    s = _seq(signal(spark, sf_dir)).withColumn("before", F.lag("x").over(_ordered()))
-    sqi = quality.index(of(101, 100.0), of(7, 6.0), F.lit(0.8), of(5, 4.0), of(41, 10.0), 30 + F.pmod("event_id", F.lit(200)), of(50, 1.0), 2 * F.col("x"), of(11, 10.0), F.col("before"), F.lit(0.05))
-    return s.select("session", "seq", sqi.alias("sqi"))
+    """Parts of the index taken from the event's number; 75 is the stable rate."""
+    of = lambda n, by=1.0: F.pmod("event_id", F.lit(n)) / F.lit(by)
+    s = _seq(signal(spark, sf_dir)).withColumns({"x": 1.5 * F.col("x"), "snr": of(101, 100.0), "regularity": of(7, 6.0), "consistency": of(5, 4.0), "motion": of(41, 10.0), "brightness": 30 + of(200), "drift": of(50), "agreement": of(11, 10.0), "peak_ratio": 1 + of(9, 4.0), "sine": of(20, 20.0), "stable": F.lit(75.0), "spectral_penalty": F.lit(0.05)})
+    return folds.run(s, "quality_index").select("session", "seq", "sqi")
+
+
+def frame_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a frame of three regions; what they show is taken from the event's number, now and then a doubled rate or one that is off."""
+    e = F.col("event_id")
+    of = lambda by, n: F.pmod(e * by, F.lit(n))
+
+    def region(name: str, base: float, by: int, bpm: Column) -> Column:
+        return F.struct(F.lit(name).alias("name"), F.lit(base).alias("base"), bpm.cast("double").alias("bpm"), (of(by, 101) / 100.0).alias("snr"), (of(by, 7) / 6.0).alias("regularity"), (of(by, 5) / 4.0).alias("consistency"),
+                        F.lit(0.05).alias("spectral_penalty"), (50.0 + of(by, 150)).alias("brightness"), F.when(of(by, 6) == 0, 0.5).otherwise(1.0).alias("penalty"))
+
+    slow = F.least(F.floor(F.col("x") / 8), F.lit(25))
+    regions = F.array(region("forehead", 0.15, 3, 70 + of(1, 9) + slow), region("cheek_left", 0.25, 5, F.when(of(1, 13) == 0, 136 + of(1, 3)).when(of(1, 19) == 0, 100).otherwise(68 + of(1, 7) + slow)), region("cheek_right", 0.60, 7, F.when(of(1, 37) == 0, 0).otherwise(69 + of(1, 5) + slow)))
+    s = _seq(signal(spark, sf_dir))
+    return s.withColumns({"regions": regions, "moving": of(1, 11) == 0, "drift": of(1, 45).cast("double"), "x": of(1, 41) / 10.0}).select("session", "seq", "t", "x", "moving", "drift", "regions")
+
+
+@query()
+def h3_frame_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.run(frame_rows(spark, sf_dir), "frame_pipeline")
+
+
+@query()
+def h3_session_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the frame pipeline showed at a session's end, its confidence, and how many frames it froze."""
+    f = folds.run(frame_rows(spark, sf_dir), "frame_pipeline")
+    shown = F.when(~F.col("frozen") & (F.col("bpm") > 0), F.struct("seq", "bpm"))
+    return f.groupBy("session").agg(F.max(shown)["bpm"].alias("bpm"), F.max_by("confidence", "seq").alias("confidence"), F.count("*").alias("frames"), F.count_if("frozen").alias("frozen"), F.avg("accepted").alias("accepted"))
 
 
 @query()

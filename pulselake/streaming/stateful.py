@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import frames  # noqa: F401  (adds folds)
 from ..operators.folds import FOLDS, plain
 
 

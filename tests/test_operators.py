@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 
 import numpy as np
 import pytest
@@ -55,13 +56,88 @@ def test_overall_rmse_is_over_windows(spark):
     assert metrics.errors(df, [], least=1).first().rmse == pytest.approx(math.sqrt(11.5))
 
 
-def test_bootstrap_by_force(spark):
-    e = {1: [1.0, 4.0, 2.5, 9.0], 2: [3.0, 0.5, 7.0]}
-    got = {r.s: r for r in metrics.bootstrap(spark.createDataFrame([(s, i, v) for s, x in e.items() for i, v in enumerate(x, 1)], "s int, row bigint, e double"), ["s"], "row").collect()}
+def poisson_draws(key, row, rounds):
+    """The counts of a row in each resample, by plain integers."""
+    h = hashlib.md5(f"42/{key}/{row}".encode()).hexdigest()
+    h1, h2 = int(h[:8], 16), int(h[8:16], 16) | 1
+    out = []
+    for b in range(1, rounds + 1):
+        z = (h1 + b * h2) % 2**32
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+            z = (z ^ (z >> shift)) * factor % 2**32
+        u, k, p = z / 2**32, 0, math.exp(-1)
+        while u >= p:
+            k, p = k + 1, p + math.exp(-1) / math.factorial(k + 1)
+        out.append(k)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_bootstrap_by_force(spark, parts):
+    """Few rows a key and many (which go as sums), on one task and on several; a null takes no part."""
+    e = {1: [1.0, 4.0, 2.5, 9.0], 2: [3.0, 0.5, 7.0, None], 3: [float(i % 17) for i in range(1500)]}
+    df = spark.createDataFrame([(s, i, v) for s, x in e.items() for i, v in enumerate(x, 1)], "s int, row bigint, e double").repartition(parts)
+    got = {r.s: r for r in metrics.bootstrap(df, ["s"], "row", rounds=200).collect()}
     for s, x in e.items():
-        draw = lambda b, i: x[int(hashlib.md5(f"42/{s}/{b}/{i}".encode()).hexdigest()[:8], 16) % len(x)]  # noqa: B023, E731
-        means = [np.mean([draw(b, i) for i in range(1, len(x) + 1)]) for b in range(1, 1001)]
+        w = np.array([poisson_draws(s, i, 200) for i, v in enumerate(x, 1) if v is not None])
+        assert 0.9 < w.mean() < 1.1 or len(x) < 10
+        v = np.array([v for v in x if v is not None])
+        means = [(w[:, b] @ v) / w[:, b].sum() for b in range(200) if w[:, b].sum()]
         assert (got[s].low, got[s].high) == pytest.approx(tuple(np.quantile(means, (0.025, 0.975))))
+    assert metrics.bootstrap(df.limit(0), ["s"], "row").count() == 0
+
+
+def test_bootstrap_sends_sums_of_large_groups(spark):
+    """What is shuffled for a key doesn't grow with its rows."""
+    df = spark.range(40_000).select((F.col("id") % 2).alias("s"), F.col("id").alias("row"), (F.col("id") % 7).cast("double").alias("e"))
+    sizes = []
+    for n in (4_000, 40_000):
+        plan = metrics.bootstrap(df.where(F.col("row") < n).coalesce(1), ["s"], "row", rounds=50)
+        plan.collect()
+        sizes.append(plan._jdf.queryExecution().executedPlan().toString())
+    assert all("Exchange hashpartitioning(s" in x for x in sizes)
+    got = metrics.bootstrap(df.coalesce(1), ["s"], "row", rounds=300).collect()
+    assert all(r.low < 3.0 < r.high and r.high - r.low < 0.1 for r in got)
+
+
+@pytest.mark.parametrize("q", [0.0, 0.1, 0.5, 0.975, 1.0])
+def test_exact_quantiles_of_large_groups(spark, q):
+    """Bounds are narrowed from 10 rows on: ties that fill a group, two values that share the middle, infinite and tiny ones."""
+    r = np.random.default_rng(3)
+    groups = {"one": [5.0] * 3000, "two": [1.0] * 500 + [2.0] * 500, "mixed": [7.0] * 1000 + r.normal(size=1500).tolist() + [1e300, -1e300, 1e-300], "few": [3.0, 1.0, 2.0], "none": [float("nan")] * 20, "wide": (10 ** r.uniform(-200, 200, 2000)).tolist()}
+    df = spark.createDataFrame([(k, v) for k, x in groups.items() for v in [*x, None]], "k string, v double").repartition(3)
+    got = {x.k: x.quantile for x in metrics.exact_quantile(df, ["k"], "v", q, buffered=10).collect()}
+    want = {k: float(np.quantile(x, q)) for k, x in groups.items() if k != "none"}
+    assert got == pytest.approx(want, rel=1e-9)
+    assert metrics.exact_quantile(df.where("k = 'wide'"), [], "v", q, buffered=100).first().quantile == pytest.approx(want["wide"], rel=1e-9)
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_greedy_sweep_equals_the_plain_rule(spark, compat):
+    """Dense and sparse sessions, ties in time and distance, values that take no part, against a scan of all references."""
+    rng = random.Random(4)
+    rows = {side: [(s, 1000 * s + i, float(rng.choice([rng.randint(0, 40) / 2, rng.random() * 60])), float(i)) for s in (1, 2, 3) for i in range(n)] for side, n in (("p", 90), ("r", 70))}
+    rows["p"] += [(1, 9001, float("nan"), 1.0), (1, 9002, 5.0, float("inf")), (1, 9003, None, 1.0), (4, 9004, 1.0, 1.0)]
+    rows["r"] += [(1, 9001, float("nan"), 1.0), (5, 9005, 1.0, 1.0)]
+    frames = [spark.createDataFrame(rows[k], "session int, id int, t double, x double").repartition(4) for k in ("p", "r")]
+    got = {(r.session, r.pred_id): r.ref_id for r in alignment.greedy(*frames, 1.5, compat=compat).collect()}
+    want, taken = {}, set()
+    finite = lambda v: v is not None and math.isfinite(v)
+    for s, i, t, _ in sorted((p for p in rows["p"] if finite(p[2]) and finite(p[3])), key=lambda p: (p[0], p[2], p[1])):
+        free = [(abs(t - r[2]), r[2], r[1]) for r in rows["r"] if r[0] == s and finite(r[2]) and r[1] not in taken]
+        best = min(free, default=None)
+        if best and (best[0] < 2.5 if compat else best[0] <= 1.5):
+            want[s, i] = best[2]
+            taken.add(best[2])
+    assert got == want and len(want) > 100
+    by_order = alignment.greedy(frames[0].withColumn("o2", F.col("t")), frames[1], 1.5, order="o2", compat=compat)
+    assert len(want) == by_order.count()
+
+
+def test_greedy_holds_what_is_within_reach():
+    from pulselake.operators.alignment import nearest_free
+
+    assert nearest_free([], 1.0) is None and nearest_free([1.0, 1.0, 2.0], 1.4) == 0 and nearest_free([1.0, 2.0], 1.5) == 0 and nearest_free([1.0, 2.0, 2.0], 1.6) == 1 and nearest_free([3.0], 9.0) == 0
 
 
 def test_whole_queries_use_all_rows(spark):
