@@ -1,12 +1,15 @@
-"""Recursive filters and spectral estimates that need a series as a whole (survey C2, C7, B6, B8, D1): NumPy inside applyInPandas tasks, one session at a time."""
+"""Recursive filters (survey C2, C7, B8): as a scan over blocks for sessions of any length, both ways on windows; ICA."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def butterworth(order: int, low: float, high: float, fps: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -28,36 +31,118 @@ def butterworth(order: int, low: float, high: float, fps: float) -> list[tuple[n
     return [(each * np.array([1.0, 0.0, -1.0]), q) for q in quads]
 
 
-def run_sections(x: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The causal filter, section after section."""
+def butterworth_tf(order: int, low: float, high: float, fps: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same filter as one pair of polynomials (b, a)."""
+    b, a = np.ones(1), np.ones(1)
+    for x, y in butterworth(order, low, high, fps):
+        b, a = np.convolve(b, x), np.convolve(a, y)
+    return b, a
+
+
+def notch_tf(hz: float, fps: float, q: float) -> tuple[np.ndarray, np.ndarray]:
+    """A second-order notch at hz, hz / q wide at half power."""
+    w = 2 * math.pi * hz / fps
+    beta = math.tan(w / q / 2)
+    gain = 1 / (1 + beta)
+    return gain * np.array([1, -2 * math.cos(w), 1]), np.array([1, -2 * gain * math.cos(w), 2 * gain - 1])
+
+
+def _filtered(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The causal filter of each row of x, begun as if it had had its first value for ever."""
+    level = b.sum() / a.sum()
+    state, out = np.cumsum((b[1:] - a[1:] * level)[::-1])[::-1] * x[:, :1], np.empty_like(x)
+    for i in range(x.shape[1]):
+        v = x[:, i]
+        out[:, i] = y = b[0] * v + state[:, 0]
+        state[:, :-1] = state[:, 1:] + v[:, None] * b[1:-1] - y[:, None] * a[1:-1]
+        state[:, -1] = b[-1] * v - a[-1] * y
+    return out
+
+
+def both_ways(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray | None:
+    """The filter of each row of x forwards and backwards, so that phases stay; rows are continued at both ends by their mirror image
+    through the end point (three times the filter's length). None where they are too short for that."""
+    n = 3 * len(a)
+    if x.shape[1] <= n:
+        return None
+    wide = np.concatenate((2 * x[:, :1] - x[:, n:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -n - 2 : -1]), axis=1)
+    return _filtered(_filtered(wide, b, a)[:, ::-1], b, a)[:, ::-1][:, n:-n]
+
+
+def run_sections(x: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]], state: np.ndarray | None = None) -> np.ndarray:
+    """The causal filter, section after section, from a state of two numbers a section (0 if none), which is left as it is after x."""
     y = np.asarray(x, float)
-    for b, a in sections:
-        out, s, t = np.empty_like(y), 0.0, 0.0
+    for k, (b, a) in enumerate(sections):
+        s, t = (0.0, 0.0) if state is None else state[2 * k : 2 * k + 2]
+        out = np.empty_like(y)
         for i, v in enumerate(y):
             o = b[0] * v + s
             s, t = b[1] * v - a[1] * o + t, b[2] * v - a[2] * o
             out[i] = o
+        if state is not None:
+            state[2 * k : 2 * k + 2] = s, t
         y = out
     return y
 
 
-def notch(x: np.ndarray, hz: float, fps: float, q: float = 12.0) -> np.ndarray:
-    """Without hz, both ways, so that phases stay."""
-    w = 2 * math.pi * hz / fps
-    alpha = math.sin(w) / (2 * q)
-    a0 = 1 + alpha
-    section = [(np.array([1, -2 * math.cos(w), 1]) / a0, np.array([1.0, -2 * math.cos(w) / a0, (1 - alpha) / a0]))]
-    return run_sections(run_sections(x, section)[::-1], section)[::-1]
+#: Samples of a block; a session spans as many tasks as it has blocks.
+BLOCK = 4096
+
 
+def one_step(sections: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The matrix that takes the cascade's state to that after one sample of 0."""
+    n = 2 * len(sections)
+    out = np.eye(n)
+    for column in range(n):
+        state = out[:, column].copy()
+        run_sections(np.zeros(1), sections, state)
+        out[:, column] = state
+    return out
 
-def peak_rate(x: np.ndarray, fps: float, low: float = 0.833, high: float = 3.0) -> float:
-    """The strongest rate in the band per minute, of a series without its mean, shaped by Hann; 0 below 30 samples."""
-    if len(x) < 30:
-        return 0.0
-    power = np.abs(np.fft.rfft((x - x.mean()) * np.hanning(len(x)))) ** 2
-    hz = np.fft.rfftfreq(len(x), 1 / fps)
-    band = np.flatnonzero((hz >= low) & (hz <= high))
-    return float(60 * hz[band[power[band].argmax()]]) if len(band) else 0.0
+
+def bandpass(df: DataFrame, fps: float, low: float = 0.833, high: float = 3.0, order: int = 4, block: int = BLOCK) -> DataFrame:
+    """(session, seq, y) of df (session, seq from 1, x), sessions of any length.
+
+    The filter is linear, so a block's end is its end from rest plus a power of one matrix times its beginning. Blocks are run from
+    rest side by side; a fold over each session's blocks, a few numbers each, gives their beginnings; blocks are then run from these.
+    A null x counts as 0.
+    """
+    sections = butterworth(order, low, high, fps)
+    step = one_step(sections)
+    types = dict(df.dtypes)
+    rows = df.select("session", F.floor((F.col("seq") - 1) / block).cast("bigint").alias("block"), F.struct("seq", F.coalesce(F.col("x").cast("double"), F.lit(0.0)).alias("x")).alias("row"))
+    blocks = rows.groupBy("session", "block").agg(F.sort_array(F.collect_list("row")).alias("rows"))  # `block` samples at most
+    blocks = blocks.select("session", "block", F.col("rows.seq").alias("seq"), F.col("rows.x").alias("x"))
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for x in b.column("x").to_pylist():
+                run_sections(np.array(x), sections, state := np.zeros(len(step)))
+                out.append(state.tolist())
+            yield pa.RecordBatch.from_arrays([b.column("session"), b.column("block"), pc.list_value_length(b.column("x")).cast(pa.int64()), pa.array(out, pa.list_(pa.float64()))], ["session", "block", "n", "gain"])
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, state = object(), np.zeros(len(step))
+        for b in batches:
+            out = []
+            for s, n, gain in zip(*(b.column(c).to_pylist() for c in ("session", "n", "gain")), strict=True):
+                if s != session:
+                    session, state = s, np.zeros(len(step))
+                out.append(state.tolist())
+                state = np.linalg.matrix_power(step, n) @ state + np.array(gain)
+            yield pa.RecordBatch.from_arrays([b.column("session"), b.column("block"), pa.array(out, pa.list_(pa.float64()))], ["session", "block", "state"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [run_sections(np.array(x), sections, np.array(s)).tolist() for x, s in zip(b.column("x").to_pylist(), b.column("state").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("session"), b.column("seq"), pa.array(out, pa.list_(pa.float64()))], ["session", "seq", "y"])
+
+    key = f"session {types['session']}, block bigint"
+    ended = blocks.select("session", "block", "x").mapInArrow(ends, f"{key}, n bigint, gain array<double>")
+    begun = ended.repartition("session").sortWithinPartitions("session", "block").mapInArrow(begin, f"{key}, state array<double>")
+    filled = blocks.join(begun, ["session", "block"]).select("session", "seq", "x", "state").mapInArrow(fill, f"session {types['session']}, seq array<{types['seq']}>, y array<double>")
+    return filled.select("session", F.explode(F.arrays_zip("seq", "y")).alias("p")).select("session", F.col("p.seq").alias("seq"), F.col("p.y").alias("y"))
 
 
 def fast_ica(x: np.ndarray, rounds: int = 200, seed: int = 42) -> np.ndarray:
@@ -76,90 +161,3 @@ def fast_ica(x: np.ndarray, rounds: int = 200, seed: int = 42) -> np.ndarray:
         if done:
             break
     return white @ w.T
-
-
-def bandpass(df: DataFrame, fps: float, low: float = 0.833, high: float = 3.0, order: int = 4) -> DataFrame:
-    """(session, seq, y) of df (session, seq, x)."""
-    sections = butterworth(order, low, high, fps)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        return pd.DataFrame({"session": rows["session"], "seq": rows["seq"], "y": run_sections(rows["x"].to_numpy(float), sections)})
-
-    types = dict(df.dtypes)
-    return df.select("session", "seq", "x").groupBy("session").applyInPandas(run, f"session {types['session']}, seq {types['seq']}, y double")
-
-
-def without_respiration(df: DataFrame, fps: float, hz: float | None = None, low: float = 0.1, high: float = 0.5) -> DataFrame:
-    """(session, seq, y) of df (session, seq, x) without the respiration rate and its double, phases kept.
-
-    Without hz the session's own strongest rate in low..high is taken. The notches have Q 12 and 9.6.
-    """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        x = rows["x"].to_numpy(float)
-        rate = hz or peak_rate(x, fps, low, high) / 60
-        for f, q in ((rate, 12.0), (2 * rate, 9.6)):
-            if 0 < f < fps / 2:
-                x = notch(x, f, fps, q)
-        return pd.DataFrame({"session": rows["session"], "seq": rows["seq"], "y": x})
-
-    types = dict(df.dtypes)
-    return df.select("session", "seq", "x").groupBy("session").applyInPandas(run, f"session {types['session']}, seq {types['seq']}, y double")
-
-
-def rates(df: DataFrame, fps: float, filtered: bool = True) -> DataFrame:
-    """(session, bpm) of df (session, seq, x), with or without the band-pass."""
-    sections = butterworth(4, 0.833, 3.0, fps)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values("seq")["x"].to_numpy(float)
-        return pd.DataFrame({"session": rows["session"].iloc[:1], "bpm": [peak_rate(run_sections(x - x.mean(), sections) if filtered else x, fps)]})
-
-    return df.select("session", "seq", "x").groupBy("session").applyInPandas(run, f"session {dict(df.dtypes)['session']}, bpm double")
-
-
-def independent_pulse(df: DataFrame, fps: float) -> DataFrame:
-    """(session, seq, y) of df (session, seq, r, g, b): the independent component with the highest spectral peak; green less its mean for short ones."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        x = rows[["r", "g", "b"]].to_numpy(float)
-        y = x[:, 1] - x[:, 1].mean()
-        if len(x) >= 30 and np.linalg.matrix_rank(x - x.mean(0)) == 3:
-            parts = fast_ica(x)
-            power = np.abs(np.fft.rfft(parts, axis=0)[1:]) ** 2
-            y = parts[:, power.max(0).argmax()]
-        return pd.DataFrame({"session": rows["session"], "seq": rows["seq"], "y": y})
-
-    types = dict(df.dtypes)
-    return df.select("session", "seq", "r", "g", "b").groupBy("session").applyInPandas(run, f"session {types['session']}, seq {types['seq']}, y double")
-
-
-def peak_contrast(x: np.ndarray, fps: float, low: float = 0.7, high: float = 3.0) -> float:
-    """Power within 0.08 Hz of the strongest rate in the band over that of its sidebands (0.09 to 0.4 Hz away), of a filtered series."""
-    t = np.arange(len(x), dtype=float)
-    x = x - np.polyval(np.polyfit(t, x, 1), t) if len(x) > 1 else x
-    sections = butterworth(4, low, high, fps)
-    x = run_sections(run_sections(x, sections)[::-1], sections)[::-1]
-    power, hz = np.abs(np.fft.rfft(x * np.hanning(len(x)))) ** 2, np.fft.rfftfreq(len(x), 1 / fps)
-    band = np.flatnonzero((hz >= low) & (hz <= high))
-    if not len(band):
-        return 0.0
-    apart = np.abs(hz - hz[band[power[band].argmax()]])
-    return float(power[apart <= 0.08].sum() / (power[(apart > 0.09) & (apart <= 0.4)].sum() + 1e-9))
-
-
-def blended(df: DataFrame, names: tuple[str, ...], fps: float, weights: tuple[float, ...] = (0.6, 0.3, 0.1)) -> DataFrame:
-    """(session, seq, y, winner) of df (session, seq, a column for each name): the signals by rank of their peak_contrast, the first of equal ones first."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        signals = {n: np.nan_to_num(rows[n].to_numpy(float)) for n in names}
-        score = {n: peak_contrast(x, fps) for n, x in signals.items()}
-        ranked = sorted(names, key=lambda n: -score[n])
-        return pd.DataFrame({"session": rows["session"], "seq": rows["seq"], "y": sum(w * signals[n] for w, n in zip(weights, ranked, strict=False)), "winner": ranked[0]})
-
-    types = dict(df.dtypes)
-    return df.select("session", "seq", *names).groupBy("session").applyInPandas(run, f"session {types['session']}, seq {types['seq']}, y double, winner string")

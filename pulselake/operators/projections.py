@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .filters import independent_pulse
+from .estimators import independent_pulse
 
 _TINY = 1e-9
 
@@ -73,7 +73,7 @@ def core_pos(df: DataFrame, key: str = "session") -> DataFrame:
     return m.select(key, "seq", (F.try_divide(g - b, p) - F.try_divide(p, q) * F.try_divide(g + b, q)).alias("y"))
 
 
-METHODS = {"GREEN": green, "CHROM": chrom, "POS": pos, "ICA": lambda df, key="session": independent_pulse(df.withColumnRenamed(key, "session"), 30.0).withColumnRenamed("session", key)}
+METHODS = {"GREEN": green, "CHROM": chrom, "POS": pos, "ICA": lambda df, key="session": independent_pulse(df.withColumnRenamed(key, "session")).withColumnRenamed("session", key)}
 
 
 def project(df: DataFrame, name: str, key: str = "session") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Whole jobs made of the operators (survey A9-A12, B8, B9, H9, I7, J9, M1, M3, M4)."""
+"""Whole jobs made of the operators (survey A9-A12, H9, I7, J9, M1, M3, M4)."""
 
 from __future__ import annotations
 
@@ -8,32 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, ratio, rounded
-from ..operators import alignment, filters, folds, fusion, metrics
-from ..operators import projections as P
+from ..operators import alignment, folds, fusion, metrics
 from ..sources import ground_truth
-from .bindings import SIGNAL, pairs, rgb, signal
+from .bindings import SIGNAL, pairs, signal
 from .registry import query, r4
 from .stream_queries import greedy_sql
 
 
-def classical_rates(df: DataFrame, fps: float, methods: tuple[str, ...] = ("GREEN", "CHROM", "POS")) -> DataFrame:
-    """(session, method, bpm) of df (session, seq, r, g, b): each method's signal, band-passed, its strongest rate."""
-    parts = [filters.rates(P.project(df, m).withColumnRenamed("y", "x"), fps).select("session", F.lit(m).alias("method"), "bpm") for m in methods]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
-
-
-def arbitrate(df: DataFrame, fps: float) -> DataFrame:
-    """(session, seq, y, winner) of df (session, seq, r, g, b): the signals of CHROM, POS and green blended 0.6, 0.3, 0.1 by
-    how far each one's spectral peak stands above its sidebands."""
-    signals = P.chrom(df).withColumnRenamed("y", "chrom").select("session", "seq", "chrom")
-    for name, of in (("pos", P.core_pos(df)), ("green", df.withColumn("y", F.col("g") / F.avg("g").over(Window.partitionBy("session")) - 1))):
-        signals = signals.join(of.select("session", "seq", F.col("y").alias(name)), ["session", "seq"])
-    return filters.blended(signals, ("chrom", "pos", "green"), fps)
-
-
 def evaluate(pred: DataFrame, ref: DataFrame, tolerance: float, compat: bool = False, least: int = 10) -> DataFrame:
     """M1, M4: one-to-one alignment of pred to ref (session, id, t, x), then errors by session beside the alignment's summary."""
     m = alignment.greedy(pred, ref, tolerance, compat=compat).withColumnsRenamed({"pred_x": "measured", "ref_x": "reference"})
@@ -119,16 +100,6 @@ def skin(pixels: DataFrame) -> DataFrame:
     return pixels.where(cr.between(133, 173) & cb.between(77, 127) & y.between(30, 235))
 
 
-@query()
-def b9_classical_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classical_rates(rgb(spark, sf_dir), 30.0)
-
-
-@query()
-def b8_arbitrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return arbitrate(rgb(spark, sf_dir), 30.0)
-
-
 @query(f"""WITH {greedy_sql('<= 86400')}, n AS (SELECT session, count(*) AS predictions FROM pred GROUP BY session),
 m AS (SELECT session, count(*) AS matches, avg(apart) AS mean_apart, max(apart) AS max_apart, avg(abs(pred_x - ref_x)) AS mae, sqrt(avg((pred_x - ref_x) ** 2)) AS rmse, avg(pred_x - ref_x) AS bias, CASE WHEN stddev_pop(pred_x) > 0 AND stddev_pop(ref_x) > 0 THEN corr(pred_x, ref_x) END AS pearson, stddev_samp(pred_x - ref_x) AS sd FROM matched GROUP BY session)
 SELECT session, predictions, coalesce(matches, 0) AS matches, {r4('mean_apart')} AS mean_apart, {r4('max_apart')} AS max_apart, predictions - coalesce(matches, 0) AS unmatched, {r4('coalesce(matches, 0) / predictions::DOUBLE')} AS rate, matches AS n,

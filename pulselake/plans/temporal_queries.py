@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import quality
 from ..functions.numeric import clip, rounded
-from ..operators import filters, folds, frames, gates  # noqa: F401  (frames adds folds)
-from .bindings import SAMPLES, SIGNAL, WINDOWS, rgb, samples, signal, windows
+from ..operators import folds, frames, gates  # noqa: F401  (frames adds folds)
+from .bindings import SAMPLES, SIGNAL, WINDOWS, samples, signal, windows
 from .registry import query, r4
 
 
@@ -280,23 +280,6 @@ def g7_session_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.run(s, "session_confidence").withColumn("confidence", rounded(F.col("confidence")))
 
 
-@query()
-def c2_bandpass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The samples of a session taken as 30 a second."""
-    return filters.bandpass(_seq(signal(spark, sf_dir)), 30.0)
-
-
-@query()
-def d1_filtered_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.rates(_seq(signal(spark, sf_dir)), 30.0)
-
-
-@query()
-def b6_independent_pulse(spark: SparkSession, sf_dir: str) -> DataFrame:
-
-    return filters.independent_pulse(_seq(rgb(spark, sf_dir)), 30.0)
-
-
 _G21_ST, _G21_CO = "(0.9 * k.steady + 0.1 * s.inst)", "(0.8 * k.consistent + 0.2 * s.consistency)"
 _G21_RAW = f"(0.25 * s.snr + 0.30 * s.regular + 0.30 * {_G21_ST} + 0.15 * {_G21_CO} + 0.10 * (1 - s.m) - 0.4 * (s.m + s.l + 0.05) / 3) * (1 - 0.3 * s.m) * (1 - 0.3 * s.l)"
 _G21_ROW = f"""s.bio0, k.sqi, {_G21_ST} AS st, {_G21_CO} AS co, s.inst < 0.05 AND {_G21_CO} > 0.9 AS lone, CASE WHEN s.snr > 0.35 AND s.regular > 0.2 THEN greatest({_G21_RAW}, 0.22) ELSE {_G21_RAW} END AS raw,
@@ -348,9 +331,3 @@ def h3_session_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = folds.run(frame_rows(spark, sf_dir), "frame_pipeline")
     shown = F.when(~F.col("frozen") & (F.col("bpm") > 0), F.struct("seq", "bpm"))
     return f.groupBy("session").agg(F.max(shown)["bpm"].alias("bpm"), F.max_by("confidence", "seq").alias("confidence"), F.count("*").alias("frames"), F.count_if("frozen").alias("frozen"), F.avg("accepted").alias("accepted"))
-
-
-@query()
-def c7_respiratory_notch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The band around a rate of 0.3 Hz and its double taken out of each session, at 4 samples a second."""
-    return filters.without_respiration(_seq(signal(spark, sf_dir)), 4.0, 0.3)

@@ -208,11 +208,6 @@ def test_bandpass_gain():
     assert gain(1.6) == pytest.approx(1.0, abs=0.02) and gain(0.1) < 1e-3 and gain(10.0) < 1e-2
 
 
-def test_rate_of_a_synthetic_pulse(spark):
-    s = synthetic.pulse(spark, 2, 600).withColumnRenamed("g", "x")
-    assert all(abs(r.bpm - 72) <= 15 for r in filters.rates(s, 30.0).collect())
-
-
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.floats(30, 220), st.floats(0, 100)), min_size=2, max_size=60))
 def test_kalman_covariance_stays_positive(rows):
@@ -277,14 +272,6 @@ def test_candidate_life_trace():
     assert "RECOVERED" in lives and lives[lives.index("RECOVERED") + 1] == "ALIVE" and lives[-1] == "BORN"
 
 
-def test_arbitration_prefers_the_clear_signal(spark):
-    t = np.arange(300) / 30
-    rng = np.random.default_rng(1)
-    rows = [(1, i + 1, float(v), float(n), 0.0) for i, (v, n) in enumerate(zip(np.sin(2 * math.pi * 1.2 * t), rng.normal(size=300), strict=True))]
-    got = filters.blended(spark.createDataFrame(rows, "session int, seq int, clear double, noise double, flat double"), ("noise", "flat", "clear"), 30.0).orderBy("seq").collect()
-    assert {r.winner for r in got} == {"clear"} and got[10].y == pytest.approx(0.6 * rows[10][2] + 0.3 * rows[10][3])
-
-
 @pytest.mark.parametrize("name", ["kalman", "uncertain_rate", "baseline", "reliability", "motion", "session_confidence"])
 def test_stream_equals_batch(spark, tmp_path, name):
     from pulselake.streaming import stateful
@@ -383,14 +370,6 @@ def test_jobs(spark, tmp_path):
     assert skin.count() == 1
 
 
-def test_notch_takes_out_respiration(spark):
-    rows = [(1, i, math.sin(2 * math.pi * 0.25 * i / 10) + math.sin(2 * math.pi * 1.2 * i / 10)) for i in range(600)]
-    y = np.array([r.y for r in filters.without_respiration(spark.createDataFrame(rows, "session int, seq int, x double"), 10.0).orderBy("seq").collect()])
-    power = np.abs(np.fft.rfft(y[100:500])) ** 2
-    hz = np.fft.rfftfreq(400, 0.1)
-    assert power[np.argmin(abs(hz - 0.25))] < 0.05 * power[np.argmin(abs(hz - 1.2))]
-
-
 def test_plausibility_trace(spark):
     rates = [70.0] * 6 + [95.0, 95.0, None, float("nan"), 300.0, 70.0, 70.0]
     df = spark.createDataFrame([(1, i, x, 0.0, 0.0, 0.0) for i, x in enumerate(rates)] + [(2, 0, 70.0, 0.5, None, 0.3)], "session int, seq int, x double, instability double, harmonic_ratio double, cv double")
