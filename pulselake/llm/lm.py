@@ -1,8 +1,9 @@
 """LM scoring with an Elias-Fano trigram trie, sharded by context.
 
 Blocks of documents send their distinct words to hash buckets, which count them over the table and give each word a number;
-the blocks then send their word triples to the shard of the word before. A shard counts its triples, builds the trie, maps it
-from a file and answers what was sent to it; only sums by document come back.
+the blocks then send their distinct word triples to the shard of the word before. A shard counts its triples, builds the trie,
+maps it from a file and answers each block with a value a triple, which the block adds up by document: a triple that every
+document has costs a shard a row a block.
 
 Levels of the trie: words as contexts, with back-off weights; each one's successors; the words before each one, which make
 two-word contexts with back-off weights; and their successors, each by its place among the successors of the shorter context
@@ -82,8 +83,19 @@ class EliasFano:
         words = high // 8
         return EliasFano(n, low_bits, data[at : at + high], data[at + high : at + high + 8 * words].view("<i8"), data[at + high + 8 * words : at + high + 8 * words + low]), at + high + 8 * words + low
 
+    def _unpacked(self, many: int) -> bool:
+        """Whether the places of ones and zeros are at hand: they are unpacked once for a batch of more queries than the directory has words."""
+        if not hasattr(self, "one_at"):
+            if many <= len(self.before):
+                return False
+            bits = np.unpackbits(self.high, bitorder="little").view(bool)
+            self.one_at, self.zero_at = np.flatnonzero(bits).astype(np.int32), np.flatnonzero(~bits).astype(np.int32)
+        return True
+
     def zero(self, k: np.ndarray) -> np.ndarray:
         """Where zero k is among the high bits."""
+        if self._unpacked(len(k)):
+            return self.zero_at[k].astype(np.int64)
         word = np.searchsorted(self.before, k, side="right") - 1
         left = k - self.before[word]
         byte = self.high.reshape(-1, 8)[word]
@@ -97,6 +109,10 @@ class EliasFano:
     def lows(self, i: np.ndarray) -> np.ndarray:
         bit = i * self.low_bits
         at = bit >> 3
+        if self.low_bits <= 57:  # eight bytes from any byte on hold them
+            if not hasattr(self, "eight"):
+                self.eight = np.ndarray((max(len(self.low) - 7, 0),), "<u8", np.ascontiguousarray(self.low), strides=(1,))
+            return self.eight[at] >> (bit & 7).astype(np.uint64) & np.uint64((1 << self.low_bits) - 1)
         out = np.zeros(len(i), np.uint64)
         for k in range(8):
             out |= self.low[at + k].astype(np.uint64) << np.uint64(8 * k)
@@ -107,6 +123,8 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at these places."""
+        if self._unpacked(len(i)):
+            return ((self.one_at[i] - i).astype(np.uint64) << np.uint64(self.low_bits) | self.lows(i)).astype(np.int64)
         if not hasattr(self, "ones"):
             self.ones = 64 * np.arange(len(self.before), dtype=np.int64) - self.before
         word = np.searchsorted(self.ones, i, side="right") - 1
@@ -385,20 +403,24 @@ def score(docs: DataFrame, learn: Column, buckets: int | None = None, tries: boo
             unigram = quantised(log_c - below)
             order = ordered(len(c), shard, v, u, w)  # documents ascend within
             shard, u, v, w, doc = (x[order] for x in (shard, u, v, w, doc))
-            begin, _ = _changes(shard, v, u, w, doc)
+            begin, _ = _changes(shard, v, u, w, doc)  # a triple of a document
             again = np.diff(np.append(begin, len(w)))
             shard, u, v, w, doc = (x[begin] for x in (shard, u, v, w, doc))
+            begin, of = _changes(shard, v, u, w)  # a triple of the block
+            trained = np.bincount(of, np.unpackbits(np.frombuffer(row["learn"], np.uint8))[doc] * again, len(begin))
+            shard, u, v, w = (x[begin] for x in (shard, u, v, w))
             cut = starts(np.bincount(shard, minlength=shards))
             info = b"".join((n_known.astype("<i8").tobytes(), size.astype("<i8").tobytes(), base.astype("<f8").tobytes()))
-            out.append({"shard": int.from_bytes(block[:6], "little") % shards, "block": block, "doc_ids": row["doc_ids"], "info": info})
+            out.append({"shard": int.from_bytes(block[:6], "little") % shards, "block": block, "doc_ids": row["doc_ids"], "info": info,
+                        "docs": _pressed(doc.astype("<u4")), "again": _pressed(again.astype("<u4")), "entries": _pressed(np.diff(np.append(begin, len(doc))).astype("<u4"))})
             for s in np.flatnonzero(np.diff(cut)):
                 i, j = cut[s], cut[s + 1]
                 new, _ = _changes(v[i:j])
                 new2, _ = _changes(v[i:j], u[i:j])
                 h = v[i:j][new]
-                out.append({"shard": int(s), "block": block, "learn": row["learn"], "contexts": _pressed(number[h].astype("<u8")), "times": _pressed(c[h].astype("<u8")), "runs": _pressed(np.diff(np.append(new, j - i)).astype("<u4")),
-                            "priors": _pressed(number[u[i:j][new2]].astype("<u8")), "prior_runs": _pressed(np.diff(np.append(new2, j - i)).astype("<u4")), "again": _pressed(again[i:j].astype("<u4")),
-                            "words": _pressed(number[w[i:j]].astype("<u8")), "unigrams": _pressed(unigram[w[i:j]]), "docs": _pressed(doc[i:j].astype("<u4"))})
+                out.append({"shard": int(s), "block": block, "contexts": _pressed(number[h].astype("<u8")), "times": _pressed(c[h].astype("<u8")), "runs": _pressed(np.diff(np.append(new, j - i)).astype("<u4")),
+                            "priors": _pressed(number[u[i:j][new2]].astype("<u8")), "prior_runs": _pressed(np.diff(np.append(new2, j - i)).astype("<u4")), "trained": _pressed(trained[i:j].astype("<u4")),
+                            "words": _pressed(number[w[i:j]].astype("<u8")), "unigrams": _pressed(unigram[w[i:j]])})
             freed()
         return pa.Table.from_pylist(out, schema)
 
@@ -422,7 +444,7 @@ def score(docs: DataFrame, learn: Column, buckets: int | None = None, tries: boo
         freed()
         return pa.Table.from_pylist(out, hot_schema)
 
-    binary = ("block", "info", "learn", "contexts", "times", "runs", "priors", "prior_runs", "again", "words", "unigrams", "docs")
+    binary = ("block", "info", "contexts", "times", "runs", "priors", "prior_runs", "trained", "words", "unigrams", "docs", "again", "entries")
     schema = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in binary)])
     hot_schema = pa.schema([("shard", pa.int64()), *((c, pa.binary()) for c in ("priors", "contexts", "words", "times"))])
     coded = rows.mapInArrow(split, "block binary, doc_ids array<long>, learn binary, counts binary, codes binary, buckets binary").groupBy("block").cogroup(words.groupBy("block"))
@@ -452,27 +474,26 @@ def score(docs: DataFrame, learn: Column, buckets: int | None = None, tries: boo
         pairs = pairs.unionByName(followed.select(F.explode("shards").alias("shard"), "context", "prior", "count", "followers"), allowMissingColumns=True)
     else:
         pairs = pairs.withColumns({c: F.lit(None).cast("long") for c in ("context", "prior", "count", "followers")})
-    sum_schema = pa.schema([("block", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("info", pa.binary()), ("docs", pa.binary()), ("sums", pa.binary()), ("trie", pa.binary()), ("shard", pa.int64())])
+    sum_binary = ("info", "docs", "again", "entries", "values", "trie")
+    sum_schema = pa.schema([("block", pa.binary()), ("doc_ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in sum_binary), ("shard", pa.int64())])
 
     def answer(table: pa.Table) -> pa.Table:
         summed = table.filter(pc.is_valid(table["context"]))
         spread_v, spread_u, spread_count, spread_n = (summed[c].to_numpy() for c in ("context", "prior", "count", "followers"))
         got = table.filter(pc.is_null(table["context"])).to_pylist()
-        out = [{"block": r["block"], "doc_ids": r["doc_ids"], "info": r["info"]} for r in got if r["info"] is not None]
+        out = [{c: r[c] for c in ("block", "doc_ids", "info", "docs", "again", "entries")} for r in got if r["info"] is not None]
         got = [r for r in got if r["info"] is None]
         if got:
             flat = lambda name, kind: np.concatenate([_unpressed(r[name], kind) for r in got])
             v_runs = flat("runs", "<u4").astype(np.int64)
             v, v_times = (np.repeat(flat(c, "<u8").astype(np.int64), v_runs) for c in ("contexts", "times"))
             u = np.repeat(flat("priors", "<u8").astype(np.int64), flat("prior_runs", "<u4").astype(np.int64))
-            w, unigram, again = flat("words", "<u8").astype(np.int64), flat("unigrams", "u1"), flat("again", "<u4").astype(np.int64)
-            docs_of = [_unpressed(r["docs"], "<u4").astype(np.int64) for r in got]
-            learn_of = np.concatenate([np.unpackbits(np.frombuffer(r["learn"], np.uint8))[d] for r, d in zip(got, docs_of, strict=True)])
+            w, unigram, trained = flat("words", "<u8").astype(np.int64), flat("unigrams", "u1"), flat("trained", "<u4").astype(np.int64)
             (vs, one, vi), (us, _, ui), (ws, _, wi) = map(_grouped, (v, u, w))
             v_times = v_times[one]
             key, first, back = _grouped((vi.astype(np.int64) * len(us) + ui) * len(ws) + wi)
-            times = np.bincount(back, learn_of * again, len(key)).astype(np.int64)
-            del vi, ui, wi, learn_of, v_runs
+            times = np.bincount(back, trained, len(key)).astype(np.int64)
+            del vi, ui, wi, trained, v_runs
             v, u, w, unigram = v[first], u[first], w[first], unigram[first]
             of_v = key // (len(us) * len(ws))
             followers = np.bincount(_grouped((of_v * len(ws) + key % len(ws))[times > 0])[0] // len(ws), minlength=len(vs))
@@ -493,16 +514,14 @@ def score(docs: DataFrame, learn: Column, buckets: int | None = None, tries: boo
                 with open(file, "wb") as f:
                     f.write(trie)
                 value = Trie(file).score(u, v, w, unigram)
-            value = value[back] * again
-            del v, u, w, unigram, back, again
-            at = starts(np.array([len(d) for d in docs_of]))
-            for r, d, i, j in zip(got, docs_of, at, at[1:], strict=False):
-                which, inverse = np.unique(d, return_inverse=True)
-                out.append({"block": r["block"], "docs": _pressed(which.astype("<u4")), "sums": np.bincount(inverse, value[i:j]).astype("<f8").tobytes()})
+            codes = np.rint(value * (255 / LEAST)).astype("<u2")[back]  # a sum of three codes at most
+            del v, u, w, unigram, back, value
+            at = starts(np.array([len(_unpressed(r["unigrams"], "u1")) for r in got]))
+            out += [{"block": r["block"], "shard": r["shard"], "values": _pressed(codes[i:j])} for r, i, j in zip(got, at, at[1:], strict=False)]
             freed()
         return pa.Table.from_pylist([] if tries else out, sum_schema)
 
-    sums = pairs.groupBy("shard").applyInArrow(answer, "block binary, doc_ids array<long>, info binary, docs binary, sums binary, trie binary, shard long")
+    sums = pairs.groupBy("shard").applyInArrow(answer, "block binary, doc_ids array<long>, " + ", ".join(f"{c} binary" for c in sum_binary) + ", shard long")
     if tries:
         return sums.where("trie IS NOT NULL").select("shard", "trie")
 
@@ -511,9 +530,10 @@ def score(docs: DataFrame, learn: Column, buckets: int | None = None, tries: boo
         (head,) = [r for r in got if r["info"] is not None]
         n = len(head["doc_ids"])
         info = np.frombuffer(head["info"], "<i8").reshape(3, n)
-        score = np.zeros(n)
-        for r in sorted((r for r in got if r["info"] is None), key=lambda r: (len(r["sums"]), r["sums"])):  # in one order, so that sums repeat exactly
-            score[_unpressed(r["docs"], "<u4")] += np.frombuffer(r["sums"], "<f8")
+        answered = sorted((r for r in got if r["info"] is None), key=lambda r: r["shard"])  # the block's triples are ordered by shard
+        codes = np.concatenate([_unpressed(r["values"], "<u2") for r in answered] or [np.zeros(0, "<u2")]).astype(np.int64)
+        each = np.repeat(codes, _unpressed(head["entries"], "<u4")) * _unpressed(head["again"], "<u4")
+        score = dequantised(np.bincount(_unpressed(head["docs"], "<u4"), each, n))
         return pa.table({"doc_id": pa.array(head["doc_ids"], pa.int64()), "n_tokens": info[1], "n_known": info[0], "base_score": info[2].view("<f8"), "score": score})
 
     out = sums.groupBy("block").applyInArrow(total, "doc_id long, n_tokens long, n_known long, base_score double, score double")
