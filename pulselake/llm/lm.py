@@ -30,13 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, buckets_for, freed, mix, partitions, ranges, starts, written
-from .tokens import ENCODED_BLOCK, _dictionary, _pressed, _unpressed, totals
+from .tokens import _dictionary, _pressed, _unpressed, totals
 
 DISCOUNT = 0.75
 #: Quantised log10 probabilities: codes 0 to 255 are 0 to LEAST in equal steps.
 LEAST = -12.0
 #: Tokens of a shard, about, and of a context word that has more than one part.
 SHARD_TOKENS, SPREAD = 500_000, 800_000
+#: Text bytes of a block: its triples are sorted at once.
+BLOCK = 12 << 20
 END = 0  #: the number of the end token, which also is the first context of a text
 
 _ZEROS = np.array([8 - bin(b).count("1") for b in range(256)], np.int64)
@@ -302,7 +304,7 @@ def score(docs: DataFrame, learn: Column, buckets: int | None = None, tries: boo
         return batch.column("learn").to_numpy(zero_copy_only=False).astype(bool)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, most=ENCODED_BLOCK):
+        for b in blocks(batches, most=BLOCK):
             key, counts, codes, words, bucket = _dictionary(b, buckets, lower=True)
             times = np.bincount(codes[np.repeat(learned(b), counts)], minlength=len(words))
             order = np.argsort(bucket, kind="stable")
@@ -346,7 +348,7 @@ def score(docs: DataFrame, learn: Column, buckets: int | None = None, tries: boo
     spread = SPREAD
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, most=ENCODED_BLOCK):
+        for b in blocks(batches, most=BLOCK):
             key, counts, codes, _, bucket = _dictionary(b, buckets, lower=True)
             yield pa.RecordBatch.from_pydict({
                 "block": [key], "doc_ids": pa.array([b.column("doc_id").to_pylist()], pa.list_(pa.int64())), "learn": [np.packbits(learned(b)).tobytes()],
