@@ -300,6 +300,24 @@ def _by_set(percent: int):
     return judge
 
 
+def worth_closing(members: DataFrame) -> DataFrame:
+    """members (key, node) of large groups without those that can't have a link there which isn't known yet.
+
+    Sets that differ in d shingles at most share two of their d + 2 or more blocks at least. A pair that shares a block of a
+    small group has been verified there, so what is left shares two large groups: a node that is in one only has no new link,
+    nor has the last node of a group. Each round of leaving these out may make more of them.
+    """
+    now = written(members.distinct(), "members")
+    while True:
+        size = now.count()
+        lone = now.groupBy("key").agg(F.count("*").alias("n")).where("n < 2").select("key")
+        open_ = now.join(lone, "key", "left_anti")
+        few = open_.groupBy("node").agg(F.count("*").alias("n")).where("n < 2").select("node")
+        now = written(open_.join(few, "node", "left_anti").select("key", "node"), "members")
+        if now.count() >= 0.9 * size:  # rounds that leave out little cost more than they spare
+            return now
+
+
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text, ...).
 
@@ -314,10 +332,11 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, buckets: i
     owned = table.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n_shingles"))
     pairs = written(pairs, "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    active = owned.join(asked, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    active = owned.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(asked, "node")
     found = written(_sets_of(docs, active, width), "sets")
     links = written(_verified(pairs, found, percent), "links")
     labels = components(links)
+    members = written(worth_closing(members), "members")
     if not members.isEmpty():
         payload = found.withColumn("size", F.octet_length("hashes") + BITS // 8)
         more = written(closing_links(members, labels, payload, _by_set(percent), sided=False, sieve=(found.select("node", "n", "flips"), _by_sketch(percent))), "links")
@@ -326,7 +345,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, buckets: i
     classes = owned.groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = classes.join(ids, "component").select("node", "component_id")
+    classes = hot_join(classes, ids, "component").select("node", "component_id")
     full = hot_join(owned.where("n_shingles > 0"), classes, "node").select("doc_id", "n_shingles", "component_id")
     return full.union(owned.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 

@@ -370,7 +370,7 @@ def duplicates(docs: DataFrame, edits: int = EDITS, every: int = EVERY, buckets:
             labels = components(links.union(more))
     classes = firsts.join(labels.toDF("line", "label"), "line", "left").withColumn("label", F.coalesce("label", "line"))
     winner = classes.groupBy("label").agg(F.min(F.struct("id", "version", "place")).alias("first"), F.sum("n").alias("total")).where("total > 1")
-    known = classes.join(winner, "label").select("line", "first", F.col("proof").alias("of"))
+    known = hot_join(classes, winner, "label").select("line", "first", F.col("proof").alias("of"))
     drop = hot_join(held, known, "line").where((F.struct("id", "version", "place") != F.col("first")) & (F.col("proof") == F.col("of")))
     return drop.groupBy("id", "version").agg(F.collect_set("place").alias("places"))
 
