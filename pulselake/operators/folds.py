@@ -219,11 +219,11 @@ def candidate_life(state: dict, row: dict, window: int = 10, born: float = 0.5,
     """A candidate's life by the frames (t) that show it: BORN, ALIVE, DEGRADING, EXPIRED, RECOVERED.
 
     Persistence: the mean score x times its evenness (0.3 over its variation, at most 1) times the mean stability (by default
-    0.5), in 0..1. DEGRADING for `patience` frames expires, an expired one that persists again has recovered, and one that
-    wasn't seen for more than `lost_after` frames begins anew.
+    0.5), in 0..1. DEGRADING for `patience` frames expires, an expired one that persists again has recovered. A frame from number
+    `lost_after` on that doesn't show the candidate ends it, as in the reference: the next one begins anew.
     """
     frame = row["t"]
-    if "frame" in state and frame - state["frame"] > lost_after:
+    if "frame" in state and frame - state["frame"] > 1 and frame > lost_after:
         state = {}
     scores, steady = ((list(state.get(k, ())) + [v])[-window:] for k, v in (("scores", row["x"]), ("steady", 0.5 if row.get("stability") is None else row["stability"])))
     mean = sum(scores) / len(scores)
@@ -324,6 +324,23 @@ def region_state(state: dict, row: dict, floor: float = 30.0, streak: int = 90,
     return {"bad": bad, "out": 0}, {"bad": bad, "excluded": False}
 
 
+def holdover(state: dict, row: dict, seconds: float = 5.0, grace: int = 20) -> tuple[dict, dict]:
+    """The rate on show. In motion the last good one for `seconds`, then what is shown; from the end of motion on it stays for
+    `grace` frames; then each rate x above 0 is shown and good, and without one the last good one for `seconds`."""
+    n, clear, good, at, shown = state.get("n", 0) + 1, state.get("clear", -1), state.get("good", 0.0), state.get("at", 0.0), state.get("shown", 0.0)
+    held = good > 0 and row["t"] - at <= seconds
+    if row.get("moving"):
+        clear, shown = -1, good if held else shown
+    elif clear < 0 or n - clear < grace:
+        clear, shown = n if clear < 0 else clear, good if good > 0 else shown
+    elif row["x"] > 0:
+        shown = good = row["x"]
+        at = row["t"]
+    elif held:
+        shown = good
+    return {"n": n, "clear": clear, "good": good, "at": at, "shown": shown}, {"shown": shown}
+
+
 #: Step, output columns.
 FOLDS: dict[str, tuple[Step, str]] = {
     "kalman": (kalman, "y double"),
@@ -339,6 +356,7 @@ FOLDS: dict[str, tuple[Step, str]] = {
     "session_confidence": (session_confidence, "confidence double, label string"),
     "region_weight": (region_weight, "weight double, deviation double"),
     "posterior_quality": (posterior_quality, "sqi double, log_odds double"),
+    "holdover": (holdover, "shown double"),
     "region_state": (region_state, "bad long, excluded boolean"),
 }
 

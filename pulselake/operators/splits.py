@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import exact_quantile
+
 
 def digest(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws("/", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in columns)))
@@ -83,6 +85,84 @@ def group_dro(df: DataFrame, domain: str = "domain", loss: str = "loss", eta: fl
     return g.withColumn("weight", e / F.sum(e).over(w)).withColumn("weighted", F.sum(F.col("weight") * F.col("loss")).over(w))
 
 
+def chance(*text: Column | str) -> Column:
+    """A number in (0, 1) from md5 of the texts joined by /."""
+    return (F.conv(F.substring(F.md5(F.concat_ws("/", *(F.lit(t) if isinstance(t, str) else t.cast("string") for t in text))), 1, 8), 16, 10).cast("double") + 0.5) / 2.0**32
+
+
+def weighted_sample(df: DataFrame, weights: DataFrame, n: int, domain: str = "domain", seed: int = 42) -> DataFrame:
+    """K6: n rows of df (sample, domain, ...) drawn without replacement, each with its domain's weight (domain, weight > 0): the n
+    smallest of the exponential keys -ln(u) / weight, u from md5(seed/sample).
+
+    The n-th key is found by narrowing bounds (metrics.exact_quantile), so neither a sort nor the draw is in one task. Rows
+    of one sample have one key: they are drawn together or not at all, and may make it some more or fewer than n.
+    """
+    keyed = df.join(weights, domain).withColumn("key", -F.log(chance(str(seed), F.col("sample"))) / F.col("weight"))
+    rows = keyed.count()
+    if n >= rows:
+        return keyed
+    last = exact_quantile(keyed, [], "key", max(0.0, (n - 0.5) / (rows - 1))).first()
+    return keyed.where(F.col("key") <= last["quantile"]) if n > 0 else keyed.limit(0)
+
+
+def weighted_draws(df: DataFrame, weights: DataFrame, n: int, domain: str = "domain", seed: int = 42) -> DataFrame:
+    """K6: (draw, domain, sample) of n draws with replacement, a sample's chance in proportion to its domain's weight (domain, weight).
+
+    A draw's first hash falls into a domain's share (its weight times its rows), its second one picks the place in the
+    domain's order of digests. weights has a row for each domain.
+    """
+    counted = df.groupBy(domain).agg(F.count("*").alias("m")).join(weights, domain)
+    w = Window.orderBy(domain)  # a row for each domain
+    shares = counted.withColumn("share", F.col("weight") * F.col("m")).withColumn("upto", F.sum("share").over(w)).withColumn("all", F.sum("share").over(Window.partitionBy(F.lit(1))))
+    table = shares.agg(F.array_sort(F.collect_list(F.struct("upto", domain, "m", "all"))).alias("table"))  # a row for each domain
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"))
+    draws = draws.crossJoin(F.broadcast(table))  # one row on the right
+    at = chance(str(seed), F.col("draw"), "d")
+    picked = F.filter("table", lambda t: t["upto"] > at * t["all"])[0]
+    draws = draws.select("draw", picked.alias("t")).select("draw", F.col(f"t.{domain}").alias(domain), F.floor(chance(str(seed), F.col("draw"), "s") * F.col("t.m")).alias("__place"))
+    there = placed(df.select(domain, "sample"), [domain], digest(seed, "sample"), "sample")
+    return draws.join(there, [domain, "__place"]).select("draw", domain, "sample")
+
+
+def dro_rounds(losses: DataFrame, domain: str = "domain", eta: float = 0.01) -> DataFrame:
+    """K7: (round, domain, loss, weight, weighted): weights after each round of losses (round, domain, loss), from even ones.
+
+    A round multiplies weights by exp(eta loss) and scales them to 1, so weights after a round come from the sum of all
+    losses until it; a domain without a loss in a round has 0 there. weighted is the round's loss under the weights before it.
+    """
+    rounds, names = losses.select("round").distinct(), losses.select(domain).distinct()
+    grid = rounds.join(F.broadcast(names), F.lit(True)).join(losses, ["round", domain], "left").withColumn("loss", F.coalesce("loss", F.lit(0.0)))  # rounds times domains
+    until = Window.partitionBy(domain).orderBy("round")
+    x = grid.withColumn("sum", F.sum("loss").over(until))
+    w = Window.partitionBy("round")
+    for name, total in (("weight", F.col("sum")), ("was", F.col("sum") - F.col("loss"))):
+        x = x.withColumn("__t", eta * total).withColumn("__e", F.exp(F.col("__t") - F.max("__t").over(w))).withColumn(name, F.col("__e") / F.sum("__e").over(w))
+    return x.withColumn("weighted", F.sum(F.col("was") * F.col("loss")).over(w)).select("round", domain, "loss", "weight", "weighted")
+
+
+def validated(df: DataFrame, known: DataFrame, key: str = "sample", group: str = "subject") -> DataFrame:
+    """K4: one row of counts for a split df (sample, subject, split) of known (sample): samples in several splits, samples of known
+    that have no split, samples that known doesn't have, and subjects of train that are in validation or test, or of both of these."""
+    where = df.groupBy(key).agg(F.count_distinct("split").alias("n"))
+    groups = df.groupBy(group).agg(*(F.max(F.when(F.col("split") == s, 1).otherwise(0)).alias(s) for s in ("train", "validation", "test")))
+    a = where.agg(F.count_if(F.col("n") > 1).alias("overlapping"))
+    b = known.select(key).distinct().join(df.select(key).distinct(), key, "left_anti").agg(F.count("*").alias("missing"))
+    c = df.select(key).distinct().join(known.select(key), key, "left_anti").agg(F.count("*").alias("unknown"))
+    both = lambda x, y: F.count_if((F.col(x) == 1) & (F.col(y) == 1))
+    d = groups.agg(both("train", "validation").alias("train_validation"), both("train", "test").alias("train_test"), both("validation", "test").alias("validation_test"))
+    return a.crossJoin(b).crossJoin(c).crossJoin(d)  # one row each
+
+
+def split_hash(df: DataFrame, kind: str, domain: str, seed: int, key: str = "sample") -> DataFrame:
+    """K4: (hash): 16 hex digits of md5 over the kind, the domain's name, the seed, the splits' sizes and the ten smallest samples of train and test."""
+    size = lambda s: F.count_if(F.col("split") == s)
+    sizes = df.agg(*(size(s).alias(s) for s in ("train", "validation", "test")))
+    least = {s: df.where(F.col("split") == s).select(key).orderBy(key).limit(10).agg(F.sort_array(F.collect_list(key)).alias(f"{s}_least")) for s in ("train", "test")}
+    one = sizes.crossJoin(least["train"]).crossJoin(least["test"])  # one row each
+    shown = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda v: v.cast("string")), ", "), F.lit("]"))
+    return one.select(F.substring(F.md5(F.concat_ws("|", F.lit(kind), F.lit(domain), F.lit(str(seed)), *(F.col(s).cast("string") for s in ("train", "validation", "test")), shown("train_least"), shown("test_least"))), 1, 16).alias("hash"))
+
+
 def sliding(df: DataFrame, values: str, length: int, stride: int) -> DataFrame:
     """K9: windows of an array column, by their start; arrays shorter than the length give none."""
     n = F.size(values)

@@ -128,13 +128,16 @@ def f8_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("x.param", rounded(F.col("x.s")).alias("sensitivity"), F.when(F.col("x.s") > 0.5, "critical").when(F.col("x.s") < 0.05, "insensitive").otherwise("moderate").alias("verdict"))
 
 
-@query(f"""
-WITH {PAIRS} SELECT CASE WHEN confidence >= 90 THEN 'ideal' WHEN confidence >= 75 THEN 'indoor' WHEN confidence >= 60 THEN 'low_light' ELSE 'motion' END AS scenario, count(*) AS n,
-  {r4('avg(abs(measured - reference))')} AS mae FROM pairs GROUP BY 1""")
+#: The reference's stress scenarios.
+SCENARIOS = ("low_light", "head_rotation", "speaking", "blinking_burst", "compression", "skin_tone_dark", "fps_drop", "exposure_change")
+
+
+@query(f"""WITH {PAIRS} SELECT [{", ".join(f"'{s}'" for s in SCENARIOS)}][least(8, 1 + floor((100 - confidence) / 6.5)::INT)] AS scenario, {_ERRORS} FROM pairs GROUP BY 1 HAVING count(*) >= 10""")
 def f9_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("confidence")
-    kind = F.when(c >= 90, "ideal").when(c >= 75, "indoor").when(c >= 60, "low_light").otherwise("motion")
-    return pairs(spark, sf_dir).groupBy(kind.alias("scenario")).agg(F.count("*").alias("n"), rounded(F.avg(F.abs(F.col("measured") - F.col("reference")))).alias("mae"))
+    """All metrics by scenario; a pair's scenario is made up from its confidence."""
+    at = F.least(F.lit(8), 1 + F.floor((100 - F.col("confidence")) / 6.5)).cast("int")
+    named = pairs(spark, sf_dir).withColumn("scenario", F.element_at(F.array(*map(F.lit, SCENARIOS)), at))
+    return M.rounded_all(M.errors(named, ["scenario"]).where("n >= 10"), _NAMES)
 
 
 @query(f"WITH {SIGNAL} SELECT session, count(*) AS frames, {r4('count(*) FILTER (roi = \'error\') / count(*)::DOUBLE')} AS error_rate, {r4('count(*) FILTER (x < 5) / count(*)::DOUBLE')} AS low_rate FROM signal GROUP BY session")

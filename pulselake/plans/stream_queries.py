@@ -158,21 +158,23 @@ def c5_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("id", "s", F.posexplode("c").alias("i", "v")).select("id", F.col("i").cast("bigint").alias("i"), rounded(F.try_divide(F.col("v"), F.col("s"))).alias("z"))
 
 
-@query(f"""WITH {SIGNAL}, span AS (SELECT session, min(t) AS t0, max(t) AS t1, count(*) AS n FROM signal GROUP BY session HAVING count(*) >= 10 AND max(t) - min(t) >= 1),
-grid AS (SELECT session, unnest(range(0, 50)) AS k, t0 + (t1 - t0) * unnest(range(0, 50)) / 49.0 AS g FROM span),
-seg AS (SELECT session, t, x, lead(t) OVER (PARTITION BY session ORDER BY t, event_id) AS t2, lead(x) OVER (PARTITION BY session ORDER BY t, event_id) AS x2 FROM signal)
-SELECT session, k, {r4('x + (x2 - x) * (g - t) / (t2 - t)')} AS y FROM grid JOIN seg USING (session) WHERE k BETWEEN 1 AND 48 AND g >= t AND g < t2""")
+@query(f"""WITH {SIGNAL}, span AS (SELECT session, min(t) AS t0, max(t) AS t1, floor((max(t) - min(t)) / 43200)::BIGINT AS n FROM signal GROUP BY session HAVING count(*) >= 10 AND max(t) - min(t) >= 1 AND floor((max(t) - min(t)) / 43200) >= 10),
+grid AS (SELECT session, n, t1, unnest(range(0, n)) AS k, t0, n / (t1 - t0) AS rate FROM span), points AS (SELECT session, k, rate, CASE WHEN k = n - 1 THEN t1 ELSE t0 + (t1 - t0) * k / (n - 1) END AS g FROM grid),
+seg AS (SELECT session, t, x, lead(t) OVER w AS t2, lead(x) OVER w AS x2 FROM signal WINDOW w AS (PARTITION BY session ORDER BY t, event_id))
+SELECT session, k, {r4('CASE WHEN x2 IS NULL THEN x ELSE x + (x2 - x) * (g - t) / (t2 - t) END')} AS y, {r4('rate * 86400')} AS rate FROM points JOIN seg USING (session) WHERE g >= t AND (t2 IS NULL OR g < t2)""")
 def c6_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Linear interpolation on 50 even points: samples and grid points are one ordered stream, each point looks back and ahead."""
+    """Linear interpolation on int(duration * rate) even points, both ends included, two a day; sessions of fewer than ten samples or
+    points have none. Samples and grid points are one ordered stream, each point looks back and ahead."""
     s = signal(spark, sf_dir)
-    span = s.groupBy("session").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count("*").alias("n")).where("n >= 10 AND t1 - t0 >= 1")
-    grid = span.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(48)))).select("session", (F.col("t0") + (F.col("t1") - F.col("t0")) * F.col("k") / 49.0).alias("t"), "k")
-    both = s.select("session", "t", F.lit(None).cast("int").alias("k"), F.struct("t", "x").alias("p"), "event_id").unionByName(grid.withColumn("p", F.lit(None)).withColumn("event_id", F.lit(None)), allowMissingColumns=True)
+    span = s.groupBy("session").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count("*").alias("m")).where("m >= 10 AND t1 - t0 >= 1").withColumn("n", F.floor((F.col("t1") - F.col("t0")) / 43200)).where("n >= 10")
+    at = F.when(F.col("k") == F.col("n") - 1, F.col("t1")).otherwise(F.col("t0") + (F.col("t1") - F.col("t0")) * F.col("k") / (F.col("n") - 1))
+    grid = span.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("session", at.alias("t"), "k", (F.col("n") / (F.col("t1") - F.col("t0"))).alias("rate"))
+    both = s.select("session", "t", F.lit(None).cast("bigint").alias("k"), F.struct("t", "x").alias("p"), "event_id").unionByName(grid.withColumn("p", F.lit(None)).withColumn("event_id", F.lit(None)), allowMissingColumns=True)
     w = Window.partitionBy("session").orderBy("t", F.col("event_id").asc_nulls_last())
     down = Window.partitionBy("session").orderBy(F.col("t").desc(), F.col("event_id").desc_nulls_first())  # what follows, looked back at
     x = both.withColumn("a", F.last("p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("b", F.last("p", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1))).where("k IS NOT NULL")
-    y = F.col("a.x") + (F.col("b.x") - F.col("a.x")) * F.try_divide(F.col("t") - F.col("a.t"), F.col("b.t") - F.col("a.t"))
-    return x.select("session", F.col("k").cast("bigint").alias("k"), rounded(y).alias("y"))
+    y = F.coalesce(F.col("a.x") + (F.col("b.x") - F.col("a.x")) * F.try_divide(F.col("t") - F.col("a.t"), F.col("b.t") - F.col("a.t")), F.col("a.x"))
+    return x.select("session", "k", rounded(y).alias("y"), rounded(F.col("rate") * 86400).alias("rate"))
 
 
 @query(f"""WITH {RGB} SELECT session, seq, {r4('avg(g) OVER w / avg(r) OVER w')} AS nf_r, {r4('avg(g) OVER w / avg(b) OVER w')} AS nf_b FROM rgb WINDOW w AS (PARTITION BY session ORDER BY seq ROWS BETWEEN 149 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w >= 30""")

@@ -156,10 +156,17 @@ def g23_region_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.run(_seq(signal(spark, sf_dir)).withColumn("sqi", sqi), "region_state")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SIGNAL}, f AS (SELECT session, seq, floor(t / 43200) AS frame, x / 100 AS x FROM signal),
+r AS (SELECT *, sum(gap) OVER (PARTITION BY session ORDER BY seq) AS run FROM (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY session ORDER BY seq) <= 1 THEN 0 ELSE 1 END AS gap FROM f)),
+s AS (SELECT session, seq, gap = 1 AS first, greatest(0, least(1, avg(x) OVER w * CASE WHEN count(*) OVER w > 1 THEN least(1, 0.3 / (stddev_pop(x) OVER w / (abs(avg(x) OVER w) + 1e-9) + 1e-9)) ELSE 1 END * 0.5)) AS p FROM r WINDOW w AS (PARTITION BY session, run ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+{_from_zero("'' AS life, 0 AS frames, 0.0::DOUBLE AS persistence", "s.first, s.p, k.life, k.frames + 1 AS n",
+ """CASE WHEN first THEN CASE WHEN p > 0.5 THEN 'ALIVE' ELSE 'BORN' END WHEN life = 'EXPIRED' THEN CASE WHEN p > 0.25 THEN 'RECOVERED' ELSE life END WHEN life = 'DEGRADING' THEN CASE WHEN p > 0.25 THEN 'ALIVE' WHEN n >= 5 THEN 'EXPIRED' ELSE life END WHEN p < 0.25 THEN 'DEGRADING' ELSE 'ALIVE' END,
+ CASE WHEN first OR (life = 'DEGRADING' AND p > 0.25) OR (life NOT IN ('EXPIRED', 'DEGRADING') AND p < 0.25) THEN 0 ELSE n END, p""")}
+SELECT session, seq, life, {r4("persistence")} AS persistence FROM k WHERE seq > 0""")
 def i5_candidate_life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user is a candidate, half a day a frame."""
     s = _seq(signal(spark, sf_dir)).withColumn("t", F.floor(F.col("t") / 43200).cast("double")).withColumn("x", F.col("x") / 100)
-    return folds.run(s, "candidate_life")
+    return folds.run(s, "candidate_life").withColumn("persistence", rounded(F.col("persistence")))
 
 
 @query(f"""WITH {SAMPLES}, n AS (SELECT session % 15 AS series, event_id % 101 AS sqi, x - 5 AS x, row_number() OVER (PARTITION BY session % 15 ORDER BY t, event_id) AS k FROM samples WHERE event_id % 101 >= 30)
@@ -259,11 +266,15 @@ def g20_posterior_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.run(s, "posterior_quality").withColumn("log_odds", rounded(F.col("log_odds")))
 
 
-@query(f"""WITH {SIGNAL} SELECT session, seq, {r4("last_value(CASE WHEN roi <> 'error' THEN x END IGNORE NULLS) OVER (PARTITION BY session ORDER BY t RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)")} AS shown FROM signal""")
+@query(f"""WITH RECURSIVE {SIGNAL}, s AS (SELECT session, seq, t / 17280 AS t, x - 3 AS x, event_id % 40 = 0 AS moving FROM signal),
+{_from_zero("-1::BIGINT AS clear, 0.0::DOUBLE AS good, 0.0::DOUBLE AS since, 0.0::DOUBLE AS shown", "s.t, s.x, s.moving, k.clear, k.good, k.since, k.shown, NOT s.moving AND (k.clear < 0 OR s.seq - k.clear < 20) AS waiting, k.good > 0 AND s.t - k.since <= 5 AS held",
+ """CASE WHEN moving THEN -1 WHEN clear < 0 THEN seq ELSE clear END, CASE WHEN NOT moving AND NOT waiting AND x > 0 THEN x ELSE good END, CASE WHEN NOT moving AND NOT waiting AND x > 0 THEN t ELSE since END,
+ CASE WHEN moving THEN CASE WHEN held THEN good ELSE shown END WHEN waiting THEN CASE WHEN good > 0 THEN good ELSE shown END WHEN x > 0 THEN x WHEN held THEN good ELSE shown END""")}
+SELECT session, seq, {r4("shown")} AS shown FROM k WHERE seq > 0""")
 def g22_holdover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last good value of the last day stays on show."""
-    w = Window.partitionBy("session").orderBy("t").rangeBetween(-86400, 0)
-    return _seq(signal(spark, sf_dir)).select("session", "seq", rounded(F.last(F.when(F.col("roi") != "error", F.col("x")), ignorenulls=True).over(w)).alias("shown"))
+    """A day of events stands for five seconds; every fortieth event is in motion."""
+    s = _seq(signal(spark, sf_dir)).withColumns({"t": F.col("t") / 17280, "x": F.col("x") - 3, "moving": F.pmod("event_id", F.lit(40)) == 0})
+    return folds.run(s, "holdover").withColumn("shown", rounded(F.col("shown")))
 
 
 _GOOD = "FILTER (WHERE NOT moving AND sqi >= 30"
