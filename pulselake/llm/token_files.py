@@ -1,7 +1,7 @@
 """Token ids as flat files: unsigned integers, and 64-bit offsets of the documents.
 
-Each range of doc_ids is one shard of three files in the shared folder, read by memory map where the folder is local:
-`<shard>.bin` ids one after the other, `<shard>.idx` offsets (n + 1 unsigned 64-bit, in ids), `<shard>.doc` doc_ids.
+Each range of doc_ids is one shard of three files in the shared folder, read by memory map where the folder is local;
+off one only the bytes asked for are read. `<shard>.bin` ids one after the other, `<shard>.idx` offsets (n + 1 unsigned 64-bit, in ids), `<shard>.doc` doc_ids.
 Where a shard begins among all ids comes from the prefix sums of the shards' id counts.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, offsets_array, partitions, shared_folder, split_words, starts
-from .tokens import encode_words, spread, tokenizer, totals
+from .tokens import checked, encode_words, spread, tokenizer, totals
 
 
 #: Text bytes of a block: its distinct words are encoded once, so larger blocks encode less.
@@ -40,13 +40,15 @@ def _place(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder)
 
 
-def _opened(folder: str, name: str, dtype: str) -> np.ndarray:
-    system, root = _place(folder)
+def opened(system: pafs.FileSystem, path: str, dtype: str, first: int, count: int) -> np.ndarray:
+    """`count` numbers of a file from number `first` on: mapped where the file is local, else only these bytes are read."""
+    size = np.dtype(dtype).itemsize
+    if not count:
+        return np.zeros(0, dtype)
     if isinstance(system, pafs.LocalFileSystem):
-        info = system.get_file_info(f"{root}/{name}")
-        return np.memmap(f"{root}/{name}", dtype, "r") if info.size else np.zeros(0, dtype)
-    with system.open_input_file(f"{root}/{name}") as f:
-        return np.frombuffer(f.read(), dtype)
+        return np.memmap(path, dtype, "r", first * size, (count,))
+    with system.open_input_file(path) as f:
+        return np.frombuffer(f.read_at(count * size, first * size), dtype)
 
 
 def write(docs: DataFrame, path: str, end_id: int, shards: int | None = None) -> TokenFiles:
@@ -56,6 +58,7 @@ def write(docs: DataFrame, path: str, end_id: int, shards: int | None = None) ->
     task that runs again writes the same files (each is written under another name and then moved into place).
     """
     spark = docs.sparkSession
+    checked(path)
     dtype = "<u2" if max(tokenizer(path).get_vocab_size(with_added_tokens=True), end_id + 1) <= 65536 else "<u4"
     folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     system, root = _place(folder)
@@ -105,15 +108,17 @@ def read(spark: SparkSession, files: TokenFiles, with_ids: bool = False, docs_at
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                idx = _opened(folder, f"{r['shard']:08d}.idx", "<u8")[r["first"] : r["last"] + 1].astype(np.int64)
-                doc = _opened(folder, f"{r['shard']:08d}.doc", "<i8")[r["first"] : r["last"]]
-                ids = _opened(folder, f"{r['shard']:08d}.bin", dtype)
-                n = np.diff(idx)
+                system, root = _place(folder)
+                name = f"{root}/{r['shard']:08d}"
+                idx = opened(system, f"{name}.idx", "<u8", r["first"], r["last"] - r["first"] + 1).astype(np.int64)
+                doc = opened(system, f"{name}.doc", "<i8", r["first"], r["last"] - r["first"])
+                ids = opened(system, f"{name}.bin", dtype, int(idx[0]), int(idx[-1] - idx[0]))
+                n, own = np.diff(idx), idx - idx[0]
                 null = np.arange(r["first"], r["last"]) < r["n_null"]
-                crc = [zlib.crc32(ids[i:j].astype("<u4").tobytes()) for i, j in zip(idx[:-1], idx[1:], strict=True)]
+                crc = [zlib.crc32(ids[i:j].astype("<u4").tobytes()) for i, j in zip(own[:-1], own[1:], strict=True)]
                 out = {"doc_id": pa.array(np.asarray(doc, np.int64), mask=null), "start": pa.array(idx[:-1] + r["base"]), "n_tokens": pa.array(n), "ids_crc32": pa.array(crc, pa.int64())}
                 if with_ids:
-                    out["ids"] = offsets_array(ids[idx[0] : idx[-1]].astype("<u4"), n)
+                    out["ids"] = offsets_array(ids.astype("<u4"), n)
                 yield pa.RecordBatch.from_pydict(out)
 
     table = spark.createDataFrame(parts, "shard long, first long, last long, n_null long, base long")

@@ -2,8 +2,8 @@
 
 Each block of documents is split into words once. Its distinct words go to the partition of their hash, where every
 distinct word of the whole table is encoded once; the ids come back to the block and are joined to the word positions.
-Decoding joins ids to their pieces. A vocabulary whose pre-tokenizer may not join text over ASCII white space is required
-(as with `word_bpe_49k.json`), so that a text's ids are the ids of its words in order.
+Decoding joins ids to their pieces. A vocabulary whose pre-tokenizer may not join text over ASCII white space is required, and pieces joined by a space
+(as with `word_bpe_49k.json`; others raise ValueError), so that a text's ids are the ids of its words in order.
 """
 
 from __future__ import annotations
@@ -41,6 +41,23 @@ def tokenizer(path: str):
     return found
 
 
+#: Texts that show whether a vocabulary can be encoded word by word and decoded piece by piece.
+PROBES = ("one two", "x\n y", "the quick brown fox", "Ünïcode wörds, 123!", "a  b\tc")
+
+
+@functools.lru_cache(maxsize=4)
+def checked(path: str) -> str:
+    """path, if its vocabulary gives a text the ids of its words in order and joins pieces by a space; else ValueError."""
+    library = tokenizer(path)
+    for probe in PROBES:
+        ids = library.encode(probe, add_special_tokens=False).ids
+        if ids != [i for word in probe.split() for i in library.encode(word, add_special_tokens=False).ids]:
+            raise ValueError(f"{path} joins text over white space: its words can't be encoded one by one")
+        if library.decode(ids, skip_special_tokens=False) != " ".join(library.id_to_token(i) for i in ids):
+            raise ValueError(f"{path} has a decoder other than pieces joined by a space")
+    return path
+
+
 @functools.lru_cache(maxsize=4)
 def pieces(path: str) -> pa.Array:
     """The vocabulary as a table: piece of id i at position i, null where an id is free."""
@@ -228,6 +245,8 @@ def encode(docs: DataFrame, path: str, buckets: int | None = None, decoded: bool
     """
     buckets = buckets or buckets_for(docs)
 
+    checked(path)
+
     def encode_bucket(table: pa.Table) -> pa.Table:
         lists = [zstandard.decompress(w).decode().split("\n") for w in table["words"].to_pylist()]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -276,6 +295,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     The vocabulary is a fixed table (49,408 rows here) that each task holds; no ids or null ids decode to the empty text.
     """
 
+    checked(path)
+
     def decode_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = pc.fill_null(b.column("ids"), b"")
