@@ -70,3 +70,37 @@ def pooled(x: Column, padded: Column, kind: str, scores: Column | None = None) -
 def to_rate(z: Column, low: float = 40.0, high: float = 200.0) -> Column:
     """A logit to a rate in low..high."""
     return low + (high - low) / (1 + F.exp(-z))
+
+
+def mean_of_available(loss: Column, available: Column) -> Column:
+    """L2, as an aggregate: a batch's mean loss over the rows whose label is available, 0 where none is."""
+    return F.coalesce(F.avg(F.when(available, loss)), F.lit(0.0))
+
+
+def confidence_loss(confidence: Column, error: Column, available: Column, exact: float = 0.1, by_spread: float = 0.1) -> Column:
+    """L2, as an aggregate: cross-entropy of confidences against whether the rate was right, and a little of their variance."""
+    right = F.when(error < exact, 1.0).otherwise(0.0)
+    return mean_of_available(bce(confidence, right), available) + by_spread * F.coalesce(F.var_samp(F.when(available, confidence)), F.lit(0.0))
+
+
+def focal_loss(p: Column, y: Column, least: Column, most: Column, available: Column, gamma: float = 2.0) -> Column:
+    """L2, as an aggregate: squared errors weighed by how far below the batch's largest target each target is; 0 where targets don't vary."""
+    weight = F.when(most > least, F.pow(1 - (y - least) / F.nullif(most - least, F.lit(0.0)), F.lit(gamma))).otherwise(0.0)
+    return mean_of_available(weight * (p - y) * (p - y), available)
+
+
+def masked_mse(p: Column, y: Column, mask: Column) -> Column:
+    """L3, as an aggregate over arrays: squared error of the masked steps, by their number."""
+    errors = F.zip_with(F.zip_with(p, y, lambda a, b: (a - b) * (a - b)), mask, lambda e, m: F.when(m, e).otherwise(0.0))
+    return F.sum(sum_of(errors)) / (F.sum(F.size(F.filter(mask, lambda m: m))) + 1e-9)
+
+
+def spread_loss(x: Column, weight: float = 0.1) -> Column:
+    """L3, as an aggregate: the negative mean deviation (n - 1) of representations: collapsed ones cost."""
+    n = F.size(x)
+    return -weight * F.avg(std_of(x) * F.sqrt(n / (n - 1)))
+
+
+def agreement_loss(online: Column, target: Column) -> Column:
+    """L3 (BYOL), as an aggregate: 2 less twice the mean cosine of two views."""
+    return 2 - 2 * F.avg(cosine(online, target))

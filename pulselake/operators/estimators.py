@@ -399,3 +399,25 @@ def classical(wins: DataFrame, fps: float, filtered: bool = True) -> DataFrame:
         return [{**{k: rate(signals[k][i]) for k in ("green", "chrom", "pos")}, "ica": rate(y)} for i, y in enumerate(independent(r, g, b))]
 
     return by_window(wins, made, "green double, chrom double, pos double, ica double", ("r", "g", "b"))
+
+
+def window_rates(df: DataFrame, fps: float, seconds: float = 10.0, hop: float = 1.0, band: tuple[float, float] = (0.5, 4.0), keep: tuple[float, float] = (40.0, 180.0), last: bool = False, centre: bool = True) -> DataFrame:
+    """(session, t, bpm) of df (session, seq from 1, x): the strongest rate in the band of each complete window, of those kept.
+
+    t is the window's centre or start in seconds. Without `last` the window that ends with the session's last sample is left
+    out, as in the reference's benchmark mode; its laboratory mode is hop 5, last, start.
+    """
+    size, step = int(fps * seconds), int(fps * hop)
+    ends = df.groupBy("session").agg(F.max("seq").alias("end"))
+    wins = windows(df, size, step).where(F.size("x") == size).join(ends, "session")
+    if not last:
+        wins = wins.where(F.col("w") * step + size < F.col("end"))
+
+    def rate(x: np.ndarray) -> list[dict]:
+        hz = np.arange(size // 2 + 1) * fps / size
+        inside = np.flatnonzero((hz >= band[0]) & (hz <= band[1]))
+        power = np.abs(np.fft.rfft((x - x.mean(1, keepdims=True)) * np.hanning(size), axis=1))
+        return [{"bpm": 60 * float(hz[inside[i]])} for i in power[:, inside].argmax(1)] if len(inside) else [{"bpm": None}] * len(x)
+
+    t = (F.col("w") * step + (size // 2 if centre else 0)) / F.lit(fps)
+    return by_window(wins.drop("end"), rate, "bpm double").where(F.col("bpm").between(*keep)).select("session", t.alias("t"), "bpm")

@@ -92,3 +92,27 @@ def uncertainty(parts: dict[str, Column], aleatoric: set[str]) -> tuple[Column,
     """H8: root sums of squares of component deviations: aleatoric, epistemic, total."""
     root = lambda names: F.sqrt(sum((parts[n] * parts[n] for n in names), F.lit(0.0)))
     return root(sorted(aleatoric)), root(sorted(set(parts) - aleatoric)), root(sorted(parts))
+
+
+#: Of each component the greatest deviation (a minute), and whether it is of the data, of the model, or of both.
+COMPONENTS = {
+    "measurement": (None, "aleatoric"), "signal": (10.0, "both"), "spatial": (8.0, "epistemic"), "motion": (6.0, "epistemic"), "temporal": (5.0, "epistemic"),
+    "spectral": (8.0, "both"), "harmonic": (None, "both"), "model": (None, "epistemic"), "coverage": (10.0, "epistemic"),
+}
+
+
+def decomposed(df: DataFrame, least_coverage: float = 0.3, most: float = 15.0, most_epistemic: float = 10.0) -> DataFrame:
+    """H8: df (noise, sqi 0..100, spatial, motion, temporal, coverage in 0..1, snr_db, model_variance) with the nine components as
+    `u_<name>` (deviations a minute), aleatoric, epistemic, total, and validity.
+
+    A component that is of both kinds counts for both; harmonics have their own check and are 0 here. INVALID below the least
+    coverage, else UNCERTAIN beyond either limit, else VALID.
+    """
+    sqi = clip(F.col("sqi") / 100, 0, 1)
+    snr = clip((F.col("snr_db") + 20) / 40, 0, 1)
+    short = {"signal": sqi, "spatial": F.col("spatial"), "motion": F.col("motion"), "temporal": F.col("temporal"), "spectral": snr, "coverage": F.col("coverage")}
+    parts = {k: (1 - v) * COMPONENTS[k][0] for k, v in short.items()} | {"measurement": F.col("noise") * (1 - 0.5 * sqi), "harmonic": F.lit(0.0), "model": F.sqrt(F.greatest(F.col("model_variance"), F.lit(0.01)))}
+    df = df.withColumns({f"u_{k}": parts[k] for k in COMPONENTS})
+    root = lambda kinds: F.sqrt(sum((F.col(f"u_{k}") * F.col(f"u_{k}") for k, (_, kind) in COMPONENTS.items() if kind in kinds), F.lit(0.0)))
+    df = df.withColumns({"aleatoric": root(("aleatoric", "both")), "epistemic": root(("epistemic", "both")), "total": root(("aleatoric", "epistemic", "both"))})
+    return df.withColumn("validity", F.when(F.col("coverage") < least_coverage, "INVALID").when((F.col("total") > most) | (F.col("epistemic") > most_epistemic), "UNCERTAIN").otherwise("VALID"))

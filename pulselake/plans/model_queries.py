@@ -112,6 +112,22 @@ def h8_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("id", "method").agg(rounded(F.max("a")).alias("aleatoric"), rounded(F.max("b")).alias("epistemic"), rounded(F.max("t")).alias("total"), F.count_if(F.col("t") > 10).alias("uncertain"))
 
 
+_KINDS = {"aleatoric": ("aleatoric", "both"), "epistemic": ("epistemic", "both"), "total": ("aleatoric", "epistemic", "both")}
+_ROOTS = ", ".join(f"sqrt({' + '.join(f'u_{k} * u_{k}' for k, (_, kind) in H.COMPONENTS.items() if kind in kinds)}) AS {name}" for name, kinds in _KINDS.items())
+
+
+@query(f"""WITH {SIGNAL}, p AS (SELECT session, seq, 1 + event_id % 6 AS noise, (event_id % 101)::DOUBLE AS sqi, (event_id % 11) / 10.0 AS spatial, (event_id % 13) / 12.0 AS motion, (event_id % 7) / 6.0 AS temporal, (event_id % 17) / 16.0 AS coverage, event_id % 61 - 30 AS snr_db, x AS model_variance FROM signal),
+u AS (SELECT *, noise * (1 - 0.5 * sqi / 100) AS u_measurement, (1 - sqi / 100) * 10 AS u_signal, (1 - spatial) * 8 AS u_spatial, (1 - motion) * 6 AS u_motion, (1 - temporal) * 5 AS u_temporal, (1 - greatest(0, least(1, (snr_db + 20) / 40.0))) * 8 AS u_spectral, 0.0 AS u_harmonic, sqrt(greatest(model_variance, 0.01)) AS u_model, (1 - coverage) * 10 AS u_coverage FROM p),
+t AS (SELECT *, {_ROOTS} FROM u)
+SELECT session, seq, {r4('u_measurement')} AS measurement, {r4('u_spectral')} AS spectral, {r4('u_model')} AS model, {r4('aleatoric')} AS aleatoric, {r4('epistemic')} AS epistemic, {r4('total')} AS total, CASE WHEN coverage < 0.3 THEN 'INVALID' WHEN total > 15 OR epistemic > 10 THEN 'UNCERTAIN' ELSE 'VALID' END AS validity FROM t""")
+def h8_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nine components; inputs from the event's number, the value as the model's variance."""
+    of = lambda n, by=1.0: F.pmod("event_id", F.lit(n)) / F.lit(by)
+    s = signal(spark, sf_dir).withColumns({"noise": 1 + of(6), "sqi": of(101), "spatial": of(11, 10.0), "motion": of(13, 12.0), "temporal": of(7, 6.0), "coverage": of(17, 16.0), "snr_db": of(61) - 30, "model_variance": F.col("x")})
+    out = H.decomposed(s)
+    return out.select("session", F.col("seq").cast("bigint").alias("seq"), *(rounded(F.col(f"u_{c}")).alias(c) for c in ("measurement", "spectral", "model")), *(rounded(F.col(c)).alias(c) for c in _KINDS), "validity")
+
+
 _CELLS = PIXELS + ", cells AS (SELECT frame, y // 2 AS cy, x // 2 AS cx, avg(v) AS v FROM pixels GROUP BY ALL)"
 
 
@@ -316,6 +332,44 @@ def l3_contrastive(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAD = f"{ARRAYS}, kept AS (SELECT id, v, i FROM points WHERE i < 20 + id % 44)"
 
 
+_BCE = "-({y} * ln(greatest(1e-7, least(1 - 1e-7, {p}))) + (1 - {y}) * ln(1 - greatest(1e-7, least(1 - 1e-7, {p}))))"
+
+
+@query(f"""WITH {ARRAYS}, r AS (SELECT a.label AS batch, a.id, a.x AS p, b.x AS y, 70 + 20 * a.x[1] AS hr_p, 70 + a.id % 9 AS hr_y, a.id % 3 > 0 AS hr_ok, 0.5 + a.x[2] AS sqi_p, 0.5 + 3 * a.x[3] AS sqi_y, a.id % 4 > 0 AS sqi_ok, 0.5 + a.x[4] AS conf, a.id % 2 = 0 OR a.label = 3 AS bvp_ok FROM arrays a JOIN arrays b ON b.id = a.id + 1 WHERE a.label <> 4 OR a.id % 3 = 0),
+e AS (SELECT *, list_avg(list_transform(list_zip(p, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS mse, (list_avg(list_transform(list_zip(p, y), lambda z: z[1] * z[2])) - list_avg(p) * list_avg(y)) / (list_stddev_pop(p) * list_stddev_pop(y)) AS r, greatest(0, least(1, sqi_y)) AS sqi_t, abs(hr_p - hr_y) < 5 AS good, min(CASE WHEN hr_ok THEN hr_y END) OVER b AS lo, max(CASE WHEN hr_ok THEN hr_y END) OVER b AS hi FROM r WINDOW b AS (PARTITION BY batch)),
+g AS (SELECT batch, coalesce(avg(mse + 0.5 * (1 - r)) FILTER (bvp_ok), 0) AS bvp, coalesce(avg((hr_p - hr_y) ** 2) FILTER (hr_ok), 0) AS hr, coalesce(avg(CASE WHEN hi > lo THEN (1 - (hr_y - lo) / (hi - lo)::DOUBLE) ** 2 ELSE 0 END * (hr_p - hr_y) ** 2) FILTER (hr_ok), 0) AS focal, coalesce(avg({_BCE.format(p='sqi_p', y='sqi_t')}) FILTER (sqi_ok), 0) AS sqi,
+  coalesce(avg({_BCE.format(p='conf', y='good::INT')}) FILTER (hr_ok), 0) + 0.1 * coalesce(var_samp(conf) FILTER (hr_ok), 0) AS confidence FROM e GROUP BY batch)
+SELECT batch, {", ".join(f"{r4(c)} AS {c}" for c in ("bvp", "hr", "focal", "sqi", "confidence"))}, {r4('bvp + 0.01 * hr + 0.001 * focal + 0.5 * sqi + 0.1 * confidence')} AS total FROM g""")
+def l2_multitask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses of four tasks by batch (label), each over the rows whose label is available, and their weighted sum."""
+    a = arrays(spark, sf_dir)
+    r = a.join(a.select((F.col("id") - 1).alias("id"), F.col("x").alias("y")), "id").where("label <> 4 OR id % 3 = 0")
+    x, at = F.col("x"), lambda i: F.get("x", F.lit(i))
+    r = r.select(F.col("label").alias("batch"), (L.mse(x, F.col("y")) + 0.5 * (1 - L.correlation(x, F.col("y")))).alias("bvp"), ((F.col("id") % 2 == 0) | (F.col("label") == 3)).alias("bvp_ok"), (70 + 20 * at(0)).alias("hr_p"), (70 + F.col("id") % 9).cast("double").alias("hr_y"), (F.col("id") % 3 > 0).alias("hr_ok"),
+                 (0.5 + at(1)).alias("sqi_p"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + 3 * at(2))).alias("sqi_y"), (F.col("id") % 4 > 0).alias("sqi_ok"), (0.5 + at(3)).alias("conf"))
+    known = F.when(F.col("hr_ok"), F.col("hr_y"))
+    r = r.join(r.groupBy("batch").agg(F.min(known).alias("lo"), F.max(known).alias("hi")), "batch")
+    p, y, ok = F.col("hr_p"), F.col("hr_y"), F.col("hr_ok")
+    g = r.groupBy("batch").agg(L.mean_of_available(F.col("bvp"), F.col("bvp_ok")).alias("bvp"), L.mean_of_available((p - y) * (p - y), ok).alias("hr"), L.focal_loss(p, y, F.col("lo"), F.col("hi"), ok).alias("focal"),
+                               L.mean_of_available(L.bce(F.col("sqi_p"), F.col("sqi_y")), F.col("sqi_ok")).alias("sqi"), L.confidence_loss(F.col("conf"), F.abs(p - y), ok, exact=5.0).alias("confidence"))
+    total = F.col("bvp") + 0.01 * F.col("hr") + 0.001 * F.col("focal") + 0.5 * F.col("sqi") + 0.1 * F.col("confidence")
+    return g.select("batch", *(rounded(F.col(c)).alias(c) for c in ("bvp", "hr", "focal", "sqi", "confidence")), rounded(total).alias("total"))
+
+
+@query(f"""WITH {ARRAYS}, r AS (SELECT a.label AS batch, a.id, a.x AS p, b.x AS y, list_transform(range(64), lambda i: (i + a.id) % 3 = 0) AS m FROM arrays a JOIN arrays b ON b.id = a.id + 1),
+e AS (SELECT *, list_sum(list_transform(list_zip(p, y, m), lambda z: CASE WHEN z[3] THEN (z[1] - z[2]) ** 2 ELSE 0 END)) AS err, len(list_filter(m, lambda v: v)) AS n, list_stddev_samp(p) AS sd, list_cosine_similarity(p, y) AS c FROM r),
+g AS (SELECT batch, sum(err) / (sum(n) + 1e-9) AS predictive, -0.1 * avg(sd) AS consistency, 2 - 2 * avg(c) AS agreement FROM e GROUP BY batch)
+SELECT batch, {r4('predictive')} AS predictive, {r4('consistency')} AS consistency, {r4('agreement')} AS agreement, {r4('0.5 * consistency + 0.3 * predictive + 0.1 * agreement')} AS total FROM g""")
+def l3_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked reconstruction, consistency and agreement of views by batch (label), and their weighted sum."""
+    a = arrays(spark, sf_dir)
+    r = a.join(a.select((F.col("id") - 1).alias("id"), F.col("x").alias("y")), "id").withColumn("m", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i + F.col("id")) % 3 == 0))
+    x, y = F.col("x"), F.col("y")
+    g = r.groupBy(F.col("label").alias("batch")).agg(L.masked_mse(x, y, F.col("m")).alias("predictive"), L.spread_loss(x).alias("consistency"), L.agreement_loss(x, y).alias("agreement"))
+    total = 0.5 * F.col("consistency") + 0.3 * F.col("predictive") + 0.1 * F.col("agreement")
+    return g.select("batch", *(rounded(F.col(c)).alias(c) for c in ("predictive", "consistency", "agreement")), rounded(total).alias("total"))
+
+
 @query(f"WITH {_PAD} SELECT id, {r4('avg(v)')} AS mean, {r4('max(v)')} AS high, {r4('arg_max(v, i)')} AS last, {r4('sum(exp(v) * v) / sum(exp(v))')} AS attention, {r4('40 + 160 / (1 + exp(-avg(v)))')} AS rate FROM kept GROUP BY id")
 def l5_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled over the first 20 + id mod 44 steps, the rest being padding."""

@@ -117,6 +117,15 @@ def d1_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("session", F.col("seq").alias("w"), *(rounded(F.col(c)).alias(c) for c in ("bpm", "consistency", "jump", "dominance")), "corrected")
 
 
+@query(f"""WITH {RGB}, ends AS (SELECT session, max(seq) AS e FROM rgb GROUP BY session), starts AS (SELECT session, unnest(range(0, e - 100, 10)) AS s FROM ends), x AS (SELECT st.session, s, seq - 1 - s AS i, g - avg(g) OVER (PARTITION BY st.session, s) AS v FROM starts st JOIN rgb r ON r.session = st.session AND seq > s AND seq <= s + 100),
+b AS (SELECT session, s, k, sum(v * (0.5 - 0.5 * cos(2 * pi() * i / 99)) * cos(2 * pi() * k * i / 100)) ** 2 + sum(v * (0.5 - 0.5 * cos(2 * pi() * i / 99)) * sin(2 * pi() * k * i / 100)) ** 2 AS p FROM x, range(5, 41) r(k) GROUP BY ALL), t AS (SELECT session, s, arg_max(k, (p, -k)) * 6.0 AS bpm FROM b GROUP BY ALL)
+SELECT session, (s + 50) / 10.0::DOUBLE AS t, {r4('bpm')} AS bpm FROM t WHERE bpm BETWEEN 40 AND 180""")
+def d4_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten seconds every second, stamped by their centres, without the last; ten samples a second."""
+    s = rgb(spark, sf_dir).select("session", F.col("seq").cast("bigint").alias("seq"), F.col("g").alias("x"))
+    return E.window_rates(s, FPS).withColumn("bpm", rounded(F.col("bpm")))
+
+
 _BEFORE = "CASE WHEN (session + w) % 4 > 0 THEN 40.0 + (session * 7 + w * 13) % 90 END"
 
 
