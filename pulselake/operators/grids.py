@@ -16,20 +16,23 @@ def cells(pixels: DataFrame, size: int) -> DataFrame:
     return pixels.groupBy("frame", F.floor(F.col("y") / size).alias("cy"), F.floor(F.col("x") / size).alias("cx")).agg(F.avg("v").alias("v"))
 
 
-def motion(pixels: DataFrame, size: int) -> DataFrame:
-    """Mean |difference to the frame before| by cell, confidence exp(-m / 2) and level; pixels meet their predecessor by an equi join."""
-    before = pixels.select((F.col("frame") + 1).alias("frame"), "y", "x", F.col("v").alias("old"))
-    d = pixels.join(before, ["frame", "y", "x"]).withColumn("v", F.abs(F.col("v") - F.col("old")))
-    return cells(d, size).withColumn("confidence", F.exp(-F.col("v") / 2)).withColumn("level", level(F.col("v")))
+def motion(pixels: DataFrame, size: int, stream: str | None = None) -> DataFrame:
+    """Mean |difference to the frame before| by cell, confidence exp(-m / 2) and level; pixels meet their predecessor by an
+    equi join. With `stream` frames are those of a stream each, else of one."""
+    keys = [stream] if stream else []
+    before = pixels.select(*keys, (F.col("frame") + 1).alias("frame"), "y", "x", F.col("v").alias("old"))
+    d = pixels.join(before, [*keys, "frame", "y", "x"]).withColumn("v", F.abs(F.col("v") - F.col("old")))
+    of = d.groupBy(*keys, "frame", F.floor(F.col("y") / size).alias("cy"), F.floor(F.col("x") / size).alias("cx")).agg(F.avg("v").alias("v"))
+    return of.withColumn("confidence", F.exp(-F.col("v") / 2)).withColumn("level", level(F.col("v")))
 
 
 def level(m: Column, low: float = 0.5, moderate: float = 1.0, high: float = 2.0) -> Column:
     return F.when(m < low, "low").when(m < moderate, "moderate").when(m < high, "high").otherwise("extreme")
 
 
-def stability(motion_cells: DataFrame, frames: int = 5) -> DataFrame:
-    """exp(-5 sd) of a cell's motion over the last frames."""
-    w = Window.partitionBy("cy", "cx").orderBy("frame").rowsBetween(1 - frames, 0)
+def stability(motion_cells: DataFrame, frames: int = 5, stream: str | None = None) -> DataFrame:
+    """exp(-5 sd) of a cell's motion over the last frames of its stream."""
+    w = Window.partitionBy(*([stream] if stream else []), "cy", "cx").orderBy("frame").rowsBetween(1 - frames, 0)
     return motion_cells.withColumn("stability", F.exp(-5 * F.stddev_pop("v").over(w)))
 
 

@@ -1,4 +1,4 @@
-"""Experiments, records and samplers as queries (survey A8, A10, C9, I7, K4, K6, K7)."""
+"""Experiments, records and samplers as queries (survey A1, A5, A8, A10, C9, I7, K4, K6, K7)."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from ..functions.numeric import rounded
 from ..operators import experiments as X
 from ..operators import splits as K
 from ..sources import experiment_tree as tree
+from ..sources import ground_truth
+from ..sources.shared import new_path
 from .bindings import DOMAINS, PIXELS, SAMPLES, WINDOWS, domains, pixels, samples, windows
 from .registry import query, r4
 from .window_queries import FPS, _channels
@@ -86,6 +88,37 @@ def a8_session_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.summaries(r).select("id", *(rounded(F.col(c)).alias(c) for c in ("timestamp", "duration_sec", "avg_bpm", "avg_resp", "avg_sqi")))
 
 
+def _csv(spark: SparkSession, sf_dir: str) -> str:
+    """The events as a reference file with faults: numbers missing, unreadable, not finite or out of range."""
+    e = F.col("event_id")
+    odd = F.when(e % 50 == 1, "").when(e % 50 == 2, "x").when(e % 50 == 3, "NaN").when(e % 50 == 4, "-inf").when(e % 50 == 5, "999.5").otherwise((F.col("x").cast("decimal(10,2)")).cast("string"))
+    path = new_path(spark, "series")
+    samples(spark, sf_dir).select(F.when(e % 70 == 6, "then").otherwise(e.cast("string")).alias("Timestamp "), odd.alias(" BPM"), F.lit("more").alias("note")).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+_CSV = f"""{SAMPLES}, f AS (SELECT CASE WHEN event_id % 70 = 6 THEN 'then' ELSE event_id::VARCHAR END AS timestamp, CASE event_id % 50 WHEN 1 THEN NULL WHEN 2 THEN 'x' WHEN 3 THEN 'NaN' WHEN 4 THEN '-inf' WHEN 5 THEN '999.5' ELSE x::DECIMAL(10, 2)::VARCHAR END AS bpm FROM samples),
+n AS (SELECT *, TRY_CAST(timestamp AS DOUBLE) AS ts, TRY_CAST(bpm AS DOUBLE) AS v FROM f)"""
+
+
+@query(f"WITH {_CSV} SELECT ts, v AS bpm, CASE WHEN v < 20 OR v > 250 THEN 'out of range' END AS warning FROM n WHERE ts IS NOT NULL AND isfinite(v)")
+def a1_loaded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a reference file; values out of range stay with a warning."""
+    return ground_truth.load(spark, _csv(spark, sf_dir))[0]
+
+
+@query(f"WITH {_CSV} SELECT timestamp, bpm, CASE WHEN ts IS NULL THEN 'bad timestamp' WHEN v IS NULL THEN 'bad bpm' ELSE 'not finite' END AS reason FROM n WHERE NOT coalesce(ts IS NOT NULL AND isfinite(v), false)")
+def a1_rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ground_truth.load(spark, _csv(spark, sf_dir))[1]
+
+
+@query(f"WITH {_CSV} SELECT count(*) AS n, 0 AS duplicates, {r4('max(ts) - min(ts)')} AS span, {r4('(max(ts) - min(ts)) / (count(*) - 1)')} AS mean_step, {r4('min(v)')} AS low, {r4('max(v)')} AS high, {r4('avg(v)')} AS mean, min(v) >= 40 AND max(v) <= 200 AS plausible FROM n WHERE ts IS NOT NULL AND isfinite(v)")
+def a5_file_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks of the file's rows."""
+    c = ground_truth.checks(ground_truth.load(spark, _csv(spark, sf_dir))[0])
+    return c.select("n", "duplicates", *(rounded(F.col(k)).alias(k) for k in ("span", "mean_step", "low", "high", "mean")), "plausible")
+
+
 _CHANCE = "(('0x' || md5({})[1:8])::UBIGINT + 0.5) / 4294967296"
 _COUNTED = f"{DOMAINS}, counted AS (SELECT domain, count(*) AS m FROM domains GROUP BY domain), weights AS (SELECT domain, m, sum(m) OVER () / (count(*) OVER () * m)::DOUBLE AS weight, sqrt(sum(m) OVER () / m) AS root FROM counted)"
 

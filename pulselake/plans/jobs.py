@@ -11,7 +11,7 @@ from ..functions.numeric import clip, ratio, rounded
 from ..operators import alignment, folds, fusion, metrics
 from ..sources import ground_truth
 from .bindings import SIGNAL, pairs, signal
-from .registry import query, r4
+from .registry import SQL, query, r4
 from .stream_queries import greedy_sql
 
 
@@ -116,7 +116,7 @@ def g5_probabilistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _posterior(signal(spark, sf_dir))
 
 
-@query()
+@query(SQL["g5_probabilistic"])
 def g5_probabilistic_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The name that g5_probabilistic had while it stopped after five estimates."""
     return _posterior(signal(spark, sf_dir))

@@ -140,11 +140,13 @@ def i1_cell_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MOVES = PIXELS + """, moves AS (SELECT a.frame, a.y // 2 AS cy, a.x // 2 AS cx, avg(abs(a.v - b.v)) AS v FROM pixels a JOIN pixels b ON b.frame = a.frame - 1 AND a.y = b.y AND a.x = b.x GROUP BY ALL)"""
 
 
-@query(f"""WITH {_MOVES} SELECT frame, cy, cx, {r4('v')} AS motion, {r4('exp(-v / 2)')} AS confidence, CASE WHEN v < 0.5 THEN 'low' WHEN v < 1.0 THEN 'moderate' WHEN v < 2.0 THEN 'high' ELSE 'extreme' END AS level,
-  {r4('exp(-5 * stddev_pop(v) OVER (PARTITION BY cy, cx ORDER BY frame ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))')} AS stability FROM moves""")
+@query(f"""WITH {_MOVES.replace("a.frame, a.y // 2", "a.frame // 50 AS stream, a.frame, a.y // 2").replace("b.frame = a.frame - 1", "b.frame = a.frame - 1 AND b.frame // 50 = a.frame // 50")} SELECT stream, frame, cy, cx, {r4('v')} AS motion, {r4('exp(-v / 2)')} AS confidence, CASE WHEN v < 0.5 THEN 'low' WHEN v < 1.0 THEN 'moderate' WHEN v < 2.0 THEN 'high' ELSE 'extreme' END AS level,
+  {r4('exp(-5 * stddev_pop(v) OVER (PARTITION BY stream, cy, cx ORDER BY frame ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))')} AS stability FROM moves""")
 def i2_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = G.stability(G.motion(pixels(spark, sf_dir), 2))
-    return m.select("frame", F.col("cy").cast("bigint").alias("cy"), F.col("cx").cast("bigint").alias("cx"), rounded(F.col("v")).alias("motion"), rounded(F.col("confidence")).alias("confidence"), "level", rounded(F.col("stability")).alias("stability"))
+    """Fifty frames are a stream."""
+    p = pixels(spark, sf_dir).withColumn("stream", F.floor(F.col("frame") / 50))
+    m = G.stability(G.motion(p, 2, "stream"), stream="stream")
+    return m.select("stream", "frame", F.col("cy").cast("bigint").alias("cy"), F.col("cx").cast("bigint").alias("cx"), rounded(F.col("v")).alias("motion"), rounded(F.col("confidence")).alias("confidence"), "level", rounded(F.col("stability")).alias("stability"))
 
 
 @query(f"""WITH {_MOVES}, cells AS (SELECT frame, y // 2 AS cy, x // 2 AS cx, avg(v) AS v FROM pixels GROUP BY ALL), q AS (SELECT c.frame, greatest(0, least(1, (c.v * 20 + 20) / 40)) AS q, exp(-m.v / 2) AS k FROM cells c JOIN moves m USING (frame, cy, cx))

@@ -12,7 +12,7 @@ from ..functions.numeric import dot, rounded, std_of, sum_of
 from ..operators import alignment as A
 from ..operators import projections as P
 from .bindings import ARRAYS, DOMAINS, RGB, SAMPLES, SIGNAL, arrays, domains, rgb, samples, signal
-from .registry import query, r4
+from .registry import SQL, query, r4
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -278,7 +278,7 @@ def _whole(f, first: int = 1):
         return f(spark, sf_dir, first, 32)
 
     whole.__name__ = f"{f.__name__}_whole"
-    return query()(whole)
+    return query(SQL[f.__name__])(whole)
 
 
 for _f in (d1_spectrum, d2_top_peaks, d5_subharmonic, d8_phase_coherence):

@@ -81,17 +81,24 @@ def g4_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fold("bayes")(spark, sf_dir)
 
 
-@query()
-def g6_uncertain_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _seq(signal(spark, sf_dir)).withColumn("sqi", F.pmod("event_id", F.lit(101)).cast("double")).withColumn("agreement", F.pmod("event_id", F.lit(11)) / 10.0)
-    return folds.run(s, "uncertain_rate")
-
-
 def _from_zero(first: str, row: str, step: str) -> str:
     """SQL of a fold: k begins at seq 0 with `first`, `row` is each next row's expressions and `step` the next state from them."""
     return f"k AS (SELECT DISTINCT session, 0::BIGINT AS seq, {first} FROM s UNION ALL SELECT session, seq, {step} FROM (SELECT s.session, s.seq, {row} FROM k JOIN s ON s.session = k.session AND s.seq = k.seq + 1) n)"
 
 
+@query(f"""WITH RECURSIVE {SIGNAL}, s AS (SELECT session, seq, x - 2 AS z, (event_id % 101)::DOUBLE AS sqi, (event_id % 11) / 10.0 AS agree, (4 + 21 * (1 - event_id % 101 / 100.0)) * greatest(1.0, 1 / (event_id % 11 / 10.0 + 0.1)) AS noise FROM signal),
+{_from_zero("75.0::DOUBLE AS x, 0.0::DOUBLE AS v, 100.0::DOUBLE AS a, 0.0::DOUBLE AS b, 1.0::DOUBLE AS c, 0 AS n, 0.0::DOUBLE AS noise, 0.0::DOUBLE AS sqi, 0.0::DOUBLE AS agree",
+ "s.z, s.noise AS r, s.sqi AS q, s.agree AS g, k.x, k.v, k.a, k.b, k.c, k.n, CASE WHEN k.n = 0 THEN s.z ELSE k.x END + k.v AS px, k.a + 2 * k.b + k.c + 1.0 AS a1, k.b + k.c AS b1, k.c + 0.01 AS c1",
+ """CASE WHEN z > 0 THEN least(200.0, greatest(42.0, px + a1 / (a1 + r) * (z - px))) ELSE x END, CASE WHEN z > 0 THEN v + b1 / (a1 + r) * (z - px) ELSE v END, CASE WHEN z > 0 THEN (1 - a1 / (a1 + r)) * a1 ELSE a END, CASE WHEN z > 0 THEN (1 - a1 / (a1 + r)) * b1 ELSE b END,
+ CASE WHEN z > 0 THEN c1 - b1 / (a1 + r) * b1 ELSE c END, CASE WHEN z > 0 THEN n + 1 ELSE n END, r, q, g""")},
+o AS (SELECT *, sqrt(noise) AS al, sqrt(greatest(a, 0.01)) AS ep, greatest(42.0, x - 1.96 * sqrt(greatest(a, 0.01))) AS lo, least(200.0, x + 1.96 * sqrt(greatest(a, 0.01))) AS hi FROM k WHERE seq > 0)
+SELECT session, seq, {r4("x")} AS y, {r4("al")} AS aleatoric, {r4("ep")} AS epistemic, {r4("lo")} AS low, {r4("hi")} AS high, {r4("sqi / 100 * agree ** 2 * exp(-(hi - lo) / 15) * least(1.0, n / 15.0)")} AS confidence FROM o""")
+def g6_uncertain_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of two and less count as frames without a measurement."""
+    s = _seq(signal(spark, sf_dir)).withColumns({"x": F.col("x") - 2, "sqi": F.pmod("event_id", F.lit(101)).cast("double"), "agreement": F.pmod("event_id", F.lit(11)) / 10.0})
+    return folds.run(s, "uncertain_rate").select("session", "seq", *(rounded(F.col(c)).alias(c) for c in ("y", "aleatoric", "epistemic", "low", "high", "confidence")))
+
+
 _SQI = "(event_id % 101)::DOUBLE"
 
 

@@ -1,18 +1,30 @@
-"""The folder that driver and executors share, for tables that cut a lineage."""
+"""The folder that driver and executors share: for tables that cut a lineage, and for files that a job hands on."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in spark.checkpoint.dir; where that is unset and the master is local, in a temporary folder."""
-    context = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset and the master is local, a temporary folder."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        root = spark.conf.get("spark.checkpoint.dir", None)
         if not root and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="pulselake-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in it that nothing is at yet."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in that folder."""
+    folder(df.sparkSession)
     return df.checkpoint()
