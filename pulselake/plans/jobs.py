@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from ..operators import alignment, folds, fusion, metrics
 from ..sources import ground_truth
 from .bindings import SIGNAL, pairs, signal
 from .registry import SQL, query, r4
+from .metric_queries import _ERRORS, _F1_SUMS, _draws
 from .stream_queries import greedy_sql
 
 
@@ -21,6 +23,45 @@ def evaluate(pred: DataFrame, ref: DataFrame, tolerance: float, compat: bool = F
     return alignment.summary(pred, m).join(metrics.errors(m, ["session"], least=least), "session", "left")
 
 
+def benchmark(pred: DataFrame, ref: DataFrame, tolerance: float, rounds: int = 1000, least: int = 10) -> DataFrame:
+    """M3, M4: (breakdown, name, n, each metric of F1 with its interval) of pred aligned one to one to ref (session, id, t, x): a row for
+    each session and one for all of them; groups under `least` pairs have none."""
+    m = alignment.greedy(pred, ref, tolerance).select(F.col("session").cast("string").alias("session"), F.col("pred_id").alias("row"), F.col("pred_x").alias("measured"), F.col("ref_x").alias("reference"))
+    groups = F.array(F.struct(F.lit("session").alias("breakdown"), F.col("session").alias("name")), F.struct(F.lit("overall").alias("breakdown"), F.lit("all").alias("name")))
+    rows = m.withColumn("g", F.explode(groups)).select("g.*", "row", "measured", "reference")
+    return metrics.error_intervals(rows, ["breakdown", "name"], rounds, least=least)
+
+
+def run_benchmark(pred: DataFrame, ref: DataFrame, path: str, tolerance: float, name: str, **more) -> str:
+    """M3, M4: benchmark() from two series to what is kept of it under path: `results` (JSON, nulls left out), `alignment` (JSON, a row a
+    session), `config` and `report` (Markdown, a line for each group). Returns the report's head and its overall line."""
+    spark = pred.sparkSession
+    found = benchmark(pred, ref, tolerance, **more)
+    ground_truth.save_json(found, f"{path}/results")
+    ground_truth.save_json(alignment.summary(pred, alignment.greedy(pred, ref, tolerance)), f"{path}/alignment")
+    saved_config({"name": name, "tolerance": tolerance, **more}, f"{path}/config", spark)
+    columns = ["breakdown", "name", "n", "mae", "mae_low", "mae_high", "rmse", "bias", "pearson"]
+    kept = ground_truth.load_json(spark, f"{path}/results", found.schema)
+    lines = kept.orderBy("breakdown", F.col("name")).select(F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string") if c in ("breakdown", "name", "n") else F.format_string("%.3f", c), F.lit("")) for c in columns)), F.lit(" |")).alias("line"))
+    lines.coalesce(1).write.mode("overwrite").text(f"{path}/report")
+    total = kept.where("breakdown = 'overall'").first()
+    head = [f"# {name}", "", f"Pairs: {total['n']}, mean absolute error {total['mae']:.3f} ({total['mae_low']:.3f} to {total['mae_high']:.3f})" if total else "Too few pairs for any metric", "", "| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
+    return "\n".join([*head, *(r["line"] for r in lines.where(F.col("line").startswith("| overall")).collect())])  # one line
+
+
+def configuration() -> dict[str, dict[str, str]]:
+    """M5: the defaults of all operators, by module and function, as text (what saved_config() keeps beside a run)."""
+    from ..operators import estimators, experiments, filters, frames, gates, grids, splits
+
+    out = {}
+    for module in (alignment, estimators, experiments, filters, folds, frames, fusion, gates, grids, metrics, splits):
+        for name, f in inspect.getmembers(module, inspect.isfunction):
+            defaults = {p.name: repr(p.default) for p in inspect.signature(f).parameters.values() if p.default is not inspect.Parameter.empty}
+            if f.__module__ == module.__name__ and not name.startswith("_") and defaults:
+                out[f"{module.__name__.rpartition('.')[2]}.{name}"] = defaults
+    return out
+
+
 def reliable(fused: DataFrame) -> DataFrame:
     """H9: fused (series, frame, value, sigma, confidence, direct) with the temporal state, the verdict and the final estimate.
 
@@ -110,6 +151,18 @@ def m1_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*(rounded(F.col(c)).alias(c) if t == "double" else c for c, t in out.dtypes))
 
 
+_M3_ROWS = greedy_sql("<= 86400") + ", rows AS (SELECT 'session/' || session AS session, pred_id AS row, pred_x AS m, ref_x AS r, pred_x - ref_x AS d FROM matched UNION ALL SELECT 'overall/all', pred_id, pred_x, ref_x, pred_x - ref_x FROM matched)"
+
+
+@query(f"""WITH {_draws(_M3_ROWS)}, {_F1_SUMS}
+SELECT split_part(session, '/', 1) AS breakdown, split_part(session, '/', 2) AS name, * EXCLUDE session FROM (SELECT session, {_ERRORS} FROM (SELECT session, m AS measured, r AS reference FROM rows) x GROUP BY session HAVING count(*) >= 10) e JOIN ends USING (session)""")
+def m3_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From two series to metrics with intervals, by session and overall; view events stand for predictions, click events for references."""
+    s = signal(spark, sf_dir).select("session", F.col("event_id").alias("id"), "t", "x", "roi")
+    out = benchmark(s.where("roi = 'view'").drop("roi"), s.where("roi = 'click'").drop("roi"), alignment.days(1))
+    return metrics.rounded_all(out, [c for c, t in out.dtypes if t == "double"])
+
+
 @query(f"""WITH {SIGNAL}, e AS (SELECT session AS frame, x + 30 AS bpm, (event_id % 101)::DOUBLE AS sqi FROM signal), g AS (SELECT frame, sum(1 / s2) AS p, sum(bpm / s2) AS px FROM (SELECT frame, bpm, (10 * (1 - sqi / 100) + 0.8) ** 2 AS s2 FROM e WHERE bpm > 0) GROUP BY frame),
 l AS (SELECT frame, 40 + 0.5 * i AS v, -0.5 * p * ((40 + 0.5 * i - px / p) ** 2 - (least(200, greatest(40, px / p)) - px / p) ** 2) AS z FROM g, range(321) r(i)) SELECT frame, {r4('sum(exp(z) * v) / sum(exp(z))')} AS bpm FROM l GROUP BY frame""")
 def g5_probabilistic(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,10 +32,13 @@ _F1_ROWS = f"{SIGNAL}, rows AS (SELECT session, seq AS row, x AS m, x * 0.5 + ev
 _F1_ENDS = ", ".join(f"{r4(f'quantile_cont({name}, {q})')} AS {name}_{end}" for name in _NAMES for end, q in (("low", 0.025), ("high", 0.975)))
 
 
-@query(f"""WITH {_draws(_F1_ROWS)}, sums AS (SELECT session, b, sum(w)::DOUBLE AS n, sum(w * d) AS d, sum(w * d * d) AS dd, sum(w * abs(d)) AS ad, sum(w * m) AS m, sum(w * r) AS r, sum(w * m * m) AS mm, sum(w * r * r) AS rr, sum(w * m * r) AS mr FROM drawn GROUP BY ALL),
+_F1_SUMS = f"""sums AS (SELECT session, b, sum(w)::DOUBLE AS n, sum(w * d) AS d, sum(w * d * d) AS dd, sum(w * abs(d)) AS ad, sum(w * m) AS m, sum(w * r) AS r, sum(w * m * m) AS mm, sum(w * r * r) AS rr, sum(w * m * r) AS mr FROM drawn GROUP BY ALL),
 found AS (SELECT session, ad / n AS mae, sqrt(dd / n) AS rmse, d / n AS bias, CASE WHEN mm / n - (m / n) ** 2 > 1e-9 * mm / n AND rr / n - (r / n) ** 2 > 1e-9 * rr / n THEN (mr / n - m * r / n ** 2) / sqrt((mm / n - (m / n) ** 2) * (rr / n - (r / n) ** 2)) END AS pearson,
   d / n - 1.96 * sqrt(greatest(dd - d * d / n, 0) / nullif(n - 1, 0)) AS loa_low, d / n + 1.96 * sqrt(greatest(dd - d * d / n, 0) / nullif(n - 1, 0)) AS loa_high FROM sums WHERE n > 0),
-ends AS (SELECT session, {_F1_ENDS} FROM found GROUP BY session)
+ends AS (SELECT session, {_F1_ENDS} FROM found GROUP BY session)"""
+
+
+@query(f"""WITH {_draws(_F1_ROWS)}, {_F1_SUMS}
 SELECT * FROM (SELECT session, {_ERRORS} FROM (SELECT session, m AS measured, r AS reference FROM rows) x GROUP BY session HAVING count(*) >= 10) e JOIN ends USING (session)""")
 def f1_metric_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of all sessions with intervals from 1,000 resamples."""

@@ -148,3 +148,19 @@ def test_a_candidate_that_is_not_seen_ends():
     assert len(folds.candidate_life(state, row(13))[0]["scores"]) == 4 and len(folds.candidate_life(state, row(14))[0]["scores"]) == 1
     state, _ = folds.candidate_life({}, row(1))
     assert len(folds.candidate_life(state, row(4))[0]["scores"]) == 2  # frames before the fifth end nothing
+
+
+def test_a_benchmark_from_series_to_report(spark, tmp_path):
+    from pulselake.plans import jobs
+
+    pred = spark.createDataFrame([(s, i, float(i), 70.0 + i % 5) for s in (1, 2) for i in range(12)] + [(3, 0, 0.0, 70.0)], "session int, id int, t double, x double")
+    ref = spark.createDataFrame([(s, i, i + 0.1, 71.0) for s in (1, 2, 3) for i in range(12 if s < 3 else 1)], "session int, id int, t double, x double")
+    text = jobs.run_benchmark(pred, ref, str(tmp_path / "b"), 0.5, "trial", rounds=50)
+    assert text.startswith("# trial") and "Pairs: 25" in text and text.splitlines()[-1].startswith("| overall | all | 25 | ")
+    got = {(r.breakdown, r["name"]): r for r in spark.read.json(str(tmp_path / "b" / "results")).collect()}
+    assert set(got) == {("overall", "all"), ("session", "1"), ("session", "2")}  # the third has one pair
+    assert all(r.mae_low <= r.mae <= r.mae_high for r in got.values())
+    assert spark.read.json(str(tmp_path / "b" / "alignment")).count() == 3 and '"tolerance": 0.5' in spark.read.text(str(tmp_path / "b" / "config")).first()[0]
+    assert jobs.configuration()["alignment.greedy"] == {"order": "'t'", "compat": "False"} and len(jobs.configuration()) > 40
+    few = jobs.run_benchmark(pred.where("session = 3"), ref, str(tmp_path / "c"), 0.5, "few")
+    assert "Too few pairs" in few
