@@ -109,26 +109,26 @@ def compare_with_edited(docs: DataFrame, scale: int = SCALE, width: int = WIDTH,
     """Each row of docs (doc_id, text, ...) beside an edited text: its second half replaced by the next document's beginning.
 
     The next document is the one with the next smaller doc_id, after the smallest the largest; rows of one doc_id are
-    ordered by text, a null doc_id is the smallest, a null text is the empty text. Documents are dealt out by ranges of
-    doc_id (quantiles); the one document that a range needs of the next range goes to both.
+    ordered by a hash of their text, a null doc_id is the smallest, a null text is the empty text. Documents are dealt out by
+    ranges (quantiles) of doc_id and hash, so one doc_id with very many texts is split too; the one document that a range
+    needs of the next range goes to both.
     Returns doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next.
     """
     spark = docs.sparkSession
     n = buckets or partitions(spark)
-    lowest = -(2**63)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("at", F.coalesce("doc_id", F.lit(lowest)).cast("double"))
+    order = F.coalesce("doc_id", F.lit(-(2**63)))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = rows.withColumn("at", order.cast("double") + 0.5 - F.col("h") / 2.0**64)  # falls with the order of documents
     cuts = sorted(set(rows.approxQuantile("at", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
     bounds = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="at", outputCol="range") if cuts else None
     rows = bounds.transform(rows) if bounds else rows.withColumn("range", F.lit(0.0))
-    top = {r["range"]: r["top"] for r in rows.groupBy("range").agg(F.max(F.coalesce("doc_id", F.lit(lowest))).alias("top")).collect()}  # a row for each range
-    order = sorted(top, reverse=True)
-    ghosts = [(top[b], a) for a, b in zip(order, order[1:] + order[:1], strict=True)]
-    if not ghosts:
-        ghosts = [(lowest, 0.0)]
-    more = F.broadcast(spark.createDataFrame(ghosts, "top long, to double"))  # a row for each range
-    extra = rows.join(more, F.coalesce("doc_id", F.lit(lowest)) == F.col("top")).select("doc_id", "text", F.col("to").alias("range"), F.lit(True).alias("ghost"))
-    dealt = rows.select("doc_id", "text", "range", F.lit(False).alias("ghost")).unionByName(extra)
-    dealt = dealt.repartitionByRange(n, "range").sortWithinPartitions("range", "ghost", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
+    top = {r["range"]: (r["top"].doc_id, ~r["top"].h) for r in rows.groupBy("range").agg(F.max(F.struct(order.alias("doc_id"), F.bitwise_not("h").alias("h"))).alias("top")).collect()}  # a row for each range
+    ranges = sorted(top, reverse=True)
+    ghosts = [(*top[b], b, a) for a, b in zip(ranges, ranges[1:] + ranges[:1], strict=True)] or [(0, 0, 0.0, 0.0)]
+    more = F.broadcast(spark.createDataFrame(ghosts, "top long, top_h long, range double, to double"))  # a row for each range
+    extra = rows.join(more, "range").where((order == F.col("top")) & (F.col("h") == F.col("top_h"))).groupBy("doc_id", "to").agg(F.min("text").alias("text"))  # rows that repeat give one
+    dealt = rows.select("doc_id", "text", "h", "range", F.lit(False).alias("ghost")).unionByName(extra.select("doc_id", "text", F.xxhash64("text").alias("h"), F.col("to").alias("range"), F.lit(True).alias("ghost")))
+    dealt = dealt.repartitionById(len(cuts) + 1, F.col("range").cast("int")).sortWithinPartitions("range", "ghost", F.col("doc_id").desc_nulls_last(), "h", "text").drop("h")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None

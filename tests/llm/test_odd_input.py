@@ -126,3 +126,18 @@ def test_stages_of_the_pipeline(spark, kind):
         assert len(left) == (len(rows) if kind == "odd" else 0), name  # nothing here is toxic, repeated or leaked
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.count() == docs.count() and {"doc_id", "n_tokens"} <= set(last.columns)
+
+
+def test_fingerprints_split_one_document_id(spark):
+    """Half of the rows have one doc_id: its texts are spread over tasks, and what comes out doesn't depend on the ranges."""
+    from pyspark.sql import functions as G
+
+    from pulselake.llm import fingerprints
+
+    rows = [(7 if i % 2 else i, words(random.Random(i), 3 + i % 20)) for i in range(400)] + [(None, "a b"), (None, None), (7, words(random.Random(1), 4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [sorted(map(tuple, fingerprints.compare_with_edited(docs, buckets=n).collect()), key=str) for n in (1, 4, 16)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 403
+    plan = fingerprints.compare_with_edited(docs, buckets=4)
+    sizes = [r["count"] for r in plan.groupBy(G.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 200  # doc_id 7 alone has 201 rows
