@@ -44,6 +44,21 @@ def bland_altman(df: DataFrame, keys: list[str], sample: bool = True, least: int
                                  at_least(least, F.avg(d) + 1.96 * std).alias("loa_high"), at_least(least, corr(d, mid)).alias("proportional"))
 
 
+def contributions(found: DataFrame, name: str, full: str, most: float = 1.0) -> DataFrame:
+    """of errors() by configuration `name` the changes against the `full` one: of the mean error (critical beyond `most`), of the
+    root mean square, and the loss of correlation."""
+    base = found.where(F.col(name) == full).select(F.col("mae").alias("__a"), F.col("rmse").alias("__b"), F.col("pearson").alias("__c"))
+    x = found.where(F.col(name) != full).crossJoin(F.broadcast(base))  # one row on the right
+    x = x.withColumns({"change": F.col("mae") - F.col("__a"), "rmse_change": F.col("rmse") - F.col("__b"), "pearson_loss": F.col("__c") - F.col("pearson")})
+    return x.withColumn("critical", F.col("change") > most).drop("__a", "__b", "__c")
+
+
+def compared(a: DataFrame, b: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """(key, each of names as `<name>_a`, `<name>_b`, `<name>_change`) of two systems' metrics by key; a key that one lacks has nulls."""
+    sides = [d.select(key, *(F.col(n).alias(f"{n}_{s}") for n in names)) for d, s in ((a, "a"), (b, "b"))]
+    return sides[0].join(sides[1], key, "full").withColumns({f"{n}_change": F.col(f"{n}_b") - F.col(f"{n}_a") for n in names})
+
+
 def ranked(metrics: DataFrame, name: str) -> DataFrame:
     """ranks of methods by each metric, the best first; of equal ones the name decides. One row for each method."""
     w = lambda c: Window.orderBy(c, name)  # noqa: E731  over the few rows of a summary

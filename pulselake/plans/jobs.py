@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, ratio, rounded
-from ..operators import alignment, folds, fusion, metrics
+from ..operators import alignment, folds, fusion, gates, metrics
 from ..sources import ground_truth
-from .bindings import SIGNAL, pairs, signal
+from .bindings import PAIRS, SIGNAL, pairs, signal
 from .registry import SQL, query, r4
 from .metric_queries import _ERRORS, _F1_SUMS, _draws
 from .stream_queries import greedy_sql
+from .temporal_queries import G16, G17
 
 
 def evaluate(pred: DataFrame, ref: DataFrame, tolerance: float, compat: bool = False, least: int = 10) -> DataFrame:
@@ -51,7 +52,7 @@ def run_benchmark(pred: DataFrame, ref: DataFrame, path: str, tolerance: float,
 
 def configuration() -> dict[str, dict[str, str]]:
     """M5: the defaults of all operators, by module and function, as text (what saved_config() keeps beside a run)."""
-    from ..operators import estimators, experiments, filters, frames, gates, grids, splits
+    from ..operators import estimators, experiments, filters, frames, grids, splits
 
     out = {}
     for module in (alignment, estimators, experiments, filters, folds, frames, fusion, gates, grids, metrics, splits):
@@ -63,21 +64,18 @@ def configuration() -> dict[str, dict[str, str]]:
 
 
 def reliable(fused: DataFrame) -> DataFrame:
-    """H9: fused (series, frame, value, sigma, confidence, direct) with the temporal state, the verdict and the final estimate.
+    """H9: fused (series, frame, value, sigma, confidence, direct, cv) with the temporal state, the verdict, the failed checks and the final estimate.
 
     The final value is 0.7 of the fused and 0.3 of the direct estimate of the same frame. Its confidence is the mean of the fused
     one, of the temporal state's (G16; times 0.8 in warm-up, 0.6 while degrading or uncertain, 0.2 else) and of the plausibility's
-    (95, 60 or 20; range and jumps are errors, jumps against the frame before, T15).
+    (G17: 95, 60 or 20; jumps are against the frame before, T15; what confidence lacks counts as the spectrum's instability, cv is the estimates' spread).
     """
-    state = folds.run(fused.select(F.col("series").alias("session"), F.col("frame").alias("seq"), F.col("frame").cast("double").alias("t"), F.col("confidence").alias("x")), "reliability").select(F.col("session").alias("series"), F.col("seq").alias("frame"), "state")
-    before = F.lag("value").over(Window.partitionBy("series").orderBy("frame"))
-    apart = F.abs(F.col("value") - before)
-    wrong = (F.col("value") < 40) | (F.col("value") > 200) | F.coalesce((apart > 20) | (apart > 0.25 * before), F.lit(False))
-    verdict = F.when(wrong, "INVALID").when(F.col("sigma") > 10, "UNCERTAIN").otherwise("PLAUSIBLE")
-    out = fused.withColumn("verdict", verdict).join(state, ["series", "frame"], "left")
+    rows = fused.withColumn("instability", 1 - F.col("confidence") / 100).withColumn("harmonic_ratio", F.lit(0.0)).withColumnsRenamed({"series": "session", "frame": "seq"})
+    state = folds.run(rows.select("session", "seq", F.col("seq").cast("double").alias("t"), F.col("confidence").alias("x")), "reliability").select("session", "seq", "state")
+    judged = gates.plausible(rows.withColumn("x", F.col("value"))).join(state, ["session", "seq"], "left").withColumnsRenamed({"session": "series", "seq": "frame"})
     share = F.when(F.col("state") == "STABLE", 1.0).when(F.col("state") == "WARMUP", 0.8).when(F.col("state").isin("DEGRADING", "UNCERTAIN"), 0.6).otherwise(0.2)
     sure = F.when(F.col("verdict") == "PLAUSIBLE", 95.0).when(F.col("verdict") == "UNCERTAIN", 60.0).otherwise(20.0)
-    return out.withColumn("final", 0.7 * F.col("value") + 0.3 * F.col("direct")).withColumn("final_confidence", (F.col("confidence") + share * F.col("confidence") + sure) / 3)
+    return judged.withColumn("final", 0.7 * F.col("value") + 0.3 * F.col("direct")).withColumn("final_confidence", (F.col("confidence") + share * F.col("confidence") + sure) / 3)
 
 
 def probabilistic(df: DataFrame, low: float = 40.0, step: float = 0.5, n: int = 321) -> DataFrame:
@@ -180,10 +178,17 @@ def _posterior(samples: DataFrame) -> DataFrame:
     return probabilistic(s).select("frame", rounded(F.col("bpm")).alias("bpm"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAIRS}, est AS (SELECT id AS frame, id % 20 AS series, measured AS x, confidence, 1 / (sigma * sigma + 1e-6) AS p FROM pairs),
+e AS (SELECT series AS session, frame AS seq, sum(x * p) / sum(p) AS value, max(confidence) AS confidence, arg_max(x, (confidence, x)) AS direct, stddev_pop(x) / avg(x) AS cv FROM est GROUP BY ALL),
+i AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY seq) AS seq, value AS x, 1 - confidence / 100 AS instability, 0.0 AS harmonic, cv, seq AS frame, confidence, direct FROM e), {G17.replace("TIMEOUT", "300")},
+c AS (SELECT session, seq, confidence AS c FROM i), {G16.replace(" s AS (", " s2 AS (").replace("s AS (SELECT *, CASE WHEN count(*) OVER w >= 3", "s2 AS (SELECT *, CASE WHEN count(*) OVER w >= 3").replace("FROM s UNION", "FROM s2 UNION").replace("JOIN s ON s.session", "JOIN s2 s ON s.session")},
+o AS (SELECT i.session AS series, i.frame, x AS value, confidence, direct, state, CASE WHEN invalid THEN 'INVALID' WHEN failures <> '' THEN 'UNCERTAIN' ELSE 'PLAUSIBLE' END AS verdict FROM i JOIN f USING (session, seq) JOIN k USING (session, seq))
+SELECT series, frame, {r4('value')} AS value, state, verdict, {r4('0.7 * value + 0.3 * direct')} AS final,
+  {r4("(confidence + confidence * CASE WHEN state = 'STABLE' THEN 1.0 WHEN state = 'WARMUP' THEN 0.8 WHEN state IN ('DEGRADING', 'UNCERTAIN') THEN 0.6 ELSE 0.2 END + CASE verdict WHEN 'PLAUSIBLE' THEN 95 WHEN 'UNCERTAIN' THEN 60 ELSE 20 END) / 3")} AS final_confidence FROM o""")
 def h9_reliable_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts in order stand for frames of a series; the most confident estimate of a part is the direct one."""
     p = pairs(spark, sf_dir).select(F.col("id").alias("frame"), F.col("measured").alias("x"), "sigma", "confidence")
-    direct = p.groupBy("frame").agg(F.max(F.struct("confidence", "x")).alias("top")).select("frame", F.col("top.confidence").alias("confidence"), F.col("top.x").alias("direct"))
-    f = fusion.fuse(p, "variance").select("frame", "value", "sigma").join(direct, "frame")
-    return reliable(f.withColumn("series", F.col("frame") % 20))
+    more = p.groupBy("frame").agg(F.max(F.struct("confidence", "x")).alias("top"), (F.stddev_pop("x") / F.avg("x")).alias("cv")).select("frame", F.col("top.confidence").alias("confidence"), F.col("top.x").alias("direct"), "cv")
+    f = fusion.fuse(p, "variance").select("frame", "value", "sigma").join(more, "frame")
+    out = reliable(f.withColumn("series", F.col("frame") % 20))
+    return out.select("series", "frame", rounded(F.col("value")).alias("value"), "state", "verdict", rounded(F.col("final")).alias("final"), rounded(F.col("final_confidence")).alias("final_confidence"))

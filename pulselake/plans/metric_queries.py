@@ -103,15 +103,11 @@ def f6_rank_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.ranked(M.errors(pairs(spark, sf_dir), ["method"]), "method").select("method", *(F.col(c).cast("bigint").alias(c) for c in ("rank_mae", "rank_rmse", "rank_pearson")))
 
 
-@query(f"""
-WITH {PAIRS}, m AS (SELECT method, avg(abs(measured - reference)) AS mae FROM pairs GROUP BY method), full_system AS (SELECT mae FROM m WHERE method = 'A')
-SELECT method, {r4('m.mae - f.mae')} AS change, m.mae - f.mae > 1.0 AS critical FROM m, full_system f WHERE method <> 'A'""")
+@query(f"""WITH {PAIRS}, m AS (SELECT method, avg(abs(measured - reference)) AS mae, sqrt(avg((measured - reference) ** 2)) AS rmse, corr(measured, reference) AS r FROM pairs GROUP BY method), f AS (SELECT * FROM m WHERE method = 'A')
+SELECT m.method, {r4('m.mae - f.mae')} AS change, {r4('m.rmse - f.rmse')} AS rmse_change, {r4('f.r - m.r')} AS pearson_loss, m.mae - f.mae > 1.0 AS critical FROM m, f WHERE m.method <> 'A'""")
 def f7_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each method against the full system, which is method A here."""
-    m = M.errors(pairs(spark, sf_dir), ["method"]).select("method", "mae")
-    base = m.where("method = 'A'").select(F.col("mae").alias("base"))
-    x = m.where("method <> 'A'").crossJoin(F.broadcast(base))  # one row on the right
-    return x.select("method", rounded(F.col("mae") - F.col("base")).alias("change"), (F.col("mae") - F.col("base") > 1.0).alias("critical"))
+    """What each method loses against the full system, which is method A here."""
+    return M.contributions(M.errors(pairs(spark, sf_dir), ["method"]), "method", "A").select("method", *(rounded(F.col(c)).alias(c) for c in ("change", "rmse_change", "pearson_loss")), "critical")
 
 
 @query(f"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import conditions as C
 from ..functions.numeric import rounded
+from ..operators import metrics as M
 from .bindings import WINDOWS, windows
 from .registry import query, r4
 
@@ -85,12 +86,31 @@ def f16_window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {LABELLED} SELECT session, count(*) AS windows, count(*) FILTER (is_valid) AS valid, {r4('count(*) FILTER (is_valid) / greatest(1, count(*))::DOUBLE')} AS valid_rate,
   {r4('avg(abs(e)) FILTER (is_valid)')} AS mae, {r4('sqrt(avg(e * e) FILTER (is_valid))')} AS rmse, {r4('avg(e) FILTER (is_valid)')} AS bias, {r4('stddev_pop(e) FILTER (is_valid)')} AS sigma,
-  {r4('avg(signal_quality)')} AS mean_sqi FROM labelled GROUP BY session""")
+  {r4('avg(signal_quality)')} AS mean_sqi, {r4('avg(hr_confidence)')} AS mean_confidence, string_agg(DISTINCT level, ',' ORDER BY level) AS levels, count(*) FILTER (light <> 'lighting_normal') AS lighting, count(*) FILTER (moves <> 'motion_none') AS motion, count(*) FILTER (roi <> 'roi_stable') AS roi FROM labelled GROUP BY session""")
 def f17_session_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     on = F.when(F.col("is_valid"), F.col("e"))
+    having = lambda *kinds: F.count_if(F.exists("conditions", lambda c: c.type.isin(*kinds)))
     return labelled(spark, sf_dir).groupBy("session").agg(
         F.count("*").alias("windows"), F.count_if("is_valid").alias("valid"), rounded(F.count_if("is_valid") / F.greatest(F.lit(1), F.count("*"))).alias("valid_rate"), rounded(F.avg(F.abs(on))).alias("mae"),
-        rounded(F.sqrt(F.avg(on * on))).alias("rmse"), rounded(F.avg(on)).alias("bias"), rounded(F.stddev_pop(on)).alias("sigma"), rounded(F.avg("signal_quality")).alias("mean_sqi"))
+        rounded(F.sqrt(F.avg(on * on))).alias("rmse"), rounded(F.avg(on)).alias("bias"), rounded(F.stddev_pop(on)).alias("sigma"), rounded(F.avg("signal_quality")).alias("mean_sqi"), rounded(F.avg("hr_confidence")).alias("mean_confidence"),
+        F.array_join(F.array_sort(F.collect_set("level")), ",").alias("levels"), having("lighting_low", "lighting_variable").alias("lighting"), having("motion_mild", "motion_moderate", "motion_severe").alias("motion"), having("roi_partial_loss", "roi_severe_loss").alias("roi"))
+
+
+def _by_condition(rows: DataFrame) -> DataFrame:
+    x = rows.select("is_valid", "e", F.explode("conditions").alias("c")).where("c.severity >= 0.5")
+    on = F.when(F.col("is_valid"), F.col("e"))
+    return x.groupBy("c.type").agg(F.avg(F.abs(on)).alias("mae"), F.sqrt(F.avg(on * on)).alias("rmse"))
+
+
+@query(f"""
+WITH {LABELLED}, {CONDITIONS}, m AS (SELECT type, session % 2 AS side, avg(abs(e)) FILTER (is_valid) AS mae, sqrt(avg(e * e) FILTER (is_valid)) AS rmse FROM conditions WHERE severity >= 0.5 GROUP BY ALL),
+a AS (SELECT * FROM m WHERE side = 0), b AS (SELECT * FROM m WHERE side = 1)
+SELECT type, {r4('a.mae')} AS mae_a, {r4('b.mae')} AS mae_b, {r4('b.mae - a.mae')} AS mae_change, {r4('a.rmse')} AS rmse_a, {r4('b.rmse')} AS rmse_b, {r4('b.rmse - a.rmse')} AS rmse_change FROM a FULL JOIN b USING (type)""")
+def f18_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics by condition of two systems; even and odd sessions stand for them."""
+    x = labelled(spark, sf_dir)
+    out = M.compared(_by_condition(x.where("session % 2 = 0")), _by_condition(x.where("session % 2 = 1")), "type", ["mae", "rmse"])
+    return out.select("type", *(rounded(F.col(c)).alias(c) for c in out.columns if c != "type"))
 
 
 @query(f"""

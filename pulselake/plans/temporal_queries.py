@@ -138,15 +138,18 @@ def g15_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DECLINE = "CASE WHEN state = 'STABLE' AND c < 40 THEN low + 1 WHEN state = 'STABLE' THEN 0 ELSE low END"
 
 
-@query(f"""WITH RECURSIVE {SIGNAL}, c AS (SELECT session, seq, ((seq // 8) * 37 + event_id % 20) % 101 AS c FROM signal),
-s AS (SELECT *, CASE WHEN count(*) OVER w >= 3 THEN greatest(-1.0, least(1.0, 10 * regr_slope(c / 100, seq) OVER w)) ELSE 0.0 END AS slope FROM c WINDOW w AS (PARTITION BY session ORDER BY seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+#: SQL of G16 from c (session, seq, c).
+G16 = f"""s AS (SELECT *, CASE WHEN count(*) OVER w >= 3 THEN greatest(-1.0, least(1.0, 10 * regr_slope(c / 100, seq) OVER w)) ELSE 0.0 END AS slope FROM c WINDOW w AS (PARTITION BY session ORDER BY seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
 k AS (SELECT DISTINCT session, 0::BIGINT AS seq, 'WARMUP' AS state, 0 AS frames, 0 AS low, 0 AS up, 0.0::DOUBLE AS trend FROM s UNION ALL
 SELECT session, seq, after, CASE WHEN after <> state THEN 1 ELSE frames + 1 END, CASE WHEN after <> state THEN 0 WHEN state = 'DEGRADING' THEN low1 + 1 ELSE low1 END,
   CASE WHEN after <> state THEN 0 WHEN state = 'UNCERTAIN' AND c > 60 THEN up + 1 WHEN state = 'RECOVERING' THEN up + 1 ELSE up END, slope
 FROM (SELECT *, CASE state WHEN 'WARMUP' THEN CASE WHEN frames >= 15 AND c >= 60 THEN 'STABLE' WHEN frames >= 30 THEN 'UNCERTAIN' ELSE state END WHEN 'STABLE' THEN CASE WHEN low1 >= 5 THEN 'DEGRADING' ELSE state END
    WHEN 'DEGRADING' THEN CASE WHEN c >= 60 THEN 'STABLE' WHEN low1 >= 10 THEN 'UNCERTAIN' ELSE state END WHEN 'UNCERTAIN' THEN CASE WHEN c < 20 THEN 'INVALID' WHEN c >= 60 THEN 'STABLE' WHEN c >= 40 AND up >= 3 THEN 'RECOVERING' ELSE state END
    WHEN 'RECOVERING' THEN CASE WHEN c >= 60 THEN 'STABLE' WHEN c < 40 THEN 'DEGRADING' WHEN up >= 6 THEN 'UNCERTAIN' ELSE state END ELSE CASE WHEN c > 50 THEN 'RECOVERING' WHEN frames >= 30 THEN 'UNCERTAIN' ELSE state END END AS after
-  FROM (SELECT s.session, s.seq, s.c, s.slope, k.state, k.frames, k.up, {_DECLINE} AS low1 FROM k JOIN s ON s.session = k.session AND s.seq = k.seq + 1) n) m)
+  FROM (SELECT s.session, s.seq, s.c, s.slope, k.state, k.frames, k.up, {_DECLINE} AS low1 FROM k JOIN s ON s.session = k.session AND s.seq = k.seq + 1) n) m)"""
+
+
+@query(f"""WITH RECURSIVE {SIGNAL}, c AS (SELECT session, seq, ((seq // 8) * 37 + event_id % 20) % 101 AS c FROM signal), {G16}
 SELECT session, seq, state, {r4("trend")} AS trend FROM k WHERE seq > 0""")
 def g16_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The confidence holds for eight frames, about."""
@@ -219,13 +222,17 @@ def g14_stress_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows(spark, sf_dir).withColumn("s", s).select("session", "w", rounded(100 * F.avg("s").over(w)).alias("stress"))
 
 
-@query(f"""WITH {SIGNAL}, i AS (SELECT session, seq, 30 + x / 2 AS x, event_id % 11 / 10.0 AS instability, event_id % 13 / 13.0 AS harmonic, event_id % 9 / 20.0 AS cv FROM signal),
-j AS (SELECT *, x NOT BETWEEN 40 AND 200 AS out_of_range, coalesce(lag(x) OVER w > 0 AND (abs(x - lag(x) OVER w) > 20 OR abs(x - lag(x) OVER w) / greatest(lag(x) OVER w, 1) > 0.25), false) AS jumps FROM i WINDOW w AS (PARTITION BY session ORDER BY seq)),
+#: SQL of G17 from i (session, seq, x, instability, harmonic, cv), with TIMEOUT.
+G17 = """j AS (SELECT *, x NOT BETWEEN 40 AND 200 AS out_of_range, coalesce(lag(x) OVER w > 0 AND (abs(x - lag(x) OVER w) > 20 OR abs(x - lag(x) OVER w) / greatest(lag(x) OVER w, 1) > 0.25), false) AS jumps FROM i WINDOW w AS (PARTITION BY session ORDER BY seq)),
 s AS (SELECT *, seq - coalesce(max(CASE WHEN NOT (out_of_range OR jumps) THEN seq END) OVER (PARTITION BY session ORDER BY seq), 0) AS streak FROM j),
-t AS (SELECT *, coalesce(max(streak) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 12, false) AS late FROM s),
+t AS (SELECT *, coalesce(max(streak) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= TIMEOUT, false) AS late FROM s),
 a AS (SELECT session, seq, stddev_pop(x) OVER v AS sd, count(*) OVER v AS m FROM t WHERE NOT (out_of_range OR jumps OR late) WINDOW v AS (PARTITION BY session ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
 f AS (SELECT t.session, t.seq, out_of_range OR jumps OR late AS invalid, concat_ws(',', CASE WHEN out_of_range THEN 'out_of_range' END, CASE WHEN jumps THEN 'jumps' END, CASE WHEN late THEN 'timeout' END, CASE WHEN a.m >= 5 AND a.sd >= 15 THEN 'trajectory' END,
-  CASE WHEN instability >= 0.5 THEN 'spectral' END, CASE WHEN harmonic >= 0.5 THEN 'harmonic' END, CASE WHEN cv >= 0.3 THEN 'candidates' END) AS failures FROM t ASOF LEFT JOIN a ON t.session = a.session AND t.seq > a.seq)
+  CASE WHEN instability >= 0.5 THEN 'spectral' END, CASE WHEN harmonic >= 0.5 THEN 'harmonic' END, CASE WHEN cv >= 0.3 THEN 'candidates' END) AS failures FROM t ASOF LEFT JOIN a ON t.session = a.session AND t.seq > a.seq)"""
+
+
+@query(f"""WITH {SIGNAL}, i AS (SELECT session, seq, 30 + x / 2 AS x, event_id % 11 / 10.0 AS instability, event_id % 13 / 13.0 AS harmonic, event_id % 9 / 20.0 AS cv FROM signal),
+{G17.replace("TIMEOUT", "12")}
 SELECT session, seq, CASE WHEN invalid THEN 'INVALID' WHEN failures <> '' THEN 'UNCERTAIN' ELSE 'PLAUSIBLE' END AS verdict, failures FROM f""")
 def g17_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All seven checks; spectra, harmonics and candidates from the event's number, timeout after 12 rows."""
