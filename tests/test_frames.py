@@ -119,3 +119,20 @@ def test_frames_in_batch_do_not_depend_on_order(spark):
         state, out = frames.frame_pipeline(state, r.asDict(recursive=True))
         want.append((r.seq, out["bpm"], out["confidence"]))
     assert [(r[1], r[2], r[6]) for r in got[0] if r[0] == 1] == sorted(want)
+
+
+def test_frames_as_a_stream(spark, tmp_path):
+    """Frames of two micro-batches give what the batch gives."""
+    from conftest import SF
+
+    from pulselake.streaming import stateful
+
+    rows = temporal_queries.frame_rows(spark, SF).where("session < 3").withColumn("ts", F.timestamp_seconds("t")).cache()
+    for i in range(2):
+        rows.where(f"(seq > 20) = {bool(i)}").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = stateful.run(stream, "frame_pipeline", lateness="60 days").writeStream.format("memory").queryName("frames_out").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).outputMode("append").start()
+    q.awaitTermination(180)
+    got = sorted(map(tuple, spark.table("frames_out").collect()))
+    want = sorted(map(tuple, folds.run(rows, "frame_pipeline").collect()))
+    assert len(got) == rows.count() and got == want
