@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .closing import closing_links
-from .common import blocks, buckets_for, hot_join, mix, ranges, sent, starts, written
+from .common import blocks, buckets_for, hot_join, mix, ranges, starts, written
 from .graphs import components
 
 #: Edits (insertions, deletions, replacements of code points) between near lines.

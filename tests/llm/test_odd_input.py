@@ -141,3 +141,28 @@ def test_fingerprints_split_one_document_id(spark):
     plan = fingerprints.compare_with_edited(docs, buckets=4)
     sizes = [r["count"] for r in plan.groupBy(G.spark_partition_id()).count().collect()]
     assert len(sizes) == 4 and max(sizes) < 200  # doc_id 7 alone has 201 rows
+
+
+def test_digest_arrays_of_a_million_entries(tmp_path):
+    entries = [f"host{i}.example.org/{i % 97}" for i in range(1_000_000)]
+    urls.DigestArray.save(entries, str(tmp_path / "d"))
+    found = urls.DigestArray(str(tmp_path / "d"))
+    r = random.Random(1)
+    asked = [r.choice(entries) for _ in range(5_000)] + [f"other{i}.example.org/{i}" for i in range(5_000)]
+    assert found.n == 1_000_000 and found.has(asked).tolist() == [True] * 5_000 + [False] * 5_000
+
+
+def test_equal_digests_are_told_apart_by_their_strings(tmp_path, monkeypatch):
+    monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda raw: len(raw) % 3)  # nearly everything collides
+    urls.DigestArray.save(["aaa", "bbb", "cc", "dddd", "eeeeee"], str(tmp_path / "d"))
+    found = urls.DigestArray(str(tmp_path / "d"))
+    assert found.has(["aaa", "bbb", "ccc", "cc", "dddd", "dddx", "eeeeee", "ffffff", ""]).tolist() == [True, True, False, True, True, False, True, False, False]
+
+
+def test_both_ways_of_matching_a_table_of_entries(spark):
+    r = random.Random(2)
+    entries = spark.range(30_000).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, "/p").when(F.col("id") % 3 == 1, "/p/q").otherwise("")).alias("entry"))
+    rows = [(f"{a}h{i}", r.choice(["", "/p", "/p/q/r", "/x"])) for i, a in ((r.randint(0, 40_000), r.choice(["", "www.", "a.b."])) for _ in range(500))]
+    sides = spark.createDataFrame(rows, "host string, path string")
+    sent, joined = (sorted(map(tuple, urls.matched(sides, entries, "found", most).collect()), key=str) for most in (1 << 30, 0))
+    assert sent == joined and any(x[2] for x in sent) and not all(x[2] for x in sent)
