@@ -40,12 +40,11 @@ def quality_index(state: dict, row: dict) -> tuple[dict, dict]:
 
     Steadiness (of the last ten rates) and the peak's consistency follow slowly, regularity is the mean of the last eight. The
     doubts (of the rate at rest, of unsteady rates, of jumps of more than 25, of rates half or double the `stable` one, of a
-    nearly equal second peak, of a pure sine) act at once: where they halve the index it isn't blended. A rate of 0 or less has 0.
+    nearly equal second peak, of a pure sine) act at once: where they halve the index it isn't blended. A rate of 0 counts like any
+    other; region_index() is for rows that may have none.
     """
     of = lambda k, d: d if row.get(k) is None else row[k]
-    x, rates = row["x"] or 0.0, list(state.get("rates", ()))
-    if x <= 0:
-        return {**state, "sqi": 0.0, "bpm": x}, {"sqi": 0.0}
+    x, rates = row["x"], list(state.get("rates", ()))
     moved, drift, bright, stable = of("motion", 0.0), of("drift", 0.0), of("brightness", 128.0), of("stable", 0.0)
     agree = of("agreement", state.get("agreement", 1.0))
     relation = x / stable if stable > 0 else 0.0
@@ -80,6 +79,13 @@ def quality_index(state: dict, row: dict) -> tuple[dict, dict]:
     return {**state, "bpm": x, "sqi": sqi, "agreement": agree, "rates": (rates + [x])[-150:], "regular": regular, "steady": steady, "consistent": consistent}, {"sqi": sqi}
 
 
+def region_index(state: dict, row: dict) -> tuple[dict, dict]:
+    """quality_index() of a region's frame: without a rate (null, 0 or less) it is 0, and what is known of the region stays."""
+    if not row["x"] or row["x"] <= 0:
+        return {**state, "sqi": 0.0, "bpm": row["x"] or 0.0}, {"sqi": 0.0}
+    return quality_index(state, row)
+
+
 def calibration(state: dict, row: dict, frames: int = 180, least: float = 30.0) -> tuple[dict, dict]:
     """The first `frames` samples of a quality of at least `least`; their mean quality and median rate (above 0) once they are complete."""
     if not state.get("done"):
@@ -195,7 +201,7 @@ def frame_pipeline(state: dict[str, Any], row: dict[str, Any]) -> tuple[dict, di
         if not within(r["brightness"], BRIGHTNESS) or (was.get("bpm", 0.0) > 0 and not within(was["bpm"], PLAUSIBLE)):
             continue
         parts = {k: r[k] for k in ("snr", "regularity", "consistency", "spectral_penalty", "brightness")}
-        now, _ = quality_index(was, {"x": r["bpm"], "motion": motion, "drift": drift, **parts})
+        now, _ = region_index(was, {"x": r["bpm"], "motion": motion, "drift": drift, **parts})
         s["regions"][name] = {**now, "snr": 100 * r["snr"], "brightness": r["brightness"]}
         names.append(name)
         base[name], damp[name] = r["base"], r["penalty"]

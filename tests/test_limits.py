@@ -3,6 +3,7 @@
 import duckdb
 
 from pulselake import plans
+from pulselake.operators import frames
 
 #: Ten values of mean 50, whose sum in this order is less than 500; ten values, then ten of a mean greater by 20, whose means differ by more.
 MEAN_50 = (70.47, 40.69, 17.08, 45.95, 64.37, 51.65, 18.84, 73.77, 23.41, 93.77)
@@ -29,3 +30,9 @@ def test_session_metrics_count_the_conditions_of_invalid_windows(spark, tmp_path
     folder = table(spark, tmp_path, [(1, 20.0, "click"), (1, 30.0, "view"), (2, 60.0, "view")])
     assert [tuple(r) for r in plans.QUERIES["f17_session_metrics"](spark, folder).select("session", "valid", "lighting", "motion", "roi").orderBy("session").collect()] == [(1, 0, 1, 1, 1), (2, 0, 0, 0, 1)]
     assert same_as_sql(spark, folder, "f17_session_metrics")
+
+
+def test_quality_index_of_a_rate_of_zero(spark, tmp_path):
+    values = (29.64, 131.91, 69.43, 53.13, 26.89, 60.66, 0.0, 65.48, 97.18, 0.0, 68.74)
+    assert same_as_sql(spark, table(spark, tmp_path, [(1, v, "view") for v in values]), "g21_quality_index")
+    assert frames.region_index({"rates": [70.0]}, {"x": 0.0}) == ({"rates": [70.0], "sqi": 0.0, "bpm": 0.0}, {"sqi": 0.0})
