@@ -111,7 +111,8 @@ def one_peak(magnitude: np.ndarray, step: float, before: float | None = None) ->
     past = before is not None and before > 0
     scored = []
     for k in top:
-        bpm, score = 60 * hz[k], magnitude[k] * (1.0 if PLAUSIBLE[0] <= 60 * hz[k] <= PLAUSIBLE[1] else 0.1)
+        bpm = 60 * k * step  # in this order: whole rates are whole numbers, which limits on them need
+        score = magnitude[k] * (1.0 if PLAUSIBLE[0] <= bpm <= PLAUSIBLE[1] else 0.1)
         if past:
             away = abs(bpm - before)
             score *= (0.2 if abs(bpm - 2 * before) < 5 else 1.0) * (0.4 + 0.6 * math.exp(-(away**2) / 450)) * (0.2 if away > 25 else 1.0)

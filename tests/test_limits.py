@@ -1,8 +1,11 @@
 """Values at a limit: what a sum's or a product's last bit must not decide."""
 
 import duckdb
+import numpy as np
+import pytest
 
 from pulselake import plans
+from pulselake.operators import estimators as E
 from pulselake.operators import frames
 
 #: Ten values of mean 50, whose sum in this order is less than 500; ten values, then ten of a mean greater by 20, whose means differ by more.
@@ -36,3 +39,9 @@ def test_quality_index_of_a_rate_of_zero(spark, tmp_path):
     values = (29.64, 131.91, 69.43, 53.13, 26.89, 60.66, 0.0, 65.48, 97.18, 0.0, 68.74)
     assert same_as_sql(spark, table(spark, tmp_path, [(1, v, "view") for v in values]), "g21_quality_index")
     assert frames.region_index({"rates": [70.0]}, {"x": 0.0}) == ({"rates": [70.0], "sqi": 0.0, "bpm": 0.0}, {"sqi": 0.0})
+
+
+def test_one_peak_at_a_limit():
+    magnitude = np.zeros(151)
+    magnitude[27], magnitude[62] = 1.0, 100.0  # 54 and 124 a minute; 124 is 10 off the double of 57, not less
+    assert E.one_peak(magnitude, 10 / 300, 57.0) * 60 == pytest.approx(124)
