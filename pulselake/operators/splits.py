@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def digest(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws("/", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in columns)))
 
 
+def part(n: Column, share: float) -> Column:
+    """floor(n share), the share taken as the decimal number it is written as: 0.7 of 90,000 is 63,000."""
+    return F.floor(n * F.lit(Decimal(str(share)))).cast("long")
+
+
 def placed(df: DataFrame, keys: list[str], by: Column, tie: str) -> DataFrame:
     """df with __place (from 0) in the order of the digest `by` within keys, and __n, the rows of the keys.
 
@@ -39,7 +46,7 @@ def random_split(df: DataFrame, key: str = "sample", seed: int = 42, train: floa
     total = n.agg(F.sum("__n").alias("__total"))
     d = d.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy("__h", key))).join(F.broadcast(before), "__b").crossJoin(F.broadcast(total))
     place = F.col("__before") + F.col("__r") - 1
-    a, b = F.floor(F.col("__total") * train), F.floor(F.col("__total") * validation)
+    a, b = part(F.col("__total"), train), part(F.col("__total"), validation)
     return d.withColumn("split", F.when(place < a, "train").when(place < a + b, "validation").otherwise("test")).select(*df.columns, "split")
 
 
@@ -55,7 +62,7 @@ def leave_one_out(df: DataFrame, domain: str = "domain", seed: int = 42, share:
     folds = df.select(F.col(domain).alias("fold")).distinct()
     x = df.crossJoin(F.broadcast(folds))  # a row for each domain on the right
     x = placed(x.withColumn("__test", F.coalesce(F.col(domain) == F.col("fold"), F.lit(False))), ["fold", "__test"], digest(seed, "sample"), "sample")
-    split = F.when(F.col("__test"), "test").when(F.col("__place") < F.greatest(F.lit(1), F.floor(F.col("__n") * share)), "train").otherwise("validation")
+    split = F.when(F.col("__test"), "test").when(F.col("__place") < F.greatest(F.lit(1), part(F.col("__n"), share)), "train").otherwise("validation")
     return x.withColumn("split", split).drop("__test", "__place", "__n")
 
 

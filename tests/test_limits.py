@@ -6,7 +6,7 @@ import pytest
 
 from pulselake import plans
 from pulselake.operators import estimators as E
-from pulselake.operators import frames
+from pulselake.operators import frames, splits
 
 #: Ten values of mean 50, whose sum in this order is less than 500; ten values, then ten of a mean greater by 20, whose means differ by more.
 MEAN_50 = (70.47, 40.69, 17.08, 45.95, 64.37, 51.65, 18.84, 73.77, 23.41, 93.77)
@@ -45,3 +45,10 @@ def test_one_peak_at_a_limit():
     magnitude = np.zeros(151)
     magnitude[27], magnitude[62] = 1.0, 100.0  # 54 and 124 a minute; 124 is 10 off the double of 57, not less
     assert E.one_peak(magnitude, 10 / 300, 57.0) * 60 == pytest.approx(124)
+
+
+def test_split_sizes_are_of_decimal_shares(spark):
+    n = spark.createDataFrame([(90_000,), (10,), (9,)], "n long")
+    assert [tuple(r) for r in n.select(splits.part(n.n, 0.7), splits.part(n.n, 0.15), splits.part(n.n, 0.8)).collect()] == [(63_000, 13_500, 72_000), (7, 1, 8), (6, 1, 7)]
+    sizes = splits.random_split(spark.range(90_000).withColumnRenamed("id", "sample")).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in sizes} == {"train": 63_000, "validation": 13_500, "test": 13_500}
