@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import epoch
+from ..functions.numeric import epoch, settled
 
 #: 2024-01-01, the first day of events, in seconds.
 ORIGIN = 1704067200
@@ -33,7 +33,7 @@ SIGNAL = SAMPLES + ", signal AS (SELECT *, row_number() OVER (PARTITION BY sessi
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-day windows of a user: estimate, reference, quality and the inputs of the condition detectors."""
     s = samples(spark, sf_dir).withColumn("w", F.floor((F.col("t") - ORIGIN) / 432000))
-    g = s.groupBy("session", "w").agg(F.count("*").alias("n"), F.avg("x").alias("hr_estimate"), F.percentile("x", 0.5).alias("hr_reference"), F.min("x").alias("low"), F.max("x").alias("high"),
+    g = s.groupBy("session", "w").agg(F.count("*").alias("n"), settled(F.avg("x")).alias("hr_estimate"), F.percentile("x", 0.5).alias("hr_reference"), F.min("x").alias("low"), F.max("x").alias("high"),
                                       F.avg(F.when(F.col("roi") == "click", 1.0).otherwise(0.0)).alias("motion"))
     return g.select(
         "session", "w", (F.col("session") % 10).alias("subject"), F.col("n").cast("bigint").alias("n"), "hr_estimate", "hr_reference",

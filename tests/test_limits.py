@@ -52,3 +52,11 @@ def test_split_sizes_are_of_decimal_shares(spark):
     assert [tuple(r) for r in n.select(splits.part(n.n, 0.7), splits.part(n.n, 0.15), splits.part(n.n, 0.8)).collect()] == [(63_000, 13_500, 72_000), (7, 1, 8), (6, 1, 7)]
     sizes = splits.random_split(spark.range(90_000).withColumnRenamed("id", "sample")).groupBy("split").count().collect()
     assert {r["split"]: r["count"] for r in sizes} == {"train": 63_000, "validation": 13_500, "test": 13_500}
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_mean_at_the_limit_of_low_light(spark, tmp_path, turn):
+    values = MEAN_50[::turn]
+    folder = table(spark, tmp_path, [(1, v, "view") for v in values])
+    assert [tuple(r) for r in plans.QUERIES["j1_lighting"](spark, folder).collect()] == [(1, 0, "lighting_variable", 1.0)]
+    assert "lighting_variable" in {r["type"] for r in plans.QUERIES["j5_conditions"](spark, folder).collect()}
