@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import quality
-from ..functions.numeric import clip, rounded
+from ..functions.numeric import clip, rounded, settled
 from ..operators import folds, frames, gates  # noqa: F401  (frames adds folds)
 from .bindings import SAMPLES, SIGNAL, WINDOWS, samples, signal, windows
 from .registry import query, r4
@@ -193,7 +193,7 @@ def g8_calibration_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT session, seq, CASE WHEN slope > 0.5 THEN 'IMPROVING' WHEN slope < -0.5 THEN 'DEGRADING' ELSE 'STABLE' END AS trend, {r4('1 - sd / greatest(m, 1)')} AS stability FROM t WHERE n >= 10""")
 def g10_confidence_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _ordered(599)
-    t = _seq(signal(spark, sf_dir)).select("session", "seq", (F.regr_slope("x", F.col("seq").cast("double")).over(w) * 30).alias("slope"), F.stddev_pop("x").over(w).alias("sd"), F.avg("x").over(w).alias("m"), F.count("*").over(w).alias("n")).where("n >= 10")
+    t = _seq(signal(spark, sf_dir)).select("session", "seq", settled(F.regr_slope("x", F.col("seq").cast("double")).over(w) * 30).alias("slope"), F.stddev_pop("x").over(w).alias("sd"), F.avg("x").over(w).alias("m"), F.count("*").over(w).alias("n")).where("n >= 10")
     trend = F.when(F.col("slope") > 0.5, "IMPROVING").when(F.col("slope") < -0.5, "DEGRADING").otherwise("STABLE")
     return t.select("session", "seq", trend.alias("trend"), rounded(1 - F.col("sd") / F.greatest("m", F.lit(1.0))).alias("stability"))
 

@@ -60,3 +60,9 @@ def test_mean_at_the_limit_of_low_light(spark, tmp_path, turn):
     folder = table(spark, tmp_path, [(1, v, "view") for v in values])
     assert [tuple(r) for r in plans.QUERIES["j1_lighting"](spark, folder).collect()] == [(1, 0, "lighting_variable", 1.0)]
     assert "lighting_variable" in {r["type"] for r in plans.QUERIES["j5_conditions"](spark, folder).collect()}
+
+
+def test_slope_at_a_limit(spark, tmp_path):
+    values = (3.93, 26.01, 37.2, 50.51, 25.69, 24.9, 91.04, 44.3, 0.12, 37.2, 24.69, 125.94, 10.49, 10.07, 42.05, 21.42, 46.76, 7.43)  # falls by 1 / 60 a sample
+    folder = table(spark, tmp_path, [(1, v, "view") for v in values])
+    assert {r["seq"]: r["trend"] for r in plans.QUERIES["g10_confidence_trend"](spark, folder).collect()}[18] == "STABLE"
