@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import spectral as S
-from ..functions.numeric import dot, rounded, std_of, sum_of
+from ..functions.numeric import dot, rounded, settled, std_of, sum_of
 from ..operators import alignment as A
 from ..operators import projections as P
 from .bindings import ARRAYS, DOMAINS, RGB, SAMPLES, SIGNAL, arrays, domains, rgb, samples, signal
@@ -149,7 +149,7 @@ def c4_exposure_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the last 10 samples are from those before, of 90."""
     w = Window.partitionBy("session").orderBy("seq")
     drift = F.abs(F.avg("x").over(w.rowsBetween(-9, 0)) - F.avg("x").over(w.rowsBetween(-89, -10)))
-    return signal(spark, sf_dir).select("session", F.col("seq").cast("bigint").alias("seq"), drift.alias("drift")).where("drift IS NOT NULL").select("session", "seq", rounded(F.col("drift")).alias("drift"), (F.col("drift") > 20).alias("flagged"))
+    return signal(spark, sf_dir).select("session", F.col("seq").cast("bigint").alias("seq"), drift.alias("drift")).where("drift IS NOT NULL").select("session", "seq", rounded(F.col("drift")).alias("drift"), (settled(F.col("drift")) > 20).alias("flagged"))
 
 
 @query(f"WITH {ARRAYS}, m AS (SELECT id, avg(v) AS m, stddev_pop(v) AS s FROM points GROUP BY id) SELECT id, i, {r4('(v - m) / s')} AS z FROM points JOIN m USING (id)")

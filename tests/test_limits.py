@@ -66,3 +66,9 @@ def test_slope_at_a_limit(spark, tmp_path):
     values = (3.93, 26.01, 37.2, 50.51, 25.69, 24.9, 91.04, 44.3, 0.12, 37.2, 24.69, 125.94, 10.49, 10.07, 42.05, 21.42, 46.76, 7.43)  # falls by 1 / 60 a sample
     folder = table(spark, tmp_path, [(1, v, "view") for v in values])
     assert {r["seq"]: r["trend"] for r in plans.QUERIES["g10_confidence_trend"](spark, folder).collect()}[18] == "STABLE"
+
+
+def test_drift_at_a_limit(spark, tmp_path):
+    folder = table(spark, tmp_path, [(1, v, "view") for v in DRIFT_20])
+    got = {r["seq"]: (r["drift"], r["flagged"]) for r in plans.QUERIES["c4_exposure_drift"](spark, folder).collect()}
+    assert got[20] == (20.0, False)
