@@ -46,13 +46,14 @@ def sent(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, share: int = 256, least: int = 1000) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str, share: int = 256, least: int = 1000, counted: DataFrame | None = None) -> DataFrame:
     """left joined with right (at most a row for each key), for a left in which a few keys may have very many rows.
 
     Keys with more than 1 / share of left's rows, which are fewer than `share`, are joined by sending their rows of right to all
-    tasks; the rest is joined as usual. Only how it is done depends on the counts.
+    tasks; the rest is joined as usual. Only how it is done depends on the counts. They are taken of `counted` where that is given:
+    a table with as many rows of each key, for a left that is itself a join, which counting would run again.
     """
-    counts = left.groupBy(key).count()
+    counts = (left if counted is None else counted).groupBy(key).count()
     most = max(least, (counts.agg(F.sum("count")).first()[0] or 0) // share)
     hot = [r[0] for r in counts.where(F.col("count") > most).select(key).collect()]  # fewer than share
     if not hot:

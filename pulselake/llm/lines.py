@@ -320,7 +320,7 @@ def _verified(pairs: DataFrame, found: DataFrame, edits: int, every: int) -> Dat
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     texts = found.select("line", "text")
-    return hot_join(hot_join(pairs, texts.toDF("a", "ta"), "a"), texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    return hot_join(hot_join(pairs, texts.toDF("a", "ta"), "a"), texts.toDF("b", "tb"), "b", counted=pairs).select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
 
 def pair_counts(line: str, bins: int = 256) -> np.ndarray:

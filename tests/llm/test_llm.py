@@ -235,6 +235,16 @@ def parts(label, links):
     return {frozenset(np.flatnonzero(root == v).tolist()) for v in root}
 
 
+def test_hot_join_does_not_run_left_to_count_it(spark):
+    def fails(batches):
+        raise RuntimeError("left was run")
+
+    counted = spark.createDataFrame([(1, i) for i in range(40)] + [(2, 0)], "k long, x long")
+    right = spark.createDataFrame([(1, "a"), (2, "b")], "k long, y string")
+    common.hot_join(counted.mapInArrow(fails, counted.schema), right, "k", least=10, counted=counted)  # only planned
+    assert sorted(map(tuple, common.hot_join(counted, right, "k", least=10, counted=counted).collect())) == sorted(map(tuple, counted.join(right, "k").collect()))
+
+
 def test_hot_join(spark):
     left = spark.createDataFrame([(1, i) for i in range(50)] + [(i, i) for i in range(30)] + [(None, 1)], "k long, x long")
     right = spark.createDataFrame([(i, -i) for i in range(20)], "k long, y long")
