@@ -23,6 +23,16 @@ from .filters import both_ways, butterworth, butterworth_tf, fast_ica, notch_tf,
 
 #: The pulse band in Hz, the plausible rates a minute and the usable ones.
 BAND, PLAUSIBLE, USABLE = (50 / 60, 3.0), (45.0, 130.0), (50.0, 180.0)
+#: Windows that a task works on at once: a batch of Spark's has up to 10,000, whose arrays and lists of numbers would be several 100 MB.
+AT_ONCE = 256
+
+
+def parts(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `most` rows."""
+    most = most or AT_ONCE
+    for b in batches:
+        for i in range(0, b.num_rows, most):
+            yield b.slice(i, most)
 
 
 def windows(df: DataFrame, size: int, hop: int, values: tuple[str, ...] = ("x",), complete: bool = True) -> DataFrame:
@@ -45,7 +55,7 @@ def by_window(wins: DataFrame, made: Callable[..., list[dict]], columns: str, va
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = to_arrow_schema(schema)
-        for b in batches:
+        for b in parts(batches):
             arrays = [b.column(v) for v in values]
             length = pc.list_value_length(arrays[0]).to_numpy(zero_copy_only=False)
             rows: list[dict] = [{}] * b.num_rows
@@ -270,7 +280,7 @@ def without_respiration(rated: DataFrame, fps: float) -> DataFrame:
     """(session, w, hz, y array) of respiration(): the window without its session's respiration rate (Q 12) and, where that is in the pulse band, its double (Q 9.6), phases kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             out = []
             for x, hz in zip(b.column("x").to_pylist(), b.column("hz").to_pylist(), strict=True):
                 y = np.asarray(x, float)

@@ -227,3 +227,12 @@ def test_window_queries_use_all_windows(spark):
     for name in ("b8_arbitrated", "b9_classical_rates", "b6_independent_pulse", "c7_respiratory_notch", "g12_lf_hf"):
         got = plans.QUERIES[name](spark, SF)
         assert got.count() == n, name
+
+
+def test_windows_are_worked_on_in_slices(spark):
+    """A batch of many windows reaches the step a few at a time, in order and whole."""
+    n = 2 * E.AT_ONCE + 3
+    wins = spark.range(n, numPartitions=1).selectExpr("id AS session", "0L AS w", "array(double(id), 1.0D) AS x")
+    got = E.by_window(wins, lambda x: [{"sum": float(r.sum()), "rows": len(x)} for r in x], "sum double, rows long").collect()
+    assert [(r["session"], r["sum"]) for r in got] == [(i, i + 1.0) for i in range(n)]
+    assert max(r["rows"] for r in got) <= E.AT_ONCE
