@@ -81,6 +81,23 @@ def project(df: DataFrame, name: str, key: str = "session") -> DataFrame:
     return METHODS.get(name.upper(), pos)(df, key).select(key, "seq", "y")
 
 
+def moving_means(df: DataFrame, size: int, values: tuple[str, ...]) -> DataFrame:
+    """df (session, seq from 1 without gaps, values) with a mean of the last `size` samples for each of values: `<value>_mean`.
+
+    Blocks of `size` samples have sums that grow from either end. The last samples are the end of one block and the beginning of
+    the next, so a sample is added twice, however large `size` is, and nothing is subtracted. Null values don't count.
+    """
+    block = F.floor((F.col("seq") - 1) / size)
+    own = Window.partitionBy("session", "__block")
+    sums = lambda w: F.struct(*(f(v).over(w).alias(f"{v}_{name}") for v in values for name, f in (("sum", F.sum), ("n", F.count))))
+    x = df.withColumn("__block", block).withColumn("__end", sums(own.orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("__begin", sums(own.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+    # the end of the block before; a complete block needs none
+    x = x.withColumn("__end", F.when(F.col("seq") % size != 0, F.lag("__end", size - 1).over(Window.partitionBy("session").orderBy("__block", "seq"))))
+    total = lambda c: F.coalesce(F.col(f"__end.{c}"), F.lit(0)) + F.coalesce(F.col(f"__begin.{c}"), F.lit(0))
+    return x.withColumns({f"{v}_mean": F.try_divide(total(f"{v}_sum"), total(f"{v}_n")) for v in values}).drop("__block", "__end", "__begin")
+
+
 def detrended(df: DataFrame, window: int = 45) -> DataFrame:
     """Df (session, seq from 1, x) with y: the line through x removed, then the mean of the `window` samples around, then scaled.
 

@@ -64,10 +64,10 @@ ARRAYS = "arrays AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, label FROM e
 
 def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session, seq, r, g, b) of lineitem by supplier, in the order of all its columns."""
-    li = table(spark, sf_dir, "lineitem")
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
-    seq = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*order))
-    return li.select(F.col("l_suppkey").alias("session"), seq.alias("seq"), F.col("l_quantity").alias("r"), (F.col("l_extendedprice") / 1000).alias("g"), (F.col("l_discount") * 100 + 1).alias("b"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("session"), *order)  # dealt by session, so that later steps by session needn't deal again
+    li = li.withColumn("seq", F.row_number().over(Window.partitionBy("session").orderBy(*order)))
+    return li.select("session", "seq", F.col("l_quantity").alias("r"), (F.col("l_extendedprice") / 1000).alias("g"), (F.col("l_discount") * 100 + 1).alias("b"))
 
 
 RGB = """rgb AS (

@@ -179,9 +179,8 @@ def c6_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {RGB} SELECT session, seq, {r4('avg(g) OVER w / avg(r) OVER w')} AS nf_r, {r4('avg(g) OVER w / avg(b) OVER w')} AS nf_b FROM rgb WINDOW w AS (PARTITION BY session ORDER BY seq ROWS BETWEEN 149 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w >= 30""")
 def c8_skin_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("session").orderBy("seq").rowsBetween(-149, 0)
-    x = rgb(spark, sf_dir).select("session", F.col("seq").cast("bigint").alias("seq"), F.avg("r").over(w).alias("r"), F.avg("g").over(w).alias("g"), F.avg("b").over(w).alias("b"), F.count("*").over(w).alias("n")).where("n >= 30")
-    return x.select("session", "seq", rounded(F.col("g") / F.col("r")).alias("nf_r"), rounded(F.col("g") / F.col("b")).alias("nf_b"))
+    x = P.moving_means(rgb(spark, sf_dir).withColumn("seq", F.col("seq").cast("bigint")), 150, ("r", "g", "b")).where("seq >= 30")
+    return x.select("session", "seq", rounded(F.col("g_mean") / F.col("r_mean")).alias("nf_r"), rounded(F.col("g_mean") / F.col("b_mean")).alias("nf_b"))
 
 
 _DFT = f"""{_HANN}, centre AS (SELECT id, i, v - avg(v) OVER (PARTITION BY id) AS c FROM points), shaped AS (SELECT id, i, c * (0.5 - 0.5 * cos(2 * pi() * i / 63)) AS v FROM centre),
