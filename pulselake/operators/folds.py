@@ -6,6 +6,7 @@ they run the same steps. A key's rows are read in order and only its state is ke
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 from statistics import median
@@ -13,6 +14,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 Step = Callable[[dict[str, Any], dict[str, Any]], tuple[dict[str, Any], dict[str, Any]]]
@@ -20,7 +22,7 @@ Step = Callable[[dict[str, Any], dict[str, Any]], tuple[dict[str, Any], dict[str
 
 def pstdev(values: list[float]) -> float:
     mean = sum(values) / len(values)
-    return math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
+    return math.sqrt(sum([(v - mean) ** 2 for v in values]) / len(values))
 
 
 def kalman(state: dict, row: dict, q: tuple[float, float] = (1.0, 0.01), r: float = 25.0, floor: float = 4.0) -> tuple[dict, dict]:
@@ -270,6 +272,12 @@ def session_confidence(state: dict, row: dict, window: int = 180) -> tuple[dict,
     return s, {"confidence": s["ema"], "label": "GOOD" if s["ema"] >= 75 else "FAIR" if s["ema"] >= 45 else "POOR"}
 
 
+def region_trust(state: dict, prior: float = 2.0) -> float:
+    """The weight of G19 before the next frame."""
+    a, b = prior + state.get("up", 0.0), prior + state.get("down", 0.0)
+    return a / (a + b)
+
+
 def region_weight(state: dict, row: dict, prior: float = 2.0, keep: float = 0.999) -> tuple[dict, dict]:
     """A region's weight: the mean of a Beta belief that it succeeds, which fades towards its prior, and its deviation.
 
@@ -361,6 +369,9 @@ FOLDS: dict[str, tuple[Step, str]] = {
 }
 
 
+#: Rows that a task has as Python objects at once.
+AT_ONCE = 1000
+
 ARROW = {"int": pa.int32(), "bigint": pa.int64(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
 
 
@@ -369,6 +380,26 @@ def plain(row: dict) -> dict:
     return {k: None if isinstance(v, float) and math.isnan(v) else v for k, v in row.items()}
 
 
+def rows_of(batch: pa.RecordBatch) -> list[dict]:
+    """batch.to_pylist(), column by column, which is several times as fast for nested columns."""
+
+    def values(c: pa.Array) -> list:
+        if pa.types.is_struct(c.type):
+            names = [f.name for f in c.type]
+            made = [dict(zip(names, v, strict=True)) for v in zip(*map(values, c.flatten()), strict=True)]
+            return made if not c.null_count else [v if ok else None for v, ok in zip(made, c.is_valid().to_pylist(), strict=True)]
+        if pa.types.is_list(c.type):
+            flat, ends = values(c.flatten()), itertools.accumulate(n or 0 for n in pc.list_value_length(c).to_pylist())
+            made = [flat[i:j] for i, j in itertools.pairwise(itertools.chain((0,), ends))]
+            return made if not c.null_count else [v if ok else None for v, ok in zip(made, c.is_valid().to_pylist(), strict=True)]
+        if not c.null_count and (pa.types.is_integer(c.type) or pa.types.is_floating(c.type) or pa.types.is_boolean(c.type)):
+            return c.to_numpy(zero_copy_only=False).tolist()
+        return c.to_pylist()
+
+    names = batch.schema.names
+    return [dict(zip(names, v, strict=True)) for v in zip(*map(values, batch.columns), strict=True)]
+
+
 def run(df: DataFrame, name: str) -> DataFrame:
     """df (session, seq, t, x, more inputs of the step) with the fold's outputs for each row, in order of (t, seq); null x are left out.
 
@@ -382,13 +413,13 @@ def run(df: DataFrame, name: str) -> DataFrame:
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         session, state = object(), {}
-        for batch in batches:
+        for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
             out = []
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 if row["session"] != session:
                     session, state = row["session"], {}
                 state, got = step(state, plain(row))
-                out.append({"session": session, "seq": row["seq"], **{n: got[n] for n in names}})
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in arrow.items()], list(arrow))
+                out.append((session, row["seq"], *[got[n] for n in names]))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), arrow.values(), strict=True)], list(arrow))
 
     return df.where("x IS NOT NULL").repartition("session").sortWithinPartitions("session", "t", "seq").mapInArrow(fold, schema)

@@ -35,6 +35,15 @@ def doubted(bpm: float, motion: float) -> float:
     return 0.55 if bpm > 115 and motion < 1.8 else 1.0
 
 
+#: What quality_index() takes for a part that a row doesn't have.
+PARTS = {"motion": 0.0, "drift": 0.0, "brightness": 128.0, "stable": 0.0, "sine": 0.0, "peak_ratio": 2.0, "regularity": 0.1, "consistency": 0.5, "snr": 0.0, "spectral_penalty": 0.0}
+
+
+def recent_spread(region: dict) -> float:
+    """The deviation of a region's last ten rates, which quality_index() keeps with them."""
+    return region["spread"] if "spread" in region else pstdev(region["rates"][-10:])
+
+
 def quality_index(state: dict, row: dict) -> tuple[dict, dict]:
     """A region's quality (0..100, one decimal) from its parts, less penalties and doubts, blended with its own last one.
 
@@ -43,28 +52,28 @@ def quality_index(state: dict, row: dict) -> tuple[dict, dict]:
     nearly equal second peak, of a pure sine) act at once: where they halve the index it isn't blended. A rate of 0 counts like any
     other; region_index() is for rows that may have none.
     """
-    of = lambda k, d: d if row.get(k) is None else row[k]
-    x, rates = row["x"], list(state.get("rates", ()))
-    moved, drift, bright, stable = of("motion", 0.0), of("drift", 0.0), of("brightness", 128.0), of("stable", 0.0)
-    agree = of("agreement", state.get("agreement", 1.0))
+    of = {**PARTS, "agreement": state.get("agreement", 1.0), **row}
+    if None in of.values():
+        of = {k: (PARTS.get(k, state.get("agreement", 1.0)) if v is None else v) for k, v in of.items()}
+    x, rates = row["x"], state.get("rates", [])
+    moved, drift, bright, stable, agree = of["motion"], of["drift"], of["brightness"], of["stable"], of["agreement"]
     relation = x / stable if stable > 0 else 0.0
     doubled, halved = 1.8 < relation < 2.2, 0.45 < relation < 0.55
-    bio = doubted(x, moved) * (0.7 if len(rates) >= 5 and pstdev(rates) > 15 else 1.0) * (0.55 if x >= 110 and of("sine", 0.0) > 0.93 else 1.0)
+    late = recent_spread(state) if len(rates) >= 5 else 0.0
+    bio = doubted(x, moved) * (0.7 if len(rates) >= 5 and (pstdev(rates) if len(rates) > 10 else late) > 15 else 1.0) * (0.55 if x >= 110 and of["sine"] > 0.93 else 1.0)
     if rates and abs(x - rates[-1]) > 25:
         bio *= 0.2 if doubled or halved else 0.4
-    bio *= (0.3 if doubled else 0.4 if halved else 1.0) * (0.2 if of("peak_ratio", 2.0) < 1.3 else 1.0)
-    regular = (list(state.get("regular", ())) + [of("regularity", 0.1)])[-8:]
-    now_steady = max(0.0, (100 - 4 * pstdev(rates[-10:])) / 100) if len(rates) >= 5 else 1.0
+    bio *= (0.3 if doubled else 0.4 if halved else 1.0) * (0.2 if of["peak_ratio"] < 1.3 else 1.0)
+    regular = [*state.get("regular", ())[-7:], of["regularity"]]
+    now_steady = max(0.0, (100 - 4 * late) / 100) if len(rates) >= 5 else 1.0
     steady = 0.9 * state.get("steady", 1.0) + 0.1 * now_steady
-    consistent = 0.8 * state.get("consistent", 0.5) + 0.2 * of("consistency", 0.5)
+    consistent = 0.8 * state.get("consistent", 0.5) + 0.2 * of["consistency"]
     m = min(moved / 15, 0.6)
     m = min(0.5, m + 0.2) if moved > 2.5 else max(m, 0.1) if moved > 1.5 else 0.0
-    light = next((p for limit, p in ((40, 0.9), (30, 0.7), (20, 0.5), (10, 0.3)) if drift > limit), None)
-    if light is None:
-        light = min((50 - bright) / 50, 0.3) if bright < 50 else min((bright - 210) / 40, 0.3) if bright > 210 else 0.0
-    snr, regularity = of("snr", 0.0), sum(regular) / len(regular)
+    light = 0.9 if drift > 40 else 0.7 if drift > 30 else 0.5 if drift > 20 else 0.3 if drift > 10 else min((50 - bright) / 50, 0.3) if bright < 50 else min((bright - 210) / 40, 0.3) if bright > 210 else 0.0
+    snr, regularity = of["snr"], sum(regular) / len(regular)
     raw = 0.25 * snr + 0.30 * regularity + 0.30 * steady + 0.15 * consistent + 0.10 * (1 - m)
-    raw = (raw - 0.4 * (m + light + of("spectral_penalty", 0.0)) / 3) * (1 - 0.3 * m) * (1 - 0.3 * light)
+    raw = (raw - 0.4 * (m + light + of["spectral_penalty"]) / 3) * (1 - 0.3 * m) * (1 - 0.3 * light)
     if snr > 0.35 and regularity > 0.20:
         raw = max(raw, 0.22)
     if agree < 0.7:
@@ -76,7 +85,10 @@ def quality_index(state: dict, row: dict) -> tuple[dict, dict]:
     if before > 0 and bio > 0.5:
         whole = 0.4 * before + 0.6 * whole
     sqi = math.floor(min(100.0, max(0.0, whole)) * 10 + 0.500001) / 10
-    return {**state, "bpm": x, "sqi": sqi, "agreement": agree, "rates": (rates + [x])[-150:], "regular": regular, "steady": steady, "consistent": consistent}, {"sqi": sqi}
+    now = {**state, "bpm": x, "sqi": sqi, "agreement": agree, "rates": [*rates[-149:], x], "regular": regular, "steady": steady, "consistent": consistent}
+    if len(rates) >= 4:
+        now["spread"] = pstdev(now["rates"][-10:])
+    return now, {"sqi": sqi}
 
 
 def region_index(state: dict, row: dict) -> tuple[dict, dict]:
@@ -135,7 +147,7 @@ def region_weight(region: dict, base: float, motion: float, drift: float, stable
     body = 1.0 if bpm <= 0 else 0.1 if not within(bpm, (45, 150)) else 0.5 if not within(bpm, (55, 130)) else 1.0
     if stable > 0 and abs(bpm - stable) > 25:
         body *= 0.6
-    steady = max(0.1, 1 - pstdev(rates[-10:]) / 20) if len(rates) >= 5 else 1.0
+    steady = max(0.1, 1 - recent_spread(region) / 20) if len(rates) >= 5 else 1.0
     w = base * body * (0.4 * max(0.1, region["sqi"] / 100) + 0.4 * steady + 0.2 * (min((snr / 100) ** 1.5, 1.0) if snr > 0 else 0.1))
     w *= 1.0 if within(bpm, PLAUSIBLE) else 0.15
     w *= max(0.08, (bright / 65) ** 2) if bright < 65 else max(0.35, bright / 85) if bright < 85 else 1.0
@@ -151,7 +163,7 @@ def grouped_mean(regions: list[tuple[float, float, bool]], gap: float = 8.0, kee
     left = [x for x in left if not x[2]] or left
     if not left:
         return 0.0
-    most = share * sum(w for _, w, _ in left)
+    most = share * sum([w for _, w, _ in left])
     left = sorted((b, min(w, most)) for b, w, _ in left)
     groups: list[list[tuple[float, float]]] = []
     for b, w in left:
@@ -159,25 +171,34 @@ def grouped_mean(regions: list[tuple[float, float, bool]], gap: float = 8.0, kee
             groups[-1].append((b, w))
         else:
             groups.append([(b, w)])
-    total, members = sum(w for _, w in left), max(map(len, groups))
-    rows = [(sum(b * w for b, w in g) / (sum(w for _, w in g) + 1e-9), sum(w for _, w in g) + 1e-9, len(g)) for g in groups]
-    rows = [(b, w) for b, w, n in rows if w / (total + 1e-9) >= keep or n == members]
-    return sum(b * w for b, w in rows) / sum(w for _, w in rows)
+    total, members = sum([w for _, w in left]), max(map(len, groups))
+    rows = [(sum([b * w for b, w in g]), sum([w for _, w in g]) + 1e-9, len(g)) for g in groups]
+    rows = [(b / w, w) for b, w, n in rows if w / (total + 1e-9) >= keep or n == members]
+    return sum([b * w for b, w in rows]) / sum([w for _, w in rows])
+
+
+#: The even belief, and the spread of one from frame to frame.
+_EVEN, _SPREAD = np.full(len(folds._GRID), 1 / len(folds._GRID)), folds._SPREAD / folds._SPREAD.sum()
 
 
 def joint_belief(prior: list[float] | None, estimates: list[tuple[float, float]]) -> tuple[list[float], float]:
     """G5 with a memory: the belief over 40..200 times the Gaussian likelihoods of all estimates (rate, quality); spread, and its mean."""
     grid = folds._GRID
-    before = np.full(len(grid), 1 / len(grid)) if prior is None else np.array(prior)
     off = np.zeros(len(grid))
     for bpm, sqi in estimates:
         if bpm > 0 and sqi >= 0:
-            off -= 0.5 * ((grid - bpm) / (10 * (1 - min(1.0, sqi / 100)) + 0.8)) ** 2
-    like = np.exp(off - off.max())
-    post = before * like / (like.sum() + 1e-12)
-    post /= post.sum() + 1e-12
-    wide = np.convolve(post, folds._SPREAD / folds._SPREAD.sum(), "same")
-    return (wide / (wide.sum() + 1e-12)).tolist(), float(post @ grid)
+            d = grid - bpm
+            d /= 10 * (1 - min(1.0, sqi / 100)) + 0.8
+            d *= d
+            d *= 0.5
+            off += d
+    like = np.exp(off.min() - off)
+    post = like * (_EVEN if prior is None else np.array(prior))
+    post /= np.add.reduce(like) + 1e-12
+    post /= np.add.reduce(post) + 1e-12
+    wide = np.convolve(post, _SPREAD, "same")
+    wide /= np.add.reduce(wide) + 1e-12
+    return wide.tolist(), float(post @ grid)
 
 
 def frame_pipeline(state: dict[str, Any], row: dict[str, Any]) -> tuple[dict, dict]:
@@ -200,8 +221,8 @@ def frame_pipeline(state: dict[str, Any], row: dict[str, Any]) -> tuple[dict, di
         name, was = r["name"], s["regions"].get(r["name"], {})
         if not within(r["brightness"], BRIGHTNESS) or (was.get("bpm", 0.0) > 0 and not within(was["bpm"], PLAUSIBLE)):
             continue
-        parts = {k: r[k] for k in ("snr", "regularity", "consistency", "spectral_penalty", "brightness")}
-        now, _ = region_index(was, {"x": r["bpm"], "motion": motion, "drift": drift, **parts})
+        parts = {"x": r["bpm"], "motion": motion, "drift": drift, "snr": r["snr"], "regularity": r["regularity"], "consistency": r["consistency"], "spectral_penalty": r["spectral_penalty"], "brightness": r["brightness"]}
+        now, _ = region_index(was, parts)
         s["regions"][name] = {**now, "snr": 100 * r["snr"], "brightness": r["brightness"]}
         names.append(name)
         base[name], damp[name] = r["base"], r["penalty"]
@@ -228,8 +249,9 @@ def frame_pipeline(state: dict[str, Any], row: dict[str, Any]) -> tuple[dict, di
     taken = {n: r for n, r in taken.items() if r["agreement"] >= 0.2}
     agree = math.exp(-pstdev([r["bpm"] for r in taken.values()]) / 7) if len(taken) >= 2 else 0.8
     doubled_rates(list(taken.values()))
-    weight = {n: region_weight(r, base[n], motion, drift) * damp[n] for n, r in taken.items()}
-    learned = {n: folds.region_weight(r.get("trust", {}), {"x": 0.0})[1]["weight"] for n, r in taken.items()}
+    own = {n: region_weight(r, base[n], motion, drift) for n, r in taken.items()}
+    weight = {n: own[n] * damp[n] for n in taken}
+    learned = {n: folds.region_trust(r.get("trust", {})) for n, r in taken.items()}
     s["belief"], joint = joint_belief(s.get("belief"), [(r["bpm"], r["sqi"]) for r in taken.values()])
     fused = 0.7 * joint + 0.3 * grouped_mean([(r["bpm"], weight[n] * learned[n], r.get("suspect", False)) for n, r in taken.items()])
     for n, r in taken.items():
@@ -245,7 +267,7 @@ def frame_pipeline(state: dict[str, Any], row: dict[str, Any]) -> tuple[dict, di
         s["smoother"], smooth = folds.smoother(s.get("smoother", {}), {"x": fused})
         s["shown"] = (list(s.get("shown", ())) + [smooth["y"]] * (smooth["y"] > 0))[-10:]
         out["bpm"] = s["held"] = median(s["shown"]) if len(s["shown"]) >= 3 else smooth["y"]
-        strong = [(region_weight(r, base[n], motion, drift), r["sqi"]) for n, r in taken.items() if r["sqi"] >= LEAST_SQI]
+        strong = [(own[n], r["sqi"]) for n, r in taken.items() if r["sqi"] >= LEAST_SQI]
         total = sum(w for w, _ in strong)
         out["sqi"] = (sum(w * q for w, q in strong) / total if total > 0 else 0.0) * max(0.0, 1 - 0.5 * max(0.0, 0.5 - agree))
     s["score"], scored = folds.session_confidence(s.get("score", {}), {"sqi": out["sqi"], "x": out["bpm"], "moving": moving, "agreement": agree, "regions": 1})

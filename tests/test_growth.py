@@ -2,9 +2,11 @@
 
 import math
 
+import pyarrow as pa
 from conftest import SF
 
 from pulselake import plans
+from pulselake.operators import folds, frames
 from pulselake.operators import projections as P
 
 
@@ -28,3 +30,24 @@ def test_skin_tone_adds_no_sample_150_times_and_deals_once(spark):
     p = plan(plans.QUERIES["c8_skin_tone"](spark, SF))
     assert p.count("Exchange hashpartitioning") == 1
     assert "149, currentrow" not in p
+
+
+def test_rows_of_a_batch():
+    region = pa.struct([("name", pa.string()), ("bpm", pa.float64())])
+    kinds = pa.schema([("session", pa.int64()), ("x", pa.float64()), ("moving", pa.bool_()), ("regions", pa.list_(region))])
+    rows = [
+        {"session": 1, "x": 0.5, "moving": True, "regions": [{"name": "a", "bpm": 1.0}, {"name": None, "bpm": None}]}, {"session": 2, "x": None, "moving": None, "regions": None},
+        {"session": None, "x": -0.0, "moving": False, "regions": []}, {"session": 4, "x": 2.0, "moving": True, "regions": [None, {"name": "b", "bpm": 2.0}]},
+    ]
+    batch = pa.RecordBatch.from_pylist(rows, schema=kinds)
+    for part in (batch, batch.slice(1), batch.slice(3, 1), batch.slice(0, 1), batch.slice(2, 0)):
+        assert folds.rows_of(part) == part.to_pylist()
+
+
+def test_a_frame_weighs_each_region_once(monkeypatch):
+    calls = []
+    weigh = frames.region_weight
+    monkeypatch.setattr(frames, "region_weight", lambda *a: calls.append(a) or weigh(*a))
+    region = lambda n, bpm: {"name": n, "base": 0.3, "bpm": bpm, "snr": 0.8, "regularity": 0.9, "consistency": 0.9, "spectral_penalty": 0.0, "brightness": 120.0, "penalty": 1.0}
+    _, out = frames.frame_pipeline({}, {"x": 0.1, "moving": False, "drift": 0.0, "regions": [region("a", 70.0), region("b", 72.0)]})
+    assert out["accepted"] == 2 and len(calls) == 2
