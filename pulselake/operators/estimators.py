@@ -35,16 +35,25 @@ def parts(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterato
             yield b.slice(i, most)
 
 
-def windows(df: DataFrame, size: int, hop: int, values: tuple[str, ...] = ("x",), complete: bool = True) -> DataFrame:
-    """(session, w, an array for each of values) of df (session, seq from 1, values): windows of `size` samples every `hop`, if asked
-    only complete ones and each session's first, however short it is. A sample goes to size / hop windows; a null value counts as 0."""
-    at = F.col("seq") - 1
-    first = F.greatest(F.lit(0), F.floor((at - size) / hop) + 1)
-    rows = df.select("session", F.struct("seq", *(F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values)).alias("row"), F.explode(F.sequence(first, F.floor(at / hop))).alias("w"))
-    made = rows.groupBy("session", "w").agg(F.sort_array(F.collect_list("row")).alias("rows"))  # `size` samples at most
+def windows(df: DataFrame, size: int, hop: int, values: tuple[str, ...] = ("x",), complete: bool = True, ends: bool = False) -> DataFrame:
+    """(session, w, an array for each of values) of df (session, seq from 1 without gaps, values): windows of `size` samples every `hop`,
+    if asked only complete ones and each session's first, however short it is; with `ends` also the session's last seq. A null value counts as 0.
+
+    Samples are gathered once, in pieces of the greatest common divisor of size and hop; a window is a row of pieces.
+    """
+    step = math.gcd(size, hop)
+    rows = df.select("session", F.struct("seq", *(F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values)).alias("row"), F.floor((F.col("seq") - 1) / step).alias("piece"))
+    made = rows.groupBy("session", "piece").agg(F.sort_array(F.collect_list("row")).alias("rows"))  # `step` samples at most
+    made = made.select("session", "piece", F.element_at("rows.seq", -1).alias("end"), *(F.col(f"rows.{v}").alias(v) for v in values))
+    if size > step:
+        over = Window.partitionBy("session").orderBy("piece").rangeBetween(0, size // step - 1)
+        made = made.withColumns({v: F.flatten(F.collect_list(v).over(over)) for v in values})
+    if ends:
+        made = made.withColumn("end", F.max("end").over(Window.partitionBy("session")))
+    made = made.where(F.col("piece") % (hop // step) == 0).withColumn("w", F.floor(F.col("piece") / (hop // step)))
     if complete:
-        made = made.where((F.size("rows") == size) | (F.col("w") == 0))
-    return made.select("session", F.col("w").cast("bigint").alias("w"), *(F.col(f"rows.{v}").alias(v) for v in values))
+        made = made.where((F.size(values[0]) == size) | (F.col("w") == 0))
+    return made.select("session", "w", *values, *(["end"] if ends else []))
 
 
 def by_window(wins: DataFrame, made: Callable[..., list[dict]], columns: str, values: tuple[str, ...] = ("x",)) -> DataFrame:
@@ -419,8 +428,7 @@ def window_rates(df: DataFrame, fps: float, seconds: float = 10.0, hop: float =
     out, as in the reference's benchmark mode; its laboratory mode is hop 5, last, start.
     """
     size, step = int(fps * seconds), int(fps * hop)
-    ends = df.groupBy("session").agg(F.max("seq").alias("end"))
-    wins = windows(df, size, step).where(F.size("x") == size).join(ends, "session")
+    wins = windows(df, size, step, ends=True).where(F.size("x") == size)
     if not last:
         wins = wins.where(F.col("w") * step + size < F.col("end"))
 

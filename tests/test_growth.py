@@ -6,6 +6,7 @@ import pyarrow as pa
 from conftest import SF
 
 from pulselake import plans
+from pulselake.operators import estimators as E
 from pulselake.operators import folds, frames
 from pulselake.operators import projections as P
 
@@ -51,3 +52,21 @@ def test_a_frame_weighs_each_region_once(monkeypatch):
     region = lambda n, bpm: {"name": n, "base": 0.3, "bpm": bpm, "snr": 0.8, "regularity": 0.9, "consistency": 0.9, "spectral_penalty": 0.0, "brightness": 120.0, "penalty": 1.0}
     _, out = frames.frame_pipeline({}, {"x": 0.1, "moving": False, "drift": 0.0, "regions": [region("a", 70.0), region("b", 72.0)]})
     assert out["accepted"] == 2 and len(calls) == 2
+
+
+def test_windows_deal_samples_once(spark):
+    p = plan(plans.QUERIES["d4_benchmark_windows"](spark, SF))
+    assert "explode" not in p.lower() and p.count("Exchange hashpartitioning") == 1 and "Join" not in p
+
+
+def test_windows_of_any_size_and_hop(spark):
+    lengths = (1, 5, 6, 7, 12, 25)
+    df = spark.createDataFrame([(s, i + 1, None if i == 3 else float(i)) for s, n in enumerate(lengths) for i in range(n)], "session long, seq long, x double").repartition(3)
+    for size, hop in ((6, 2), (6, 6), (6, 4), (5, 3), (2, 4)):
+        for complete in (True, False):
+            got = {(r.session, r.w): (r.x, r.end) for r in E.windows(df, size, hop, complete=complete, ends=True).collect()}
+            want = {}
+            for s, n in enumerate(lengths):
+                x = [0.0 if i == 3 else float(i) for i in range(n)]
+                want |= {(s, w): (x[w * hop : w * hop + size], n) for w in range(-(-n // hop)) if not complete or w == 0 or w * hop + size <= n}
+            assert got == want
