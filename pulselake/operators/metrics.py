@@ -237,15 +237,18 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, buffere
 
     A group of more than `buffered` rows is never held. Marks from a mergeable sketch cut its values, each mark a bucket of its
     own and what lies between two another; exact counts by bucket say which one has the rank, and that one is cut again until it
-    has `buffered` rows or a single value. The sketch only decides where to cut.
+    has `buffered` rows or a single value. The sketch only decides where to cut. There are at most two bounds for every `buffered`
+    rows of df, so these are broadcast: rows of a group stay where they are and are never dealt by its key.
     """
     if not keys:
         return exact_quantile(df.withColumn("__all", F.lit(0)), ["__all"], value, q, buffered).drop("__all")
     x = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL AND NOT isnan(__v)")
-    n = x.groupBy(*keys).agg(F.count("*").alias("__n"))
-    small = x.join(n.where(F.col("__n") <= buffered), keys).groupBy(*keys).agg(F.percentile("__v", q).alias("quantile"))
-    large = n.where(F.col("__n") > buffered)
-    if not large.limit(1).count():
+    for k in keys:
+        x = x.where(F.col(k).isNotNull())
+    large = checkpointed(x.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > buffered))
+    few = large.limit(1).count() == 0
+    small = (x if few else x.join(F.broadcast(large.select(*keys)), keys, "left_anti")).groupBy(*keys).agg(F.percentile("__v", q).alias("quantile"))
+    if few:
         return small
     place = (F.col("__n") - 1) * F.lit(q)
     ranks = F.array_distinct(F.array(F.floor(place), F.ceil(place)))
@@ -257,15 +260,15 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, buffere
         wide = bounds.where(~done)
         if not wide.limit(1).count():
             break
-        inside = x.join(wide, keys).where("__v >= __lo AND __v <= __hi")
+        inside = x.join(F.broadcast(wide), keys).where("__v >= __lo AND __v <= __hi")
         marks = inside.groupBy(*own).agg(F.array_distinct(F.percentile_approx("__v", [i / MARKS for i in range(MARKS + 1)], 20 * MARKS)).alias("__marks"))
         under = F.aggregate("__marks", F.lit(0), lambda a, m: a + F.when(m < F.col("__v"), 2).when(m == F.col("__v"), 1).otherwise(0))
-        cut = inside.join(marks, own).withColumn("__bucket", under).groupBy(*own, "__bucket").agg(F.count("*").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), *(F.first(c).alias(c) for c in ("__place", "__below")))
+        cut = inside.join(F.broadcast(marks), own).withColumn("__bucket", under).groupBy(*own, "__bucket").agg(F.count("*").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), *(F.first(c).alias(c) for c in ("__place", "__below")))
         w = Window.partitionBy(*own).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # 2 MARKS + 3 rows
         cut = cut.withColumn("__below", F.col("__below") + F.coalesce(F.sum("__c").over(w), F.lit(0)))
         cut = cut.where((F.col("__r") >= F.col("__below")) & (F.col("__r") < F.col("__below") + F.col("__c")))
         bounds = bounds.where(done).unionByName(cut.select(*keys, "__place", "__r", "__lo", "__hi", "__below", F.col("__c").alias("__in")))
-    held = x.join(bounds.where("__lo < __hi"), keys).where("__v >= __lo AND __v <= __hi").groupBy(*own, "__place", "__below").agg(F.sort_array(F.collect_list("__v")).alias("__x"))  # `buffered` rows
+    held = x.join(F.broadcast(bounds.where("__lo < __hi")), keys).where("__v >= __lo AND __v <= __hi").groupBy(*own, "__place", "__below").agg(F.sort_array(F.collect_list("__v")).alias("__x"))  # `buffered` rows
     found = held.select(*own, "__place", F.element_at("__x", (F.col("__r") - F.col("__below") + 1).cast("int")).alias("__v")).unionByName(bounds.where("__lo = __hi").select(*own, "__place", F.col("__lo").alias("__v")))
     low, high = F.min("__v"), F.max("__v")
     return small.unionByName(found.groupBy(*keys).agg((low + (high - low) * (F.first("__place") - F.floor(F.first("__place")))).alias("quantile")))

@@ -7,7 +7,7 @@ from conftest import SF
 
 from pulselake import plans
 from pulselake.operators import estimators as E
-from pulselake.operators import folds, frames
+from pulselake.operators import folds, frames, metrics
 from pulselake.operators import projections as P
 
 
@@ -70,3 +70,16 @@ def test_windows_of_any_size_and_hop(spark):
                 x = [0.0 if i == 3 else float(i) for i in range(n)]
                 want |= {(s, w): (x[w * hop : w * hop + size], n) for w in range(-(-n // hop)) if not complete or w == 0 or w * hop + size <= n}
             assert got == want
+
+
+def test_no_group_of_a_quantile_is_dealt_by_its_key(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    plans_of_large = []
+    cut = metrics.checkpointed
+    monkeypatch.setattr(metrics, "checkpointed", lambda df: plans_of_large.append(plan(df)) or cut(df))
+    df = spark.range(4000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id") * 1.0).alias("v")).unionByName(spark.createDataFrame([(2, 1.0), (2, 4.0), (None, 5.0)], "k long, v double"))
+    out = metrics.exact_quantile(df, ["k"], "v", 0.5, buffered=100)
+    want = {k: sorted(7.0 if i % 3 == 0 else float(i) for i in range(k, 4000, 2)) for k in (0, 1)}
+    assert {r.k: r.quantile for r in out.collect()} == {**{k: (v[999] + v[1000]) / 2 for k, v in want.items()}, 2: 2.5}
+    assert len(plans_of_large) > 2 and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in [*plans_of_large, plan(out)])
